@@ -234,3 +234,197 @@ def q_fit_apply(spark, sf):
 @query("C4_fit_apply_scaler_minmax", _scaled_sql("minmax"))
 def q_fit_apply_mm(spark, sf):
     return scaling.fit_apply_scaler(ev_features(spark, sf), EV_SPEC, "minmax")[0]
+
+
+# ---------------------------------------------------------------- E: evaluation
+
+from rarebird.operators import curves, metrics  # noqa: E402
+
+
+def _scores(spark, sf) -> DataFrame:
+    """Three stand-in score sets from the data: integer scores with ties, continuous
+    values, and hours (heavy ties)."""
+    ev = ev_features(spark, sf)
+    parts = [ev.select(F.lit(m).alias("model"), "event_id", "label", F.col(c).cast("double").alias("score"))
+             for m, c in (("score", "score"), ("value", "value"), ("hr", "hr"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _preds(spark, sf) -> DataFrame:
+    ev = ev_features(spark, sf)
+    parts = [ev.select(F.lit(m).alias("model"), "event_id", "label", F.col(c).alias("prediction"))
+             for m, c in (("score50", "prediction"), ("night", "night"), ("big", "big"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+SCORED_CTE = """scored AS (
+  SELECT 'score' AS model, event_id, label, CAST(score AS DOUBLE) AS score FROM ev_features
+  UNION ALL SELECT 'value', event_id, label, value FROM ev_features
+  UNION ALL SELECT 'hr', event_id, label, hr FROM ev_features
+)"""
+PREDS_CTE = """preds AS (
+  SELECT 'score50' AS model, event_id, label, prediction FROM ev_features
+  UNION ALL SELECT 'night', event_id, label, night FROM ev_features
+  UNION ALL SELECT 'big', event_id, label, big FROM ev_features
+)"""
+COUNTS_CTE = """cm AS (
+  SELECT model,
+         CAST(sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+         CAST(sum(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+         CAST(sum(CASE WHEN label = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+         CAST(sum(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn
+  FROM preds GROUP BY model
+)"""
+CURVE_CTE = """d AS (
+  SELECT model, CAST(score AS DOUBLE) AS threshold, CAST(sum(label) AS BIGINT) AS tp,
+         CAST(sum(1 - label) AS BIGINT) AS fp
+  FROM scored GROUP BY 1, 2
+), c AS (
+  SELECT model, threshold, tp AS dtp, fp AS dfp,
+         row_number() OVER (PARTITION BY model ORDER BY threshold DESC) AS point,
+         CAST(sum(tp) OVER (PARTITION BY model ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS ctp,
+         CAST(sum(fp) OVER (PARTITION BY model ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cfp,
+         lead(tp) OVER (PARTITION BY model ORDER BY threshold DESC) AS ntp,
+         lead(fp) OVER (PARTITION BY model ORDER BY threshold DESC) AS nfp,
+         sum(tp) OVER (PARTITION BY model) AS P, sum(fp) OVER (PARTITION BY model) AS N
+  FROM d
+)"""
+PR_SQL = """SELECT model, point, threshold, ctp AS tp, cfp AS fp, round(ctp / (ctp + cfp), 6) AS precision,
+       round(ctp / P, 6) AS recall
+FROM c WHERE ctp - dtp < P
+UNION ALL SELECT DISTINCT model, 0, NULL, 0, 0, 1.0e0, 0.0e0 FROM d"""
+ROC_SQL = """SELECT model, point, threshold, ctp AS tp, cfp AS fp, round(cfp / N, 6) AS fpr, round(ctp / P, 6) AS tpr
+FROM c WHERE point = 1 OR ntp IS NULL OR ntp <> dtp OR nfp <> dfp
+UNION ALL SELECT DISTINCT model, 0, NULL, 0, 0, 0.0e0, 0.0e0 FROM d"""
+# Independent definitions: AP = mean over positives of the precision at their score;
+# AUC = Mann-Whitney share of (positive, negative) pairs ordered right, ties one half.
+AP_SQL = """SELECT s.model, round(avg(c.ctp / (c.ctp + c.cfp)), 6) AS average_precision
+FROM scored s JOIN c ON s.model = c.model AND CAST(s.score AS DOUBLE) = c.threshold
+WHERE s.label = 1 GROUP BY s.model"""
+AUC_CTE = """mw AS (
+  SELECT model, tp, fp,
+         coalesce(sum(fp) OVER (PARTITION BY model ORDER BY threshold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           AS neg_below
+  FROM d
+)"""
+AUC_SQL = """SELECT model, round(sum(tp * (neg_below + 0.5e0 * fp)) / (sum(tp) * sum(fp)), 6) AS auc
+FROM mw GROUP BY model"""
+
+
+@query("E1_confusion_counts", with_ev("""SELECT p.model, g.label, g.prediction, CAST(count(x.event_id) AS BIGINT) AS n
+FROM (SELECT DISTINCT model FROM preds) p CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) g(label, prediction)
+LEFT JOIN preds x ON x.model = p.model AND x.label = g.label AND x.prediction = g.prediction
+GROUP BY 1, 2, 3""", PREDS_CTE))
+def q_confusion(spark, sf):
+    return metrics.confusion_counts(_preds(spark, sf), ["model"])
+
+
+@query("E2_normalized_confusion", with_ev("""SELECT model, label, prediction, n,
+  round(coalesce(n / nullif(sum(n) OVER (PARTITION BY model, label), 0), 0), 6) AS share
+FROM (SELECT p.model, g.label, g.prediction, CAST(count(x.event_id) AS BIGINT) AS n
+      FROM (SELECT DISTINCT model FROM preds) p CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) g(label, prediction)
+      LEFT JOIN preds x ON x.model = p.model AND x.label = g.label AND x.prediction = g.prediction
+      GROUP BY 1, 2, 3)""", PREDS_CTE))
+def q_norm_confusion(spark, sf):
+    return metrics.normalized_confusion(_preds(spark, sf), ["model"])
+
+
+_E3_SQL = """SELECT model,
+  round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy,
+  round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
+  round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
+  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
+  round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS roc_auc
+FROM cm"""
+
+
+@query("E3_binary_metrics", with_ev(_E3_SQL, PREDS_CTE, COUNTS_CTE))
+def q_binary_metrics(spark, sf):
+    return metrics.binary_metrics(_preds(spark, sf), ["model"])
+
+
+PRED_SCORED_CTE = """scored AS (
+  SELECT 'score50' AS model, event_id, label, CAST(prediction AS DOUBLE) AS score FROM ev_features
+  UNION ALL SELECT 'night', event_id, label, CAST(night AS DOUBLE) FROM ev_features
+  UNION ALL SELECT 'big', event_id, label, CAST(big AS DOUBLE) FROM ev_features
+)"""
+
+
+@query("E3_hard_auc_via_roc", with_ev(AUC_SQL, PRED_SCORED_CTE, CURVE_CTE, AUC_CTE))
+def q_hard_auc(spark, sf):
+    """Hard-prediction AUC equals the exact AUC of the 0/1 prediction used as a score."""
+    p = _preds(spark, sf).withColumn("score", F.col("prediction").cast("double"))
+    return curves.auc_score(p, ["model"])
+
+
+_E4_SQL = """SELECT model, '0' AS "row", round(coalesce(tn / nullif(tn + fn, 0), 0), 6) AS precision,
+  round(coalesce(tn / nullif(tn + fp, 0), 0), 6) AS recall, round(coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0), 6) AS f1,
+  tn + fp AS support FROM cm
+UNION ALL SELECT model, '1', round(coalesce(tp / nullif(tp + fp, 0), 0), 6), round(coalesce(tp / nullif(tp + fn, 0), 0), 6),
+  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6), tp + fn FROM cm
+UNION ALL SELECT model, 'accuracy', NULL, NULL, round((tp + tn) / (tp + fp + tn + fn), 6), tp + fp + tn + fn FROM cm
+UNION ALL SELECT model, 'macro avg',
+  round((coalesce(tn / nullif(tn + fn, 0), 0) + coalesce(tp / nullif(tp + fp, 0), 0)) / 2, 6),
+  round((coalesce(tn / nullif(tn + fp, 0), 0) + coalesce(tp / nullif(tp + fn, 0), 0)) / 2, 6),
+  round((coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0) + coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)) / 2, 6),
+  tp + fp + tn + fn FROM cm
+UNION ALL SELECT model, 'weighted avg',
+  round((coalesce(tn / nullif(tn + fn, 0), 0) * (tn + fp) + coalesce(tp / nullif(tp + fp, 0), 0) * (tp + fn)) / (tp + fp + tn + fn), 6),
+  round((coalesce(tn / nullif(tn + fp, 0), 0) * (tn + fp) + coalesce(tp / nullif(tp + fn, 0), 0) * (tp + fn)) / (tp + fp + tn + fn), 6),
+  round((coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0) * (tn + fp)
+         + coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) * (tp + fn)) / (tp + fp + tn + fn), 6),
+  tp + fp + tn + fn FROM cm"""
+
+
+@query("E4_classification_report", with_ev(_E4_SQL, PREDS_CTE, COUNTS_CTE))
+def q_report(spark, sf):
+    return metrics.classification_report(_preds(spark, sf), ["model"])
+
+
+@query("E5_pr_curve", with_ev(PR_SQL, SCORED_CTE, CURVE_CTE))
+def q_pr(spark, sf):
+    return curves.pr_curve(_scores(spark, sf), ["model"])
+
+
+@query("E6_roc_curve", with_ev(ROC_SQL, SCORED_CTE, CURVE_CTE))
+def q_roc(spark, sf):
+    return curves.roc_curve(_scores(spark, sf), ["model"])
+
+
+@query("E7_average_precision", with_ev(AP_SQL, SCORED_CTE, CURVE_CTE))
+def q_ap(spark, sf):
+    return curves.average_precision(_scores(spark, sf), ["model"])
+
+
+@query("E8_auc_score", with_ev(AUC_SQL, SCORED_CTE, CURVE_CTE, AUC_CTE))
+def q_auc(spark, sf):
+    return curves.auc_score(_scores(spark, sf), ["model"])
+
+
+@query("E9_threshold_table", with_ev(
+    "SELECT model, threshold, round(ctp / (ctp + cfp), 6) AS precision, round(ctp / P, 6) AS recall "
+    "FROM c WHERE ctp - dtp < P", SCORED_CTE, CURVE_CTE))
+def q_thresholds(spark, sf):
+    return curves.threshold_table(_scores(spark, sf), ["model"])
+
+
+@query("E10_curve_reference_lines", with_ev("""SELECT t.curve, t.line, t.point, t.x,
+  round(coalesce(t.y, p.p), 6) AS y, round(coalesce(t.area, p.p), 6) AS area
+FROM (VALUES ('pr', 'perfect', 0, 0.0e0, 1.0e0, 1.0e0), ('pr', 'perfect', 1, 1.0e0, 1.0e0, 1.0e0),
+             ('pr', 'perfect', 2, 1.0e0, NULL, 1.0e0), ('pr', 'chance', 0, 0.0e0, 1.0e0, NULL),
+             ('pr', 'chance', 1, 0.0e0, NULL, NULL), ('pr', 'chance', 2, 1.0e0, NULL, NULL),
+             ('roc', 'perfect', 0, 0.0e0, 0.0e0, 1.0e0), ('roc', 'perfect', 1, 0.0e0, 1.0e0, 1.0e0),
+             ('roc', 'perfect', 2, 1.0e0, 1.0e0, 1.0e0), ('roc', 'chance', 0, 0.0e0, 0.0e0, 0.5e0),
+             ('roc', 'chance', 1, 1.0e0, 1.0e0, 0.5e0)) t(curve, line, point, x, y, area)
+CROSS JOIN (SELECT avg(CAST(label AS DOUBLE)) AS p FROM ev_features) p"""))
+def q_reference_lines(spark, sf):
+    return curves.curve_reference_lines(ev_features(spark, sf))
+
+
+@query("E11_curve_comparison", with_ev(f"""SELECT pr.model, 'pr' AS curve, pr.point, pr.recall AS x, pr.precision AS y, ap.average_precision AS area
+FROM ({PR_SQL}) pr JOIN ({AP_SQL}) ap USING (model)
+UNION ALL
+SELECT roc.model, 'roc', roc.point, roc.fpr, roc.tpr, auc.auc
+FROM ({ROC_SQL}) roc JOIN ({AUC_SQL}) auc USING (model)""", SCORED_CTE, CURVE_CTE, AUC_CTE))
+def q_curve_comparison(spark, sf):
+    return curves.curve_comparison(_scores(spark, sf), ["model"])
