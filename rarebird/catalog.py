@@ -428,3 +428,135 @@ SELECT roc.model, 'roc', roc.point, roc.fpr, roc.tpr, auc.auc
 FROM ({ROC_SQL}) roc JOIN ({AUC_SQL}) auc USING (model)""", SCORED_CTE, CURVE_CTE, AUC_CTE))
 def q_curve_comparison(spark, sf):
     return curves.curve_comparison(_scores(spark, sf), ["model"])
+
+
+# ---------------------------------------------------------------- P: folds and sampling
+
+from rarebird.oracle import md5_int, md5_uniform  # noqa: E402
+from rarebird.operators import folds as fo  # noqa: E402
+from rarebird.operators import sampling as sa  # noqa: E402
+from rarebird.plans import baselines  # noqa: E402
+
+K = 5
+SEED = 42
+
+# Independent fold rule: deal the sorted class codes (order of first appearance)
+# round-robin, count per (class, fold), then fill folds in id order inside each class.
+FOLDS_CTE = """enc AS (
+  SELECT label, row_number() OVER (ORDER BY min(event_id)) - 1 AS code FROM ev_features GROUP BY label
+), yorder AS (
+  SELECT e.code, row_number() OVER (ORDER BY e.code) - 1 AS pos FROM ev_features f JOIN enc e USING (label)
+), alloc AS (
+  SELECT code, pos % 5 AS fold, count(*) AS cnt FROM yorder GROUP BY 1, 2
+), cum AS (
+  SELECT code, fold, cnt, sum(cnt) OVER (PARTITION BY code ORDER BY fold) AS hi FROM alloc
+), fx AS (
+  SELECT f.*, e.code, row_number() OVER (PARTITION BY f.label ORDER BY f.event_id) AS j
+  FROM ev_features f JOIN enc e USING (label)
+), folds AS (
+  SELECT fx.* EXCLUDE (j, code), CAST(cum.fold AS INTEGER) AS fold
+  FROM fx JOIN cum ON fx.code = cum.code AND fx.j > cum.hi - cum.cnt AND fx.j <= cum.hi
+)"""
+
+
+def _folded(spark, sf) -> DataFrame:
+    return fo.stratified_kfold(ev_features(spark, sf), EV_SPEC, K)
+
+
+@query("P1_stratified_kfold", with_ev("SELECT event_id, label, fold FROM folds", FOLDS_CTE))
+def q_folds(spark, sf):
+    return _folded(spark, sf).select("event_id", "label", "fold")
+
+
+@query("P0_ranked", with_ev(
+    "SELECT event_id, label, row_number() OVER (PARTITION BY label ORDER BY "
+    f"{md5_int(SEED, 'event_id')}, event_id) AS rank FROM ev_features"))
+def q_ranked(spark, sf):
+    from rarebird.functions import hash_int
+    from rarebird.operators.ranking import ranked
+
+    df = ev_features(spark, sf).select("event_id", "label", hash_int(SEED, "event_id").alias("_u"))
+    return ranked(df, ["_u", "event_id"], group=["label"]).drop("_u")
+
+
+@query("P6_fold_split", with_ev(
+    "SELECT event_id, label, CAST(g.f AS INTEGER) AS fold, CASE WHEN g.f = folds.fold THEN 'test' ELSE 'train' END AS role "
+    "FROM folds CROSS JOIN (SELECT range AS f FROM range(5)) g", FOLDS_CTE))
+def q_fold_split(spark, sf):
+    return fo.fold_roles(_folded(spark, sf).select("event_id", "label", "fold"), K)
+
+
+LEARN_FRACTIONS = [0.1, 0.325, 0.55, 0.775, 1.0]
+
+
+@query("P8_learning_subset", with_ev("""SELECT CAST(tr.fold AS INTEGER) AS fold, sz.size, tr.event_id
+FROM (SELECT g.f AS fold, folds.event_id, row_number() OVER (PARTITION BY g.f ORDER BY folds.event_id) AS j
+      FROM folds CROSS JOIN (SELECT range AS f FROM range(5)) g WHERE folds.fold <> g.f) tr
+JOIN (SELECT CAST(floor(x * (SELECT count(*) FROM folds WHERE fold <> 0)) AS BIGINT) AS size
+      FROM (VALUES (0.1e0), (0.325e0), (0.55e0), (0.775e0), (1.0e0)) v(x)) sz ON tr.j <= sz.size""", FOLDS_CTE))
+def q_learning_subset(spark, sf):
+    f = _folded(spark, sf).select("event_id", "label", "fold")
+    sizes = fo.learning_sizes(f, "fold", LEARN_FRACTIONS)
+    return fo.learning_subset(f, EV_SPEC, sizes, K).select("fold", "size", "event_id")
+
+
+@query("P2_undersample", with_ev(f"""SELECT event_id, label FROM ev_features WHERE label = 1
+UNION ALL
+SELECT event_id, label FROM (
+  SELECT event_id, label, row_number() OVER (ORDER BY {md5_int(SEED, 'event_id')}, event_id) AS r
+  FROM ev_features WHERE label = 0)
+WHERE r <= (SELECT count(*) FROM ev_features WHERE label = 1)"""))
+def q_undersample(spark, sf):
+    return sa.undersample(ev_features(spark, sf).select("event_id", "label"), EV_SPEC, SEED)
+
+
+_P7_KEPT, _P7_DROPPED = sa.random_feature_subset(EV_SPEC.features, SEED)
+
+
+@query("P7_random_feature_subset", with_ev(f"SELECT event_id, {', '.join(_P7_KEPT)}, label FROM ev_features"))
+def q_random_features(spark, sf):
+    return sa.random_feature_selection(ev_features(spark, sf), EV_SPEC, SEED)
+
+
+# ---------------------------------------------------------------- C3 on a real split, baselines
+
+def _train_test(spark, sf):
+    f = _folded(spark, sf)
+    return fo.fold_split(f, 0)
+
+
+@query("C3_apply_scaler", with_ev(
+    "SELECT event_id, " + ", ".join(
+        f"round(coalesce(({c} - (SELECT avg({c}) FROM folds WHERE fold <> 0)) / "
+        f"nullif((SELECT stddev_pop({c}) FROM folds WHERE fold <> 0), 0), 0), 6) AS {c}" for c in NUMS)
+    + ", night, even_user, big, label FROM folds WHERE fold = 0", FOLDS_CTE))
+def q_apply_scaler(spark, sf):
+    train, test = _train_test(spark, sf)
+    stats = scaling.fit_standard_scaler(train, EV_SPEC)
+    return scaling.apply_scaler(test, EV_SPEC, stats)
+
+
+@query("M7_baseline_most_frequent", with_ev("""SELECT event_id, label, m.top AS prediction, CAST(m.top AS DOUBLE) AS score
+FROM folds CROSS JOIN (SELECT label AS top FROM folds WHERE fold <> 0 GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) m
+WHERE fold = 0""", FOLDS_CTE))
+def q_most_frequent(spark, sf):
+    train, test = _train_test(spark, sf)
+    return baselines.most_frequent(train, test, EV_SPEC)
+
+
+@query("M8_baseline_stratified", with_ev(f"""SELECT event_id, label,
+  CAST({md5_uniform(SEED, 'event_id')} < p.p AS INTEGER) AS prediction,
+  CAST({md5_uniform(SEED, 'event_id')} < p.p AS DOUBLE) AS score
+FROM folds CROSS JOIN (SELECT avg(CAST(label = 1 AS DOUBLE)) AS p FROM folds WHERE fold <> 0) p WHERE fold = 0""", FOLDS_CTE))
+def q_stratified(spark, sf):
+    train, test = _train_test(spark, sf)
+    return baselines.stratified(train, test, EV_SPEC, SEED)
+
+
+@query("M9_baseline_uniform", with_ev(f"""SELECT event_id, label,
+  CAST({md5_uniform(SEED, 'event_id')} < 0.5e0 AS INTEGER) AS prediction,
+  CAST({md5_uniform(SEED, 'event_id')} < 0.5e0 AS DOUBLE) AS score
+FROM folds WHERE fold = 0""", FOLDS_CTE))
+def q_uniform(spark, sf):
+    train, test = _train_test(spark, sf)
+    return baselines.uniform(train, test, EV_SPEC, SEED)
