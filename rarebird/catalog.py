@@ -560,3 +560,65 @@ FROM folds WHERE fold = 0""", FOLDS_CTE))
 def q_uniform(spark, sf):
     train, test = _train_test(spark, sf)
     return baselines.uniform(train, test, EV_SPEC, SEED)
+
+
+# ---------------------------------------------------------------- M: models (rows-only checks)
+
+from rarebird.plans import models as mo  # noqa: E402
+from rarebird.spec import LEARN_SPEC  # noqa: E402
+
+
+def holdout(spark, sf, spec=LEARN_SPEC, kind: str = "standard"):
+    """(scaled train, scaled test): fold 0 of the stratified folds is the holdout;
+    the scaler is fitted on the training folds only."""
+    df = ev_features(spark, sf)
+    f = fo.stratified_kfold(df, spec, K)
+    train, test = fo.fold_split(f, 0)
+    stats = scaling.fit_scaler(train, spec, kind)
+    # Both sides feed several model fits and metrics: keep them (recomputed from lineage if lost).
+    return scaling.apply_scaler(train, spec, stats).persist(), scaling.apply_scaler(test, spec, stats).persist()
+
+
+def _model_query(cfg):
+    def run(spark, sf):
+        train, test = holdout(spark, sf)
+        return mo.score_table(mo.fit(train, LEARN_SPEC, cfg), test)
+
+    return run
+
+
+for _name, _cfg in (("M1_logistic", mo.BEST_LOGISTIC), ("M2_linear_svm", mo.BEST_LINEAR_SVM),
+                    ("M3_rbf_svm", mo.BEST_RBF_SVM), ("M4_decision_tree", mo.BEST_TREE),
+                    ("M5_random_forest", mo.FOREST), ("M6_boosted_trees", mo.BEST_BOOSTED)):
+    query(_name)(_model_query(_cfg))
+
+
+@query("M10_score_table")
+def q_score_table(spark, sf):
+    train, test = holdout(spark, sf)
+    return mo.score_table(mo.fit(train, LEARN_SPEC, mo.LOGISTIC), test)
+
+
+@query("M11_feature_importance")
+def q_importance(spark, sf):
+    train, _ = holdout(spark, sf)
+    return mo.feature_importance(mo.fit(train, LEARN_SPEC, mo.FOREST))
+
+
+@query("S3_save_model")
+def q_save_model(spark, sf):
+    train, test = holdout(spark, sf)
+    fitted = mo.fit(train, LEARN_SPEC, mo.BEST_LOGISTIC)
+    path = tables.save_model(fitted.model, scratch_path(spark, "model"))
+    fitted.model = tables.load_model(path)
+    return mo.score_table(fitted, test)
+
+
+def flagship(spark, sf):
+    """How good is a class-weighted logistic regression on the holdout?
+    Load -> folds -> scale on train -> weights -> fit -> score -> PR curve with AP."""
+    train, test = holdout(spark, sf)
+    scored = mo.score_table(mo.fit(train, LEARN_SPEC, mo.LOGISTIC), test).withColumnRenamed("learn", "label")
+    counts = curves.threshold_counts(scored)
+    ap = curves.average_precision(scored, counts=counts).first()[0]
+    return rounded(curves.pr_curve(scored, counts=counts).withColumn("average_precision", F.lit(ap)))

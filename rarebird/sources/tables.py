@@ -36,11 +36,13 @@ def save_model(model, path: str) -> str:
 
 def load_model(path: str):
     """S3: load what :func:`save_model` wrote (any ``pyspark.ml`` model class)."""
+    import importlib
+
     from pyspark.ml.util import DefaultParamsReader
 
     meta = DefaultParamsReader.loadMetadata(path, _spark_context())
-    cls = DefaultParamsReader._DefaultParamsReader__get_class(meta["class"])
-    return cls.load(path)
+    module, _, name = meta["class"].replace("org.apache.spark", "pyspark").rpartition(".")
+    return getattr(importlib.import_module(module), name).load(path)
 
 
 def _spark_context():
