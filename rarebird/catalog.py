@@ -622,3 +622,66 @@ def flagship(spark, sf):
     counts = curves.threshold_counts(scored)
     ap = curves.average_precision(scored, counts=counts).first()[0]
     return rounded(curves.pr_curve(scored, counts=counts).withColumn("average_precision", F.lit(ap)))
+
+
+# ---------------------------------------------------------------- P3-P5: neighbours
+
+from rarebird.operators.neighbors import knn as _knn  # noqa: E402
+
+NN_FEATS = ["value", "hr", "k"]
+_D2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in NN_FEATS)
+MINO_CTE = f"mino AS (SELECT event_id, {', '.join(NN_FEATS)} FROM ev_features WHERE label = 1)"
+MAJO_CTE = f"majo AS (SELECT event_id, {', '.join(NN_FEATS)} FROM ev_features WHERE label = 0)"
+SELF_NN_CTE = f"""nn AS (
+  SELECT a.event_id AS a, b.event_id AS b, {_D2} AS d2,
+         row_number() OVER (PARTITION BY a.event_id ORDER BY {_D2}, b.event_id) AS nn
+  FROM mino a JOIN mino b ON a.event_id <> b.event_id
+)"""
+
+
+@query("P3_knn", with_ev(
+    "SELECT a AS event_id, nn, b AS nn_event_id, round(d2, 6) AS d2 FROM nn WHERE nn <= 5", MINO_CTE, SELF_NN_CTE))
+def q_knn(spark, sf):
+    m = ev_features(spark, sf).where("label = 1").select("event_id", *NN_FEATS)
+    return _knn(m, m, 5, NN_FEATS, "event_id", exclude_self=True)
+
+
+_SMOTE_SQL = f"""SELECT event_id, value, hr, k, label FROM (
+  SELECT event_id, value, hr, k, label FROM ev_features
+  UNION ALL
+  SELECT -(p.g + 1) AS event_id,
+         a.value + p.u * (b.value - a.value) AS value, a.hr + p.u * (b.hr - a.hr) AS hr,
+         a.k + p.u * (b.k - a.k) AS k, 1 AS label
+  FROM (SELECT g, {md5_int(SEED, 'g', 'p')} % ((SELECT count(*) FROM mino) * 5) AS idx,
+               {md5_int(SEED, 'g', 'g')} / 4294967296.0e0 AS u
+        FROM (SELECT unnest(range((SELECT count(*) FROM majo) - (SELECT count(*) FROM mino))) AS g)) p
+  JOIN (SELECT event_id, row_number() OVER (ORDER BY event_id) AS r FROM mino) rk ON rk.r = p.idx // 5 + 1
+  JOIN nn ON nn.a = rk.event_id AND nn.nn = p.idx % 5 + 1
+  JOIN mino a ON a.event_id = nn.a
+  JOIN mino b ON b.event_id = nn.b
+)"""
+
+
+@query("P4_smote", with_ev(_SMOTE_SQL, MINO_CTE, MAJO_CTE, SELF_NN_CTE))
+def q_smote(spark, sf):
+    spec = EV_SPEC.only(NN_FEATS)
+    return sa.smote(ev_features(spark, sf), spec, 5, SEED)
+
+
+_NEARMISS_SQL = f"""SELECT event_id, value, hr, k, label FROM ev_features WHERE label = 1
+UNION ALL
+SELECT f.event_id, f.value, f.hr, f.k, f.label FROM ev_features f JOIN (
+  SELECT a, row_number() OVER (ORDER BY md, a) AS r FROM (
+    SELECT a, round(avg(sqrt(d2)), 6) AS md FROM (
+      SELECT a.event_id AS a, {_D2} AS d2,
+             row_number() OVER (PARTITION BY a.event_id ORDER BY {_D2}, b.event_id) AS nn
+      FROM majo a CROSS JOIN mino b) WHERE nn <= 3 GROUP BY a)
+) s ON s.a = f.event_id
+WHERE s.r <= (SELECT count(*) FROM mino)"""
+
+
+@query("P5_near_miss", with_ev(_NEARMISS_SQL, MINO_CTE, MAJO_CTE))
+def q_near_miss(spark, sf):
+    spec = EV_SPEC.only(NN_FEATS)
+    out = sa.near_miss(ev_features(spark, sf), spec, 3)
+    return out.select("event_id", "value", "hr", "k", "label")

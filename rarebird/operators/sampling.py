@@ -62,3 +62,69 @@ def random_feature_selection(df: DataFrame, spec: TableSpec, seed: int = 42, max
     """P7 on a table: id, the kept features, label."""
     kept, _ = random_feature_subset(spec.features, seed, max_drop)
     return df.select(spec.id, *kept, spec.label)
+
+
+# ---------------------------------------------------------------- neighbour-based rebalancing
+
+def smote(df: DataFrame, spec: TableSpec, k: int = 5, seed: int = 42, features: list[str] | None = None,
+          round_flags: bool = False) -> DataFrame:
+    """Add synthetic minority rows until both classes have the same size.
+
+    Synthetic row g (0 .. n_major - n_minor - 1) takes minority row r and its neighbour
+    m from one md5 draw (uniform over the n_minor * k (row, neighbour) pairs) and a gap
+    u = md5 uniform in [0, 1): x = a + u (b - a) for every feature, flags included
+    unless ``round_flags`` (trap T15). Synthetic ids are -(g + 1).
+    Output: (id, features..., label).
+    """
+    from rarebird.operators.neighbors import knn
+
+    spark = df.sparkSession
+    feats = list(features or spec.features)
+    lo, n_lo, hi, n_hi = minority_majority(df, spec)
+    base = df.select(spec.id, *feats, spec.label)
+    minority = base.where(F.col(spec.label) == lo)
+    n_new = n_hi - n_lo
+    kk = min(k, n_lo - 1)
+    if n_new == 0 or kk < 1:
+        return base
+    nn = knn(minority, minority, kk, feats, spec.id, exclude_self=True)  # (id, nn, nn_<id>, d2)
+    nb_col = f"nn_{spec.id}"
+    pos = ranked(minority.select(spec.id), [spec.id], rank_col="_r")
+    g = F.col("id")
+    draw = hash_int(seed, g, "p") % F.lit(n_lo * kk)
+    gen = spark.range(n_new).select(
+        g.alias("_g"), (F.floor(draw / kk) + 1).alias("_r"), (draw % kk + 1).alias("nn"),
+        (hash_int(seed, g, "g") / F.lit(4294967296.0)).alias("_u"))
+    picked = gen.join(pos, "_r").join(nn.select(spec.id, "nn", nb_col), [spec.id, "nn"])
+    a = minority.select(spec.id, *[F.col(c).alias(f"_a_{c}") for c in feats])
+    b = minority.select(F.col(spec.id).alias(nb_col), *[F.col(c).alias(f"_b_{c}") for c in feats])
+    both = picked.join(a, spec.id).join(b, nb_col)
+    flag_set = set(spec.flags)
+    cols = []
+    for c in feats:
+        x = F.col(f"_a_{c}") + F.col("_u") * (F.col(f"_b_{c}") - F.col(f"_a_{c}"))
+        if round_flags and c in flag_set:
+            x = F.round(x)
+        cols.append(x.cast("double").alias(c))
+    synth = both.select((-(F.col("_g") + 1)).cast("bigint").alias(spec.id), *cols,
+                        F.lit(lo).cast("int").alias(spec.label))
+    real = base.select(F.col(spec.id).cast("bigint").alias(spec.id),
+                       *[F.col(c).cast("double").alias(c) for c in feats], F.col(spec.label).cast("int"))
+    return real.unionByName(synth)
+
+
+def near_miss(df: DataFrame, spec: TableSpec, k: int = 3, features: list[str] | None = None) -> DataFrame:
+    """P5 (NearMiss version 1): keep all minority rows and the n_minor majority rows with
+    the smallest mean distance to their k nearest minority rows (mean rounded to 6
+    digits, ties by id). This undersamples (trap T12)."""
+    from rarebird.operators.neighbors import knn
+
+    feats = list(features or spec.features)
+    lo, n_lo, hi, _ = minority_majority(df, spec)
+    base = df.select(spec.id, *feats, spec.label)
+    minority = base.where(F.col(spec.label) == lo)
+    majority = base.where(F.col(spec.label) == hi)
+    nn = knn(majority, minority, k, feats, spec.id, spec.id)
+    mean = nn.groupBy(spec.id).agg(F.round(F.avg(F.sqrt("d2")), 6).alias("_md"))
+    keep = ranked(mean, ["_md", spec.id], rank_col="_r").where(F.col("_r") <= n_lo).select(spec.id)
+    return minority.unionByName(majority.join(keep, spec.id, "left_semi"))
