@@ -685,3 +685,173 @@ def q_near_miss(spark, sf):
     spec = EV_SPEC.only(NN_FEATS)
     out = sa.near_miss(ev_features(spark, sf), spec, 3)
     return out.select("event_id", "value", "hr", "k", "label")
+
+
+# ---------------------------------------------------------------- V: cross-validation and search
+
+from rarebird.plans import search as se  # noqa: E402
+from rarebird.plans import validation as va  # noqa: E402
+
+STRAT = mo.ModelConfig("stratified", weights=None)
+UNIF = mo.ModelConfig("uniform", weights=None)
+MOSTF = mo.ModelConfig("most_frequent", weights=None)
+BASES = {"most_frequent": MOSTF, "stratified": STRAT, "uniform": UNIF}
+RANGE5 = "(SELECT CAST(range AS INTEGER) AS f FROM range(5)) g"
+U42 = md5_uniform(SEED, "event_id")
+
+
+def _mlong_sql(src: str, group: list[str], mets=("accuracy", "precision", "recall", "f1", "roc_auc")) -> str:
+    g = ", ".join(group)
+    cm = (f"(SELECT {g}, "
+          "CAST(sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, "
+          "CAST(sum(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
+          "CAST(sum(CASE WHEN label = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn, "
+          "CAST(sum(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn "
+          f"FROM {src} GROUP BY {g})")
+    exprs = {
+        "accuracy": "(tp + tn) / (tp + fp + tn + fn)",
+        "precision": "coalesce(tp / nullif(tp + fp, 0), 0)",
+        "recall": "coalesce(tp / nullif(tp + fn, 0), 0)",
+        "f1": "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)",
+        "roc_auc": "(tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2",
+    }
+    return "\nUNION ALL\n".join(f"SELECT {g}, '{m}' AS metric, round({exprs[m]}, 6) AS value FROM {cm}" for m in mets)
+
+
+# Baseline predictions per test fold, each fitted on the other folds.
+CV_PREDS_CTE = f"""trainstat AS (
+  SELECT g.f AS fold, avg(CAST(label = 1 AS DOUBLE)) AS p,
+         CASE WHEN sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) > sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)
+              THEN 1 ELSE 0 END AS top
+  FROM folds CROSS JOIN {RANGE5} WHERE folds.fold <> g.f GROUP BY g.f
+), cvp AS (
+  SELECT 'stratified' AS model, f.fold, f.label, CAST({U42} < t.p AS INTEGER) AS prediction FROM folds f JOIN trainstat t USING (fold)
+  UNION ALL SELECT 'uniform', f.fold, f.label, CAST({U42} < 0.5e0 AS INTEGER) FROM folds f
+  UNION ALL SELECT 'most_frequent', f.fold, f.label, t.top FROM folds f JOIN trainstat t USING (fold)
+)"""
+
+
+def _folded_ev(spark, sf):
+    return va.with_folds(ev_features(spark, sf), EV_SPEC, K)
+
+
+@query("V1_cross_validate", with_ev(_mlong_sql("(SELECT * FROM cvp WHERE model = 'stratified')", ["model", "fold"]),
+                                    FOLDS_CTE, CV_PREDS_CTE))
+def q_cv(spark, sf):
+    return va.cross_validate(_folded_ev(spark, sf), EV_SPEC, STRAT, K, va.METRICS, scale=None, model="stratified")
+
+
+@query("V1_cross_validate_model")
+def q_cv_model(spark, sf):
+    f = va.with_folds(ev_features(spark, sf), LEARN_SPEC, K)
+    return va.cross_validate(f, LEARN_SPEC, mo.LOGISTIC, K, va.METRICS, model="logistic")
+
+
+@query("V2_cross_validate_resampled", with_ev(
+    _mlong_sql(f"(SELECT 'stratified' AS model, fold, label, CAST({U42} < 0.5e0 AS INTEGER) AS prediction FROM folds)",
+               ["model", "fold"]), FOLDS_CTE))
+def q_cv_smote(spark, sf):
+    """Stratified baseline after SMOTE on the training folds: the training prevalence is
+    exactly 1/2 when SMOTE balances the classes."""
+    spec = EV_SPEC.only(NN_FEATS)
+    return va.cross_validate_resampled(_folded_ev(spark, sf), spec, STRAT, "smote", K, scale="standard",
+                                       model="stratified")
+
+
+@query("V2_cross_validate_near_miss_model")
+def q_cv_nearmiss(spark, sf):
+    f = va.with_folds(ev_features(spark, sf), LEARN_SPEC, K)
+    return va.cross_validate_resampled(f, LEARN_SPEC, mo.LOGISTIC, "near_miss", K, model="logistic")
+
+
+@query("V3_cross_validate_many", with_ev(_mlong_sql("cvp", ["model", "fold"], ("f1", "roc_auc")),
+                                         FOLDS_CTE, CV_PREDS_CTE))
+def q_cv_many(spark, sf):
+    return va.cross_validate_many(_folded_ev(spark, sf), EV_SPEC, BASES, K, ("f1", "roc_auc"), scale=None)
+
+
+@query("V4_score_summary", with_ev(
+    "SELECT model, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS n_folds "
+    f"FROM ({_mlong_sql('cvp', ['model', 'fold'], ('f1', 'roc_auc'))}) GROUP BY model, metric",
+    FOLDS_CTE, CV_PREDS_CTE))
+def q_summary(spark, sf):
+    s = va.cross_validate_many(_folded_ev(spark, sf), EV_SPEC, BASES, K, ("f1", "roc_auc"), scale=None)
+    return va.score_summary(s).select("model", "metric", "mean", "std", F.size("scores").cast("bigint").alias("n_folds"))
+
+
+RF_GRID = {"randomfactor": [0.1, 0.3, 0.5, 0.7, 0.9]}
+
+
+def _cand_sql(cands: list[dict]) -> str:
+    """Per-candidate uniform-baseline predictions on each test fold."""
+    parts = []
+    for ci, c in enumerate(cands):
+        u = md5_uniform(c.get("seed", SEED), "event_id")
+        parts.append(f"SELECT CAST({ci} AS INTEGER) AS candidate, '{c['randomfactor']}' AS randomfactor, fold, label, "
+                     f"CAST({u} < {float(c['randomfactor'])}e0 AS INTEGER) AS prediction FROM folds")
+    return "cand AS (\n" + "\nUNION ALL\n".join(parts) + "\n)"
+
+
+def _results_sql(n_top: int | None = None) -> str:
+    body = (f"SELECT candidate, randomfactor, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, "
+            f"CAST(rank() OVER (ORDER BY avg(value) DESC) AS INTEGER) AS rank "
+            f"FROM ({_mlong_sql('cand', ['candidate', 'randomfactor', 'fold'], ('f1',))}) GROUP BY candidate, randomfactor")
+    if n_top is None:
+        return body
+    return f"SELECT * FROM ({body}) WHERE rank <= {n_top}"
+
+
+def _grid_results(spark, sf):
+    res = se.grid_search(_folded_ev(spark, sf), EV_SPEC, UNIF, RF_GRID, K, "f1", scale=None).results
+    return res.select("candidate", F.col("params")["randomfactor"].alias("randomfactor"), "mean", "std", "rank")
+
+
+@query("V5_grid_search", with_ev(_results_sql(), FOLDS_CTE, _cand_sql(se.grid(RF_GRID))))
+def q_grid(spark, sf):
+    return _grid_results(spark, sf)
+
+
+RS_DIST = {"randomfactor": [0.1, 0.3, 0.5, 0.7, 0.9], "seed": [1, 2]}
+RS_CANDS = se.random_candidates(RS_DIST, 4, SEED)
+
+
+@query("V6_random_search", with_ev(_results_sql(), FOLDS_CTE, _cand_sql(RS_CANDS)))
+def q_random_search(spark, sf):
+    res = se.random_search(_folded_ev(spark, sf), EV_SPEC, UNIF, RS_DIST, 4, K, "f1", SEED, scale=None).results
+    return res.select("candidate", F.col("params")["randomfactor"].alias("randomfactor"), "mean", "std", "rank")
+
+
+@query("V7_search_report", with_ev(_results_sql(3), FOLDS_CTE, _cand_sql(se.grid(RF_GRID))))
+def q_report_top(spark, sf):
+    return se.search_report(_grid_results(spark, sf), 3)
+
+
+@query("V5_grid_search_model")
+def q_grid_model(spark, sf):
+    f = va.with_folds(ev_features(spark, sf), LEARN_SPEC, K)
+    r = se.grid_search(f, LEARN_SPEC, mo.LOGISTIC, {"penalty": ["l1", "l2"], "C": [0.1, 1.0, 100.0]}, K)
+    return r.results.select("candidate", F.to_json("params").alias("params"), "mean", "std", "rank")
+
+
+@query("V8_learning_curve", with_ev(f"""SELECT size, fold, split, value FROM ({_mlong_sql("lc", ["size", "fold", "split"], ("f1",))})""",
+                                    FOLDS_CTE, f"""sub AS (
+  SELECT CAST(tr.fold AS INTEGER) AS fold, sz.size, tr.event_id, tr.label
+  FROM (SELECT g.f AS fold, folds.event_id, folds.label, row_number() OVER (PARTITION BY g.f ORDER BY folds.event_id) AS j
+        FROM folds CROSS JOIN {RANGE5} WHERE folds.fold <> g.f) tr
+  JOIN (SELECT CAST(floor(x * (SELECT count(*) FROM folds WHERE fold <> 0)) AS BIGINT) AS size
+        FROM (VALUES (0.1e0), (0.325e0), (0.55e0), (0.775e0), (1.0e0)) v(x)) sz ON tr.j <= sz.size
+), prev AS (SELECT fold, size, avg(CAST(label = 1 AS DOUBLE)) AS p FROM sub GROUP BY fold, size
+), lc AS (
+  SELECT s.size, s.fold, 'train' AS split, s.label, CAST({U42} < p.p AS INTEGER) AS prediction
+  FROM sub s JOIN prev p USING (fold, size)
+  UNION ALL
+  SELECT p.size, f.fold, 'test', f.label, CAST({U42} < p.p AS INTEGER) FROM folds f JOIN prev p USING (fold)
+)"""))
+def q_learning_curve(spark, sf):
+    return se.learning_curve(_folded_ev(spark, sf), EV_SPEC, STRAT, LEARN_FRACTIONS, K, "f1")
+
+
+@query("V8_learning_curve_model")
+def q_learning_curve_model(spark, sf):
+    f = va.with_folds(ev_features(spark, sf), LEARN_SPEC, K)
+    return se.learning_curve(f, LEARN_SPEC, mo.LOGISTIC, [0.1, 0.55, 1.0], K, "f1")

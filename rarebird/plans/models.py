@@ -130,9 +130,16 @@ def _estimator(cfg: ModelConfig, label: str, weight_col: str | None, total_weigh
     raise ValueError(cfg.kind)
 
 
+BASELINES = ("most_frequent", "stratified", "uniform")
+
+
 def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str] | None = None) -> Fitted:
     """Fit one model on ``train`` (features default to the spec's, in scaled-table order)."""
     feats = list(features or spec.features)
+    if cfg.kind in BASELINES:
+        from rarebird.plans import baselines
+
+        return Fitted(cfg, spec, feats, None, baselines.fit(train, spec, cfg.kind, cfg.params))
     weight_col = None
     data = train
     if cfg.weights:
@@ -159,6 +166,11 @@ def score_table(fitted: Fitted, test: DataFrame) -> DataFrame:
     """(id, label, prediction, score) with score = P(label 1), or the margin for
     models without probabilities (linear SVM). The one input of every metric."""
     spec = fitted.spec
+    if fitted.config.kind in BASELINES:
+        from rarebird.plans import baselines
+
+        return baselines.predict(test, spec, fitted.config.kind, fitted.extra, fitted.config.params,
+                                 fitted.config.seed)
     out = fitted.transform(test)
     if "probability" in out.columns:
         score = vector_to_array("probability")[1]
