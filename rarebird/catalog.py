@@ -855,3 +855,99 @@ def q_learning_curve(spark, sf):
 def q_learning_curve_model(spark, sf):
     f = va.with_folds(ev_features(spark, sf), LEARN_SPEC, K)
     return se.learning_curve(f, LEARN_SPEC, mo.LOGISTIC, [0.1, 0.55, 1.0], K, "f1")
+
+
+# ---------------------------------------------------------------- L: feature selection, G: summaries
+
+from rarebird.operators import summaries as su  # noqa: E402
+from rarebird.plans import selection as sel  # noqa: E402
+
+CORR_COLS = ["value", "hr", "k", "usr_events", "usr_value", "night", "even_user", "big"]
+
+
+@query("L1_select_l1")
+def q_l1(spark, sf):
+    train, _ = holdout(spark, sf, LEARN_SPEC)
+    return sel.select_l1(train, LEARN_SPEC)
+
+
+@query("L2_select_forest")
+def q_l2(spark, sf):
+    train, _ = holdout(spark, sf, LEARN_SPEC)
+    return sel.select_forest(train, LEARN_SPEC, 100)
+
+
+@query("L3_select_by_model")
+def q_l3(spark, sf):
+    train, _ = holdout(spark, sf, LEARN_SPEC)
+    return sel.select_by_model(train, LEARN_SPEC, mo.ModelConfig("random_forest", {"n_estimators": 50}))
+
+
+def _abs_corr(spark, sf) -> DataFrame:
+    ev = ev_features(spark, sf)
+    return su.correlation_matrix(ev, ["label", *CORR_COLS]).where("a = 'label' AND b <> 'label'") \
+        .select(F.col("b").alias("column"), F.abs("corr").alias("importance"))
+
+
+_IMP_CTE = "imp AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", abs(corr(CAST(label AS DOUBLE), CAST({c} AS DOUBLE))) AS importance FROM ev_features"
+    for c in CORR_COLS) + ")"
+
+
+@query("L4_threshold_select", with_ev("""SELECT 'mean' AS rule, "column", round(importance, 6) AS importance,
+  round((SELECT avg(importance) FROM imp), 6) AS threshold, importance >= (SELECT avg(importance) FROM imp) AS kept FROM imp
+UNION ALL
+SELECT 'median', "column", round(importance, 6), round((SELECT quantile_cont(importance, 0.5) FROM imp), 6),
+  importance >= (SELECT quantile_cont(importance, 0.5) FROM imp) FROM imp""", _IMP_CTE))
+def q_l4(spark, sf):
+    imp = _abs_corr(spark, sf).persist()
+    a = sel.threshold_select(imp, "mean").withColumn("rule", F.lit("mean"))
+    b = sel.threshold_select(imp, "median").withColumn("rule", F.lit("median"))
+    return a.unionByName(b).select("rule", "column", "importance", "threshold", "kept")
+
+
+@query("L5_drop_one_cv")
+def q_l5(spark, sf):
+    f = va.with_folds(ev_features(spark, sf), LEARN_SPEC, 3)
+    return sel.drop_one_cv(f, LEARN_SPEC, {"logistic": mo.LOGISTIC}, k=3)
+
+
+@query("L6_variant_comparison")
+def q_l6(spark, sf):
+    train, test = holdout(spark, sf, LEARN_SPEC)
+    cfgs = {"logistic": mo.LOGISTIC, "boosted": mo.ModelConfig("boosted_trees", {"n_estimators": 20}, weights="positive")}
+    return sel.variant_comparison(train, test, LEARN_SPEC, cfgs, {"all": ["value", "hr", "k"], "reduced": ["value", "k"]})
+
+
+@query("G1_correlation_matrix", with_ev("\nUNION ALL\n".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr FROM ev_features"
+    for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i:])))
+def q_g1(spark, sf):
+    return su.correlation_matrix(ev_features(spark, sf), CORR_COLS)
+
+
+@query("G2_grouped_mean", with_ev("""SELECT hr, count(label) AS n, round(avg(CAST(label AS DOUBLE)), 6) AS mean,
+  round(stddev_samp(CAST(label AS DOUBLE)), 6) AS std,
+  round(avg(CAST(label AS DOUBLE)) - 1.959963984540054e0 * stddev_samp(CAST(label AS DOUBLE)) / sqrt(count(label)), 6) AS ci_low,
+  round(avg(CAST(label AS DOUBLE)) + 1.959963984540054e0 * stddev_samp(CAST(label AS DOUBLE)) / sqrt(count(label)), 6) AS ci_high
+FROM ev_features GROUP BY hr"""))
+def q_g2(spark, sf):
+    return su.grouped_mean(ev_features(spark, sf), "hr", "label")
+
+
+@query("G3_histogram", with_ev("""SELECT CAST(b.bin AS INTEGER) AS bin, round(st.mn + b.bin * st.w, 6) AS lo,
+  round(st.mn + (b.bin + 1) * st.w, 6) AS hi, coalesce(c.cnt, 0) AS count,
+  round(coalesce(c.cnt, 0) / (st.n * st.w), 6) AS density
+FROM (SELECT unnest(range((SELECT nb FROM st))) AS bin) b CROSS JOIN st
+LEFT JOIN (SELECT LEAST(CAST(floor((value - (SELECT mn FROM st)) / (SELECT w FROM st)) AS BIGINT), (SELECT nb FROM st) - 1) AS bin,
+                  count(*) AS cnt FROM ev_features GROUP BY 1) c ON c.bin = b.bin""", """st0 AS (
+  SELECT count(value) AS n, min(value) AS mn, max(value) AS mx,
+         quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM ev_features
+), st1 AS (
+  SELECT *, GREATEST(1, LEAST(50, CASE WHEN n < 2 THEN 1
+                                       WHEN iqr = 0 THEN CAST(floor(sqrt(n)) AS BIGINT)
+                                       ELSE CAST(ceil((mx - mn) / (2 * iqr / pow(n, 1.0e0 / 3))) AS BIGINT) END)) AS nb
+  FROM st0
+), st AS (SELECT *, (mx - mn) / nb AS w FROM st1)"""))
+def q_g3(spark, sf):
+    return su.histogram(ev_features(spark, sf), "value")
