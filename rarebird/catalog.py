@@ -700,7 +700,8 @@ RANGE5 = "(SELECT CAST(range AS INTEGER) AS f FROM range(5)) g"
 U42 = md5_uniform(SEED, "event_id")
 
 
-def _mlong_sql(src: str, group: list[str], mets=("accuracy", "precision", "recall", "f1", "roc_auc")) -> str:
+def _mlong_sql(src: str, group: list[str], mets=("accuracy", "precision", "recall", "f1", "roc_auc"),
+              rnd: bool = True) -> str:
     g = ", ".join(group)
     cm = (f"(SELECT {g}, "
           "CAST(sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, "
@@ -715,7 +716,8 @@ def _mlong_sql(src: str, group: list[str], mets=("accuracy", "precision", "recal
         "f1": "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)",
         "roc_auc": "(tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2",
     }
-    return "\nUNION ALL\n".join(f"SELECT {g}, '{m}' AS metric, round({exprs[m]}, 6) AS value FROM {cm}" for m in mets)
+    wrap = (lambda e: f"round({e}, 6)") if rnd else (lambda e: e)
+    return "\nUNION ALL\n".join(f"SELECT {g}, '{m}' AS metric, {wrap(exprs[m])} AS value FROM {cm}" for m in mets)
 
 
 # Baseline predictions per test fold, each fitted on the other folds.
@@ -772,7 +774,7 @@ def q_cv_many(spark, sf):
 
 @query("V4_score_summary", with_ev(
     "SELECT model, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS n_folds "
-    f"FROM ({_mlong_sql('cvp', ['model', 'fold'], ('f1', 'roc_auc'))}) GROUP BY model, metric",
+    f"FROM ({_mlong_sql('cvp', ['model', 'fold'], ('f1', 'roc_auc'), False)}) GROUP BY model, metric",
     FOLDS_CTE, CV_PREDS_CTE))
 def q_summary(spark, sf):
     s = va.cross_validate_many(_folded_ev(spark, sf), EV_SPEC, BASES, K, ("f1", "roc_auc"), scale=None)
@@ -795,7 +797,7 @@ def _cand_sql(cands: list[dict]) -> str:
 def _results_sql(n_top: int | None = None) -> str:
     body = (f"SELECT candidate, randomfactor, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, "
             f"CAST(rank() OVER (ORDER BY avg(value) DESC) AS INTEGER) AS rank "
-            f"FROM ({_mlong_sql('cand', ['candidate', 'randomfactor', 'fold'], ('f1',))}) GROUP BY candidate, randomfactor")
+            f"FROM ({_mlong_sql('cand', ['candidate', 'randomfactor', 'fold'], ('f1',), False)}) GROUP BY candidate, randomfactor")
     if n_top is None:
         return body
     return f"SELECT * FROM ({body}) WHERE rank <= {n_top}"

@@ -25,11 +25,18 @@ from rarebird.session import materialize
 
 
 def _cells(df: DataFrame, prefix: str, out: str, dims: list[int], splits: list[list[float]]) -> DataFrame:
-    b = Bucketizer(splitsArray=splits, inputCols=[f"{prefix}{j}" for j in dims],
-                   outputCols=[f"{out}{i}_d" for i in range(len(dims))])
-    df = b.transform(df)
+    """Cell index per projected coordinate (binary search in the JVM; one bin -> 0)."""
+    multi = [i for i in range(len(dims)) if len(splits[i]) > 2]
+    if multi:
+        b = Bucketizer(splitsArray=[splits[i] for i in multi], inputCols=[f"{prefix}{dims[i]}" for i in multi],
+                       outputCols=[f"{out}{i}_d" for i in multi]) if len(multi) > 1 else \
+            Bucketizer(splits=splits[multi[0]], inputCol=f"{prefix}{dims[multi[0]]}", outputCol=f"{out}{multi[0]}_d")
+        df = b.transform(df)
     for i in range(len(dims)):
-        df = df.withColumn(f"{out}{i}", F.col(f"{out}{i}_d").cast("int")).drop(f"{out}{i}_d")
+        if i in multi:
+            df = df.withColumn(f"{out}{i}", F.col(f"{out}{i}_d").cast("int")).drop(f"{out}{i}_d")
+        else:
+            df = df.withColumn(f"{out}{i}", F.lit(0))
     return df
 
 
