@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import os
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from rarebird.session import materialize
 
+_DEBUG = bool(os.environ.get("RAREBIRD_DEBUG"))
+
 
 def _cells(df: DataFrame, prefix: str, out: str, dims: list[int], splits: list[list[float]]) -> DataFrame:
     """Cell index per projected coordinate (binary search in the JVM; one bin -> 0)."""
@@ -41,51 +44,73 @@ def _cells(df: DataFrame, prefix: str, out: str, dims: list[int], splits: list[l
 
 
 def knn(A: DataFrame, B: DataFrame, k: int, cols: list[str], a_id: str, b_id: str | None = None,
-        exclude_self: bool = False, dims: int = 3, per_cell: int = 64) -> DataFrame:
+        exclude_self: bool = False, dims: int = 3, per_cell: int = 16, chunk: int = 256) -> DataFrame:
     """(a_id, nn, b_id, d2): for every row of A its k nearest rows of B, nn = 1..k,
-    ordered by (squared distance, B id). ``exclude_self`` skips B rows with A's id."""
+    ordered by (squared distance, B id). ``exclude_self`` skips B rows with A's id.
+
+    B rows are packed per cell into arrays of at most ``chunk`` rows (a crowded cell is
+    split into several arrays, never gathered whole); each query row meets the arrays of
+    its block of cells and keeps a per-array top k computed in the JVM, then the top k
+    lists of one query row are merged.
+    """
     b_id = b_id or a_id
     d = len(cols)
-    a = A.select(F.col(a_id).alias("_a"), *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(cols)])
-    b = B.select(F.col(b_id).alias("_b"), *[F.col(c).cast("double").alias(f"_y{j}") for j, c in enumerate(cols)])
+    a = A.select(F.col(a_id).cast("bigint").alias("_a"), *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(cols)])
+    b = B.select(F.col(b_id).cast("bigint").alias("_b"), *[F.col(c).cast("double").alias(f"_y{j}") for j, c in enumerate(cols)])
 
-    st = b.agg(F.count(F.lit(1)), *[F.var_pop(f"_y{j}") for j in range(d)]).first()
+    st = b.agg(F.count(F.lit(1)), *[F.stddev_pop(f"_y{j}") for j in range(d)]).first()
     n_b = st[0]
-    proj = sorted(range(d), key=lambda j: (-(st[1 + j] or 0.0), j))[:max(1, min(dims, d))]
+    sd = {j: float(st[1 + j] or 0.0) for j in range(d)}
+    proj = sorted(range(d), key=lambda j: (-sd[j], j))[:max(1, min(dims, d))]
+    spread = [j for j in proj if sd[j] > 0]
     D = len(proj)
-    g = max(1, int(round((max(n_b, 1) / per_cell) ** (1.0 / D))))
-    probs = [i / g for i in range(1, g)]
-    edges = b.approxQuantile([f"_y{j}" for j in proj], probs, 0.001) if probs else [[] for _ in proj]
-    splits = [[-math.inf, *sorted(set(e)), math.inf] for e in edges]
+    # About n/per_cell cells; each coordinate gets bins in proportion to its spread, so
+    # cells are roughly as wide in every direction (the ring test compares distances).
+    cells = max(1.0, max(n_b, 1) / per_cell)
+    geo = math.exp(sum(math.log(sd[j]) for j in spread) / len(spread)) if spread else 1.0
+    side = cells ** (1.0 / max(1, len(spread)))
+    counts = [max(1, int(round(side * sd[j] / geo))) if sd[j] > 0 else 1 for j in proj]
+    splits = []
+    for j, gj in zip(proj, counts):
+        e = b.approxQuantile(f"_y{j}", [i / gj for i in range(1, gj)], 0.001) if gj > 1 else []
+        splits.append([-math.inf, *sorted(set(e)), math.inf])
     nbins = [len(s) - 1 for s in splits]
+    ccols = [f"_cb{i}" for i in range(D)]
 
+    # Pack B: per cell, arrays of at most `chunk` rows (chunks numbered by id order).
     b_c = _cells(b, "_y", "_cb", proj, splits)
-    pending = _cells(a, "_x", "_ca", proj, splits)
+    per = b_c.groupBy(*ccols).agg(F.count(F.lit(1)).alias("_cnt"))
+    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(chunk)))
+    b_c = b_c.join(per, ccols).withColumn("_chunk", F.pmod(F.xxhash64("_b"), n_chunks.cast("long")))
+    pt = F.struct(F.col("_b").alias("i"), *[F.col(f"_y{j}").alias(f"v{j}") for j in range(d)])
+    packed = b_c.groupBy(*ccols, "_chunk").agg(F.collect_list(pt).alias("_bp"))
+    packed = materialize(packed, "knn-packed")
+
+    pending = _cells(a, "_x", "_ca", proj, splits).withColumn("_r", F.lit(None).cast("double"))
+    keys = ["_a", *[f"_x{j}" for j in range(d)], *[f"_ca{i}" for i in range(D)]]
+
     done: list[DataFrame] = []
     t = 1
     while True:
-        complete = all(2 * t + 1 >= 2 * nb - 1 for nb in nbins)  # block spans every cell
-        offs = [list(o) for o in itertools.product(range(-t, t + 1), repeat=D)]
-        off_arr = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])
-        ae = pending.withColumn("_off", F.explode(off_arr))
-        for i in range(D):
-            ae = ae.withColumn(f"_n{i}", F.col(f"_ca{i}") + F.col("_off")[i])
-        in_range = F.lit(True)
+        complete = all(t >= nb - 1 for nb in nbins)  # a ring of t cells spans every cell
+        # Cells to search per row: with a known radius r (k candidates found earlier) the
+        # cells within r of the row in every projected coordinate -- exact in this round;
+        # otherwise a ring of t cells, accepted by the border test below.
+        rows = pending
+        for i, j in enumerate(proj):
+            rows = rows.withColumn(f"_xl{i}", F.col(f"_x{j}") - F.coalesce("_r", F.lit(0.0))) \
+                       .withColumn(f"_xh{i}", F.col(f"_x{j}") + F.coalesce("_r", F.lit(0.0)))
+        rows = _cells(_cells(rows, "_xl", "_bl", list(range(D)), splits), "_xh", "_bh", list(range(D)), splits)
+        ae = rows
         for i in range(D):
-            in_range = in_range & F.col(f"_n{i}").between(0, nbins[i] - 1)
-        ae = ae.where(in_range).drop("_off")
-        on = [ae[f"_n{i}"] == b_c[f"_cb{i}"] for i in range(D)]
-        cand = ae.join(b_c, on, "left")
-        if exclude_self:
-            cand = cand.where(F.col("_b").isNull() | (F.col("_b") != F.col("_a")))
-        d2 = None
-        for j in range(d):
-            term = (F.col(f"_x{j}") - F.col(f"_y{j}")) * (F.col(f"_x{j}") - F.col(f"_y{j}"))
-            d2 = term if d2 is None else d2 + term
-        pair = F.when(F.col("_b").isNotNull(), F.struct(d2.alias("d2"), F.col("_b").alias("b")))
-        keys = ["_a", *[f"_x{j}" for j in range(d)], *[f"_ca{i}" for i in range(D)]]
-        # Candidates of one query row: bounded by the rows of its block of cells.
-        top = cand.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(pair)), 1, k).alias("_nn"))
+            lo = F.when(F.col("_r").isNotNull(), F.col(f"_bl{i}")).otherwise(F.greatest(F.col(f"_ca{i}") - t, F.lit(0)))
+            hi = F.when(F.col("_r").isNotNull(), F.col(f"_bh{i}")).otherwise(
+                F.least(F.col(f"_ca{i}") + t, F.lit(nbins[i] - 1)))
+            ae = ae.withColumn(f"_cb{i}", F.explode(F.sequence(lo, hi)))
+        ae = ae.select("_a", *[F.col(f"_x{j}") for j in range(d)], *ccols)
+        top = _block_topk(ae, packed, ccols, d, k, exclude_self, chunk)
+        top = pending.select(*keys, "_r").join(top, "_a", "left").withColumn(
+            "_nn", F.coalesce("_nn", F.array().cast("array<struct<d2:double,b:bigint>>")))
         gap = None
         for i, j in enumerate(proj):
             sp = F.array(*[F.lit(float(v)) for v in splits[i]])
@@ -93,18 +118,79 @@ def knn(A: DataFrame, B: DataFrame, k: int, cols: list[str], a_id: str, b_id: st
             hi = F.element_at(sp, F.least(F.col(f"_ca{i}") + t + 1, F.lit(nbins[i])) + 1)
             gi = F.least(F.col(f"_x{j}") - lo, hi - F.col(f"_x{j}"))
             gap = gi if gap is None else F.least(gap, gi)
-        exact = (F.size("_nn") == k) & (F.element_at("_nn", k)["d2"] < gap * gap)
+        full = F.size("_nn") == k
+        exact = F.col("_r").isNotNull() | (full & (F.element_at("_nn", k)["d2"] < gap * gap))
         if complete:
             exact = F.lit(True)
         res = materialize(top.withColumn("_done", exact), "knn")
         done.append(res.where("_done").select("_a", "_nn"))
-        pending = res.where(~F.col("_done")).select(*keys)
+        pending = res.where(~F.col("_done")).select(
+            # Slightly widened so rounding in x +- r cannot drop a row at distance exactly r.
+            *keys, F.when(full, F.sqrt(F.element_at("_nn", k)["d2"]) * 1.000001 + 1e-12).alias("_r"))
+        if _DEBUG:
+            print(f"knn round {t}: bins {nbins}, pending {pending.count()}")
         if complete or pending.limit(1).count() == 0:
             break
-        t += 1
+        t *= 2
     out = done[0]
     for p in done[1:]:
         out = out.unionByName(p)
     return out.select(F.col("_a").alias(a_id), F.posexplode("_nn").alias("nn", "p")).select(
         a_id, (F.col("nn") + 1).alias("nn"), F.col("p.b").alias(f"nn_{b_id}" if b_id == a_id else b_id),
         F.col("p.d2").alias("d2"))
+
+
+def _block_topk(ae: DataFrame, packed: DataFrame, ccols: list[str], d: int, k: int, exclude_self: bool,
+                chunk: int) -> DataFrame:
+    """(_a, _nn): top k of each query row over the B blocks of the cells it searches.
+
+    Query rows are packed per searched cell into blocks of at most ``chunk`` rows too; a
+    block pair (at most chunk x chunk distances) is one numpy computation in an Arrow
+    batch, which keeps only k candidates per query row.
+    """
+    per = ae.groupBy(*ccols).agg(F.count(F.lit(1)).alias("_acnt"))
+    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("_acnt") / F.lit(chunk)))
+    ae = ae.join(per, ccols).withColumn("_achunk", F.pmod(F.xxhash64("_a"), n_chunks.cast("long")))
+    pt = F.struct(F.col("_a").cast("bigint").alias("i"), *[F.col(f"_x{j}").alias(f"v{j}") for j in range(d)])
+    apacks = ae.groupBy(*ccols, "_achunk").agg(F.collect_list(pt).alias("_ap"))
+    pairs = apacks.join(packed, ccols).select("_ap", "_bp")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            outs_a, outs_d, outs_b = [], [], []
+            ap, bp = batch.column(0), batch.column(1)
+            a_off, b_off = ap.offsets.to_numpy(), bp.offsets.to_numpy()
+            a_val, b_val = ap.values, bp.values
+            a_ids = a_val.field("i").to_numpy(zero_copy_only=False)
+            b_ids = b_val.field("i").to_numpy(zero_copy_only=False)
+            a_x = [a_val.field(f"v{j}").to_numpy(zero_copy_only=False) for j in range(d)]
+            b_y = [b_val.field(f"v{j}").to_numpy(zero_copy_only=False) for j in range(d)]
+            for r in range(len(batch)):
+                a0, a1, b0, b1 = a_off[r], a_off[r + 1], b_off[r], b_off[r + 1]
+                ai, bi = a_ids[a0:a1], b_ids[b0:b1]
+                # Squared distance summed coordinate by coordinate, in column order.
+                acc = None
+                for j in range(d):
+                    diff = a_x[j][a0:a1, None] - b_y[j][None, b0:b1]
+                    acc = diff * diff if acc is None else acc + diff * diff
+                if exclude_self:
+                    acc = np.where(ai[:, None] == bi[None, :], np.inf, acc)
+                kk = min(k, b1 - b0)
+                order = np.lexsort((np.broadcast_to(bi, acc.shape), acc), axis=1)[:, :kk]
+                dsel = np.take_along_axis(acc, order, axis=1)
+                bsel = bi[order]
+                keep = np.isfinite(dsel)
+                outs_a.append(np.repeat(ai, kk)[keep.ravel()])
+                outs_d.append(dsel.ravel()[keep.ravel()])
+                outs_b.append(bsel.ravel()[keep.ravel()])
+            if outs_a:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(outs_a), pa.int64()), pa.array(np.concatenate(outs_d), pa.float64()),
+                     pa.array(np.concatenate(outs_b), pa.int64())], names=["_a", "d2", "b"])
+
+    cand = pairs.mapInArrow(run, "_a bigint, d2 double, b bigint")
+    return cand.groupBy("_a").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("d2", "b"))), 1, k).alias("_nn"))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rarebird.operators.profile import assemble, class_weights
+from rarebird.session import scratch_dir
 from rarebird.spec import TableSpec
 
 MAX_DEPTH_NONE = 30
@@ -109,19 +110,22 @@ def _estimator(cfg: ModelConfig, label: str, weight_col: str | None, total_weigh
                          tol=float(p.get("tol", 1e-4)))
     depth = p.get("max_depth")
     depth = MAX_DEPTH_NONE if depth is None else int(depth)
+    # Deep trees: cache node ids (checkpointed every 10 levels into the shared folder) and
+    # give each pass a larger node budget, so fewer passes over the data are needed.
+    trees = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 1024}
     if cfg.kind == "decision_tree":
-        return DecisionTreeClassifier(**common, impurity=p.get("criterion", "gini"), maxDepth=depth,
+        return DecisionTreeClassifier(**common, **trees, impurity=p.get("criterion", "gini"), maxDepth=depth,
                                       minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=cfg.seed)
     if cfg.kind == "random_forest":
         mf = p.get("max_features", "sqrt")
         return RandomForestClassifier(
-            **common, numTrees=int(p.get("n_estimators", 100)), impurity=p.get("criterion", "gini"),
+            **common, **trees, numTrees=int(p.get("n_estimators", 100)), impurity=p.get("criterion", "gini"),
             maxDepth=depth, featureSubsetStrategy={"auto": "sqrt"}.get(mf, mf),
             bootstrap=bool(p.get("bootstrap", True)), minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
             seed=cfg.seed)
     if cfg.kind == "boosted_trees":
         return GBTClassifier(
-            **common, maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
+            **common, **trees, maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
             maxDepth=int(p.get("max_depth", 3) or 3), minInstancesPerNode=int(p.get("min_child_weight", 1)),
             # gamma (a loss reduction) has no exact Spark unit; only an explicit min_info_gain is passed.
             minInfoGain=float(p.get("min_info_gain", 0.0)),
@@ -136,6 +140,7 @@ BASELINES = ("most_frequent", "stratified", "uniform")
 def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str] | None = None) -> Fitted:
     """Fit one model on ``train`` (features default to the spec's, in scaled-table order)."""
     feats = list(features or spec.features)
+    scratch_dir(train.sparkSession)  # tree checkpoints and iterative jobs use the shared folder
     if cfg.kind in BASELINES:
         from rarebird.plans import baselines
 
@@ -150,7 +155,9 @@ def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str]
     n, total = vec.agg(F.count(F.lit(1)), F.sum(weight_col) if weight_col else F.count(F.lit(1))).first()
     total = float(total or 1.0)
     parts = max(1, math.ceil(n / ROWS_PER_PARTITION))
-    if parts < vec.rdd.getNumPartitions():
+    # Linear models do many cheap passes (per-task cost dominates); tree passes are
+    # compute-bound and keep every partition.
+    if cfg.kind in ("logistic", "linear_svm", "rbf_svm") and parts < vec.rdd.getNumPartitions():
         vec = vec.coalesce(parts)
     vec = vec.persist()
     try:
