@@ -572,7 +572,7 @@ def holdout(spark, sf, spec=LEARN_SPEC, kind: str = "standard"):
     """(scaled train, scaled test): fold 0 of the stratified folds is the holdout;
     the scaler is fitted on the training folds only."""
     df = ev_features(spark, sf)
-    f = fo.stratified_kfold(df, spec, K)
+    f = fo.stratified_kfold(df, spec, K).persist()
     train, test = fo.fold_split(f, 0)
     stats = scaling.fit_scaler(train, spec, kind)
     # Both sides feed several model fits and metrics: keep them (recomputed from lineage if lost).
@@ -953,3 +953,63 @@ LEFT JOIN (SELECT LEAST(CAST(floor((value - (SELECT mn FROM st)) / (SELECT w FRO
 ), st AS (SELECT *, (mx - mn) / nb AS w FROM st1)"""))
 def q_g3(spark, sf):
     return su.histogram(ev_features(spark, sf), "value")
+
+
+# ---------------------------------------------------------------- other populations (any column list)
+
+from rarebird.sources.fixtures import emb_binary  # noqa: E402
+from rarebird.spec import TableSpec  # noqa: E402
+
+EMB_DIMS = 64
+_EMB_D2 = " + ".join(
+    f"(CAST(a.embedding[{j + 1}] AS DOUBLE) - CAST(b.embedding[{j + 1}] AS DOUBLE)) * "
+    f"(CAST(a.embedding[{j + 1}] AS DOUBLE) - CAST(b.embedding[{j + 1}] AS DOUBLE))" for j in range(EMB_DIMS))
+
+
+@query("P3_knn_embeddings", with_ev(f"""SELECT a AS vec_id, nn, b AS nn_vec_id, round(d2, 6) AS d2 FROM (
+  SELECT a.vec_id AS a, b.vec_id AS b, {_EMB_D2} AS d2,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY {_EMB_D2}, b.vec_id) AS nn
+  FROM embeddings a JOIN embeddings b ON a.label <> 0 AND b.label = 0) WHERE nn <= 3"""))
+def q_knn_emb(spark, sf):
+    """Majority rows' 3 nearest minority rows in 64 dimensions (label = embeddings.label == 0)."""
+    emb = emb_binary(spark, sf)
+    cols = [f"e{j}" for j in range(EMB_DIMS)]
+    wide = emb.select("vec_id", "label", *[F.col("embedding")[j].cast("double").alias(f"e{j}") for j in range(EMB_DIMS)])
+    a = wide.where("label = 0").select("vec_id", *cols)
+    b = wide.where("label = 1").select(F.col("vec_id").alias("nn_vec_id"), *cols)
+    return _knn(a, b, 3, cols, "vec_id", "nn_vec_id")
+
+
+DOC_SPEC = TableSpec(id="doc_id", label="toxic", numerics=("n_chars",), flags=("quality",))
+
+
+@query("P2_undersample_documents", with_ev(f"""SELECT doc_id, toxic FROM labels WHERE toxic = 1
+  AND doc_id IN (SELECT doc_id FROM documents)
+UNION ALL
+SELECT doc_id, toxic FROM (
+  SELECT l.doc_id, l.toxic, row_number() OVER (ORDER BY {md5_int(SEED, 'l.doc_id')}, l.doc_id) AS r
+  FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic = 0)
+WHERE r <= (SELECT count(*) FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic = 1)"""))
+def q_undersample_docs(spark, sf):
+    from rarebird.sources.fixtures import doc_quality
+
+    return sa.undersample(doc_quality(spark, sf).select("doc_id", "toxic"), DOC_SPEC, SEED)
+
+
+@query("E3_binary_metrics_documents", with_ev("""SELECT
+  round(avg(CAST(quality = toxic AS DOUBLE)), 6) AS accuracy,
+  round(coalesce(sum(CASE WHEN toxic = 1 AND quality = 1 THEN 1 ELSE 0 END)
+        / nullif(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END), 0), 0), 6) AS precision,
+  round(coalesce(sum(CASE WHEN toxic = 1 AND quality = 1 THEN 1 ELSE 0 END)
+        / nullif(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END), 0), 0), 6) AS recall,
+  round(coalesce(2 * sum(CASE WHEN toxic = 1 AND quality = 1 THEN 1 ELSE 0 END)
+        / nullif(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) + sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END), 0), 0), 6) AS f1,
+  round((sum(CASE WHEN toxic = 1 AND quality = 1 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END), 0)
+       + sum(CASE WHEN toxic = 0 AND quality = 0 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END), 0)) / 2, 6)
+    AS roc_auc
+FROM labels JOIN documents USING (doc_id)"""))
+def q_metrics_docs(spark, sf):
+    """The quality flag used as a (poor) predictor of toxicity: metrics take any label and prediction."""
+    from rarebird.sources.fixtures import doc_quality
+
+    return metrics.binary_metrics(doc_quality(spark, sf), (), "toxic", "quality")

@@ -159,14 +159,16 @@ def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str]
     # compute-bound and keep every partition.
     if cfg.kind in ("logistic", "linear_svm", "rbf_svm") and parts < vec.rdd.getNumPartitions():
         vec = vec.coalesce(parts)
-    vec = vec.persist()
-    try:
-        if cfg.kind == "rbf_svm":
+    if cfg.kind == "rbf_svm":
+        vec = vec.persist()  # read three times (variance, fit, Platt margins)
+        try:
             return _rbf_fit(cfg, spec, feats, vec, weight_col, total)
-        model = _estimator(cfg, spec.label, weight_col, total).fit(vec)
-        return Fitted(cfg, spec, feats, model)
-    finally:
-        vec.unpersist()
+        finally:
+            vec.unpersist()
+    # pyspark.ml persists its own internal form (instance blocks / tree points) when the
+    # input is not persisted; persisting here would make it rebuild that every iteration.
+    model = _estimator(cfg, spec.label, weight_col, total).fit(vec)
+    return Fitted(cfg, spec, feats, model)
 
 
 def score_table(fitted: Fitted, test: DataFrame) -> DataFrame:
