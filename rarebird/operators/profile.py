@@ -22,11 +22,14 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(df.columns)))
 
 
-def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True,
+            accuracy: int = 10000) -> DataFrame:
     """describe() per numeric column, long form.
 
     (column, dtype, count, mean, std, min, q25, q50, q75, max); std is the sample
-    standard deviation, quantiles are exact and linearly interpolated.
+    standard deviation. Quantiles are exact and linearly interpolated (a distributed
+    rank, :func:`exact_quantiles`); ``exact=False`` takes them from the same single
+    aggregate with bounded-memory ``percentile_approx`` sketches instead.
     """
     cols = columns or numeric_columns(df)
     dtypes = dict(df.dtypes)
@@ -35,13 +38,18 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         x = F.col(c).cast("double")
         aggs += [F.count(c).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+        if not exact:
+            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"{c}__q"))
     one = df.agg(*aggs)  # one pass, partial aggregates, one row
     stacked = one.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(dtypes[c]).alias("dtype"),
                  F.col(f"{c}__count").alias("count"), F.col(f"{c}__mean").alias("mean"),
                  F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"),
-                 F.col(f"{c}__max").alias("max"))
+                 F.col(f"{c}__max").alias("max"),
+                 *([F.col(f"{c}__q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))] if not exact else []))
         for c in cols])).alias("s")).select("s.*")
+    if not exact:
+        return stacked.select("column", "dtype", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     wide_q = q.groupBy("column").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q25"),
