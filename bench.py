@@ -39,6 +39,7 @@ def main() -> None:
     from rarebird.session import get_spark
 
     spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
+    spark.range(1000).selectExpr("sum(id)").collect()  # JVM and executor start-up, not a query
     names = sys.argv[1:] or HEADLINE
     times: dict[str, float] = {}
     for name in names:

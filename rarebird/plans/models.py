@@ -156,9 +156,9 @@ def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str]
     n, total = vec.agg(F.count(F.lit(1)), F.sum(weight_col) if weight_col else F.count(F.lit(1))).first()
     total = float(total or 1.0)
     parts = max(1, math.ceil(n / ROWS_PER_PARTITION))
-    # Linear models do many cheap passes (per-task cost dominates); tree passes are
-    # compute-bound and keep every partition.
-    if cfg.kind in ("logistic", "linear_svm", "rbf_svm") and parts < vec.rdd.getNumPartitions():
+    # Linear models and boosting do many cheap passes (per-task cost dominates); forest
+    # and single-tree passes are compute-bound and keep every partition.
+    if cfg.kind in ("logistic", "linear_svm", "rbf_svm", "boosted_trees") and parts < vec.rdd.getNumPartitions():
         vec = vec.coalesce(parts)
     if cfg.kind == "linear_svm" and (cfg.params.get("penalty") == "l1" or cfg.params.get("loss") == "squared_hinge"):
         from rarebird.plans.sparse_svm import fit_sparse_svm

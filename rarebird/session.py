@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # Rows a side may have to be broadcast when its size is not known up front.
 BROADCAST_ROW_LIMIT = 2_000_000
 
+# Scratch tables written by this process (see cleanup_scratch).
+_WRITTEN: list[str] = []
+
 
 def get_spark(master: str | None = None, app: str = "rarebird", shuffle_partitions: int | None = None,
               driver_memory: str = "16g") -> SparkSession:
@@ -69,9 +72,24 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def cleanup_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process wrote (through the Hadoop file system, so
+    HDFS / object stores work too). Call it when no DataFrame built on them is used
+    any more. Returns how many were deleted."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        if p.getFileSystem(conf).delete(p, True):
+            n += 1
+    return n
+
+
 def bounded(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
     """True when ``df`` has at most ``limit`` rows (reads at most limit+1 rows)."""
     return df.limit(limit + 1).count() <= limit
@@ -81,8 +99,10 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Join with ``small`` broadcast only when its row count is checked to be within ``limit``.
 
-    Otherwise a shuffle join; AQE's skew-join splits hot keys of ``big``.
+    Otherwise a shuffle join; AQE's skew-join splits hot keys of ``big``. ``small`` is
+    kept (memory, then disk) so the size check and the join compute it once.
     """
+    small = small.persist()
     if bounded(small, limit):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

@@ -108,3 +108,15 @@ def test_label_encode_mapping_reusable(spark, ev_small):
 def test_random_feature_subset_keeps_one():
     kept, dropped = sa.random_feature_subset(["a", "b"], 3)
     assert len(kept) == 1 and len(dropped) == 1
+
+
+def test_cleanup_scratch_removes_materialized_tables(spark):
+    import os
+
+    from rarebird.session import cleanup_scratch, materialize
+
+    t = materialize(spark.range(10), "cleanup-test")
+    path = t.inputFiles()[0].split("file:")[-1]
+    assert os.path.exists(os.path.dirname(path))
+    assert cleanup_scratch(spark) >= 1
+    assert not os.path.exists(os.path.dirname(path))
