@@ -70,10 +70,14 @@ def knn(A: DataFrame, B: DataFrame, k: int, cols: list[str], a_id: str, b_id: st
     geo = math.exp(sum(math.log(sd[j]) for j in spread) / len(spread)) if spread else 1.0
     side = cells ** (1.0 / max(1, len(spread)))
     counts = [max(1, int(round(side * sd[j] / geo))) if sd[j] > 0 else 1 for j in proj]
+    # One sketch pass for all projected coordinates: the union of their probabilities.
+    wanted = [[i / gj for i in range(1, gj)] for gj in counts]
+    probs = sorted({p for ps in wanted for p in ps})
+    qs = b.approxQuantile([f"_y{j}" for j in proj], probs, 0.001) if probs else [[] for _ in proj]
     splits = []
-    for j, gj in zip(proj, counts):
-        e = b.approxQuantile(f"_y{j}", [i / gj for i in range(1, gj)], 0.001) if gj > 1 else []
-        splits.append([-math.inf, *sorted(set(e)), math.inf])
+    for ps, q in zip(wanted, qs):
+        at = dict(zip(probs, q))
+        splits.append([-math.inf, *sorted({at[p] for p in ps}), math.inf])
     nbins = [len(s) - 1 for s in splits]
     ccols = [f"_cb{i}" for i in range(D)]
 

@@ -120,3 +120,14 @@ def test_cleanup_scratch_removes_materialized_tables(spark):
     assert os.path.exists(os.path.dirname(path))
     assert cleanup_scratch(spark) >= 1
     assert not os.path.exists(os.path.dirname(path))
+
+
+def test_correlation_vector_path_equals_sql(spark, ev_small):
+    from rarebird.operators.summaries import correlation_matrix
+
+    cols = ["value", "hr", "k", "usr_events", "usr_value", "night"]
+    a = {(r["a"], r["b"]): r["corr"] for r in correlation_matrix(ev_small, cols, "sql").collect()}
+    b = {(r["a"], r["b"]): r["corr"] for r in correlation_matrix(ev_small, cols, "vector").collect()}
+    assert a.keys() == b.keys()
+    for key in a:
+        assert a[key] == pytest.approx(b[key], abs=1e-9)
