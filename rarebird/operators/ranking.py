@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rarebird.session import materialize, shuffle_partitions
+from rarebird.session import materialize, target_partitions
 
 
 def _name(c) -> str:
@@ -36,7 +36,7 @@ def ranked(df: DataFrame, order: list, group: list[str] | tuple = (), rank_col:
     group = list(group)
     order_cols: list[Column] = [F.col(c) if isinstance(c, str) else c for c in order]
     keys = [F.col(g) for g in group] + order_cols
-    n = partitions or shuffle_partitions(df.sparkSession)
+    n = partitions or target_partitions(df)
     laid_out = (
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)

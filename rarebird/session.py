@@ -41,6 +41,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def target_partitions(df: DataFrame, bytes_per_partition: int = 256 << 20) -> int:
+    """Partitions for a sort-like shuffle of ``df``: the session's shuffle partitions, or
+    more when the plan's inputs (sum of the leaf relations' sizes from plan statistics,
+    no job) would put more than ``bytes_per_partition`` in a partition. Leaf sizes are
+    used because join estimates without cost-based statistics are products of sides."""
+    base = shuffle_partitions(df.sparkSession)
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total = 0
+        for i in range(leaves.size()):
+            size = int(str(leaves.apply(i).stats().sizeInBytes()))
+            if size >= 1 << 62:  # unknown size
+                return base
+            total += size
+    except Exception:  # noqa: BLE001 - statistics unavailable
+        return base
+    return max(base, -(-total // bytes_per_partition))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
