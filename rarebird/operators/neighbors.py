@@ -14,7 +14,6 @@ oracle does.
 
 from __future__ import annotations
 
-import itertools
 import math
 import os
 

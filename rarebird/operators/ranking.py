@@ -22,10 +22,6 @@ from pyspark.sql import functions as F
 from rarebird.session import materialize, target_partitions
 
 
-def _name(c) -> str:
-    return c if isinstance(c, str) else None
-
-
 def ranked(df: DataFrame, order: list, group: list[str] | tuple = (), rank_col: str = "rank",
            sums: list[str] | tuple = (), sum_prefix: str = "cum_", partitions: int | None = None) -> DataFrame:
     """Add ``rank_col`` = exact 1-based ``row_number()`` over (partition by ``group`` order by ``order``).

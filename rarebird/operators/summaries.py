@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rarebird.operators.ranking import exact_quantiles
 
 
-def correlation_matrix(df: DataFrame, columns: list[str], method: str = "auto", wide: int = 12) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: list[str], method: str = "auto", wide: int = 4) -> DataFrame:
     """G1: Pearson correlation of every pair (a <= b), long form (a, b, corr).
 
     ``sql``: one aggregate pass of ``corr`` per pair, nulls skipped pair by pair (the
