@@ -21,6 +21,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rarebird.operators.ranking import ranked
 from rarebird.session import materialize
 
 _DEBUG = bool(os.environ.get("RAREBIRD_DEBUG"))
@@ -43,7 +44,8 @@ def _cells(df: DataFrame, prefix: str, out: str, dims: list[int], splits: list[l
 
 
 def knn(A: DataFrame, B: DataFrame, k: int, cols: list[str], a_id: str, b_id: str | None = None,
-        exclude_self: bool = False, dims: int = 3, per_cell: int = 16, chunk: int = 256) -> DataFrame:
+        exclude_self: bool = False, dims: int = 3, per_cell: int = 16, chunk: int = 256,
+        collapse_duplicates: bool = True) -> DataFrame:
     """(a_id, nn, b_id, d2): for every row of A its k nearest rows of B, nn = 1..k,
     ordered by (squared distance, B id). ``exclude_self`` skips B rows with A's id.
 
@@ -80,6 +82,17 @@ def knn(A: DataFrame, B: DataFrame, k: int, cols: list[str], a_id: str, b_id: st
     nbins = [len(s) - 1 for s in splits]
     ccols = [f"_cb{i}" for i in range(D)]
 
+    # Exact duplicates: ties break by id, so of the rows sharing one location at most the
+    # k (k+1 when a query may exclude itself) smallest ids can ever be chosen. Keeping only
+    # those (an exact rank per location, safe for a location holding a third of B) bounds
+    # how many rows any cell can hold at one point.
+    keep = k + 1 if exclude_self else k
+    if collapse_duplicates:
+        loc = [f"_y{j}" for j in range(d)]
+        # Largest number of rows at one location: a partial aggregate, then one number.
+        most = b.groupBy(*loc).count().agg(F.max("count")).first()[0] or 0
+        if most > keep:
+            b = ranked(b, ["_b"], group=loc, rank_col="_dup").where(F.col("_dup") <= keep).drop("_dup")
     # Pack B: per cell, arrays of at most `chunk` rows (chunks numbered by id order).
     b_c = _cells(b, "_y", "_cb", proj, splits)
     per = b_c.groupBy(*ccols).agg(F.count(F.lit(1)).alias("_cnt"))

@@ -51,3 +51,14 @@ def test_knn_duplicates_tie_by_id(spark):
     first = [r["nn_id"] for r in got.where("id = 0").orderBy("nn").collect()]
     assert first == [1, 2, 3]
     assert np.all(np.array(got.groupBy("id").count().select("count").collect()) == 3)
+
+
+def test_knn_hot_duplicate_location(spark):
+    """A third of the reference rows at one location: still exact, ties by id."""
+    hot = [(i, 5.0, 5.0) for i in range(300)]
+    rest = [(1000 + i, float(i % 30), float(i // 30)) for i in range(600)]
+    df = spark.createDataFrame(hot + rest, "id long, x double, y double")
+    pdf = df.toPandas()
+    arr = (pdf.id.values, pdf[["x", "y"]].values)
+    got = knn(df, df, 4, ["x", "y"], "id", exclude_self=True, per_cell=8)
+    _check(got, _brute(arr, arr, 4, True), "id", "nn_id")
