@@ -36,7 +36,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from rarebird.catalog import QUERIES
-    from rarebird.session import get_spark
+    from rarebird.session import cleanup_scratch, get_spark
 
     spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
     spark.range(1000).selectExpr("sum(id)").collect()  # JVM and executor start-up, not a query
@@ -47,6 +47,7 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
         print(f"{name}: {times[name]}s", file=sys.stderr)
+    cleanup_scratch(spark)  # the scratch tables the queries wrote
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
