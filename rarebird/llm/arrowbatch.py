@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a task works on at once; bounds its numpy buffers.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text",

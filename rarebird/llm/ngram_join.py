@@ -14,9 +14,11 @@ A document is its set of distinct word 5-grams (64-bit hashes). Two link when
    streaming pass: the rows grow with the prefixes, not with the pairs of a key.
 3. (hub, document) pairs that pass the length, positional and suffix filters are verified
    once on the whole sets; links are joined to components.
-4. What step 3 skipped: pairs that share a prefix n-gram but lie in different components.
-   Only keys with such members are joined to themselves; these pairs pass the same filters
-   and verification. Pairs inside one component can't change the components.
+4. What step 3 skipped: documents that share a prefix n-gram but lie in different components.
+   Pairs inside one component can't change the components, so the work is between
+   components: two whose documents pass the filters on some key meet once. The documents
+   of the smaller one are held against an index of the larger one's sets, cut into blocks
+   of bounded size. Rows grow with the documents, not with their pairs.
 
 Equal sets are linked by their digests, so copies meet no join.
 """
@@ -41,6 +43,8 @@ BUCKETS, PER_ROW = 1 << 22, 1024
 RANGES = 64
 #: Bits of the filter that keeps documents without candidate pairs out of verification (4 MB).
 FILTER_BITS = 1 << 25
+#: N-grams of a component in one block of step 4.
+BLOCK_GRAMS = 200_000
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -137,7 +141,7 @@ def _describe(batches):
         kind = chunk.column("id").type
         hashes, n = shingle_sets(_bytes_of(chunk))
         at = np.concatenate([[0], np.cumsum(n)])
-        total += np.bincount(hashes & np.uint64(BUCKETS - 1), minlength=BUCKETS).astype(np.uint32)
+        np.add.at(total, (hashes & np.uint64(BUCKETS - 1)).view(np.int64), np.uint32(1))
         doc = np.repeat(np.arange(len(n)), n)
         ranges = np.bincount(doc * RANGES + (hashes >> np.uint64(58)).astype(np.int64), minlength=len(n) * RANGES)
         ranges = np.minimum(ranges, 65535).astype(np.uint16).reshape(len(n), RANGES)
@@ -180,7 +184,7 @@ def _prefixes(frequency):
         from rarebird.llm.arrowbatch import text_chunks
 
         counters = frequency.value
-        names = ["route", "key", "id", "n", "pos", "hub", "hub_n", "hub_pos"]
+        names = ["key", "id", "n", "pos", "hub", "hub_n", "hub_pos"]
         for chunk in text_chunks(batches):
             ids = np.asarray(chunk.column("id"))
             hashes, n = shingle_sets(_bytes_of(chunk))
@@ -212,17 +216,15 @@ def _prefixes(frequency):
             hub = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
             mine, size = ids[doc], n[doc]
             none = lambda x: pa.array(x, pa.int64(), mask=fresh)
-            # a linked row needs no meeting with its key any more: it goes anywhere
-            route = np.where(fresh, key, (mine * 0x9E3779B9 + np.arange(len(key))) & 0x7FFFFFFF)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(route), pa.array(key), pa.array(mine), pa.array(size), pa.array(pos), none(mine[hub]), none(size[hub]),
+                [pa.array(key), pa.array(mine), pa.array(size), pa.array(pos), none(mine[hub]), none(size[hub]),
                  none(pos[hub])], names=names)
 
     return run
 
 
 def _link(batches):
-    """Rows sorted by (route, n, id): pairs pass; a key's rows are paired with its first."""
+    """Rows sorted by (key, n, id): pairs pass; a key's other rows are paired with its first."""
     import pyarrow as pa
 
     names = ["key", "id", "n", "pos", "hub", "hub_n", "hub_pos"]
@@ -284,50 +286,131 @@ def _kept_sets(bits):
     return run
 
 
-def _verify(batches):
+class _Block:
+    """The sets of one block, as one sorted array of (n-gram, document)."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]) -> None:
+        self.ids, self.n = np.array(ids, np.int64), np.array([len(x) for x in sets], np.int64)
+        doc = np.repeat(np.arange(len(sets)), self.n)
+        grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.doc = grams[order], doc[order]
+
+    def links(self, own: int, grams: np.ndarray) -> np.ndarray:
+        """The ids whose sets are similar to ``grams``."""
+        if len(self.ids) == 1:
+            both = np.array([len(np.intersect1d(grams, self.grams, assume_unique=True))])
+        else:
+            lo, hi = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
+            n = hi - lo
+            at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+            both = np.bincount(self.doc[at], minlength=len(self.ids))
+        near = (DEN * both >= NUM * (len(grams) + self.n - both)) & (self.ids != own)
+        return self.ids[near]
+
+
+def _compare(batches):
+    """Rows sorted by (block, part, probe): the sets of a block, then those held against it.
+    One link of each probe is enough for components."""
     import pyarrow as pa
 
+    at, ids, sets, block = None, [], [], None
     for b in batches:
-        same = []
-        for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            same.append(DEN * both >= NUM * (len(x) + len(y) - both))
-        yield b.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+        keys = zip(b.column("block").to_pylist(), b.column("part").to_pylist(), strict=True)
+        found = []
+        for key, probe, i, raw in zip(keys, b.column("probe").to_pylist(), b.column("id").to_pylist(), b.column("hashes"), strict=True):
+            if key != at:
+                at, ids, sets, block = key, [], [], None
+            grams = np.frombuffer(raw.as_buffer(), np.uint64)
+            if not probe:
+                ids.append(i)
+                sets.append(grams.copy())
+                continue
+            if block is None:
+                block, ids, sets = _Block(ids, sets), [], []
+            near = block.links(i, grams)
+            if len(near):
+                found.append((i, int(near.min())))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
 
 def _slot(c):
     return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
 
 
-def _similar(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose whole sets are similar; each pair is compared once."""
-    spark = rows.sparkSession
-    size = sets.select("id", "n", "ranges").where("n > 0")
-    pairs = (pairs.join(size.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("ranges_b")), "b")
-             .join(size.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("ranges_a")), "a")
-             .mapInArrow(_suffix_filter, "a long, b long"))
-    pairs = materialize(pairs, "pairs")
+def _similar(rows: DataFrame, meetings: DataFrame) -> DataFrame:
+    """Links (a, b) found by holding the probes of each (block, part) against its sets.
+
+    ``meetings``: (block, part, probe boolean, id). Whole sets are made again from the texts
+    of the documents that meet, kept out of the shuffle by a filter of fixed size."""
     # bitmap positions count from 1
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).select((_slot("id") + 1).alias("s"))
+    ends = meetings.select((_slot("id") + 1).alias("s"))
     maps = ends.groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)  # a fixed size; a full filter keeps more rows, not fewer
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)  # a full filter keeps more rows, not fewer
     for r in maps:
         part = np.frombuffer(bytes(r.m), np.uint8)
         bits[(r.k - 1) * 4096:(r.k - 1) * 4096 + len(part)] |= part
-    sent = spark.sparkContext.broadcast(bits)
-    kept = materialize(rows.select("id", "text", _slot("id").cast("int").alias("slot"))
-                       .where(F.col("id").isNotNull()).mapInArrow(_kept_sets(sent), "id long, hashes binary"), "sets")
-    # the hub's side (a) comes last: rows are wide by then, so a hot hub shows and is split
-    return (pairs.join(kept.select(F.col("id").alias("b"), F.col("hashes").alias("set_b")), "b")
-            .join(kept.select(F.col("id").alias("a"), F.col("hashes").alias("set_a")), "a")
-            .mapInArrow(_verify, "a long, b long").distinct())
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+    kept = (rows.select("id", "text", _slot("id").cast("int").alias("slot")).where(F.col("id").isNotNull())
+            .mapInArrow(_kept_sets(sent), "id long, hashes binary"))
+    return (meetings.join(kept, "id").repartition("block", "part").sortWithinPartitions("block", "part", "probe", "id")
+            .select("block", "part", "probe", "id", "hashes").mapInArrow(_compare, "a long, b long").distinct())
+
+
+def _near_components(batches):
+    """Rows (key, id, n, pos, c) sorted by key -> the component pairs that a key's filters let meet."""
+    import pyarrow as pa
+
+    from rarebird.llm.nn_descent import groups
+
+    held: set[tuple[int, int]] = set()
+
+    def flush():
+        out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], names=["a", "b"])
+        held.clear()
+        return out
+
+    for g in groups(batches, "key"):
+        n, pos, c = (np.asarray(g.column(x)) for x in ("n", "pos", "c"))
+        for at in range(0, len(n), 512):  # rows of the key against all of them
+            r = slice(at, at + 512)
+            x, p = n[r, None], pos[r, None]
+            most = np.minimum(p, pos) + 1 + np.minimum(x - p, n - pos) - 1
+            fits = (c[r, None] < c) & (np.minimum(x, n) * DEN >= np.maximum(x, n) * NUM) & (most * (DEN + NUM) >= (x + n) * NUM)
+            i, j = np.nonzero(fits)
+            held.update(zip(c[at + i].tolist(), c[j].tolist(), strict=True))
+            if len(held) > 200_000:
+                yield flush()
+    if held:
+        yield flush()
 
 
 def _ordered(a, b):
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _between(rows: DataFrame, sets: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
+    """Links between the components (a, b) of ``near``: the smaller one's documents against the larger one's."""
+    involved = near.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    # one document for each set of a component stands for its copies
+    docs = (sets.where("n > 0 and id is not null").select("id", "n", "digest")
+            .join(found, "id", "left").select("id", "n", "digest", F.coalesce("component", "id").alias("c"))
+            .join(involved, "c", "left_semi").groupBy("c", "digest").agg(F.min("id").alias("id"), F.max("n").alias("n")))
+    docs = materialize(docs.select("c", "id", "n"), "docs")
+    size = docs.groupBy("c").agg(F.sum("n").alias("grams")).withColumn("parts", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int"))
+    pairs = (near.join(size.select(F.col("c").alias("a"), F.col("grams").alias("grams_a"), F.col("parts").alias("parts_a")), "a")
+             .join(size.select(F.col("c").alias("b"), F.col("grams").alias("grams_b"), F.col("parts").alias("parts_b")), "b"))
+    larger = F.col("grams_a") >= F.col("grams_b")
+    pairs = pairs.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("block"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("c"),
+                         F.when(larger, F.col("parts_a")).otherwise(F.col("parts_b")).alias("parts"))
+    blocks = docs.withColumnRenamed("c", "block").join(pairs.select("block", "parts").distinct(), "block").select(
+        "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("probe"), "id")
+    probes = pairs.join(docs.select("c", "id"), "c").select(
+        "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("probe"), "id")
+    return _similar(rows, blocks.union(probes.distinct()))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id), one row for each row of ``docs``.
 
@@ -348,14 +431,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequency = spark.sparkContext.broadcast(np.minimum(counters.ravel(), 2**31 - 1))
     sets = described.where("bucket is null").select("id", "n", "digest", "ranges")
     linked = (rows.where(F.col("id").isNotNull())
-              .mapInArrow(_prefixes(frequency), "route long, key long, id long, n long, pos long, hub long, hub_n long, hub_pos long")
-              .repartition("route").sortWithinPartitions("route", "n", "id")
+              .mapInArrow(_prefixes(frequency), "key long, id long, n long, pos long, hub long, hub_n long, hub_pos long")
+              # a linked row needs no meeting with its key any more: it goes anywhere
+              .repartition(F.when(F.col("hub").isNull(), F.col("key")).otherwise(F.xxhash64("id", "key")))
+              .sortWithinPartitions("key", "n", "id")
               .mapInArrow(_link, "key long, id long, n long, pos long, hub long, hub_n long, hub_pos long"))
     shared = materialize(linked.where("id != hub"), "shared")
 
-    fits = _fits("n", "pos", "hub_n", "hub_pos")
-    tried = materialize(shared.groupBy(*_ordered("hub", "id")).agg(F.min(fits).alias("fits")).where("fits").select("a", "b"), "tried")
-    links = materialize(_similar(rows, sets, tried), "links")
+    size = sets.select("id", "n", "ranges").where("n > 0 and id is not null")
+    tried = shared.groupBy(*_ordered("hub", "id")).agg(F.min(_fits("n", "pos", "hub_n", "hub_pos")).alias("fits")).where("fits")
+    tried = materialize(tried.select("a", "b")
+                        .join(size.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("ranges_b")), "b")
+                        .join(size.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("ranges_a")), "a")
+                        .mapInArrow(_suffix_filter, "a long, b long").distinct(), "tried")
+    hubs = tried.select(F.col("a").alias("block"), F.lit(0).alias("part"), F.lit(False).alias("probe"), F.col("a").alias("id")).distinct()
+    links = materialize(_similar(rows, hubs.union(tried.select("a", F.lit(0), F.lit(True), "b"))), "links")
     copies = (sets.where("n > 0 and id is not null")
               .join(sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1"), "digest")
               .select("a", F.col("id").alias("b")).where("a != b"))
@@ -367,15 +457,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             label, F.coalesce(label, col))
 
     ends = labelled(labelled(shared.select("key", "id", "hub"), "id", "c"), "hub", "hub_c")
+    # the two documents of a key with one row have been compared
+    mixed = ends.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("c") != F.col("hub_c")).alias("mixed")).where("rows > 1 and mixed").select("key")
     members = (shared.select("key", "id", "n", "pos").union(shared.select("key", "hub", "hub_n", "hub_pos"))
-               .join(ends.where("c != hub_c").select("key").distinct(), "key", "left_semi").distinct())
-    members = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 2").select("key"), "key", "left_semi")
-    members = materialize(labelled(members, "id", "c"), "members")
-    other = members.select("key", *[F.col(x).alias(f"hub_{x}") for x in ("n", "pos", "c")], F.col("id").alias("hub"))
-    rest = (members.join(other, (members.key == other.key) & (F.col("id") < F.col("hub")) & (F.col("c") != F.col("hub_c")) & fits)
-            .select(*_ordered("hub", "id")).distinct().join(tried, ["a", "b"], "left_anti"))
-    rest = materialize(rest, "rest")
-    if not rest.isEmpty():
-        found = components(links.union(_similar(rows, sets, rest)).union(copies), "a", "b")
+               .join(mixed, "key", "left_semi").distinct())
+    near = (labelled(members, "id", "c").select("key", "id", "n", "pos", "c").repartition("key").sortWithinPartitions("key", "id")
+            .mapInArrow(_near_components, "a long, b long").distinct())
+    near = materialize(near, "near")
+    if not near.isEmpty():
+        found = components(links.union(_between(rows, sets, found, near)).union(copies), "a", "b")
     out = sets.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
