@@ -16,9 +16,10 @@ A document is its set of distinct word 5-grams (64-bit hashes). Two link when
    once on the whole sets; links are joined to components.
 4. What step 3 skipped: documents that share a prefix n-gram but lie in different components.
    Pairs inside one component can't change the components, so the work is between
-   components: two whose documents pass the filters on some key meet once. The documents
-   of the smaller one are held against an index of the larger one's sets, cut into blocks
-   of bounded size. Rows grow with the documents, not with their pairs.
+   components. On each key, the components whose documents pass the filters join the block
+   of the component that has most documents there; in a block, the joined documents are
+   held against an index of all its sets, cut into parts of bounded size. So any two
+   components that share a key meet, and rows grow with the documents, not with pairs.
 
 Equal sets are linked by their digests, so copies meet no join.
 """
@@ -43,8 +44,8 @@ BUCKETS, PER_ROW = 1 << 22, 1024
 RANGES = 64
 #: Bits of the filter that keeps documents without candidate pairs out of verification (4 MB).
 FILTER_BITS = 1 << 25
-#: N-grams of a component in one block of step 4.
-BLOCK_GRAMS = 200_000
+#: N-grams in one part of a block of step 4.
+BLOCK_GRAMS = 500_000
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -287,17 +288,18 @@ def _kept_sets(bits):
 
 
 class _Block:
-    """The sets of one block, as one sorted array of (n-gram, document)."""
+    """The sets of one block part, as one sorted array of (n-gram, document)."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray]) -> None:
-        self.ids, self.n = np.array(ids, np.int64), np.array([len(x) for x in sets], np.int64)
-        doc = np.repeat(np.arange(len(sets)), self.n)
+    def __init__(self, ids: list[int], labels: list[int], sets: list[np.ndarray]) -> None:
+        self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.int64)
+        self.n = np.array([len(x) for x in sets], np.int64)
+        doc = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
         grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         order = np.argsort(grams, kind="stable")
         self.grams, self.doc = grams[order], doc[order]
 
-    def links(self, own: int, grams: np.ndarray) -> np.ndarray:
-        """The ids whose sets are similar to ``grams``."""
+    def links(self, label: int, grams: np.ndarray) -> np.ndarray:
+        """One similar document of each other component."""
         if len(self.ids) == 1:
             both = np.array([len(np.intersect1d(grams, self.grams, assume_unique=True))])
         else:
@@ -305,32 +307,28 @@ class _Block:
             n = hi - lo
             at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
             both = np.bincount(self.doc[at], minlength=len(self.ids))
-        near = (DEN * both >= NUM * (len(grams) + self.n - both)) & (self.ids != own)
-        return self.ids[near]
+        near = np.flatnonzero((DEN * both >= NUM * (len(grams) + self.n - both)) & (self.labels != label))
+        return self.ids[near[np.unique(self.labels[near], return_index=True)[1]]]
 
 
 def _compare(batches):
-    """Rows sorted by (block, part, probe): the sets of a block, then those held against it.
-    One link of each probe is enough for components."""
+    """Rows sorted by (block, part, probe): the sets of a block part, then those held against it."""
     import pyarrow as pa
 
-    at, ids, sets, block = None, [], [], None
+    at, held, block = None, [], None
     for b in batches:
-        keys = zip(b.column("block").to_pylist(), b.column("part").to_pylist(), strict=True)
         found = []
-        for key, probe, i, raw in zip(keys, b.column("probe").to_pylist(), b.column("id").to_pylist(), b.column("hashes"), strict=True):
-            if key != at:
-                at, ids, sets, block = key, [], [], None
+        rows = zip(*[b.column(x).to_pylist() for x in ("block", "part", "probe", "id", "c")], b.column("hashes"), strict=True)
+        for block_id, part, probe, i, c, raw in rows:
+            if (block_id, part) != at:
+                at, held, block = (block_id, part), [], None
             grams = np.frombuffer(raw.as_buffer(), np.uint64)
             if not probe:
-                ids.append(i)
-                sets.append(grams.copy())
+                held.append((i, c, grams.copy()))
                 continue
             if block is None:
-                block, ids, sets = _Block(ids, sets), [], []
-            near = block.links(i, grams)
-            if len(near):
-                found.append((i, int(near.min())))
+                block, held = _Block(*map(list, zip(*held, strict=True))) if held else _Block([], [], []), []
+            found += [(i, x) for x in block.links(c, grams).tolist()]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
@@ -342,7 +340,7 @@ def _slot(c):
 def _similar(rows: DataFrame, meetings: DataFrame) -> DataFrame:
     """Links (a, b) found by holding the probes of each (block, part) against its sets.
 
-    ``meetings``: (block, part, probe boolean, id). Whole sets are made again from the texts
+    ``meetings``: (block, part, probe boolean, id, c the id's component). Whole sets are made again from the texts
     of the documents that meet, kept out of the shuffle by a filter of fixed size."""
     # bitmap positions count from 1
     ends = meetings.select((_slot("id") + 1).alias("s"))
@@ -355,11 +353,12 @@ def _similar(rows: DataFrame, meetings: DataFrame) -> DataFrame:
     kept = (rows.select("id", "text", _slot("id").cast("int").alias("slot")).where(F.col("id").isNotNull())
             .mapInArrow(_kept_sets(sent), "id long, hashes binary"))
     return (meetings.join(kept, "id").repartition("block", "part").sortWithinPartitions("block", "part", "probe", "id")
-            .select("block", "part", "probe", "id", "hashes").mapInArrow(_compare, "a long, b long").distinct())
+            .select("block", "part", "probe", "id", "c", "hashes").mapInArrow(_compare, "a long, b long").distinct())
 
 
-def _near_components(batches):
-    """Rows (key, id, n, pos, c) sorted by key -> the component pairs that a key's filters let meet."""
+def _hosts(batches):
+    """Rows (key, id, n, pos, c) sorted by key -> (block, c): the components that a key's filters
+    let meet another, and the component with most documents on the key (then the smallest)."""
     import pyarrow as pa
 
     from rarebird.llm.nn_descent import groups
@@ -367,21 +366,25 @@ def _near_components(batches):
     held: set[tuple[int, int]] = set()
 
     def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], names=["a", "b"])
+        out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], names=["block", "c"])
         held.clear()
         return out
 
     for g in groups(batches, "key"):
         n, pos, c = (np.asarray(g.column(x)) for x in ("n", "pos", "c"))
+        meets = np.zeros(len(n), bool)
         for at in range(0, len(n), 512):  # rows of the key against all of them
             r = slice(at, at + 512)
             x, p = n[r, None], pos[r, None]
             most = np.minimum(p, pos) + 1 + np.minimum(x - p, n - pos) - 1
-            fits = (c[r, None] < c) & (np.minimum(x, n) * DEN >= np.maximum(x, n) * NUM) & (most * (DEN + NUM) >= (x + n) * NUM)
-            i, j = np.nonzero(fits)
-            held.update(zip(c[at + i].tolist(), c[j].tolist(), strict=True))
-            if len(held) > 200_000:
-                yield flush()
+            meets[r] = ((c[r, None] != c) & (np.minimum(x, n) * DEN >= np.maximum(x, n) * NUM) & (most * (DEN + NUM) >= (x + n) * NUM)).any(1)
+        if meets.any():
+            labels, count = np.unique(c, return_counts=True)
+            host = int(labels[count.argmax()])
+            held.update((host, x) for x in np.unique(c[meets]).tolist())
+            held.add((host, host))
+        if len(held) > 200_000:
+            yield flush()
     if held:
         yield flush()
 
@@ -390,25 +393,17 @@ def _ordered(a, b):
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _between(rows: DataFrame, sets: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
-    """Links between the components (a, b) of ``near``: the smaller one's documents against the larger one's."""
-    involved = near.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+def _between(rows: DataFrame, sets: DataFrame, members: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Links between the components that ``hosts`` (block, c) brings together."""
     # one document for each set of a component stands for its copies
-    docs = (sets.where("n > 0 and id is not null").select("id", "n", "digest")
-            .join(found, "id", "left").select("id", "n", "digest", F.coalesce("component", "id").alias("c"))
-            .join(involved, "c", "left_semi").groupBy("c", "digest").agg(F.min("id").alias("id"), F.max("n").alias("n")))
-    docs = materialize(docs.select("c", "id", "n"), "docs")
-    size = docs.groupBy("c").agg(F.sum("n").alias("grams")).withColumn("parts", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int"))
-    pairs = (near.join(size.select(F.col("c").alias("a"), F.col("grams").alias("grams_a"), F.col("parts").alias("parts_a")), "a")
-             .join(size.select(F.col("c").alias("b"), F.col("grams").alias("grams_b"), F.col("parts").alias("parts_b")), "b"))
-    larger = F.col("grams_a") >= F.col("grams_b")
-    pairs = pairs.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("block"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("c"),
-                         F.when(larger, F.col("parts_a")).otherwise(F.col("parts_b")).alias("parts"))
-    blocks = docs.withColumnRenamed("c", "block").join(pairs.select("block", "parts").distinct(), "block").select(
-        "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("probe"), "id")
-    probes = pairs.join(docs.select("c", "id"), "c").select(
-        "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("probe"), "id")
-    return _similar(rows, blocks.union(probes.distinct()))
+    docs = (members.select("id", "c").distinct().join(sets.where("n > 0").select("id", "n", "digest"), "id")
+            .groupBy("c", "digest").agg(F.min("id").alias("id"), F.max("n").alias("n")))
+    placed = materialize(hosts.join(docs, "c").select("block", "c", "id", "n"), "placed")
+    parts = placed.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("parts"))
+    placed = placed.join(parts, "block")
+    index = placed.select("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("probe"), "id", "c")
+    probes = placed.where("c != block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("probe"), "id", "c")
+    return _similar(rows, index.union(probes))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -444,8 +439,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         .join(size.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("ranges_b")), "b")
                         .join(size.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("ranges_a")), "a")
                         .mapInArrow(_suffix_filter, "a long, b long").distinct(), "tried")
-    hubs = tried.select(F.col("a").alias("block"), F.lit(0).alias("part"), F.lit(False).alias("probe"), F.col("a").alias("id")).distinct()
-    links = materialize(_similar(rows, hubs.union(tried.select("a", F.lit(0), F.lit(True), "b"))), "links")
+    hubs = tried.select(F.col("a").alias("block"), F.lit(0).alias("part"), F.lit(False).alias("probe"), F.col("a").alias("id"), F.col("a").alias("c")).distinct()
+    links = materialize(_similar(rows, hubs.union(tried.select("a", F.lit(0), F.lit(True), "b", "b"))), "links")
     copies = (sets.where("n > 0 and id is not null")
               .join(sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1"), "digest")
               .select("a", F.col("id").alias("b")).where("a != b"))
@@ -461,10 +456,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = ends.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("c") != F.col("hub_c")).alias("mixed")).where("rows > 1 and mixed").select("key")
     members = (shared.select("key", "id", "n", "pos").union(shared.select("key", "hub", "hub_n", "hub_pos"))
                .join(mixed, "key", "left_semi").distinct())
-    near = (labelled(members, "id", "c").select("key", "id", "n", "pos", "c").repartition("key").sortWithinPartitions("key", "id")
-            .mapInArrow(_near_components, "a long, b long").distinct())
-    near = materialize(near, "near")
-    if not near.isEmpty():
-        found = components(links.union(_between(rows, sets, found, near)).union(copies), "a", "b")
+    members = materialize(labelled(members, "id", "c").select("key", "id", "n", "pos", "c"), "members")
+    hosts = (members.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_hosts, "block long, c long").distinct())
+    hosts = materialize(hosts, "hosts")
+    if not hosts.isEmpty():
+        found = components(links.union(_between(rows, sets, members, hosts)).union(copies), "a", "b")
     out = sets.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
