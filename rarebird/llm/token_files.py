@@ -133,6 +133,8 @@ def unpack(payload: np.ndarray, block_bit: np.ndarray, block_ids: np.ndarray, co
 
 def _ids(path: str, end_id: int):
     def run(batches):
+        from array import array
+
         import pyarrow as pa
 
         from rarebird.llm import pretokens
@@ -141,17 +143,23 @@ def _ids(path: str, end_id: int):
         tok, kept = vocab.library(path), vocab.cache("ids", path)
 
         def fresh(words):
-            return [np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+            return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
 
+        era, flat, size = kept.era, np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for chunk in text_chunks(batches):
             words, counts = pretokens.cut(texts_of(chunk), "byte", vocab.specials(path))
-            distinct, numbers = pretokens.numbered(words)
-            parts = [*kept.fill(distinct, fresh), np.uint32(end_id).tobytes()]
-            size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-            flat = np.frombuffer(b"".join(parts), np.uint32)
-            numbers = np.insert(numbers, np.cumsum(counts), len(distinct))  # the end id after each document
+            numbers = kept.numbers(words, fresh)
+            if kept.era != era:
+                era, flat, size = kept.era, flat[:0], size[:0]
+            elif len(size):
+                flat, size = flat[:-1], size[:-1]
+            new = [*kept.values[len(size):], np.uint32(end_id).tobytes()]  # the end id comes last
+            size = np.concatenate([size, np.fromiter(map(len, new), np.int64, len(new)) // 4])
+            flat = np.concatenate([flat, np.frombuffer(b"".join(new), np.uint32)])
+            first = np.cumsum(size) - size
+            numbers = np.insert(numbers, np.cumsum(counts), len(size) - 1)  # one after each document
             each = size[numbers]
-            ids = flat[ragged((np.cumsum(size) - size)[numbers], each)]
+            ids = flat[ragged(first[numbers], each)]
             to = np.cumsum(each)[np.cumsum(counts + 1) - 1]
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("id"), pa.array(np.diff(to, prepend=0)), binary_slices(ids, np.append(0, to))],

@@ -6,6 +6,8 @@ import functools
 import json
 import os
 
+import numpy as np
+
 
 def public_path(name: str) -> str:
     """Where the installed package of public tokenizers keeps the file."""
@@ -32,22 +34,30 @@ def library(path: str):
     return t
 
 
-class Cache(dict):
-    """A dict that a worker keeps between batches; emptied before it outgrows ``bound``."""
+class Cache:
+    """Numbers of the words a worker has met and a value for each; emptied before it outgrows ``bound``."""
+
+    def __init__(self, bound: int = 800_000) -> None:
+        self.bound, self.era = bound, 0
+        self.clear()
 
-    def __init__(self, bound: int = 200_000) -> None:
-        super().__init__()
-        self.bound = bound
+    def clear(self) -> None:
+        self.era += 1  # numbers of an earlier era mean nothing now
+        self.index: dict[str, int] = {}
+        self.values: list = []
 
-    def fill(self, words: list[str], compute) -> list:
-        """The words' values; ``compute`` gives those of a list of words not seen yet."""
-        missing = [w for w in words if w not in self]
+    def numbers(self, words: list[str], compute) -> np.ndarray:
+        """The words' numbers, which are places in ``values``; ``compute`` gives the values of
+        a list of words not seen yet. Numbers hold until the next call."""
+        missing = set(words).difference(self.index)
+        if len(self.index) + len(missing) > self.bound:
+            self.clear()
+            missing = set(words)
         if missing:
-            if len(self) + len(missing) > self.bound:
-                self.clear()
-                missing = words
-            self.update(zip(missing, compute(missing), strict=True))
-        return list(map(self.__getitem__, words))
+            new = list(missing)
+            self.index.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
+            self.values.extend(compute(new))
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
 
 @functools.cache

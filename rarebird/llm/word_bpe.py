@@ -138,19 +138,20 @@ def merge_table(path: str) -> MergeTable:
 
 
 def _chunks(batches, path: str):
-    """(chunk, distinct words' ids, word numbers, words of each document) of each chunk of texts."""
+    """(chunk, values of the words met, word numbers, words of each document) of each chunk of texts."""
     from rarebird.llm import pretokens
     from rarebird.llm.arrowbatch import text_chunks, texts_of
 
     table, kept = merge_table(path), vocab.cache("word_bpe", path)
+    kept.bound = 300_000  # three strings a word
 
     def fresh(words):
         return [(b, " ".join(map(str, memoryview(b).cast("I"))), table.decode(b)) for b in table.encode(words)]
 
     for chunk in text_chunks(batches):
         words, counts = pretokens.cut(texts_of(chunk), "word", vocab.specials(path))
-        distinct, numbers = pretokens.numbered(words)
-        yield chunk, kept.fill(distinct, fresh), numbers.tolist(), counts.tolist()
+        numbers = kept.numbers(words, fresh)
+        yield chunk, kept.values, numbers.tolist(), counts.tolist()
 
 
 def _encode(path: str):
@@ -186,14 +187,14 @@ def _digests(path: str):
         import pyarrow as pa
 
         for chunk, values, numbers, counts in _chunks(batches, path):
-            sizes = [len(v[0]) // 4 for v in values]
             at, n_tokens, ids_sha, decoded_sha = 0, [], [], []
             for n in counts:
                 of = numbers[at:at + n]
                 at += n
-                n_tokens.append(sum([sizes[i] for i in of]))
-                ids_sha.append(hashlib.sha256(" ".join([values[i][1] for i in of]).encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(" ".join([values[i][2] for i in of]).encode()).hexdigest())
+                ids, decimals, decoded = zip(*[values[i] for i in of], strict=True) if n else ((), (), ())
+                n_tokens.append(sum(map(len, ids)) // 4)
+                ids_sha.append(hashlib.sha256(" ".join(decimals).encode()).hexdigest())
+                decoded_sha.append(hashlib.sha256(" ".join(decoded).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("id"), pa.array(n_tokens, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)],
                 names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
