@@ -251,9 +251,12 @@ def _link(batches):
 
 
 def _fits(n, pos, hub_n, hub_pos):
-    """Length and positional filter: whether the two sets may be similar, from one shared n-gram."""
+    """Length and positional filter, from one shared n-gram.
+
+    The first n-gram that two sets share has no match before it, so similar sets pass on
+    that one; a pair that passes nowhere isn't similar."""
     n, pos, hub_n, hub_pos = map(F.col, (n, pos, hub_n, hub_pos))
-    most = F.least(pos, hub_pos) + 1 + F.least(n - pos - 1, hub_n - hub_pos - 1)
+    most = F.least(n - pos, hub_n - hub_pos)
     return (F.least(n, hub_n) * DEN >= F.greatest(n, hub_n) * NUM) & (most * (DEN + NUM) >= (n + hub_n) * NUM)
 
 
@@ -376,7 +379,7 @@ def _hosts(batches):
         for at in range(0, len(n), 512):  # rows of the key against all of them
             r = slice(at, at + 512)
             x, p = n[r, None], pos[r, None]
-            most = np.minimum(p, pos) + 1 + np.minimum(x - p, n - pos) - 1
+            most = np.minimum(x - p, n - pos)  # as in _fits
             meets[r] = ((c[r, None] != c) & (np.minimum(x, n) * DEN >= np.maximum(x, n) * NUM) & (most * (DEN + NUM) >= (x + n) * NUM)).any(1)
         if meets.any():
             labels, count = np.unique(c, return_counts=True)
@@ -434,7 +437,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = materialize(linked.where("id != hub"), "shared")
 
     size = sets.select("id", "n", "ranges").where("n > 0 and id is not null")
-    tried = shared.groupBy(*_ordered("hub", "id")).agg(F.min(_fits("n", "pos", "hub_n", "hub_pos")).alias("fits")).where("fits")
+    tried = shared.groupBy(*_ordered("hub", "id")).agg(F.max(_fits("n", "pos", "hub_n", "hub_pos")).alias("fits")).where("fits")
     tried = materialize(tried.select("a", "b")
                         .join(size.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("ranges_b")), "b")
                         .join(size.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("ranges_a")), "a")
