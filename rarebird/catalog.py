@@ -921,11 +921,15 @@ def q_l6(spark, sf):
     return sel.variant_comparison(train, test, LEARN_SPEC, cfgs, {"all": ["value", "hr", "k"], "reduced": ["value", "k"]})
 
 
+G1_COLS = [*CORR_COLS, "const"]
+
+
 @query("G1_correlation_matrix", with_ev("\nUNION ALL\n".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr FROM ev_features"
-    for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i:])))
+    f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN var_pop({a}) > 0 AND var_pop({b}) > 0 THEN "
+    f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) END AS corr FROM ev_features"
+    for i, a in enumerate(G1_COLS) for b in G1_COLS[i:])))
 def q_g1(spark, sf):
-    return su.correlation_matrix(ev_features(spark, sf), CORR_COLS)
+    return su.correlation_matrix(ev_features(spark, sf), G1_COLS)
 
 
 @query("G2_grouped_mean", with_ev("""SELECT hr, count(label) AS n, round(avg(CAST(label AS DOUBLE)), 6) AS mean,

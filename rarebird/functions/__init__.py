@@ -4,5 +4,6 @@ from rarebird.functions.exprs import (  # noqa: F401
     hash_int,
     hash_uniform,
     r6,
+    required,
     safe_div,
 )

@@ -26,6 +26,11 @@ def hash_uniform(seed, key, salt: str = "") -> Column:
     return hash_int(seed, key, salt) / F.lit(4294967296.0)
 
 
+def required(c, what: str) -> Column:
+    """``c``, raising at run time where it is null: rows with a null key never vanish."""
+    return F.coalesce(_col(c), F.raise_error(F.lit(f"null in {what}: impute or filter it first")))
+
+
 def safe_div(num, den, zero=0.0) -> Column:
     """``num / den`` with ``zero`` where the denominator is 0 (ANSI-safe)."""
     n, d = _col(num), _col(den)

@@ -15,22 +15,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebird.functions import safe_div
+from rarebird.functions import required, safe_div
 from rarebird.operators.ranking import ranked
 
 
 def threshold_counts(scored: DataFrame, group=(), score: str = "score", label: str = "label") -> DataFrame:
     """(group..., threshold, tp, fp, point, cum_tp, cum_fp, P, N); point 1 = highest score."""
     group = list(group)
+    y = required(label, label)
     d = scored.groupBy(*group, F.col(score).cast("double").alias("threshold")).agg(
-        F.sum((F.col(label) == 1).cast("long")).alias("tp"),
-        F.sum((F.col(label) != 1).cast("long")).alias("fp"),
+        F.sum((y == 1).cast("long")).alias("tp"),
+        F.sum((y != 1).cast("long")).alias("fp"),
     )
     r = ranked(d, [F.col("threshold").desc()], group=group, rank_col="point", sums=["tp", "fp"])
     totals = d.groupBy(*group).agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
     if group:
         # One row per group (models x folds): broadcast.
-        return r.join(F.broadcast(totals), group)
+        same = F.lit(True)
+        for i, g in enumerate(group):  # a null group keeps its curve
+            same = same & F.col(g).eqNullSafe(F.col(f"_group{i}"))
+        totals = totals.withColumnsRenamed({g: f"_group{i}" for i, g in enumerate(group)})
+        return r.join(F.broadcast(totals), same).drop(*[f"_group{i}" for i in range(len(group))])
     t = totals.first()  # a single row: two numbers
     return r.withColumn("P", F.lit(t["P"] or 0)).withColumn("N", F.lit(t["N"] or 0))
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rarebird.functions import required
 from rarebird.operators.ranking import ranked
 from rarebird.spec import TableSpec
 
@@ -36,6 +37,7 @@ def fold_bounds(df: DataFrame, spec: TableSpec, k: int = 5) -> DataFrame:
 
 def stratified_kfold(df: DataFrame, spec: TableSpec, k: int = 5, fold_col: str = "fold") -> DataFrame:
     """Add ``fold`` in 0..k-1 to every row."""
+    df = df.withColumn(spec.label, required(spec.label, spec.label))
     bounds = fold_bounds(df, spec, k)  # classes x k rows: broadcast
     r = ranked(df, [spec.id], group=[spec.label], rank_col="_j")
     b = F.broadcast(bounds.withColumnRenamed(spec.label, "_y"))

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebird.functions import safe_div
+from rarebird.functions import required, safe_div
 
 
 def _counts(scored: DataFrame, group, label: str, prediction: str) -> DataFrame:
-    y, p = F.col(label), F.col(prediction)
+    y, p = required(label, label), required(prediction, prediction)
     return scored.groupBy(*group).agg(
         F.sum(((y == 1) & (p == 1)).cast("long")).alias("tp"),
         F.sum(((y == 0) & (p == 1)).cast("long")).alias("fp"),

@@ -6,8 +6,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rarebird.functions import required
 from rarebird.operators.ranking import exact_quantiles, ranked
-from rarebird.session import bounded, join_small
 from rarebird.spec import TableSpec
 
 NUMERIC_TYPES = ("int", "bigint", "smallint", "tinyint", "double", "float")
@@ -103,7 +103,7 @@ def apply_label_encoding(df: DataFrame, mapping: DataFrame, columns: list[str])
     out = df
     for c in columns:
         m = mapping.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
-        out = join_small(out.withColumn("_v", F.col(c).cast("string")), m, "_v", "left")
+        out = out.withColumn("_v", F.col(c).cast("string")).join(m, "_v", "left")
         out = out.withColumn(c, F.col("_code")).drop("_v", "_code")
     return out.select(*df.columns)
 
@@ -119,13 +119,13 @@ def impute_median(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFra
     return out, med
 
 
-def one_hot(df: DataFrame, columns: list[str], max_levels: int = 1000) -> DataFrame:
-    """0/1 dummy columns ``<column>_<value>`` in sorted value order, originals dropped."""
+def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
+    """0/1 dummy columns ``<column>_<value>`` in sorted value order, originals dropped.
+
+    One column per level, however many: the level names become the plan's columns."""
     out = df
     for c in columns:
         levels = df.select(F.col(c).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
-        if not bounded(levels, max_levels):
-            raise ValueError(f"{c} has more than {max_levels} distinct values")
         vals = sorted(r["v"] for r in levels.collect())
         out = out.select(*[x for x in out.columns if x != c],
                          *[(F.col(c).cast("string") == v).cast("int").alias(f"{c}_{v}") for v in vals])
@@ -166,6 +166,7 @@ def class_weights(df: DataFrame, spec: TableSpec, mode: str = "balanced", positi
                              .otherwise(F.lit(1.0)))
     if mode != "balanced":
         raise ValueError(mode)
+    df = df.withColumn(spec.label, required(spec.label, spec.label))
     counts = df.groupBy(spec.label).agg(F.count(F.lit(1)).alias("_nc"))
     every = Window.partitionBy()
     weights = counts.select(

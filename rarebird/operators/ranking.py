@@ -26,7 +26,8 @@ def ranked(df: DataFrame, order: list, group: list[str] | tuple = (), rank_col:
            sums: list[str] | tuple = (), sum_prefix: str = "cum_", partitions: int | None = None) -> DataFrame:
     """Add ``rank_col`` = exact 1-based ``row_number()`` over (partition by ``group`` order by ``order``).
 
-    ``order`` must be a total order (end it with a unique column). For every column in
+    ``order`` must be a total order (end it with a unique column). A null group is a group
+    of its own; no row is dropped. For every column in
     ``sums`` add ``cum_<col>`` = running sum in that order, current row included.
     """
     group = list(group)
@@ -51,7 +52,12 @@ def ranked(df: DataFrame, order: list, group: list[str] | tuple = (), rank_col:
         *[F.coalesce(F.sum(f"_tot_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in sums],
     )
     # At most (partitions + groups) rows: a proven bound, so broadcast.
-    out = laid_out.join(F.broadcast(offsets), ["_pid", *group])
+    # Null is a group like any other.
+    same = F.col("_pid") == F.col("_pid2")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_group{i}"))
+    offsets = offsets.withColumnsRenamed({"_pid": "_pid2", **{g: f"_group{i}" for i, g in enumerate(group)}})
+    out = laid_out.join(F.broadcast(offsets), same).drop("_pid2", *[f"_group{i}" for i in range(len(group))])
     out = out.withColumn(rank_col, F.col("_pos") - F.col("_start") + 1 + F.col("_off"))
     if sums:
         local = Window.partitionBy("_pid", *group).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -64,23 +70,25 @@ def ranked(df: DataFrame, order: list, group: list[str] | tuple = (), rank_col:
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """Linear-interpolated quantiles (``quantile_cont``) per column, exact and distributed.
 
-    Returns (column, p, value). Nulls are ignored. Uses :func:`ranked` on the long
-    (column, value) form, so no column's values are gathered into one task.
+    Returns (column, p, value). Nulls are ignored. Equal values are counted first (a partial
+    aggregate), so a hot value is one row; :func:`ranked` then runs over the distinct
+    values with running sums of their counts.
     """
     long = df.select(
         F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns
         ])).alias("_cv")
     ).select("_cv.column", "_cv.v").where(F.col("v").isNotNull())
-    counts = long.groupBy("column").agg(F.count(F.lit(1)).alias("_cnt"))
+    long = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("_c"))
     # Positions needed per (column, p): h = (n-1)p, rows floor(h)+1 and floor(h)+2 (1-based).
+    counts = long.groupBy("column").agg(F.sum("_c").alias("_cnt"))
     want = counts.select("column", "_cnt", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
     want = want.select("column", "p", ((F.col("_cnt") - 1) * F.col("p")).alias("_h"))
     want = want.select("column", "p", "_h", F.floor("_h").cast("bigint").alias("_lo"))
-    r = ranked(long, ["v"], group=["column"], rank_col="_r")
+    r = ranked(long, ["v"], group=["column"], rank_col="_d", sums=["_c"])
     # Only two rows per (column, p) are kept from the ranked table.
     picks = want.select("column", "p", "_h", "_lo", F.explode(F.array(F.col("_lo") + 1, F.col("_lo") + 2)).alias("_r"))
-    got = r.join(F.broadcast(picks), ["column", "_r"])
+    got = r.join(F.broadcast(picks), "column").where((F.col("_r") <= F.col("cum__c")) & (F.col("_r") > F.col("cum__c") - F.col("_c")))
     return got.groupBy("column", "p").agg(
         F.first("_h").alias("_h"), F.first("_lo").alias("_lo"),
         F.min_by("v", "_r").alias("_a"), F.max_by("v", "_r").alias("_b"),

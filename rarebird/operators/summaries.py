@@ -10,20 +10,15 @@ from pyspark.sql import functions as F
 from rarebird.operators.ranking import exact_quantiles
 
 
-def correlation_matrix(df: DataFrame, columns: list[str], method: str = "auto", wide: int = 4) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: list[str], method: str = "sql") -> DataFrame:
     """G1: Pearson correlation of every pair (a <= b), long form (a, b, corr).
 
-    ``sql``: one aggregate pass of ``corr`` per pair, nulls skipped pair by pair (the
-    reference's semantics). ``vector``: one pass building the covariance matrix of an
-    assembled vector (``pyspark.ml.stat.Correlation``), for wide tables without nulls.
-    ``auto`` takes ``vector`` when there are more than ``wide`` columns and no nulls.
+    ``sql``: one aggregate pass over all pairs, nulls skipped pair by pair (the reference's
+    semantics). ``vector``: one pass building the covariance matrix of an assembled vector
+    (``pyspark.ml.stat.Correlation``), for wide tables without nulls, when the caller asks
+    for it. In both a pair with a constant column has no correlation (null), the diagonal
+    included.
     """
-    if method == "auto":
-        method = "sql"
-        if len(columns) > wide:
-            row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in columns]).first()
-            if all(row[c] == row["n"] for c in columns):
-                method = "vector"
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     if method == "vector":
         from pyspark.ml.feature import VectorAssembler
@@ -32,10 +27,19 @@ def correlation_matrix(df: DataFrame, columns: list[str], method: str = "auto",
         vec = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(
             df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
         m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()  # d x d, on the driver
+        spread = df.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in columns]).first()
         idx = {c: i for i, c in enumerate(columns)}
-        rows = [(a, b, None if m[idx[a], idx[b]] != m[idx[a], idx[b]] else float(m[idx[a], idx[b]])) for a, b in pairs]
+        rows = [(a, b, float(m[idx[a], idx[b]]) if spread[a] and spread[b] else None) for a, b in pairs]
         return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    if method != "sql":
+        raise ValueError(method)
+
+    def corr(a: str, b: str):
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+        return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+    aggs = [corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
     one = df.agg(*aggs)
     arr = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr"))
                     for i, (a, b) in enumerate(pairs)])

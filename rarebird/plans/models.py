@@ -16,6 +16,7 @@ Parameter mapping from the reference's library (documented, not faked):
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,9 +36,17 @@ from rarebird.session import scratch_dir
 from rarebird.spec import TableSpec
 
 MAX_DEPTH_NONE = 30
-# Iterative fits pay a per-task cost every iteration: keep at least this many rows per
-# partition (a no-op on large data, where partitions already hold more).
-ROWS_PER_PARTITION = 500_000
+# Parameters that each family takes; any other raises. Boosting's ``gamma`` and
+# ``reg_lambda`` have no exact unit in pyspark.ml: they are taken and reported as not applied.
+SUPPORTED = {
+    "logistic": {"C", "penalty", "max_iter", "tol"},
+    "linear_svm": {"C", "penalty", "loss", "max_iter", "tol"},
+    "rbf_svm": {"C", "gamma", "n_components", "max_iter", "tol"},
+    "decision_tree": {"criterion", "max_depth", "min_samples_leaf"},
+    "random_forest": {"n_estimators", "criterion", "max_depth", "bootstrap", "max_features", "min_samples_leaf"},
+    "boosted_trees": {"n_estimators", "learning_rate", "max_depth", "min_child_weight", "min_info_gain", "colsample_bytree",
+                      "gamma", "reg_lambda"},
+}
 
 
 @dataclass
@@ -63,7 +72,7 @@ class ModelConfig:
 # The reference's untuned ("dirty") and tuned models, natural-persons script (fixed values).
 LOGISTIC = ModelConfig("logistic", {"C": 1.0, "penalty": "l2", "max_iter": 1000})
 BEST_LOGISTIC = ModelConfig("logistic", {"C": 100.0, "penalty": "l1", "max_iter": 1000})
-LINEAR_SVM = ModelConfig("linear_svm", {"C": 1.0, "max_iter": 1000})
+LINEAR_SVM = ModelConfig("linear_svm", {"C": 1.0, "penalty": "l2", "loss": "squared_hinge", "max_iter": 1000})
 BEST_LINEAR_SVM = ModelConfig("linear_svm", {"C": 0.1, "penalty": "l1", "loss": "squared_hinge", "max_iter": 1000})
 RBF_SVM = ModelConfig("rbf_svm", {"C": 1.0, "gamma": "scale"})
 BEST_RBF_SVM = ModelConfig("rbf_svm", {"C": 1.0, "gamma": 0.1})
@@ -141,6 +150,11 @@ BASELINES = ("most_frequent", "stratified", "uniform")
 def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str] | None = None) -> Fitted:
     """Fit one model on ``train`` (features default to the spec's, in scaled-table order)."""
     feats = list(features or spec.features)
+    unknown = set(cfg.params) - SUPPORTED.get(cfg.kind, set(cfg.params))
+    if unknown:
+        raise ValueError(f"{cfg.kind} does not take {sorted(unknown)}; it takes {sorted(SUPPORTED[cfg.kind])}")
+    if cfg.kind == "boosted_trees" and {"gamma", "reg_lambda"} & set(cfg.params):
+        warnings.warn("boosted_trees: gamma and reg_lambda are not applied", stacklevel=2)
     scratch_dir(train.sparkSession)  # tree checkpoints and iterative jobs use the shared folder
     if cfg.kind in BASELINES:
         from rarebird.plans import baselines
@@ -153,18 +167,15 @@ def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str]
         weight_col = "weight"
     keep = [weight_col] if weight_col else []
     vec = assemble(data, spec, feats, keep=keep)
-    n, total = vec.agg(F.count(F.lit(1)), F.sum(weight_col) if weight_col else F.count(F.lit(1))).first()
-    total = float(total or 1.0)
-    parts = max(1, math.ceil(n / ROWS_PER_PARTITION))
-    # Linear models and boosting do many cheap passes (per-task cost dominates); forest
-    # and single-tree passes are compute-bound and keep every partition.
-    if cfg.kind in ("logistic", "linear_svm", "rbf_svm", "boosted_trees") and parts < vec.rdd.getNumPartitions():
-        vec = vec.coalesce(parts)
-    if cfg.kind == "linear_svm" and (cfg.params.get("penalty") == "l1" or cfg.params.get("loss") == "squared_hinge"):
+    total = float(vec.agg(F.sum(weight_col) if weight_col else F.count(F.lit(1))).first()[0] or 1.0)
+    penalty, loss = cfg.params.get("penalty", "l2"), cfg.params.get("loss", "squared_hinge")
+    if cfg.kind == "linear_svm" and (penalty not in ("l1", "l2") or loss not in ("hinge", "squared_hinge") or (penalty, loss) == ("l1", "hinge")):
+        raise ValueError(f"linear_svm: no penalty {penalty} with loss {loss}")
+    if cfg.kind == "linear_svm" and loss == "squared_hinge":
         from rarebird.plans.sparse_svm import fit_sparse_svm
 
         model = fit_sparse_svm(vec, spec.label, weight_col, len(feats), float(cfg.params.get("C", 1.0)),
-                               int(cfg.params.get("max_iter", 1000)), float(cfg.params.get("tol", 1e-4)))
+                               int(cfg.params.get("max_iter", 1000)), float(cfg.params.get("tol", 1e-4)), penalty)
         return Fitted(cfg, spec, feats, model)
     if cfg.kind == "rbf_svm":
         vec = vec.persist()  # read three times (variance, fit, Platt margins)

@@ -1,4 +1,4 @@
-"""Session settings, the shared scratch folder, and size-checked broadcasts."""
+"""Session settings and the shared scratch folder."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have to be broadcast when its size is not known up front.
-BROADCAST_ROW_LIMIT = 2_000_000
-
 # Scratch tables written by this process (see cleanup_scratch).
 _WRITTEN: list[str] = []
 
@@ -107,21 +104,3 @@ def cleanup_scratch(spark: SparkSession) -> int:
         if p.getFileSystem(conf).delete(p, True):
             n += 1
     return n
-
-
-def bounded(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when ``df`` has at most ``limit`` rows (reads at most limit+1 rows)."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Join with ``small`` broadcast only when its row count is checked to be within ``limit``.
-
-    Otherwise a shuffle join; AQE's skew-join splits hot keys of ``big``. ``small`` is
-    kept (memory, then disk) so the size check and the join compute it once.
-    """
-    small = small.persist()
-    if bounded(small, limit):
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)

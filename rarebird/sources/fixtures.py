@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarebird.session import join_small
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,9 +22,9 @@ def ev_features(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
         F.count(F.lit(1)).cast("double").alias("usr_events"),
         F.round(F.avg("value"), 6).alias("usr_value"),
     )
-    # Broadcast the per-user table only when it is checked to be small; otherwise a
-    # shuffle join on user_id whose hot keys AQE's skew join splits.
-    ev = join_small(ev, users, "user_id")
+    # AQE broadcasts the per-user table when its run-time size is small; else a shuffle
+    # join on user_id, whose hot keys AQE's skew join splits.
+    ev = ev.join(users, "user_id")
     hr = F.hour("ts").cast("double")
     k = F.get_json_object("props", "$.k").cast("double")
     score = F.least(F.floor("value").cast("int"), F.lit(200))
