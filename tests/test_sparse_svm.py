@@ -34,7 +34,7 @@ def test_l2_gradient_is_zero_and_differs_from_l1(spark, ev_small):
     spec = TableSpec("event_id", "learn", ("value", "hr", "k", "usr_value"), ())
     scaled, _ = scaling.fit_apply_scaler(ev_small, spec)
     data = assemble(class_weights(scaled, spec), spec, keep=["weight"])
-    m = fit_sparse_svm(data, "learn", "weight", 4, 0.05, max_iter=2000, tol=1e-7, penalty="l2")
+    m = fit_sparse_svm(data, "learn", "weight", 4, 0.05, max_iter=250, tol=1e-6, penalty="l2")
     pdf = class_weights(scaled, spec).toPandas()
     X = np.column_stack([pdf[c].values for c in spec.numerics] + [np.ones(len(pdf))])
     s = 2 * pdf.learn.values - 1
