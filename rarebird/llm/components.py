@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebird.session import materialize
+from rarebird.llm.tables import materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rarebird.llm.components import components
-from rarebird.session import materialize
+from rarebird.llm.tables import materialize
 
 WORDS = 5
 #: Similarity of at least NUM / DEN.

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rarebird.llm.components import components
-from rarebird.session import materialize
+from rarebird.llm.tables import materialize
 
 THRESHOLD = 0.95
 TABLES, BLOCK, K, GROWN, GROUP = 6, 256, 12, 48, 48

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rarebird.llm import vocab
-from rarebird.session import materialize
+from rarebird.llm.tables import materialize
 
 #: Words kept in the broadcast, and the most UTF-8 bytes each may have (at most 3.2 MB in all).
 HOT_WORDS, HOT_BYTES = 50_000, 64
