@@ -2,11 +2,14 @@
 
 Only edges move: every round joins them to one minimum per vertex, so a vertex with many
 edges is aggregated in the map tasks and its join is one that adaptive execution may
-split. Rounds are written to the shared folder; a lost executor costs one round.
+split. Rounds are written to the shared folder; a lost executor costs one round. A batch of
+edges becomes a spanning forest of itself before the first round, and rounds end when the
+edges are stars.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,20 +30,42 @@ def _small_star(edges: DataFrame) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
 
 
+def _forests(batches):
+    """Each batch's edges (u, v) -> each vertex with the smallest one that the batch's edges reach."""
+    import pyarrow as pa
+
+    for b in batches:
+        ids, at = np.unique(np.concatenate([np.asarray(b.column(c)) for c in ("u", "v")]), return_inverse=True)
+        u, v = at[:b.num_rows], at[b.num_rows:]
+        low = np.arange(len(ids))
+        while True:
+            x, y = low[u], low[v]
+            if (x == y).all():
+                break
+            np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+            while (low[low] != low).any():
+                low = low[low]
+        joined = np.flatnonzero(low != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[joined]), pa.array(ids[low[joined]])], names=["u", "v"])
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each vertex has one edge to a smaller one, or edges to larger ones only."""
+    ends = (edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+            .union(edges.select("v", F.lit(0), F.lit(1))).groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")))
+    return ends.agg(F.count(F.when((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)), 1))).first()[0] == 0
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component): each vertex of an edge with the smallest id that it reaches.
 
     Edges with a null end and loops are left out; repeated edges count once; without
     edges the result is empty.
     """
-    now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-                      .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "edges")
-    state = None
-    while True:
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == state or new[0] == 0:
-            break
-        state = new
+    ends = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+    ends = ends.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    now = materialize(ends.mapInArrow(_forests, "u long, v long").distinct(), "edges")
+    while not _stars(now):
         now = materialize(_small_star(_large_star(now)), "edges")
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.union(now.select(F.col("v"), F.col("v")).distinct())

@@ -293,8 +293,8 @@ def _kept_sets(bits):
 class _Block:
     """The sets of one block part, as one sorted array of (n-gram, document)."""
 
-    def __init__(self, ids: list[int], labels: list[int], sets: list[np.ndarray]) -> None:
-        self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.int64)
+    def __init__(self, labels: list[int], sets: list[np.ndarray]) -> None:
+        self.labels = np.array(labels, np.int64)
         self.n = np.array([len(x) for x in sets], np.int64)
         doc = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
         grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -302,16 +302,16 @@ class _Block:
         self.grams, self.doc = grams[order], doc[order]
 
     def links(self, label: int, grams: np.ndarray) -> np.ndarray:
-        """One similar document of each other component."""
-        if len(self.ids) == 1:
+        """The other components that hold a similar document."""
+        if len(self.labels) == 1:
             both = np.array([len(np.intersect1d(grams, self.grams, assume_unique=True))])
         else:
             lo, hi = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
             n = hi - lo
             at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
-            both = np.bincount(self.doc[at], minlength=len(self.ids))
+            both = np.bincount(self.doc[at], minlength=len(self.labels))
         near = np.flatnonzero((DEN * both >= NUM * (len(grams) + self.n - both)) & (self.labels != label))
-        return self.ids[near[np.unique(self.labels[near], return_index=True)[1]]]
+        return np.unique(self.labels[near])
 
 
 def _compare(batches):
@@ -320,18 +320,18 @@ def _compare(batches):
 
     at, held, block = None, [], None
     for b in batches:
-        found = []
-        rows = zip(*[b.column(x).to_pylist() for x in ("block", "part", "probe", "id", "c")], b.column("hashes"), strict=True)
-        for block_id, part, probe, i, c, raw in rows:
+        found = set()
+        rows = zip(*[b.column(x).to_pylist() for x in ("block", "part", "probe", "c")], b.column("hashes"), strict=True)
+        for block_id, part, probe, c, raw in rows:
             if (block_id, part) != at:
                 at, held, block = (block_id, part), [], None
             grams = np.frombuffer(raw.as_buffer(), np.uint64)
             if not probe:
-                held.append((i, c, grams.copy()))
+                held.append((c, grams.copy()))
                 continue
             if block is None:
-                block, held = _Block(*map(list, zip(*held, strict=True))) if held else _Block([], [], []), []
-            found += [(i, x) for x in block.links(c, grams).tolist()]
+                block, held = _Block(*map(list, zip(*held, strict=True))) if held else _Block([], []), []
+            found.update((c, x) for x in block.links(c, grams).tolist())
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
@@ -341,7 +341,7 @@ def _slot(c):
 
 
 def _similar(rows: DataFrame, meetings: DataFrame) -> DataFrame:
-    """Links (a, b) found by holding the probes of each (block, part) against its sets.
+    """Links (a, b) between components found by holding the probes of each (block, part) against its sets.
 
     ``meetings``: (block, part, probe boolean, id, c the id's component). Whole sets are made again from the texts
     of the documents that meet, kept out of the shuffle by a filter of fixed size."""
@@ -356,7 +356,7 @@ def _similar(rows: DataFrame, meetings: DataFrame) -> DataFrame:
     kept = (rows.select("id", "text", _slot("id").cast("int").alias("slot")).where(F.col("id").isNotNull())
             .mapInArrow(_kept_sets(sent), "id long, hashes binary"))
     return (meetings.join(kept, "id").repartition("block", "part").sortWithinPartitions("block", "part", "probe", "id")
-            .select("block", "part", "probe", "id", "c", "hashes").mapInArrow(_compare, "a long, b long").distinct())
+            .select("block", "part", "probe", "c", "hashes").mapInArrow(_compare, "a long, b long").distinct())
 
 
 def _hosts(batches):
@@ -462,7 +462,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = materialize(labelled(members, "id", "c").select("key", "id", "n", "pos", "c"), "members")
     hosts = (members.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_hosts, "block long, c long").distinct())
     hosts = materialize(hosts, "hosts")
-    if not hosts.isEmpty():
-        found = components(links.union(_between(rows, sets, members, hosts)).union(copies), "a", "b")
+    if not hosts.isEmpty():  # the labels of components that links join
+        joined = components(_between(rows, sets, members, hosts), "a", "b").select(F.col("id").alias("component"), F.col("component").alias("to"))
+        found = (found.join(joined, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+                 .union(joined.join(found.select("id"), joined["component"] == found["id"], "left_anti").select("component", "to")))
     out = sets.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
