@@ -437,7 +437,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = materialize(linked.where("id != hub"), "shared")
 
     size = sets.select("id", "n", "ranges").where("n > 0 and id is not null")
-    tried = shared.groupBy(*_ordered("hub", "id")).agg(F.max(_fits("n", "pos", "hub_n", "hub_pos")).alias("fits")).where("fits")
+    tried = shared.where(_fits("n", "pos", "hub_n", "hub_pos")).select(*_ordered("hub", "id")).distinct()
     tried = materialize(tried.select("a", "b")
                         .join(size.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("ranges_b")), "b")
                         .join(size.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("ranges_a")), "a")
@@ -454,13 +454,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return df.join(found.select(F.col("id").alias(col), F.col("component").alias(label)), col, "left").withColumn(
             label, F.coalesce(label, col))
 
-    ends = labelled(labelled(shared.select("key", "id", "hub"), "id", "c"), "hub", "hub_c")
     # the two documents of a key with one row have been compared
-    mixed = ends.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("c") != F.col("hub_c")).alias("mixed")).where("rows > 1 and mixed").select("key")
-    members = (shared.select("key", "id", "n", "pos").union(shared.select("key", "hub", "hub_n", "hub_pos"))
-               .join(mixed, "key", "left_semi").distinct())
+    again = materialize(shared.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"), "again")
+    both = F.explode(F.array(F.struct("id", "n", "pos"), F.struct(F.col("hub").alias("id"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos"))))
+    members = materialize(shared.join(again, "key", "left_semi").select("key", both.alias("m")).select("key", "m.*").distinct(), "unlabelled")
     members = materialize(labelled(members, "id", "c").select("key", "id", "n", "pos", "c"), "members")
-    hosts = (members.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_hosts, "block long, c long").distinct())
+    mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    mixed = members.join(mixed, "key", "left_semi")
+    hosts = (mixed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_hosts, "block long, c long").distinct())
     hosts = materialize(hosts, "hosts")
     if not hosts.isEmpty():  # the labels of components that links join
         joined = components(_between(rows, sets, members, hosts), "a", "b").select(F.col("id").alias("component"), F.col("component").alias("to"))
