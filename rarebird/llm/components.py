@@ -30,23 +30,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertex, the smallest one that the edges (u, v) join it to), for each that isn't that itself."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[:len(u)], at[len(u):]
+    low = np.arange(len(ids))
+    while True:
+        x, y = low[u], low[v]
+        if (x == y).all():
+            break
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+    joined = np.flatnonzero(low != np.arange(len(ids)))
+    return ids[joined], ids[low[joined]]
+
+
 def _forests(batches):
     """Each batch's edges (u, v) -> each vertex with the smallest one that the batch's edges reach."""
     import pyarrow as pa
 
     for b in batches:
-        ids, at = np.unique(np.concatenate([np.asarray(b.column(c)) for c in ("u", "v")]), return_inverse=True)
-        u, v = at[:b.num_rows], at[b.num_rows:]
-        low = np.arange(len(ids))
-        while True:
-            x, y = low[u], low[v]
-            if (x == y).all():
-                break
-            np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
-            while (low[low] != low).any():
-                low = low[low]
-        joined = np.flatnonzero(low != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[joined]), pa.array(ids[low[joined]])], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*[np.asarray(b.column(c)) for c in ("u", "v")])], names=["u", "v"])
 
 
 def _stars(edges: DataFrame) -> bool:

@@ -6,13 +6,18 @@
    blocks, cut by range over many tasks.
 3. Rounds: vectors that stand in the same list, forward or reverse, are compared with each
    other; what beats the last entry of either's list is emitted, and every vertex keeps its
-   ``K`` best. Where all of them are links the list is saturated and grows to ``GROWN``.
-   A vertex in very many lists is dealt into groups of about ``GROUP``.
-   Rounds end when one finds no further link.
-4. Links join vertices to components, the closure of neighbours-of-neighbours. Inside a
-   component of any size all pairs are compared by block products, which return counts
-   and no pairs: so no list is too short for the number of links.
-5. Recall is audited: ``AUDIT`` vectors are held against all others by brute force. Below
+   ``K`` best. Where all of them are links the list is saturated and grows to ``GROWN``,
+   also by weaker links. A vertex in very many lists is dealt into groups of about ``GROUP``.
+   Rounds end when one changes no list.
+4. The lists steer the search only. Every pair that a block or a round finds to be a link
+   joins its vertices, whether a list takes it or not: a task sends a spanning forest of the
+   links that it met.
+5. Joined vertices are components. One that stands near another (angle between the centres at
+   most both radii and the threshold's angle; looked for as in 2, a component being one
+   row) is held against it by block products, until no two of them join. Inside a component of
+   any size all pairs are compared by block products, which return counts and no pairs: so
+   no list is too short for the number of links.
+6. Recall is audited: ``AUDIT`` vectors are held against all others by brute force. Below
    ``RECALL`` the search goes on with new first lists, added to what is known.
 
 Vectors that are null, zero, empty or hold null or non-finite components are no vertices.
@@ -26,16 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rarebird.llm.components import components
+from rarebird.llm.components import components, forest
 from rarebird.llm.tables import materialize
 
 THRESHOLD = 0.95
 TABLES, BLOCK, K, GROWN, GROUP = 6, 256, 12, 48, 48
-ROUNDS, TRIES = 6, 3
+TRIES = 3
 #: Documented bound of the audit's queries, and the recall that ends the search.
 AUDIT, RECALL = 2048, 0.98
 #: Rows of a component that are multiplied at once.
 PRODUCT = 1024
+#: Links that a task holds before it sends their forest.
+HELD = 1 << 18
+PAIRS = "v long, u long, sim double, joined boolean"
 
 
 def unit(raw: list[bytes], dims: int) -> np.ndarray:
@@ -83,8 +91,8 @@ def _pack(dims: int):
     return run
 
 
-def _codes(planes, dims: int):
-    """For each table: a vector's side of the hyperplanes, and its place along one more direction."""
+def _codes(planes, dims: int, *also: str):
+    """For each table: a vector's side of the hyperplanes, and its place along one more direction; columns ``also`` as they are."""
     def run(batches):
         import pyarrow as pa
 
@@ -96,55 +104,87 @@ def _codes(planes, dims: int):
                 side = x @ p
                 code = ((side[:, 1:] > 0) << np.arange(side.shape[1] - 1)).sum(1) if side.shape[1] > 1 else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), t, np.int32)), pa.array(code.astype(np.int64)), pa.array(side[:, 0]), b.column("id"), b.column("vec")],
-                    names=["t", "code", "along", "id", "vec"])
+                    [pa.array(np.full(len(x), t, np.int32)), pa.array(code.astype(np.int64)), pa.array(side[:, 0]), b.column("id"), b.column("vec"),
+                     *map(b.column, also)], names=["t", "code", "along", "id", "vec", *also])
 
     return run
 
 
-def _best(ids: np.ndarray, x: np.ndarray, k: int):
+def _best(ids: np.ndarray, sim: np.ndarray, k: int, threshold: float):
     """(v, u, sim): the k most similar others of each row, and all that are links up to GROWN."""
-    sim = x @ x.T
-    np.fill_diagonal(sim, -2)
-    k = min(k, len(ids) - 1)
-    if k < 1:
+    most = min(max(k, GROWN), len(ids) - 1)
+    if most < 1:
         return None
-    top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(ids)), k)
-    cols = top.ravel()
-    return ids[rows], ids[cols], sim[rows, cols]
+    top = np.argpartition(-sim, most - 1, axis=1)[:, :most]
+    got = np.take_along_axis(sim, top, 1)
+    order = np.argsort(-got, axis=1, kind="stable")
+    top, got = np.take_along_axis(top, order, 1), np.take_along_axis(got, order, 1)
+    rows, at = np.nonzero((np.arange(most) < k) | (got >= threshold))
+    return ids[rows], ids[top[rows, at]], got[rows, at]
 
 
 def _pairs_out(v, u, s):
     import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array(v), pa.array(u), pa.array(s)], names=["v", "u", "sim"])
+    return pa.RecordBatch.from_arrays([pa.array(v), pa.array(u), pa.array(s), pa.array(np.zeros(len(v), bool))], names=["v", "u", "sim", "joined"])
 
 
-def _first_lists(dims: int, block: int, k: int):
-    def run(batches):
-        for g in groups(batches, "t"):
-            ids = np.asarray(g.column("id"))
-            vec = g.column("vec")
-            for at in range(0, len(ids), block // 2):  # blocks overlap by half
-                part = slice(at, at + block)
-                out = _best(ids[part], unit(vec[part].to_pylist(), dims), k)
-                if out:
-                    yield _pairs_out(*out)
-                if at + block >= len(ids):
+class _Links:
+    """The links that a task meets, as spanning forests of at most HELD of them."""
+
+    def __init__(self) -> None:
+        self.u, self.v, self.n = [], [], 0
+
+    def add(self, ids: np.ndarray, near: np.ndarray):
+        a, b = np.nonzero(np.triu(near, 1))
+        self.u.append(ids[a])
+        self.v.append(ids[b])
+        self.n += len(a)
+        if self.n >= HELD:
+            yield from self.out()
+
+    def out(self):
+        import pyarrow as pa
+
+        if self.n:
+            v, u = forest(np.concatenate(self.u), np.concatenate(self.v))
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u), pa.nulls(len(v), pa.float64()), pa.array(np.ones(len(v), bool))],
+                                             names=["v", "u", "sim", "joined"])
+        self.u, self.v, self.n = [], [], 0
+
+
+def _blocks(batches, block: int):
+    """Rows of one table in its order, in blocks that overlap by half, formed inside each batch."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        for g in groups(iter([b]), "t"):
+            for at in range(0, g.num_rows, block // 2):
+                yield g.slice(at, block)
+                if at + block >= g.num_rows:
                     break
 
-    def bounded(batches):
-        # a task's rows come in batches; blocks are formed inside each
-        for b in batches:
-            if b.num_rows:
-                yield from run(iter([b]))
 
-    return bounded
+def _first_lists(dims: int, block: int, k: int, threshold: float):
+    def run(batches):
+        links = _Links()
+        for g in _blocks(batches, block):
+            ids = np.asarray(g.column("id"))
+            x = unit(g.column("vec").to_pylist(), dims)
+            sim = x @ x.T
+            np.fill_diagonal(sim, -2)
+            yield from links.add(ids, sim >= threshold)
+            out = _best(ids, sim, k, threshold)
+            if out:
+                yield _pairs_out(*out)
+        yield from links.out()
 
+    return run
 
-def _local_join(dims: int):
+
+def _local_join(dims: int, threshold: float):
     def run(batches):
+        links = _Links()
         for g in groups(batches, "w", "salt"):
             ids = np.asarray(g.column("u"))
             if len(ids) < 2:
@@ -152,25 +192,32 @@ def _local_join(dims: int):
             last = np.asarray(g.column("last"))
             x = unit(g.column("vec").to_pylist(), dims)
             sim = x @ x.T
-            np.fill_diagonal(sim, -2)
-            a, b = np.nonzero((sim > last[:, None]) & (ids[:, None] != ids[None, :]))
+            sim[ids[:, None] == ids[None, :]] = -2
+            yield from links.add(ids, sim >= threshold)
+            a, b = np.nonzero((sim > last[:, None]) & (sim > -2))
             if len(a):
                 yield _pairs_out(ids[a], ids[b], sim[a, b])
+        yield from links.out()
 
     return run
 
 
 def _lists(pairs: DataFrame, k: int = K, grown: int = GROWN, threshold: float = THRESHOLD) -> DataFrame:
-    best = pairs.groupBy("v", "u").agg(F.max("sim").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.col("sim").desc(), "u"))
-    return best.withColumn("r", rank).where((F.col("r") <= grown) & ((F.col("r") <= k) | (F.col("sim") >= threshold))).drop("r")
+    """The lists' entries (sim), and the vertices that links join (joined, without a sim where no list has the entry)."""
+    best = pairs.groupBy("v", "u").agg(F.max("sim").alias("sim"), F.max("joined").alias("joined"))
+    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.col("sim").desc_nulls_last(), "u"))
+    listed = F.col("sim").isNotNull() & (F.col("r") <= grown) & ((F.col("r") <= k) | (F.col("sim") >= threshold))
+    return best.withColumn("r", rank).where(listed | F.col("joined")).select("v", "u", F.when(listed, F.col("sim")).alias("sim"), "joined")
 
 
-def _round(lists: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
+def _round(lists: DataFrame, vectors: DataFrame, dims: int, threshold: float) -> DataFrame:
     """The pairs that the vertices of common lists bring."""
+    lists = lists.where("sim is not null")
     last = lists.groupBy("v").agg(F.min("sim").alias("last"), F.count(F.lit(1)).alias("n"))
-    # a list that isn't full takes anything; a saturated one what is a link
-    last = last.select(F.col("v").alias("u"), F.when(F.col("n") < K, -2.0).otherwise(F.col("last")).alias("last"))
+    # a list that isn't full takes anything; a saturated one what is a link, while it may grow
+    link = float(np.nextafter(threshold, -1))
+    last = last.select(F.col("v").alias("u"), F.when(F.col("n") < K, -2.0).when(F.col("n") < GROWN, F.least("last", F.lit(link)))
+                       .otherwise(F.col("last")).alias("last"))
     known = vectors.select(F.col("id").alias("u"), "vec").join(last, "u", "left").fillna(-2.0, ["last"])
     reverse = lists.select(F.col("u").alias("w"), F.col("v").alias("u"))
     many = reverse.groupBy("w").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
@@ -178,7 +225,7 @@ def _round(lists: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
     own = lists.select(F.col("v").alias("w"), F.lit(1).cast("long").alias("salt"), "u")
     members = own.union(dealt).distinct()
     return (members.join(known, "u").repartition("w", "salt").sortWithinPartitions("w", "salt", "u")
-            .mapInArrow(_local_join(dims), "v long, u long, sim double"))
+            .mapInArrow(_local_join(dims, threshold), PAIRS))
 
 
 def _products(dims: int, threshold: float):
@@ -213,6 +260,122 @@ def _count_links(vectors: DataFrame, found: DataFrame, dims: int, threshold: flo
     return found.join(links, "id", "left").fillna(0, ["links"])
 
 
+def _sums(dims: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                ids, at = np.unique(np.asarray(b.column("component")), return_inverse=True)
+                total = np.zeros((len(ids), dims))
+                np.add.at(total, at, unit(b.column("vec").to_pylist(), dims))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in total], pa.binary())], names=["component", "vec"])
+
+    return run
+
+
+def _centres(dims: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for g in groups(batches, "component"):
+            x = np.frombuffer(b"".join(g.column("vec").to_pylist()), np.float64).reshape(-1, dims).sum(0)
+            if not np.abs(x).max() > 0:
+                x = np.eye(1, dims)[0]  # any direction will do; the radius is measured from it
+            yield pa.RecordBatch.from_arrays([g.column("component").slice(0, 1), pa.array([x.tobytes()], pa.binary())], names=["component", "centre"])
+
+    return run
+
+
+def _angles(x: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x, -1, 1))
+
+
+def _radii(dims: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                x, y = (unit(b.column(c).to_pylist(), dims) for c in ("vec", "centre"))
+                yield pa.RecordBatch.from_arrays([b.column("component"), pa.array(_angles((x * y).sum(1)))], names=["component", "radius"])
+
+    return run
+
+
+def _near(dims: int, block: int, threshold: float):
+    """(a, b): components of a block that may hold a link between them."""
+    def run(batches):
+        import pyarrow as pa
+
+        for g in _blocks(batches, block):
+            ids, radius = np.asarray(g.column("id")), np.asarray(g.column("radius"))
+            x = unit(g.column("vec").to_pylist(), dims)
+            reach = radius[:, None] + radius[None, :] + np.arccos(threshold) + 1e-6
+            a, b = np.nonzero(np.triu(_angles(x @ x.T) <= reach, 1))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+    return run
+
+
+def _cross(dims: int, threshold: float):
+    def run(batches):
+        import pyarrow as pa
+
+        for g in groups(batches, "block", "i", "j"):
+            guest, c = np.asarray(g.column("guest").cast(pa.int8())) > 0, np.asarray(g.column("c"))
+            x = unit(g.column("vec").to_pylist(), dims)
+            a, b = np.nonzero((x[~guest] @ x[guest].T >= threshold) & (c[~guest][:, None] != c[guest][None, :]))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in forest(c[~guest][a], c[guest][b])], names=["a", "b"])
+
+    return run
+
+
+def _held(placed: DataFrame, vectors: DataFrame, dims: int, threshold: float) -> DataFrame:
+    """(a, b): components c that links join, of each block's own rows held against its guests.
+
+    ``placed``: (block, guest boolean, id, c)."""
+    chunks = lambda side: F.ceil(F.count(F.when(side, 1)) / PRODUCT)
+    sizes = placed.groupBy("block").agg(chunks(~F.col("guest")).alias("hosts"), chunks(F.col("guest")).alias("guests"))
+    either = lambda a, b: F.when(F.col("guest"), F.col(a)).otherwise(F.col(b))
+    rows = (placed.join(sizes, "block").withColumn("mine", F.pmod(F.xxhash64("id"), either("guests", "hosts")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), either("hosts", "guests") - 1)))
+            .select("block", "guest", "id", "c", either("other", "mine").alias("i"), either("mine", "other").alias("j")))
+    return (rows.join(vectors.select("id", "vec"), "id").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "guest", "id")
+            .mapInArrow(_cross(dims, threshold), "a long, b long").distinct())
+
+
+def _labelled(vectors: DataFrame, found: DataFrame) -> DataFrame:
+    return vectors.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("c"))
+
+
+def _met(vectors: DataFrame, found: DataFrame, dims: int, threshold: float, place) -> DataFrame:
+    """(a, b): components that links join, of those that stand near each other.
+
+    ``place`` puts rows (id, vec, radius) in the order of blocks."""
+    inside = vectors.join(found, "id").select("component", "vec")
+    centres = (inside.mapInArrow(_sums(dims), "component long, vec binary").repartition("component").sortWithinPartitions("component")
+               .mapInArrow(_centres(dims), "component long, centre binary"))
+    centres = materialize(centres, "centres")
+    radii = (inside.join(centres, "component").mapInArrow(_radii(dims), "component long, radius double")
+             .groupBy("component").agg(F.max("radius").alias("radius")))
+    alone = vectors.join(found, "id", "left_anti").select("id", "vec", F.lit(0.0).alias("radius"))
+    objects = materialize(centres.join(radii, "component").select(F.col("component").alias("id"), F.col("centre").alias("vec"), "radius").union(alone), "objects")
+    near = materialize(place(objects).mapInArrow(_near(dims, BLOCK, threshold), "a long, b long")
+                       .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    # the larger of two components is the host: its rows stand once against all its guests
+    labelled = materialize(_labelled(vectors, found), "labelled")
+    sizes = labelled.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    sized = (near.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("n_a")), "a")
+             .join(sizes.select(F.col("c").alias("b"), F.col("n").alias("n_b")), "b"))
+    larger = F.col("n_a") >= F.col("n_b")
+    meets = sized.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("block"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("c"))
+    sides = meets.select("block", F.lit(True).alias("guest"), "c").union(meets.select("block", F.lit(False), F.col("block")).distinct())
+    return _held(materialize(sides.join(labelled, "c").select("block", "guest", "id", "c"), "sides"), vectors, dims, threshold)
+
+
 def _true_links(queries, dims: int, threshold: float):
     def run(batches):
         import pyarrow as pa
@@ -243,6 +406,11 @@ def audit(vectors: DataFrame, counted: DataFrame, dims: int, threshold: float, q
     return 1.0 if not got.t else got.f / got.t
 
 
+def _state(lists: DataFrame) -> tuple:
+    """What changes with the lists' entries."""
+    return tuple(lists.where("sim is not null").agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(v, u))")).first())
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD,
                     seed: int = 7) -> DataFrame:
     """(id, n_links, component_id, kept, audit_recall), one row for each row of ``df``.
@@ -270,25 +438,34 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     same_id = vertices.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     rng = np.random.default_rng(seed)
-    lists, links_before, recall, counted, found = None, -1, 0.0, None, None
+    lists, recall, counted = None, 0.0, None
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK))))
-    for _ in range(TRIES if n else 0):
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * TABLES // 100_000))
+
+    def place(df: DataFrame, *also: str) -> DataFrame:
         planes = spark.sparkContext.broadcast([rng.standard_normal((dims, bits + 1)) for _ in range(TABLES)])
-        placed = vectors.mapInArrow(_codes(planes, dims), "t int, code long, along double, id long, vec binary")
-        width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * TABLES // 100_000))
-        first = (placed.repartitionByRange(width, "t", "code", "along", "id").sortWithinPartitions("t", "code", "along", "id")
-                 .mapInArrow(_first_lists(dims, BLOCK, K), "v long, u long, sim double"))
-        lists = materialize(_lists(first if lists is None else first.union(lists)), "lists")
-        for _ in range(ROUNDS):
-            lists = materialize(_lists(_round(lists, vectors, dims).union(lists)), "lists")
-            links = lists.where(F.col("sim") >= threshold).count()
-            if links == links_before:
-                break
-            links_before = links
-        edges = lists.where(F.col("sim") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b")).union(same_id)
+        schema = "t int, code long, along double, id long, vec binary" + "".join(f", {c} double" for c in also)
+        return (df.mapInArrow(_codes(planes, dims, *also), schema)
+                .repartitionByRange(width, "t", "code", "along", "id").sortWithinPartitions("t", "code", "along", "id"))
+
+    def settle(edges: DataFrame) -> tuple[DataFrame, DataFrame, float]:
         found = components(edges, "a", "b")
         counted = materialize(_count_links(vectors, found, dims, threshold), "counted")
-        recall = audit(vectors, counted, dims, threshold)
+        return found, counted, audit(vectors, counted, dims, threshold)
+
+    for _ in range(TRIES if n else 0):
+        first = place(vectors.select("id", "vec")).mapInArrow(_first_lists(dims, BLOCK, K, threshold), PAIRS)
+        lists = materialize(_lists(first if lists is None else first.union(lists), threshold=threshold), "lists")
+        before = None
+        while (now := _state(lists)) != before:
+            before = now
+            lists = materialize(_lists(_round(lists, vectors, dims, threshold).union(lists), threshold=threshold), "lists")
+        edges = lists.where(F.col("joined") | (F.col("sim") >= threshold)).select(F.col("v").alias("a"), F.col("u").alias("b")).union(same_id)
+        found = components(edges, "a", "b")
+        while not (met := materialize(_met(vectors, found, dims, threshold, lambda x: place(x, "radius")), "met")).isEmpty():
+            edges = edges.union(met)
+            found = components(edges, "a", "b")
+        found, counted, recall = settle(edges)
         if recall >= RECALL:
             break
     keys = vertices.select("v", "id", "rep", "copies")

@@ -185,6 +185,23 @@ def test_nn_descent_equals_brute_force(spark):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_nn_descent_joins_groups_whose_lists_are_full(spark):
+    rng = np.random.default_rng(8)
+    e = np.eye(16)
+    at = lambda a, b, cos: cos * e[a] + np.sqrt(1 - cos * cos) * e[b]
+    # two groups of more than GROWN, each vector's nearest in its own; one chain of them; one group apart
+    x = [c + 0.002 * rng.standard_normal(16) for c in (e[0], at(0, 1, 0.9503), e[5]) for _ in range(120)]
+    x += list(rng.standard_normal((200, 16)))
+    u = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    top = brute_components(list(zip(*np.nonzero(near))), range(len(x)))
+    assert top[0] == top[130] != top[250]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nn_descent.near_duplicates(df).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, int(k), top[i]) for i, k in enumerate(near.sum(1))}
+
+
 def test_decontamination(spark, odd, empty):
     rng = random.Random(4)
     word = lambda: f"t{rng.randrange(5000)}"
