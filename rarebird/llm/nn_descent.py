@@ -17,8 +17,10 @@
    row) is held against it by block products, until no two of them join. Inside a component of
    any size all pairs are compared by block products, which return counts and no pairs: so
    no list is too short for the number of links.
-6. Recall is audited: ``AUDIT`` vectors are held against all others by brute force. Below
-   ``RECALL`` the search goes on with new first lists, added to what is known.
+6. Recall is audited: ``AUDIT`` vectors are held against all others by brute force. The figure
+   is the share of those with links whose number of links is right, each component
+   counting once. Below ``RECALL`` the search goes on with new first lists, added to what is
+   known, and after ``TRIES`` of them all vectors are held against all others.
 
 Vectors that are null, zero, empty or hold null or non-finite components are no vertices.
 Shorter vectors count as filled up with zeros.
@@ -376,6 +378,12 @@ def _met(vectors: DataFrame, found: DataFrame, dims: int, threshold: float, plac
     return _held(materialize(sides.join(labelled, "c").select("block", "guest", "id", "c"), "sides"), vectors, dims, threshold)
 
 
+def _all_met(vectors: DataFrame, found: DataFrame, dims: int, threshold: float) -> DataFrame:
+    """(a, b): components that links join, of all."""
+    placed = _labelled(vectors, found).select(F.lit(0).cast("long").alias("block"), F.explode(F.array(F.lit(False), F.lit(True))).alias("guest"), "id", "c")
+    return _held(materialize(placed, "sides"), vectors, dims, threshold)
+
+
 def _true_links(queries, dims: int, threshold: float):
     def run(batches):
         import pyarrow as pa
@@ -394,7 +402,9 @@ def _true_links(queries, dims: int, threshold: float):
 
 
 def audit(vectors: DataFrame, counted: DataFrame, dims: int, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the true links of at most ``queries`` vertices (smallest hashes) that were found."""
+    """Share of at most ``queries`` vertices (smallest hashes) whose number of links is right, of those that have any.
+
+    Vertices of one component count as one together, so a large group can't hide what is lost elsewhere."""
     spark = vectors.sparkSession
     drawn = vectors.orderBy(F.xxhash64("id"), "id").limit(queries).select("id", "vec").collect()
     if not drawn:
@@ -402,8 +412,11 @@ def audit(vectors: DataFrame, counted: DataFrame, dims: int, threshold: float, q
     ids = np.array([r.id for r in drawn], np.int64)
     sent = spark.sparkContext.broadcast((ids, unit([bytes(r.vec) for r in drawn], dims)))
     true = vectors.mapInArrow(_true_links(sent, dims, threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("true"))
-    got = true.join(counted.select("id", "links"), "id", "left").agg(F.sum("true").alias("t"), F.sum(F.coalesce("links", F.lit(0))).alias("f")).first()
-    return 1.0 if not got.t else got.f / got.t
+    right = F.when(F.col("true") == F.coalesce("links", F.lit(0)), 1.0).otherwise(0.0)
+    shares = (true.where(F.col("true") > 0).join(counted.select("id", "component", "links"), "id", "left")
+              .groupBy(F.coalesce("component", "id").alias("group")).agg(F.avg(right).alias("share")))
+    got = shares.agg(F.avg("share")).first()[0]
+    return 1.0 if got is None else got
 
 
 def _state(lists: DataFrame) -> tuple:
@@ -468,6 +481,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         found, counted, recall = settle(edges)
         if recall >= RECALL:
             break
+    else:
+        if n:
+            found, counted, recall = settle(edges.union(materialize(_all_met(vectors, found, dims, threshold), "met")))
     keys = vertices.select("v", "id", "rep", "copies")
     if counted is not None and not same_id.isEmpty():  # numbers given to an id's other vectors are no ids
         named = counted.join(vertices.select("id", "rep"), "id")

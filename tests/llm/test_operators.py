@@ -202,6 +202,30 @@ def test_nn_descent_joins_groups_whose_lists_are_full(spark):
     assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, int(k), top[i]) for i, k in enumerate(near.sum(1))}
 
 
+def nn_vectors(spark, x):
+    return spark.createDataFrame([(i, 1, np.asarray(v, float).tobytes()) for i, v in enumerate(x)], "id long, copies long, vec binary")
+
+
+def test_nn_descent_meets_all_components(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((200, 8))
+    x = np.repeat(base, 2, 0) + 0.02 * rng.standard_normal((400, 8))
+    none = spark.createDataFrame([], "id long, component long")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = [(a, b) for a, b in zip(*np.nonzero(u @ u.T >= 0.95)) if a != b]
+    want = brute_components(pairs, range(400))
+    met = nn_descent._all_met(nn_vectors(spark, x), none, 8, 0.95).collect()
+    assert brute_components([(r.a, r.b) for r in met], range(400)) == want
+
+
+def test_nn_descent_audit_sees_lost_pairs(spark):
+    rng = np.random.default_rng(10)
+    x = [np.eye(32)[0] + 0.01 * rng.standard_normal(32) for _ in range(300)]
+    x += [v + 0.01 * rng.standard_normal(32) for v in rng.standard_normal((30, 32)) for _ in range(2)]
+    counted = spark.createDataFrame([(i, 0, 299) for i in range(300)], "id long, component long, links long")  # no pair found
+    assert nn_descent.audit(nn_vectors(spark, x), counted, 32, 0.95) < 0.1
+
+
 def test_decontamination(spark, odd, empty):
     rng = random.Random(4)
     word = lambda: f"t{rng.randrange(5000)}"
