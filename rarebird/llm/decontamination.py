@@ -2,11 +2,11 @@
 
 The benchmark is the query set; it goes to the tasks in blocks of bounded size, and every
 block meets every document. In a document, a window has as many words as the item it is
-held against. The similarity is over weighted word 5-grams (weight: occurrences):
-sum of the smaller weights by sum of the larger, at least 75 / 100.
+held against; a shorter document is one window. The similarity is over weighted word 5-grams
+(weight: occurrences): sum of the smaller weights by sum of the larger, at least 75 / 100.
 
-* Two n-gram lists of m entries each that are so similar share at least 150 m / 175 of
-  them, so windows with fewer benchmark n-grams can't match and get no fingerprint. This
+* Two n-gram lists of m and k entries that are so similar share at least 75 (m + k) / 175
+  of them, so windows with fewer benchmark n-grams can't match and get no fingerprint. This
   loses nothing; most documents have no such window.
 * The remaining windows get a 64-bit SimHash. Items are indexed by each of RADIUS + 1 bit
   blocks of their fingerprints; fingerprints at most RADIUS bits apart agree in one block
@@ -50,6 +50,11 @@ def signs_of(grams: np.ndarray) -> np.ndarray:
     return bits.astype(np.int32) * 2 - 1
 
 
+def fewest(a: int, b: int) -> int:
+    """The fewest shared entries of two similar n-gram lists."""
+    return -(-NUM * (a + b) // (DEN + NUM))
+
+
 def block_edges(radius: int) -> np.ndarray:
     return np.linspace(0, BITS, radius + 2).round().astype(np.int64)
 
@@ -61,7 +66,7 @@ class Index:
         self.words, self.size = words, min(words, WORDS)
         self.grams_in = words - self.size + 1
         #: The fewest benchmark n-grams of a window that can match.
-        self.needed = -(-2 * NUM * self.grams_in // (DEN + NUM))
+        self.needed = fewest(self.grams_in, self.grams_in)
         self.ids, self.radius = np.array(ids, np.int64), radius
         self.weights = [np.unique(g, return_counts=True) for g in grams]
         self.prints = np.array([simhash(signs_of(g).sum(0)[None])[0] for g in grams], np.uint64)
@@ -117,6 +122,15 @@ def _built(items: tuple, radius: int):
     return build(list(items), radius)
 
 
+def window_signs(grams: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Summed signs of the windows of ``size`` n-grams at the ascending places ``start``."""
+    lo, hi = int(start[0]), int(start[-1]) + size
+    if hi - lo > 8 * len(start) * size:  # far apart: window by window
+        return np.stack([signs_of(grams[s:s + size]).sum(0) for s in start.tolist()])
+    run = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs_of(grams[lo:hi]), axis=0, dtype=np.int32)])
+    return run[start - lo + size] - run[start - lo]
+
+
 def matches_of(words: np.ndarray, indexes: list[Index], known: dict[int, np.ndarray]):
     """Yield (item id, first word, words, shared, total) of the windows of one document that match."""
     hits = {}
@@ -130,23 +144,19 @@ def matches_of(words: np.ndarray, indexes: list[Index], known: dict[int, np.ndar
         if index.size not in hits:
             continue
         grams, before = hits[index.size]
-        if before[-1] < index.needed or len(grams) < index.grams_in:
+        size = min(index.grams_in, len(grams))  # a shorter document is one window
+        needed = fewest(size, index.grams_in)
+        if before[-1] < needed or size < needed:
             continue
-        start = np.flatnonzero(before[index.grams_in:] - before[:-index.grams_in] >= index.needed)
+        start = np.flatnonzero(before[size:] - before[:-size] >= needed)
         for part in np.array_split(start, max(1, len(start) // 2048)):
             if not len(part):
                 continue
-            lo, hi = int(part[0]), int(part[-1]) + index.grams_in
-            if hi - lo > 8 * len(part) * index.grams_in:  # far apart: window by window
-                signs = np.stack([signs_of(grams[s:s + index.grams_in]).sum(0) for s in part.tolist()])
-            else:
-                run = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs_of(grams[lo:hi]), axis=0, dtype=np.int32)])
-                signs = run[part - lo + index.grams_in] - run[part - lo]
-            for w, item in zip(*index.near(simhash(signs)), strict=True):
+            for w, item in zip(*index.near(simhash(window_signs(grams, part, size))), strict=True):
                 s = int(part[w])
-                shared, total = index.similarity(grams[s:s + index.grams_in], int(item))
+                shared, total = index.similarity(grams[s:s + size], int(item))
                 if DEN * shared >= NUM * total:
-                    yield int(index.ids[item]), s, index.words, shared, total
+                    yield int(index.ids[item]), s, min(index.words, len(words)), shared, total
 
 
 def _matches(sent, radius: int):
@@ -181,7 +191,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   item_col: str = "item_id", item_text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, item_id, first_word, n_words, similarity): each item that a document holds, with its best window.
 
-    Of windows as similar, the first counts. Null, empty and blank texts and items match
+    Of windows as similar, the first counts; a document shorter than the item is one window. Null, empty and blank texts and items match
     nothing; an item of fewer than 5 words must occur word for word; equal items are
     reported each; null or repeated document ids keep their rows' matches. Empty tables
     give an empty result. Other columns are not read.

@@ -249,6 +249,23 @@ def test_decontamination(spark, odd, empty):
     assert decontamination.contamination(empty, bench).count() == decontamination.contamination(df, bench.limit(0)).count() == 0
 
 
+def found_in(text, items):
+    indexes, known = decontamination.build(list(enumerate(items)), decontamination.RADIUS)
+    words, _ = ngram_join.word_hashes([text.encode()])
+    return {(item, n): shared / total for item, _, n, shared, total in decontamination.matches_of(words, indexes, known)}
+
+
+def test_decontamination_of_documents_shorter_than_the_item():
+    rng = random.Random(14)
+    for k in (15, 30, 59):
+        item = [f"s{rng.randrange(5000)}" for _ in range(k)]
+        for words in (item[1:], item[:-1], item[1:-1]):
+            m = len(words) - 4
+            assert found_in(" ".join(words), [" ".join(item)]) == {(0, len(words)): m / (k - 4)}
+        assert found_in(" ".join(item[k // 2:]), [" ".join(item)]) == {}
+    assert found_in("a b c", ["a b c d e f"]) == {}
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(6)
     grams = [rng.integers(0, 2**63, 26, dtype=np.uint64) for _ in range(50)]
