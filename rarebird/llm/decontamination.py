@@ -12,6 +12,8 @@ held against; a shorter document is one window. The similarity is over weighted
   blocks of their fingerprints; fingerprints at most RADIUS bits apart agree in one block
   at least, so lookups find all of them. At similarity 0.75 two fingerprints differ in 11
   bits on average (standard deviation 3); RADIUS is four deviations above.
+  The k-th occurrence of an n-gram in a window is a feature of its own, so the similarity is
+  that of two sets and one n-gram that repeats can't outweigh the others.
 * Candidates are verified on the weighted n-grams themselves.
 """
 
@@ -50,6 +52,25 @@ def signs_of(grams: np.ndarray) -> np.ndarray:
     return bits.astype(np.int32) * 2 - 1
 
 
+def occurrences(windows: np.ndarray) -> np.ndarray:
+    """Features of the windows (rows) of n-grams: an n-gram's first occurrence is itself, each further one another hash."""
+    grams = np.sort(windows, axis=1)
+    at = np.broadcast_to(np.arange(grams.shape[1]), grams.shape)
+    first = np.ones(grams.shape, bool)
+    first[:, 1:] = grams[:, 1:] != grams[:, :-1]
+    nth = (at - np.maximum.accumulate(np.where(first, at, 0), axis=1)).astype(np.uint64)
+    return np.where(first, grams, _mix(grams + nth * PLACE[0]))
+
+
+def last_repeats(grams: np.ndarray) -> np.ndarray:
+    """For each place, the latest one whose n-gram stands again up to here (-1: none). Below a window's start, it holds no n-gram twice."""
+    order = np.argsort(grams, kind="stable")
+    before = np.full(len(grams), -1)
+    same = grams[order[1:]] == grams[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    return np.maximum.accumulate(before)
+
+
 def fewest(a: int, b: int) -> int:
     """The fewest shared entries of two similar n-gram lists."""
     return -(-NUM * (a + b) // (DEN + NUM))
@@ -69,7 +90,7 @@ class Index:
         self.needed = fewest(self.grams_in, self.grams_in)
         self.ids, self.radius = np.array(ids, np.int64), radius
         self.weights = [np.unique(g, return_counts=True) for g in grams]
-        self.prints = np.array([simhash(signs_of(g).sum(0)[None])[0] for g in grams], np.uint64)
+        self.prints = np.array([simhash(signs_of(occurrences(g[None])[0]).sum(0)[None])[0] for g in grams], np.uint64)
         self.blocks = []
         edges = block_edges(radius)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -122,13 +143,25 @@ def _built(items: tuple, radius: int):
     return build(list(items), radius)
 
 
-def window_signs(grams: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+def window_signs(grams: np.ndarray, repeats: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     """Summed signs of the windows of ``size`` n-grams at the ascending places ``start``."""
-    lo, hi = int(start[0]), int(start[-1]) + size
-    if hi - lo > 8 * len(start) * size:  # far apart: window by window
-        return np.stack([signs_of(grams[s:s + size]).sum(0) for s in start.tolist()])
-    run = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs_of(grams[lo:hi]), axis=0, dtype=np.int32)])
-    return run[start - lo + size] - run[start - lo]
+    signs = np.empty((len(start), BITS), np.int32)
+    plain = repeats[start + size - 1] < start
+    part = start[plain]
+    if len(part):
+        lo, hi = int(part[0]), int(part[-1]) + size
+        if hi - lo > 8 * len(part) * size:  # far apart: window by window
+            signs[plain] = np.stack([signs_of(grams[s:s + size]).sum(0) for s in part.tolist()])
+        else:
+            run = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs_of(grams[lo:hi]), axis=0, dtype=np.int32)])
+            signs[plain] = run[part - lo + size] - run[part - lo]
+    each = max(1, (1 << 15) // size)
+    rest = np.flatnonzero(~plain)
+    for at in range(0, len(rest), each):  # n-grams that repeat inside the window
+        some = rest[at:at + each]
+        features = occurrences(grams[start[some][:, None] + np.arange(size)])
+        signs[some] = signs_of(features.ravel()).reshape(len(some), size, BITS).sum(1)
+    return signs
 
 
 def matches_of(words: np.ndarray, indexes: list[Index], known: dict[int, np.ndarray]):
@@ -139,11 +172,11 @@ def matches_of(words: np.ndarray, indexes: list[Index], known: dict[int, np.ndar
         at = np.minimum(np.searchsorted(benchmark, grams), len(benchmark) - 1)
         hit = benchmark[at] == grams
         if hit.any():
-            hits[size] = grams, np.concatenate([[0], np.cumsum(hit)])
+            hits[size] = grams, np.concatenate([[0], np.cumsum(hit)]), last_repeats(grams)
     for index in indexes:
         if index.size not in hits:
             continue
-        grams, before = hits[index.size]
+        grams, before, repeats = hits[index.size]
         size = min(index.grams_in, len(grams))  # a shorter document is one window
         needed = fewest(size, index.grams_in)
         if before[-1] < needed or size < needed:
@@ -152,7 +185,7 @@ def matches_of(words: np.ndarray, indexes: list[Index], known: dict[int, np.ndar
         for part in np.array_split(start, max(1, len(start) // 2048)):
             if not len(part):
                 continue
-            for w, item in zip(*index.near(simhash(window_signs(grams, part, size))), strict=True):
+            for w, item in zip(*index.near(simhash(window_signs(grams, repeats, part, size))), strict=True):
                 s = int(part[w])
                 shared, total = index.similarity(grams[s:s + size], int(item))
                 if DEN * shared >= NUM * total:

@@ -266,6 +266,17 @@ def test_decontamination_of_documents_shorter_than_the_item():
     assert found_in("a b c", ["a b c d e f"]) == {}
 
 
+def test_decontamination_finds_windows_with_runs():
+    rng = random.Random(15)
+    word = lambda: f"r{rng.randrange(5000)}"
+    items = [[word() for _ in range(200)] for _ in range(10)]
+    for i, item in enumerate(items):  # 24 words become one run: 168 of 224
+        doc = [word() for _ in range(50)] + item[:80] + ["-"] * 24 + item[104:] + [word() for _ in range(50)]
+        assert found_in(" ".join(doc), [" ".join(x) for x in items]) == {(i, 200): 0.75}
+    run = ["x"] * 40 + items[0][:20]
+    assert found_in(" ".join(run), [" ".join(run)]) == {(0, 60): 1.0}
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(6)
     grams = [rng.integers(0, 2**63, 26, dtype=np.uint64) for _ in range(50)]
