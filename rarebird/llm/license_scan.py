@@ -8,12 +8,14 @@
   divided by the temperature that fits it best; below ``MIN_PROBABILITY`` a paragraph is
   unknown.
 * A predicted family is confirmed against its notices: at least ``MIN_SHARED`` of a
-  notice's distinct word pairs stand in the paragraph. So a paragraph without any marking
-  word of the notices can't be confirmed, and is not scored.
+  notice's distinct word pairs stand in the paragraph. Of each notice, more than the rest of
+  its pairs hold a marking word; so a paragraph without one can't be confirmed, and is not
+  scored. Where that does not hold (a lower ``min_shared``) all paragraphs are scored.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
@@ -57,10 +59,12 @@ NOTICES = {
     "CC0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Licensed under CC0 1.0 Universal."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
-# Of each notice's words, one of these is in it, and any paragraph with three
-# quarters of a notice's word pairs has one too (tested).
+# Marking words of the notices (MARKS inside words too, WHOLE only as words). Pairs without
+# one are less than MIN_SHARED of each notice's (``unmarked``), so no paragraph without one is confirmed.
 MARKS = ("license", "licensed", "licence", "spdx", "permission", "redistribution", "modification", "copyright", "unencumbered", "compliance",
          "granted", "gnu", "waived")
+WHOLE = ("mit", "hereby", "obtaining", "modify", "foundation", "binary", "mozilla", "cc", "cc0", "extent", "domain")
+MARKED = "|".join(MARKS) + r"|(?<![\p{L}\p{N}])(?:" + "|".join(WHOLE) + r")(?![\p{L}\p{N}])"
 
 
 class Scanner(NamedTuple):
@@ -80,12 +84,27 @@ def pairs_of(words: Column) -> Column:
                                        lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))))
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, paragraph, words): the lines that hold a marking word; ``paragraph`` counts lines from 0."""
-    marked = lambda c: F.lower(c).rlike("|".join(MARKS))
-    lines = docs.where(marked(F.col(text_col))).select(
+def _split(line: str) -> list[str]:
+    """``words_of`` a notice, on the driver."""
+    return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", line.lower())
+
+
+def unmarked(words: list[str]) -> float:
+    """Share of a notice's distinct word pairs that hold no marking word."""
+    pairs = set(zip(words[:-1], words[1:], strict=True))
+    return sum(not any(m in w for w in p for m in MARKS) and not set(p) & set(WHOLE) for p in pairs) / len(pairs)
+
+
+def marked(c: Column) -> Column:
+    return F.lower(c).rlike(MARKED)
+
+
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
+    """(id, paragraph, words): the lines that hold a marking word, or all; ``paragraph`` counts lines from 0."""
+    has = (lambda c: F.lit(True)) if every else marked
+    lines = docs.where(has(F.col(text_col))).select(
         F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "line"))
-    return lines.where(marked(F.col("line"))).select("id", "paragraph", words_of(F.col("line")).alias("words"))
+    return lines.where(has(F.col("line"))).select("id", "paragraph", words_of(F.col("line")).alias("words"))
 
 
 def _without(words: str, every: int, at: int) -> Column:
@@ -106,7 +125,7 @@ def training_table(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE
         *[_without("words", 7, k) for k in range(7)],
         F.slice("words", 2, 1000), F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(1))))).alias("words"))
     ordinary = (docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), F.substring_index(F.col(text_col), "\n", 1).alias("line"))
-                .where(~F.lower("line").rlike("|".join(MARKS))).select("h", F.slice(words_of(F.col("line")), 1, 60).alias("words"))
+                .where(~marked(F.col("line"))).select("h", F.slice(words_of(F.col("line")), 1, 60).alias("words"))
                 .orderBy("h", "words").limit(sample))
     return (copies.select("family", "words", F.lit(False).alias("held"))
             .union(ordinary.select(F.lit(UNKNOWN), "words", F.col("h") % 2 == 0))
@@ -166,7 +185,8 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
     notices = spark.createDataFrame([(f, n) for f, ns in NOTICES.items() for n in ns], "family string, line string")
     templates = [(r.family, r.pairs) for r in notices.select(
         "family", F.filter(pairs_of(words_of(F.col("line"))), lambda x: x.isNotNull()).alias("pairs")).collect()]
-    scored = scanner.pipeline.transform(paragraphs(docs, id_col, text_col))
+    every = any(unmarked(_split(n)) >= min_shared for ns in NOTICES.values() for n in ns)
+    scored = scanner.pipeline.transform(paragraphs(docs, id_col, text_col, every))
     p = _probabilities(vector_to_array("rawPrediction"), scanner.temperature)
     guessed = scored.select("id", "paragraph", "words", p.alias("p")).select(
         "id", "paragraph", F.array_max("p").alias("probability"),

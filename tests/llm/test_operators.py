@@ -314,6 +314,16 @@ def test_license_scan(spark, odd, empty):
         assert any(m in notice.lower() for m in license_scan.MARKS)
 
 
+def test_license_marks_lose_nothing(spark):
+    for notice in sum(license_scan.NOTICES.values(), []):
+        words = license_scan._split(notice)
+        assert license_scan.unmarked(words) < license_scan.MIN_SHARED
+    lines = ["Available under CC BY 4.0.", "Shared under CC BY-NC 4.0", "Released under CC0 1.0 Universal", "Released under the MIT terms"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.id for r in license_scan.paragraphs(docs).collect()}
+    assert got == set(range(len(lines)))
+
+
 def test_warc(spark):
     pages = [(1, "http://a/?x=1", "<html lang=en><head><title>T &amp; t</title><script>var a='</p>'</script></head><body><p>One</p><p>two <b>three</b> &lt;x&gt;</p></body>"),
              (2, None, None), (3, "http://b", ""), (3, "http://b", ""), (4, "http://c", "plain\r\n\r\nWARC/1.1\r\nx" + "y" * 20000)]
