@@ -1,10 +1,12 @@
 """License scans: a trained paragraph classifier in DataFrame and ``pyspark.ml`` operations.
 
-* Paragraphs are lines. Their lower-cased words become 1- and 2-grams, hashed to sparse
+* Paragraphs are lines, and runs of neighbouring lines, so that wrapped notices count: a run
+  ends at a line without words, or where its inner lines hold as many words as the longest
+  notice. Comment marks are no words. Their lower-cased words become 1- and 2-grams, hashed to sparse
   vectors; multinomial logistic regression over the licence families and ``unknown`` is
   trained on the notices below (with words left out, so that partial notices count) and
-  on a bounded sample of the corpus's other paragraphs.
-* The unknown class is calibrated: half of the sample is held back, and the logits are
+  on bounded samples of the corpus's other lines, with and without marking words.
+* The unknown class is calibrated: half of the samples is held back, and the logits are
   divided by the temperature that fits it best; below ``MIN_PROBABILITY`` a paragraph is
   unknown.
 * A predicted family is confirmed against its notices: at least ``MIN_SHARED`` of a
@@ -22,11 +24,11 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FEATURES = 1 << 12
-#: Documented bound of the corpus paragraphs in the training table.
+#: Documented bound of the corpus lines in the training table: as many with marking words, and as many without.
 SAMPLE = 2000
 MIN_PROBABILITY, MIN_SHARED = 0.5, 0.75
 UNKNOWN = "unknown"
@@ -65,6 +67,8 @@ MARKS = ("license", "licensed", "licence", "spdx", "permission", "redistribution
          "granted", "gnu", "waived")
 WHOLE = ("mit", "hereby", "obtaining", "modify", "foundation", "binary", "mozilla", "cc", "cc0", "extent", "domain")
 MARKED = "|".join(MARKS) + r"|(?<![\p{L}\p{N}])(?:" + "|".join(WHOLE) + r")(?![\p{L}\p{N}])"
+#: No notice has more words (tested).
+LONGEST = 22
 
 
 class Scanner(NamedTuple):
@@ -100,11 +104,37 @@ def marked(c: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
-    """(id, paragraph, words): the lines that hold a marking word, or all; ``paragraph`` counts lines from 0."""
+    """(id, row, paragraph, until, words): the lines and runs of lines that hold a marking word, or all.
+
+    ``paragraph`` and ``until`` are the first and last line, counted from 0; ``row`` tells the rows of ``docs`` apart."""
     has = (lambda c: F.lit(True)) if every else marked
-    lines = docs.where(has(F.col(text_col))).select(
-        F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "line"))
-    return lines.where(has(F.col("line"))).select("id", "paragraph", words_of(F.col("line")).alias("words"))
+    rows = docs.where(has(F.col(text_col))).select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
+                                                   F.split(F.col(text_col), "\n").alias("lines"))
+    rows = rows.withColumn("has", F.transform("lines", has))
+    # a start: a line such that it or one of the LONGEST after it has a mark
+    starts = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.exists(F.slice("has", i, LONGEST + 1), lambda x: x))
+    windows = rows.select("id", "row", F.explode(F.transform(starts, lambda i: F.struct(
+        (i - 1).alias("paragraph"), F.slice("lines", i, LONGEST + 1).alias("lines"), F.slice("has", i, LONGEST + 1).alias("has")))).alias("w"))
+    words = windows.select("id", "row", "w.paragraph", "w.has", F.transform("w.lines", words_of).alias("lines"))
+    inner = lambda k: F.aggregate(F.slice("lines", F.lit(2), F.greatest(k - 2, F.lit(0))), F.lit(0), lambda a, x: a + F.size(x))
+    whole = lambda k: F.forall(F.slice("lines", F.lit(1), k), lambda x: F.size(x) > 0)
+    found = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda k: F.exists(F.slice("has", F.lit(1), k), lambda x: x)
+                     & ((k == 1) | (whole(k) & (inner(k) < LONGEST - 1))))
+    runs = words.select("id", "row", "paragraph", F.explode(F.transform(found, lambda k: F.struct(
+        k.alias("k"), F.flatten(F.slice("lines", F.lit(1), k)).alias("words")))).alias("r"))
+    return runs.select("id", "row", F.col("paragraph"), (F.col("paragraph") + F.col("r.k") - 1).alias("until"), F.col("r.words").alias("words"))
+
+
+def _notices(spark: SparkSession) -> list[tuple[str, list[str]]]:
+    """(family, distinct word pairs) of each notice."""
+    notices = spark.createDataFrame([(f, n) for f, ns in NOTICES.items() for n in ns], "family string, line string")
+    return [(r.family, r.pairs) for r in notices.select(
+        "family", F.filter(pairs_of(words_of(F.col("line"))), lambda x: x.isNotNull()).alias("pairs")).collect()]
+
+
+def _share(pairs: str, notices: list[list[str]]) -> Column:
+    """The largest share of a notice's pairs that stand in ``pairs``."""
+    return F.greatest(F.lit(0.0), *[F.size(F.array_intersect(pairs, F.array(*map(F.lit, x)))) / F.lit(float(len(x))) for x in notices])
 
 
 def _without(words: str, every: int, at: int) -> Column:
@@ -114,8 +144,9 @@ def _without(words: str, every: int, at: int) -> Column:
 def training_table(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """(family, words, held): whole and shortened notices, and ordinary paragraphs of the corpus.
 
-    The corpus sample is the first marked-free line of the documents with the smallest
-    text hashes, SAMPLE at most."""
+    The corpus samples are the first lines without a mark of the documents with the smallest
+    text hashes, and the lines with a mark, but less than half of any notice's word pairs,
+    with the smallest hashes; ``sample`` of each at most."""
     spark = docs.sparkSession
     notices = spark.createDataFrame([(f, n) for f, ns in NOTICES.items() for n in ns], "family string, line string")
     whole = notices.select("family", words_of(F.col("line")).alias("words"))
@@ -127,8 +158,12 @@ def training_table(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE
     ordinary = (docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), F.substring_index(F.col(text_col), "\n", 1).alias("line"))
                 .where(~marked(F.col("line"))).select("h", F.slice(words_of(F.col("line")), 1, 60).alias("words"))
                 .orderBy("h", "words").limit(sample))
+    lines = (docs.where(marked(F.col(text_col))).select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).where(marked(F.col("line")))
+             .select(F.slice(words_of(F.col("line")), 1, 60).alias("words")).distinct().withColumn("pairs", pairs_of(F.col("words"))))
+    near = (lines.where(_share("pairs", [p for _, p in _notices(spark)]) < 0.5).select(F.xxhash64("words").alias("h"), "words")
+            .orderBy("h", "words").limit(sample))
     return (copies.select("family", "words", F.lit(False).alias("held"))
-            .union(ordinary.select(F.lit(UNKNOWN), "words", F.col("h") % 2 == 0))
+            .union(ordinary.union(near).select(F.lit(UNKNOWN), "words", F.col("h") % 2 == 0))
             .union(whole.select("family", _without("words", 5, 3), F.lit(True)))
             .union(spark.createDataFrame([(UNKNOWN, w.split(), h) for w in ("", "license", "the license", "permission", "all rights reserved copyright",
                                                                             "licensed", "granted", "a license plate", "gnu") for h in (False, True)],
@@ -177,26 +212,28 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
          min_probability: float = MIN_PROBABILITY, min_shared: float = MIN_SHARED) -> DataFrame:
     """(id, paragraph, family, probability, shared): the paragraphs that name a licence.
 
-    Null and empty texts have none; null or repeated ids keep their rows; a line of any
-    length is one paragraph; equally probable families go by their order. An empty table
+    ``paragraph`` is a notice's first line; a run of lines counts where no shorter one inside
+    it names the same licence. Null and empty texts have none; null or repeated ids keep their
+    rows; a line of any length is one paragraph; equally probable families go by their order. An empty table
     gives an empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
-    notices = spark.createDataFrame([(f, n) for f, ns in NOTICES.items() for n in ns], "family string, line string")
-    templates = [(r.family, r.pairs) for r in notices.select(
-        "family", F.filter(pairs_of(words_of(F.col("line"))), lambda x: x.isNotNull()).alias("pairs")).collect()]
+    templates = _notices(docs.sparkSession)
     every = any(unmarked(_split(n)) >= min_shared for ns in NOTICES.values() for n in ns)
     scored = scanner.pipeline.transform(paragraphs(docs, id_col, text_col, every))
     p = _probabilities(vector_to_array("rawPrediction"), scanner.temperature)
-    guessed = scored.select("id", "paragraph", "words", p.alias("p")).select(
-        "id", "paragraph", F.array_max("p").alias("probability"),
+    place = ["id", "row", "paragraph", "until"]
+    guessed = scored.select(*place, "words", p.alias("p")).select(
+        *place, F.array_max("p").alias("probability"),
         F.element_at(F.array(*[F.lit(f) for f in scanner.families]), F.array_position("p", F.array_max("p")).cast("int")).alias("family"),
         pairs_of(F.col("words")).alias("pairs"))
-    by_family = {f: [p for g, p in templates if g == f] for f in NOTICES}
     share = F.lit(0.0)
-    for family, lists in by_family.items():
-        best = F.greatest(F.lit(0.0), *[F.size(F.array_intersect("pairs", F.array(*map(F.lit, x)))) / F.lit(float(len(x))) for x in lists])
-        share = F.when(F.col("family") == family, best).otherwise(share)
+    for family in NOTICES:
+        share = F.when(F.col("family") == family, _share("pairs", [p for f, p in templates if f == family])).otherwise(share)
     kept = guessed.where((F.col("family") != UNKNOWN) & (F.col("probability") >= min_probability)).withColumn("shared", share)
-    return kept.where(F.col("shared") >= min_shared).select(F.col("id").alias(id_col), "paragraph", "family",
-                                                             F.round("probability", 6).alias("probability"), "shared")
+    kept = kept.where(F.col("shared") >= min_shared)
+    # of a document's runs: the shortest from each line, and none that holds a later one
+    same = Window.partitionBy("row", "family")
+    later = same.orderBy(F.col("paragraph").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    kept = (kept.withColumn("r", F.row_number().over(Window.partitionBy("row", "family", "paragraph").orderBy("until"))).where("r = 1")
+            .withColumn("inside", F.min("until").over(later)).where("inside is null or inside > until"))
+    return kept.select(F.col("id").alias(id_col), "paragraph", "family", F.round("probability", 6).alias("probability"), "shared")

@@ -317,13 +317,33 @@ def test_license_scan(spark, odd, empty):
 def test_license_marks_lose_nothing(spark):
     for notice in sum(license_scan.NOTICES.values(), []):
         words = license_scan._split(notice)
-        assert license_scan.unmarked(words) < license_scan.MIN_SHARED
+        assert len(words) <= license_scan.LONGEST and license_scan.unmarked(words) < license_scan.MIN_SHARED
     lines = ["Available under CC BY 4.0.", "Shared under CC BY-NC 4.0", "Released under CC0 1.0 Universal", "Released under the MIT terms"]
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     got = {r.id for r in license_scan.paragraphs(docs).collect()}
     assert got == set(range(len(lines)))
 
 
+def test_license_scan_finds_wrapped_notices(spark):
+    texts = {"MIT": """
+# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction""", "ISC": """
+ * Permission to use, copy, modify, and/or distribute this software for any
+ * purpose with or without fee is hereby granted, provided that""", "GPL-3.0": """
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""", "Apache-2.0": """
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at"""}
+    plain = [(100 + i, f"Line {i} of a story.\nThe general gave permission to use the copyright of {i} files.") for i in range(60)]
+    docs = spark.createDataFrame([*[(i, f"Some first line.\n{t}\n\nmore words") for i, t in enumerate(texts.values())], *plain], "doc_id long, text string")
+    got = license_scan.scan(docs, license_scan.train(docs)).collect()
+    first = {"MIT": 2, "ISC": 2, "GPL-3.0": 3, "Apache-2.0": 2}
+    assert sorted((r.doc_id, r.family, r.paragraph) for r in got) == sorted((i, f, first[f]) for i, f in enumerate(texts))
+
+
 def test_warc(spark):
     pages = [(1, "http://a/?x=1", "<html lang=en><head><title>T &amp; t</title><script>var a='</p>'</script></head><body><p>One</p><p>two <b>three</b> &lt;x&gt;</p></body>"),
              (2, None, None), (3, "http://b", ""), (3, "http://b", ""), (4, "http://c", "plain\r\n\r\nWARC/1.1\r\nx" + "y" * 20000)]
