@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 
 VERSION, END = "WARC/1.1", "\r\n\r\n"
 NAMESPACE = uuid.NAMESPACE_URL
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# A head may lack its closing tag: it ends before the first thing that can't stand in one.
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)"
+                    r"|<head\b[^>]*>(?:\s+|<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b.*?(?:</\1\s*>|\Z)"
+                    r"|<(?:meta|link|base|basefont|bgsound)\b[^>]*>)*(?:</head\s*>)?"
+                    r"|<(script|style|noscript|template)\b.*?(?:</\2\s*>|\Z)", re.S | re.I)
 BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|blockquote|pre|hr|title|body|html)\b[^>]*>", re.I)
 TAGS = re.compile(r"<[!/?]?[a-zA-Z][^>]*>|<[!?][^>]*>")
 TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)

@@ -362,6 +362,14 @@ def test_warc(spark):
     assert empty.count() == 0
 
 
+def test_warc_head_without_its_closing_tag():
+    text = warc_derivatives.plain_text
+    assert text("<html><head><title>x</title><body><p>hello</p></body></html>") == "hello"
+    assert text("<head><meta charset=utf-8><script>'<body>'</script><!-- <p> --><title>x</title>\n<p>one<header>two</header>") == "one\ntwo"
+    assert text("<head><title>x</title>bare text") == "bare text"
+    assert text("<HEAD><style>p {}</style><link rel=x><TITLE>x</TITLE></HEAD><body>a<script>b") == "a"
+
+
 def test_pipeline_stages(spark, odd):
     import corpus_pipeline
     from tests.conftest import SF_SMALL
