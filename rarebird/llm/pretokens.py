@@ -19,6 +19,7 @@ import sys
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Code points with the Unicode property White_Space.
@@ -37,7 +38,11 @@ def _classes() -> np.ndarray:
 
 
 def codepoints(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    """As bytes where all are below 256, else as 32-bit integers."""
+    try:
+        return np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _marked(texts: list[str], pattern: str, specials: tuple[str, ...]) -> tuple[list[str], list[tuple[int, int, int]]]:
@@ -64,13 +69,37 @@ def _marked(texts: list[str], pattern: str, specials: tuple[str, ...]) -> tuple[
 
 def cut(texts: list[str], pattern: str, specials: tuple[str, ...] = ()) -> tuple[list[str], np.ndarray]:
     """(pre-tokens of all texts in order, their number in each text)."""
+    joined, at, to, counts = _spans(texts, pattern, specials)
+    return list(map(joined.__getitem__, map(slice, at.tolist(), to.tolist()))), counts
+
+
+def dictionary(texts: list[str], specials: tuple[str, ...] = ()) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct ``byte`` pre-tokens in UTF-8, the number of each pre-token's distinct one, pre-tokens of
+    each text). These pre-tokens tile the texts, so their ends are the offsets of one Arrow
+    string array, which Arrow encodes as a dictionary; only distinct ones become Python objects."""
+    joined, at, to, counts = _spans(texts, "byte", specials)
+    if not len(at):
+        return [], np.zeros(0, np.int64), counts
+    data = joined.encode("utf-8", "surrogatepass")
+    ends = np.append(at, to[-1])
+    if len(data) != len(joined):
+        cp = codepoints(joined)  # UTF-8 has one byte more from each of these on
+        ends = ends + sum(np.searchsorted(np.flatnonzero(cp >= c), ends) for c in (0x80, 0x800, 0x10000) if cp.dtype != np.uint8 or c < 256)
+    words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+    encoded = words.dictionary_encode()
+    return encoded.dictionary.to_pylist(), np.asarray(encoded.indices, np.int64), counts
+
+
+def _spans(texts: list[str], pattern: str, specials: tuple[str, ...] = ()) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """(the texts as one string, start and end of each pre-token in it, pre-tokens of each text)."""
     texts, places = _marked(texts, pattern, specials)
     joined = "".join(texts)
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.cumsum(lens) - lens
     n = len(joined)
     if not n:
-        return [], np.zeros(len(texts), np.int64)
+        none = np.zeros(0, np.int64)
+        return "", none, none, np.zeros(len(texts), np.int64)
     cp = codepoints(joined)
     cls = _classes()[cp]
     fresh = np.zeros(n + 1, bool)  # where a new text, or a new part of a text, begins
@@ -133,7 +162,7 @@ def cut(texts: list[str], pattern: str, specials: tuple[str, ...] = ()) -> tuple
         order = np.argsort(at, kind="stable")
         at, to = at[order], to[order]
     counts = np.diff(np.append(np.searchsorted(at, starts), len(at)))
-    return list(map(joined.__getitem__, map(slice, at.tolist(), to.tolist()))), counts
+    return joined, at, to, counts
 
 
 def fold(text: str) -> str:

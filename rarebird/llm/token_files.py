@@ -14,6 +14,7 @@ length. All blocks of a batch are decoded in step, one id of each block at a tim
 
 from __future__ import annotations
 
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -131,33 +132,86 @@ def unpack(payload: np.ndarray, block_bit: np.ndarray, block_ids: np.ndarray, co
 
 # ------------------------------------------------------------------ Spark jobs
 
-def _ids(path: str, end_id: int):
+class WordIds:
+    """Ids of the pre-tokens met so far, in one flat array; emptied before it outgrows ``words``
+    of them or ``size`` bytes. It belongs to one task's iterator and ends with it."""
+
+    #: Words that the library gets as one text.
+    JOINED = 32
+
+    def __init__(self, path: str, words: int = 500_000, size: int = 32 << 20) -> None:
+        self.tokenizer = vocab.library(path)
+        self.specials = frozenset(x.encode() for x in vocab.specials(path))
+        self.words, self.most = words, size
+        self.newline = self._lists(["\n"])[0]
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.flat, self.size, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
+
+    def _lists(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _flat(self, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum())), size
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in order, their number for each word) of words without white space but a space in front.
+
+        The library gets JOINED words at a time, a line feed after each. Between such words a
+        line feed is a pre-token of its own, and no word has its id, so that id shows where a
+        word ends. Should it not, the words go one by one."""
+        if len(self.newline) == 1:
+            lists = self._lists([b"\n".join(words[i:i + self.JOINED]).decode() for i in range(0, len(words), self.JOINED)])
+            for ids in lists:
+                ids += self.newline
+            flat, _ = self._flat(lists)
+            ends = np.flatnonzero(flat == self.newline[0])
+            if len(ends) == len(words):
+                return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
+        return self._alone(words)
+
+    def _alone(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self._flat(self._lists([w.decode() for w in words]))
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers, which are places in ``size``; they hold until the next call."""
+        missing = set(words).difference(self.index)
+        if len(self.index) + len(missing) > self.words or self.bytes > self.most:
+            self.clear()
+            missing = set(words)
+        if missing:
+            # a pre-token of the pattern is white space alone or has none but a space in front
+            plain = [w for w in missing.difference(self.specials) if 32 < w[-1] < 127 or w[-1] > 127 and not w.decode()[-1].isspace()]
+            rest = list(missing.difference(plain))
+            for new, encode in ((plain, self._encode), (rest, self._alone)):
+                flat, size = encode(new)
+                self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+                self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+            self.bytes += sum(map(len, missing))
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+
+def encoded(path: str, end_id: int):
+    """Task function: batches of (id, text, ...) -> batches of (id, n, ids as little-endian
+    unsigned 32-bit integers, ``end_id`` last). The words met are kept while the task runs."""
     def run(batches):
-        from array import array
-
         import pyarrow as pa
 
         from rarebird.llm import pretokens
         from rarebird.llm.arrowbatch import binary_slices, ragged, text_chunks, texts_of
 
-        tok, kept = vocab.library(path), vocab.cache("ids", path)
-
-        def fresh(words):
-            return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
-
-        era, flat, size = kept.era, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        kept, specials = WordIds(path), vocab.specials(path)
         for chunk in text_chunks(batches):
-            words, counts = pretokens.cut(texts_of(chunk), "byte", vocab.specials(path))
-            numbers = kept.numbers(words, fresh)
-            if kept.era != era:
-                era, flat, size = kept.era, flat[:0], size[:0]
-            elif len(size):
-                flat, size = flat[:-1], size[:-1]
-            new = [*kept.values[len(size):], np.uint32(end_id).tobytes()]  # the end id comes last
-            size = np.concatenate([size, np.fromiter(map(len, new), np.int64, len(new)) // 4])
-            flat = np.concatenate([flat, np.frombuffer(b"".join(new), np.uint32)])
-            first = np.cumsum(size) - size
-            numbers = np.insert(numbers, np.cumsum(counts), len(size) - 1)  # one after each document
+            words, numbers, counts = pretokens.dictionary(texts_of(chunk), specials)
+            places = kept.numbers(words)
+            first = np.cumsum(kept.size) - kept.size
+            flat = np.append(kept.flat, np.uint32(end_id))
+            # the chunk's own words, and the end id as one more after each document
+            first, size = np.append(first[places], len(flat) - 1), np.append(kept.size[places], 1)
+            numbers = np.insert(numbers, np.cumsum(counts), len(places))
             each = size[numbers]
             ids = flat[ragged(first[numbers], each)]
             to = np.cumsum(each)[np.cumsum(counts + 1) - 1]
@@ -170,10 +224,10 @@ def _ids(path: str, end_id: int):
 
 def token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """(id, n long, ids binary of little-endian unsigned 32-bit integers) for each row: the
-    library's ids of the text, then ``end_id``. Distinct pre-tokens are encoded once a batch."""
+    library's ids of the text, then ``end_id``. Distinct pre-tokens are encoded once while a task keeps them."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_ids(path, end_id), f"id {kind}, n long, ids binary")
+    return rows.mapInArrow(encoded(path, end_id), f"id {kind}, n long, ids binary")
 
 
 def _id_counts(batches):

@@ -35,9 +35,13 @@ def library(path: str):
 
 
 class Cache:
-    """Numbers of the words a worker has met and a value for each; emptied before it outgrows ``bound``."""
+    """Numbers of the words met so far and a value for each; emptied before it outgrows
+    ``bound`` words, or words of ``MOST`` bytes in all. It belongs to one task's iterator
+    and ends with it."""
 
-    def __init__(self, bound: int = 800_000) -> None:
+    MOST = 16 << 20
+
+    def __init__(self, bound: int = 300_000) -> None:
         self.bound, self.era = bound, 0
         self.clear()
 
@@ -45,21 +49,18 @@ class Cache:
         self.era += 1  # numbers of an earlier era mean nothing now
         self.index: dict[str, int] = {}
         self.values: list = []
+        self.size = 0
 
     def numbers(self, words: list[str], compute) -> np.ndarray:
         """The words' numbers, which are places in ``values``; ``compute`` gives the values of
         a list of words not seen yet. Numbers hold until the next call."""
         missing = set(words).difference(self.index)
-        if len(self.index) + len(missing) > self.bound:
+        if len(self.index) + len(missing) > self.bound or self.size > self.MOST:
             self.clear()
             missing = set(words)
         if missing:
             new = list(missing)
             self.index.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
             self.values.extend(compute(new))
+            self.size += sum(map(len, new))
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-
-
-@functools.cache
-def cache(name: str, path: str) -> Cache:
-    return Cache()

@@ -7,7 +7,7 @@ pair leave. The vocabulary says which merges come first, so this gives the same
 merging one pair at a time (checked when the table is loaded: the parts of a merge are
 made by earlier merges).
 
-Words are the pre-tokens of :mod:`rarebird.llm.pretokens`; a worker keeps the ids of words
+Words are the pre-tokens of :mod:`rarebird.llm.pretokens`; a task keeps the ids of words
 it has met in a bounded cache. Decoding maps ids back to the vocabulary's strings and
 joins them by a space, which is what the library does for a vocabulary without a decoder.
 """
@@ -142,8 +142,7 @@ def _chunks(batches, path: str):
     from rarebird.llm import pretokens
     from rarebird.llm.arrowbatch import text_chunks, texts_of
 
-    table, kept = merge_table(path), vocab.cache("word_bpe", path)
-    kept.bound = 300_000  # three strings a word
+    table, kept = merge_table(path), vocab.Cache(150_000)  # three strings a word
 
     def fresh(words):
         return [(b, " ".join(map(str, memoryview(b).cast("I"))), table.decode(b)) for b in table.encode(words)]
