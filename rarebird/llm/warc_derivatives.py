@@ -5,10 +5,10 @@ Each response gets a ``conversion`` record (its plain text) and a ``metadata`` r
 URI, date and source headers, and carry SHA-1 digests of their blocks; the metadata also
 keeps the source's block and payload digests.
 
-Files are written by Spark's text sink: a WARC record ends in CR LF CR LF, which is the
-sink's line separator, so its lines are whole records and commits are Spark's. They are
-read back by the text source, split where the next record begins; a record whose length
-or digest does not agree raises.
+A task joins its records to files of at most ``FILE_BYTES`` (or one longer record), which
+Spark's text sink writes, so commits are Spark's. Reading takes whole files and goes from
+record to record by Content-Length, so nothing inside a block can be taken for a boundary; a
+record whose length or digest does not agree raises.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION, END = "WARC/1.1", "\r\n\r\n"
+#: Bytes of a file; a task that reads holds some of them.
+FILE_BYTES = 16 << 20
 NAMESPACE = uuid.NAMESPACE_URL
 # A head may lack its closing tag: it ends before the first thing that can't stand in one.
 HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)"
@@ -88,9 +90,9 @@ def _responses(date: str, header: str):
         import pyarrow as pa
 
         for b in batches:
-            ids, uris, pages = (b.column(c).to_pylist() for c in ("id", "uri", "payload"))
+            ids, uris, pages, rows = (b.column(c).to_pylist() for c in ("id", "uri", "payload", "row"))
             uris = [_one_line(u or "") for u in uris]
-            names = [record_name(i, u, "response") for i, u in zip(ids, uris, strict=True)]
+            names = [record_name(*x, "response") for x in zip(ids, uris, rows, strict=True)]
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array(names), pa.array(uris), pa.array([date] * n), pa.array([header] * n), pa.array([p or "" for p in pages])],
@@ -102,9 +104,10 @@ def _responses(date: str, header: str):
 def responses(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z",
               header: str = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8") -> DataFrame:
     """Response records of stored pages. The table has no dates and headers, so these are
-    parameters. Null addresses and pages count as empty; ids follow from (page id, address)."""
+    parameters. Null addresses and pages count as empty. Record ids follow from the page's id,
+    address and place in the table, so that equal rows have records of their own."""
     kind = pages.schema[id_col].dataType.simpleString()
-    return (pages.select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), F.col(html_col).alias("payload"))
+    return (pages.select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), F.col(html_col).alias("payload"), F.monotonically_increasing_id().alias("row"))
             .mapInArrow(_responses(date, header), RESPONSE.format(kind=kind)))
 
 
@@ -129,35 +132,67 @@ def derivatives(response_records: DataFrame) -> DataFrame:
     return response_records.select("id", "record_id", "uri", "date", "http_header", "payload").mapInArrow(_derive, RECORD.format(kind=kind))
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """One WARC file for each task. No shuffle."""
-    records.select("record").write.option("lineSep", END).text(path)
+def _files(limit: int):
+    def run(batches):
+        import pyarrow as pa
+
+        held, size = [], 0
+        for b in batches:
+            for record in b.column("record").to_pylist():
+                length = len(record.encode()) + len(END)
+                if held and size + length > limit:
+                    yield pa.RecordBatch.from_arrays([pa.array([END.join(held)])], names=["file"])
+                    held, size = [], 0
+                held.append(record)
+                size += length
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([END.join(held)])], names=["file"])
+
+    return run
+
+
+def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """WARC files of at most ``file_bytes`` each, or one longer record. No shuffle."""
+    files = records.select("record").mapInArrow(_files(file_bytes), "file string")
+    files.write.option("lineSep", END).option("maxRecordsPerFile", 1).text(path)
+
+
+def records_of(data: bytes):
+    """(header fields, block) of each record of a file, by the lengths they state."""
+    at, end = 0, END.encode()
+    while at < len(data):
+        to = data.find(end, at)
+        lines = data[at:to].decode().split("\r\n")
+        fields = [(k, v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])]
+        length = dict(fields).get("Content-Length", "")
+        start = to + len(end)
+        if to < 0 or not lines[0].startswith("WARC/") or not length.isdecimal() or data[start + int(length):start + int(length) + len(end)] != end:
+            raise ValueError(f"no WARC record at byte {at}")
+        yield fields, data[start:start + int(length)]
+        at = start + int(length) + len(end)
 
 
 def _parse(batches):
     import pyarrow as pa
 
     kinds = pa.schema([("type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("date", pa.string()),
-                       ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.string()), ("n_bytes", pa.int64()), ("block_digest", pa.string())])
+                       ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("n_bytes", pa.int64()), ("block_digest", pa.string())])
     for b in batches:
-        out = []
-        for value in b.column("value").to_pylist():
-            head, _, block = value.removeprefix(f"{VERSION}\r\n").partition(END)
-            fields = [tuple(x.split(": ", 1)) if ": " in x else (x.rstrip(":"), "") for x in head.split("\r\n")]
-            got = dict(fields)
-            # the last record of a file still has its own end
-            length = int(got["Content-Length"])
-            raw = block.encode()
-            if raw[length:] not in (b"", END.encode()) or digest(raw[:length]) != got["WARC-Block-Digest"]:
-                raise ValueError(f"damaged record {got.get('WARC-Record-ID')}")
-            out.append((got["WARC-Type"], got["WARC-Record-ID"], got["WARC-Refers-To"], got["WARC-Target-URI"], got["WARC-Date"],
-                        list(got.items()), raw[:length].decode(), length, got["WARC-Block-Digest"]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
+        for data in b.column("content"):
+            out = []
+            for fields, block in records_of(data.as_py()):
+                got = dict(fields)
+                if "WARC-Block-Digest" in got and digest(block) != got["WARC-Block-Digest"]:
+                    raise ValueError(f"damaged record {got.get('WARC-Record-ID')}")
+                out.append((*[got.get(k) for k in ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date")],
+                            list(got.items()), block, len(block), got.get("WARC-Block-Digest")))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of written files, every length and digest checked."""
-    lines = spark.read.option("lineSep", f"{END}{VERSION}\r\n").text(path)
-    return lines.mapInArrow(_parse, "type string, record_id string, refers_to string, uri string, date string, "
-                                    "headers map<string,string>, block string, n_bytes long, block_digest string")
+    """The records of the files under ``path``, every length and digest checked. Of a header that
+    repeats, the last counts in ``headers``; headers that a record lacks are null."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(_parse, "type string, record_id string, refers_to string, uri string, date string, "
+                                    "headers map<string,string>, block binary, n_bytes long, block_digest string")

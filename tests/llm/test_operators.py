@@ -355,13 +355,37 @@ def test_warc(spark):
     assert len(back) == 2 * len(pages)
     assert rows_of(made, "type", "record_id", "refers_to") == sorted([(r.type, r.record_id, r.refers_to) for r in back], key=repr)
     one = {r.type: r for r in back if r.uri == "http://a/?x=1"}
-    assert one["conversion"].block == "One\ntwo three <x>"
-    assert one["conversion"].refers_to == one["metadata"].refers_to and f"conversion: {one['conversion'].record_id}" in one["metadata"].block
-    assert "title: T & t" in one["metadata"].block and one["conversion"].headers["X-Source-Content-Type"] == "text/html; charset=utf-8"
+    assert one["conversion"].block.decode() == "One\ntwo three <x>"
+    about = one["metadata"].block.decode()
+    assert one["conversion"].refers_to == one["metadata"].refers_to and f"conversion: {one['conversion'].record_id}" in about
+    assert "title: T & t" in about and one["conversion"].headers["X-Source-Content-Type"] == "text/html; charset=utf-8"
     empty = warc_derivatives.derivatives(warc_derivatives.responses(df.limit(0)))
     assert empty.count() == 0
 
 
+def test_warc_records_end_anywhere(spark):
+    """Ends at every offset around 64 kB, blocks that hold boundaries, equal rows, null ids, clashing columns."""
+    head = len(warc_derivatives.make_record("conversion", "r", "s", "u", "d", [], "text/plain", b"x" * 65000).encode()) - 65000
+    for ends in (b"\r\n", b"\r\n\r\n", b"\r\n\r\nWARC/1.1\r\n", b""):
+        sizes = range(65536 - head - len(ends) - 12, 65536 - head - len(ends) + 12)
+        blocks = [b"x" * n + ends for n in sizes]
+        records = spark.createDataFrame([(warc_derivatives.make_record("conversion", f"r{i}", "s", "u", "d", [], "text/plain", b),) for i, b in enumerate(blocks)], "record string")
+        for limit in (1, 200_000):
+            path = scratch_path(spark, "w")
+            warc_derivatives.write_warc(records.coalesce(2), path, limit)
+            got = warc_derivatives.read_warc(spark, path).collect()
+            assert sorted(bytes(r.block) for r in got) == sorted(blocks)
+    rows = [(None, None, None, "a"), (None, None, None, "a"), (1, "u", "<p>x</p>", "b"), (1, "u", "<p>x</p>", "b")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
+    made = warc_derivatives.derivatives(warc_derivatives.responses(pages))
+    assert made.select("record_id").distinct().count() == 8
+    path = scratch_path(spark, "w")
+    warc_derivatives.write_warc(made, path)
+    assert warc_derivatives.read_warc(spark, path).count() == 8
+    with pytest.raises(ValueError, match="byte 0"):
+        list(warc_derivatives.records_of(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n"))
+
+
 def test_warc_head_without_its_closing_tag():
     text = warc_derivatives.plain_text
     assert text("<html><head><title>x</title><body><p>hello</p></body></html>") == "hello"
