@@ -564,8 +564,9 @@ def q_uniform(spark, sf):
 
 # ---------------------------------------------------------------- M: models (rows-only checks)
 
+from rarebird.operators.profile import assemble, class_weights  # noqa: E402
 from rarebird.plans import models as mo  # noqa: E402
-from rarebird.spec import LEARN_SPEC  # noqa: E402
+from rarebird.spec import LEARN_BOOST, LEARN_SPEC  # noqa: E402
 
 
 def holdout(spark, sf, spec=LEARN_SPEC, kind: str = "standard"):
@@ -593,6 +594,77 @@ for _name, _cfg in (("M1_logistic", mo.BEST_LOGISTIC), ("M2_linear_svm", mo.BEST
     query(_name)(_model_query(_cfg))
 
 
+BOOST_FEATS = ["hr", "k", "usr_events", "night", "even_user", "big"]
+BOOST = dict(learning_rate=0.3, max_depth=2, min_child_weight=4.0, gamma=800.0, reg_lambda=1.5, colsample_bytree=0.7, max_bins=16)
+
+
+def _boosting_sql(rounds: int, eta: float, lam: float, mcw: float, gamma: float, share: float, bins: int) -> str:
+    """Depth-2 boosting by plain joins of rows and thresholds: cuts, then the best split of each node, then leaf values."""
+    from rarebird.plans.boosting import sampled
+
+    feats = BOOST_FEATS
+    ctes = ["r0 AS (SELECT event_id, CAST(learn AS DOUBLE) AS y, CASE WHEN learn = 1 THEN 2.0e0 ELSE 1.0e0 END AS w, 0.0e0 AS m, "
+            + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in feats) + " FROM ev_features)",
+            "cuts AS (SELECT j, v FROM (SELECT j, v, sum(n) OVER (PARTITION BY j ORDER BY v) AS upto, sum(n) OVER (PARTITION BY j) AS total, n, "
+            "max(v) OVER (PARTITION BY j) AS top FROM ("
+            + _union([f"SELECT {j} AS j, {c} AS v, count(*) AS n FROM r0 GROUP BY {c}" for j, c in enumerate(feats)])
+            + f")) WHERE floor(upto * {bins} / total) > floor((upto - n) * {bins} / total) AND v < top)"]
+    names = "CASE j " + " ".join(f"WHEN {j} THEN '{c}'" for j, c in enumerate(feats)) + " END"
+    out = []
+    for t in range(rounds):
+        use = sampled(len(feats), share, t, SEED)
+        x = "CASE c.j " + " ".join(f"WHEN {j} THEN g.{feats[j]}" for j in range(len(feats))) + " END"
+        ctes.append(f"g{t} AS (SELECT *, w * (1 / (1 + exp(-m)) - y) AS g, w * (1 / (1 + exp(-m))) * (1 - 1 / (1 + exp(-m))) AS h, 0 AS node FROM r{t})")
+        rows = f"g{t}"
+        for level in range(2):
+            sums = f"b{t}_{level}"
+            score = lambda g, h: f"({g}) * ({g}) / nullif(({h}) + {lam}, 0)"
+            ctes.append(f"{sums} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, j, v) AS rk FROM ("
+                        f"SELECT *, round({score('gl', 'hl')} + {score('gt - gl', 'ht - hl')} - {score('gt', 'ht')}, 9) AS gain FROM ("
+                        f"SELECT g.node, c.j, c.v, sum(CASE WHEN {x} <= c.v THEN g.g ELSE 0 END) AS gl, sum(CASE WHEN {x} <= c.v THEN g.h ELSE 0 END) AS hl, "
+                        f"sum(g.g) AS gt, sum(g.h) AS ht FROM {rows} g CROSS JOIN cuts c WHERE c.j IN ({', '.join(map(str, use))}) GROUP BY g.node, c.j, c.v) "
+                        f"WHERE hl >= {mcw} AND ht - hl >= {mcw})) WHERE rk = 1 AND gain > 1e-6)")
+            if level == 0:
+                ctes.append(f"g{t}_1 AS (SELECT g.* EXCLUDE (node), CASE WHEN {x.replace('c.j', 'b.j')} <= b.v THEN 1 ELSE 2 END AS node FROM g{t} g CROSS JOIN {sums} b)")
+                rows = f"g{t}_1"
+        # children split only where the gain reaches gamma; a root whose children are leaves needs it too
+        ctes.append(f"s{t} AS (SELECT * FROM b{t}_1 WHERE gain >= {gamma} UNION ALL SELECT * FROM b{t}_0 WHERE gain >= {gamma} OR EXISTS (SELECT 1 FROM b{t}_1 WHERE gain >= {gamma}))")
+        ctes.append(f"p{t} AS (SELECT g.*, CASE WHEN n0.node IS NULL THEN 0 WHEN n1.node IS NULL THEN g.node ELSE "
+                    f"2 * g.node + (CASE WHEN {x.replace('c.j', 'n1.j')} <= n1.v THEN 1 ELSE 2 END) END AS leaf "
+                    f"FROM g{t}_1 g LEFT JOIN (SELECT * FROM s{t} WHERE node = 0) n0 ON true LEFT JOIN (SELECT * FROM s{t} WHERE node > 0) n1 ON n1.node = g.node)")
+        ctes.append(f"v{t} AS (SELECT leaf, sum(h) AS h, -{eta} * sum(g) / (sum(h) + {lam}) AS value FROM p{t} GROUP BY leaf)")
+        ctes.append(f"r{t + 1} AS (SELECT p.event_id, p.y, p.w, p.m + v.value AS m, {', '.join('p.' + c for c in feats)} FROM p{t} p JOIN v{t} v USING (leaf))")
+        out.append(f"SELECT {t} AS tree, {names} AS feature, v AS threshold, gain, ht AS hessian, CAST(NULL AS DOUBLE) AS value FROM s{t}")
+        out.append(f"SELECT {t}, NULL, NULL, NULL, h, value FROM v{t}")
+    return with_ev("SELECT CAST(tree AS INTEGER) AS tree, feature, round(threshold, 6) AS threshold, round(gain, 6) AS gain, round(hessian, 6) AS hessian, "
+                   "round(value, 6) AS value FROM (" + _union(out) + ")", *ctes)
+
+
+def _boosted_nodes(spark, sf, rounds):
+    from rarebird.plans.boosting import fit_boosted_trees
+
+    ev = class_weights(ev_features(spark, sf), LEARN_BOOST, "positive", 2.0, "weight")
+    model = fit_boosted_trees(assemble(ev, LEARN_BOOST, keep=["weight"]), "learn", "weight", len(BOOST_FEATS), rounds, seed=SEED, **BOOST)
+    return spark.createDataFrame([(t, *x) for t, _, *x in model.nodes(BOOST_FEATS)],
+                                 "tree int, feature string, threshold double, gain double, hessian double, value double")
+
+
+def _boost_oracle(rounds):
+    b = BOOST
+    return _boosting_sql(rounds, b["learning_rate"], b["reg_lambda"], b["min_child_weight"], b["gamma"], b["colsample_bytree"], b["max_bins"])
+
+
+@query("M6_boosted_one_round", _boost_oracle(1))
+def q_boost_one(spark, sf):
+    return _boosted_nodes(spark, sf, 1)
+
+
+@query("M6_boosted_two_rounds", _boost_oracle(2))
+def q_boost_two(spark, sf):
+    """The nodes of two trees: the second follows from the margins, gradients and hessians of the first."""
+    return _boosted_nodes(spark, sf, 2)
+
+
 @query("M10_score_table")
 def q_score_table(spark, sf):
     train, test = holdout(spark, sf)

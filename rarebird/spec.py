@@ -49,3 +49,6 @@ EV_SPEC = TableSpec(
 
 # Same rows, the learnable target and three informative features.
 LEARN_SPEC = TableSpec(id="event_id", label="learn", numerics=("value", "hr", "k"), flags=())
+
+# The same target from features with few values, for boosting's thresholds.
+LEARN_BOOST = TableSpec(id="event_id", label="learn", numerics=("hr", "k", "usr_events"), flags=("night", "even_user", "big"))
