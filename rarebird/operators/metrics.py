@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from rarebird.functions import required, safe_div
 
 
-def _counts(scored: DataFrame, group, label: str, prediction: str) -> DataFrame:
+def cell_counts(scored: DataFrame, group=(), label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """(group..., tp, fp, tn, fn): the one aggregate behind E1-E4, also over a stream."""
     y, p = required(label, label), required(prediction, prediction)
     return scored.groupBy(*group).agg(
         F.sum(((y == 1) & (p == 1)).cast("long")).alias("tp"),
@@ -25,7 +26,7 @@ def _counts(scored: DataFrame, group, label: str, prediction: str) -> DataFrame:
 
 def confusion_counts(scored: DataFrame, group=(), label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(group..., label, prediction, n) with all four cells, zeros included."""
-    c = _counts(scored, list(group), label, prediction)
+    c = cell_counts(scored, list(group), label, prediction)
     cells = F.array(*[
         F.struct(F.lit(t).alias("label"), F.lit(q).alias("prediction"), F.col(n).alias("n"))
         for t, q, n in ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp"))])
@@ -42,7 +43,7 @@ def confusion_wide(scored: DataFrame, group=(), label: str = "label", prediction
 def normalized_confusion(scored: DataFrame, group=(), label: str = "label",
                          prediction: str = "prediction") -> DataFrame:
     """Counts and their share of the true-label row (both, see trap T22)."""
-    c = _counts(scored, list(group), label, prediction)
+    c = cell_counts(scored, list(group), label, prediction)
     pos, neg = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
     cells = F.array(*[
         F.struct(F.lit(t).alias("label"), F.lit(q).alias("prediction"), F.col(n).alias("n"),
@@ -73,7 +74,11 @@ def binary_metrics(scored: DataFrame, group=(), label: str = "label", prediction
 
     Zero denominators give 0 like the reference's library default.
     """
-    c = _counts(scored, list(group), label, prediction)
+    return wide_of_counts(cell_counts(scored, list(group), label, prediction), group, counts)
+
+
+def wide_of_counts(c: DataFrame, group=(), counts: bool = False) -> DataFrame:
+    """E3 from (group..., tp, fp, tn, fn)."""
     m = _metric_cols()
     extra = ["tp", "fp", "tn", "fn"] if counts else []
     return c.select(*group, *extra, *[m[k].alias(k) for k in METRICS])
@@ -81,8 +86,25 @@ def binary_metrics(scored: DataFrame, group=(), label: str = "label", prediction
 
 def metrics_long(scored: DataFrame, group=(), label: str = "label", prediction: str = "prediction",
                  metrics=METRICS) -> DataFrame:
-    """E3 in long form: (group..., metric, value)."""
-    c = _counts(scored, list(group), label, prediction)
+    """E3 in long form: (group..., metric, value). A metric is a name of ``METRICS`` or a function
+    (score table with the true class in ``label``, group) -> (group..., value); its ``__name__`` names it."""
+    own = [m for m in metrics if callable(m)]
+    bad = {m for m in metrics if not callable(m)} - set(METRICS)
+    if bad:
+        raise ValueError(f"unknown metrics {sorted(bad)}")
+    names = [m for m in metrics if not callable(m)]
+    parts = [metrics_of_counts(cell_counts(scored, list(group), label, prediction), group, names)] if names else []
+    for m in own:
+        table = scored.withColumnRenamed(label, "label").withColumnRenamed(prediction, "prediction")
+        parts.append(m(table, list(group)).select(*group, F.lit(m.__name__).alias("metric"), F.col("value").cast("double").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def metrics_of_counts(c: DataFrame, group=(), metrics=METRICS) -> DataFrame:
+    """E3 in long form from (group..., tp, fp, tn, fn)."""
     m = _metric_cols()
     arr = F.array(*[F.struct(F.lit(k).alias("metric"), m[k].alias("value")) for k in metrics])
     return c.select(*group, F.explode(arr).alias("m")).select(*group, "m.metric", "m.value")
@@ -92,7 +114,7 @@ def classification_report(scored: DataFrame, group=(), label: str = "label",
                           prediction: str = "prediction") -> DataFrame:
     """Rows '0', '1', 'accuracy', 'macro avg', 'weighted avg' with precision, recall,
     f1 and support (accuracy row: f1 = accuracy, precision and recall null)."""
-    c = _counts(scored, list(group), label, prediction)
+    c = cell_counts(scored, list(group), label, prediction)
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
     pos, neg = tp + fn, tn + fp
     n = pos + neg

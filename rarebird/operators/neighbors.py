@@ -1,212 +1,326 @@
-"""Exact k nearest neighbours (Euclidean, ties by id) with grid pruning.
-
-No all-pairs product: reference rows B are put in cells of a grid over the (at most
-``dims``) coordinates with the largest variance, with per-coordinate quantile edges so
-cells hold about ``per_cell`` rows. Round t joins every query row of A to the B rows in
-the cells at most t steps away (an equi-join on the cell), keeps its k best candidates,
-and accepts them when the k-th squared distance is below the squared distance from the
-query to the border of that block of cells: any B row outside the block is farther
-away in the projected coordinates alone, hence farther in all coordinates. Rows not yet
-accepted go to round t+1 with a wider block; once a block spans all cells every row is
-exact. Squared distances are summed in column order, the same arithmetic the SQL
-oracle does.
+"""K nearest neighbours (Euclidean, ties by id), exact by a distributed kd-partition or approximate by hashing.
+
+Exact:
+
+1. B (the searched rows) is cut into cells by repeated distributed quantile splits: every cell
+   of more than ``leaf`` rows is cut into at most ``FAN`` along its widest coordinate, by one
+   grouped sketch and one join on the cell a round. Of rows at one place only the k
+   smallest ids can be chosen (k + 1 with ``exclude_self``), so only these are kept, by a
+   window whose group limit works before its shuffle; then every cell gets small enough.
+2. The cells' boxes form a tree table. A row of A goes down it ``HOP`` levels at a time: the boxes
+   below the root (FAN ** HOP at most, a fixed bound) are broadcast, those below any other
+   node meet the rows that reached it in one stream.
+3. First each row searches the nearest cells that hold k rows; its k-th distance then says
+   which other boxes can hold a nearer row, and only those are searched. The distance to
+   a box is summed in the order of the distance to a row, so rounding can't drop one.
+4. A cell and its rows of A meet in one stream: its rows of B, a bounded number, are held, the
+   rows of A pass in batches. Cells that many rows of A reach are salted, their rows of B
+   repeated for each salt. The k best of all candidates are a window with a group limit,
+   so no list of candidates is ever gathered.
+
+Approximate (:func:`knn_approximate`, the caller's choice and never made by size): p-stable hashing
+(Datar et al., 2004) puts rows into the buckets of several tables; the candidates of a row are the
+rows of its buckets, in chunks. The recall is measured on some rows and returned.
 """
 
 from __future__ import annotations
 
-import math
-import os
-
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rarebird.operators.ranking import ranked
+from rarebird.functions import hash_int, required
 from rarebird.session import materialize
 
-_DEBUG = bool(os.environ.get("RAREBIRD_DEBUG"))
+#: Children of a cell, and levels of cells a row goes down at once.
+FAN, HOP = 8, 4
+#: Rows of A that meet one cell in one task, and rows of A whose distances are held at once.
+MEET, SLICE = 1 << 16, 256
 
 
-def _cells(df: DataFrame, prefix: str, out: str, dims: list[int], splits: list[list[float]]) -> DataFrame:
-    """Cell index per projected coordinate (binary search in the JVM; one bin -> 0)."""
-    multi = [i for i in range(len(dims)) if len(splits[i]) > 2]
-    if multi:
-        b = Bucketizer(splitsArray=[splits[i] for i in multi], inputCols=[f"{prefix}{dims[i]}" for i in multi],
-                       outputCols=[f"{out}{i}_d" for i in multi]) if len(multi) > 1 else \
-            Bucketizer(splits=splits[multi[0]], inputCol=f"{prefix}{dims[multi[0]]}", outputCol=f"{out}{multi[0]}_d")
-        df = b.transform(df)
-    for i in range(len(dims)):
-        if i in multi:
-            df = df.withColumn(f"{out}{i}", F.col(f"{out}{i}_d").cast("int")).drop(f"{out}{i}_d")
-        else:
-            df = df.withColumn(f"{out}{i}", F.lit(0))
-    return df
-
-
-def knn(A: DataFrame, B: DataFrame, k: int, cols: list[str], a_id: str, b_id: str | None = None,
-        exclude_self: bool = False, dims: int = 3, per_cell: int = 16, chunk: int = 256,
-        collapse_duplicates: bool = True) -> DataFrame:
-    """(a_id, nn, b_id, d2): for every row of A its k nearest rows of B, nn = 1..k,
-    ordered by (squared distance, B id). ``exclude_self`` skips B rows with A's id.
-
-    B rows are packed per cell into arrays of at most ``chunk`` rows (a crowded cell is
-    split into several arrays, never gathered whole); each query row meets the arrays of
-    its block of cells and keeps a per-array top k computed in the JVM, then the top k
-    lists of one query row are merged.
-    """
-    b_id = b_id or a_id
-    d = len(cols)
-    a = A.select(F.col(a_id).cast("bigint").alias("_a"), *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(cols)])
-    b = B.select(F.col(b_id).cast("bigint").alias("_b"), *[F.col(c).cast("double").alias(f"_y{j}") for j, c in enumerate(cols)])
-
-    st = b.agg(F.count(F.lit(1)), *[F.stddev_pop(f"_y{j}") for j in range(d)]).first()
-    n_b = st[0]
-    sd = {j: float(st[1 + j] or 0.0) for j in range(d)}
-    proj = sorted(range(d), key=lambda j: (-sd[j], j))[:max(1, min(dims, d))]
-    spread = [j for j in proj if sd[j] > 0]
-    D = len(proj)
-    # About n/per_cell cells; each coordinate gets bins in proportion to its spread, so
-    # cells are roughly as wide in every direction (the ring test compares distances).
-    cells = max(1.0, max(n_b, 1) / per_cell)
-    geo = math.exp(sum(math.log(sd[j]) for j in spread) / len(spread)) if spread else 1.0
-    side = cells ** (1.0 / max(1, len(spread)))
-    counts = [max(1, int(round(side * sd[j] / geo))) if sd[j] > 0 else 1 for j in proj]
-    # One sketch pass for all projected coordinates: the union of their probabilities.
-    wanted = [[i / gj for i in range(1, gj)] for gj in counts]
-    probs = sorted({p for ps in wanted for p in ps})
-    qs = b.approxQuantile([f"_y{j}" for j in proj], probs, 0.001) if probs else [[] for _ in proj]
-    splits = []
-    for ps, q in zip(wanted, qs):
-        at = dict(zip(probs, q))
-        splits.append([-math.inf, *sorted({at[p] for p in ps}), math.inf])
-    nbins = [len(s) - 1 for s in splits]
-    ccols = [f"_cb{i}" for i in range(D)]
-
-    # Exact duplicates: ties break by id, so of the rows sharing one location at most the
-    # k (k+1 when a query may exclude itself) smallest ids can ever be chosen. Keeping only
-    # those (an exact rank per location, safe for a location holding a third of B) bounds
-    # how many rows any cell can hold at one point.
-    keep = k + 1 if exclude_self else k
-    if collapse_duplicates:
-        loc = [f"_y{j}" for j in range(d)]
-        # Largest number of rows at one location: a partial aggregate, then one number.
-        most = b.groupBy(*loc).count().agg(F.max("count")).first()[0] or 0
-        if most > keep:
-            b = ranked(b, ["_b"], group=loc, rank_col="_dup").where(F.col("_dup") <= keep).drop("_dup")
-    # Pack B: per cell, arrays of at most `chunk` rows (chunks numbered by id order).
-    b_c = _cells(b, "_y", "_cb", proj, splits)
-    per = b_c.groupBy(*ccols).agg(F.count(F.lit(1)).alias("_cnt"))
-    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(chunk)))
-    b_c = b_c.join(per, ccols).withColumn("_chunk", F.pmod(F.xxhash64("_b"), n_chunks.cast("long")))
-    pt = F.struct(F.col("_b").alias("i"), *[F.col(f"_y{j}").alias(f"v{j}") for j in range(d)])
-    packed = b_c.groupBy(*ccols, "_chunk").agg(F.collect_list(pt).alias("_bp"))
-    packed = materialize(packed, "knn-packed")
-
-    pending = _cells(a, "_x", "_ca", proj, splits).withColumn("_r", F.lit(None).cast("double"))
-    keys = ["_a", *[f"_x{j}" for j in range(d)], *[f"_ca{i}" for i in range(D)]]
-
-    done: list[DataFrame] = []
-    t = 1
+# ------------------------------------------------------------------ cells of B
+
+def _points(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
+    """(id, x): null and NaN coordinates raise, as no distance to them is defined."""
+    value = [required(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), c) for c in cols]
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.array(*value).alias("x"))
+
+
+def _nearest_of_each_place(b: DataFrame, keep: int) -> DataFrame:
+    order = Window.partitionBy("x").orderBy("id")
+    return b.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n")
+
+
+def cells(b: DataFrame, d: int, leaf: int) -> DataFrame:
+    """(id, x, cell): a cell of more than ``leaf`` rows holds rows of one place only. A cell's name has
+    a digit for each level, so its ancestors are its prefixes; the root's is empty."""
+    pending = materialize(b.select("id", "x", F.lit("").alias("cell")), "knn-cells")
+    done = []
+    at = [F.get("x", j) for j in range(d)]
     while True:
-        complete = all(t >= nb - 1 for nb in nbins)  # a ring of t cells spans every cell
-        # Cells to search per row: with a known radius r (k candidates found earlier) the
-        # cells within r of the row in every projected coordinate -- exact in this round;
-        # otherwise a ring of t cells, accepted by the border test below.
-        rows = pending
-        for i, j in enumerate(proj):
-            rows = rows.withColumn(f"_xl{i}", F.col(f"_x{j}") - F.coalesce("_r", F.lit(0.0))) \
-                       .withColumn(f"_xh{i}", F.col(f"_x{j}") + F.coalesce("_r", F.lit(0.0)))
-        rows = _cells(_cells(rows, "_xl", "_bl", list(range(D)), splits), "_xh", "_bh", list(range(D)), splits)
-        ae = rows
-        for i in range(D):
-            lo = F.when(F.col("_r").isNotNull(), F.col(f"_bl{i}")).otherwise(F.greatest(F.col(f"_ca{i}") - t, F.lit(0)))
-            hi = F.when(F.col("_r").isNotNull(), F.col(f"_bh{i}")).otherwise(
-                F.least(F.col(f"_ca{i}") + t, F.lit(nbins[i] - 1)))
-            ae = ae.withColumn(f"_cb{i}", F.explode(F.sequence(lo, hi)))
-        ae = ae.select("_a", *[F.col(f"_x{j}") for j in range(d)], *ccols)
-        top = _block_topk(ae, packed, ccols, d, k, exclude_self, chunk)
-        top = pending.select(*keys, "_r").join(top, "_a", "left").withColumn(
-            "_nn", F.coalesce("_nn", F.array().cast("array<struct<d2:double,b:bigint>>")))
-        gap = None
-        for i, j in enumerate(proj):
-            sp = F.array(*[F.lit(float(v)) for v in splits[i]])
-            lo = F.element_at(sp, F.greatest(F.col(f"_ca{i}") - t, F.lit(0)) + 1)
-            hi = F.element_at(sp, F.least(F.col(f"_ca{i}") + t + 1, F.lit(nbins[i])) + 1)
-            gi = F.least(F.col(f"_x{j}") - lo, hi - F.col(f"_x{j}"))
-            gap = gi if gap is None else F.least(gap, gi)
-        full = F.size("_nn") == k
-        exact = F.col("_r").isNotNull() | (full & (F.element_at("_nn", k)["d2"] < gap * gap))
-        if complete:
-            exact = F.lit(True)
-        res = materialize(top.withColumn("_done", exact), "knn")
-        done.append(res.where("_done").select("_a", "_nn"))
-        pending = res.where(~F.col("_done")).select(
-            # Slightly widened so rounding in x +- r cannot drop a row at distance exactly r.
-            *keys, F.when(full, F.sqrt(F.element_at("_nn", k)["d2"]) * 1.000001 + 1e-12).alias("_r"))
-        if _DEBUG:
-            print(f"knn round {t}: bins {nbins}, pending {pending.count()}")
-        if complete or pending.limit(1).count() == 0:
-            break
-        t *= 2
-    out = done[0]
-    for p in done[1:]:
+        sizes = (pending.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.var_pop(v) for v in at]).alias("var"), F.array(*[F.max(v) for v in at]).alias("top"),
+                                             F.array(*[F.avg(v) for v in at]).alias("mean")))
+        widest = F.array_position("var", F.array_max("var")).cast("int") - 1
+        sizes = sizes.select("cell", "n", widest.alias("j"), (F.array_max("var") > 0).alias("wide"), F.get("top", widest).alias("top"), F.get("mean", widest).alias("mean"))
+        sizes = materialize(sizes.withColumn("big", (F.col("n") > leaf) & F.col("wide")), "knn-sizes")
+        if sizes.where("big").isEmpty():
+            return _union([*done, pending])
+        rows = pending.join(sizes.select("cell", "big", "j", "top", "mean"), "cell")
+        done.append(rows.where(~F.col("big")).select("id", "x", "cell"))
+        big = rows.where("big").withColumn("v", F.get("x", F.col("j")))
+        quantiles = F.percentile_approx("v", [i / FAN for i in range(1, FAN)], 100 * FAN)
+        # thresholds below the largest value; where there are none, the mean lies below it
+        cuts = big.groupBy("cell").agg(quantiles.alias("q"), F.first("top").alias("top"), F.first("mean").alias("mean"))
+        below = F.array_distinct(F.filter("q", lambda c: c < F.col("top")))
+        cuts = cuts.select("cell", F.when(F.size(below) > 0, below).otherwise(F.array("mean")).alias("cuts"))
+        child = F.size(F.filter("cuts", lambda c: c < F.col("v")))
+        pending = materialize(big.drop("top", "mean").join(cuts, "cell").select("id", "x", F.concat("cell", child.cast("string")).alias("cell")), "knn-cells")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(F.col("_a").alias(a_id), F.posexplode("_nn").alias("nn", "p")).select(
-        a_id, (F.col("nn") + 1).alias("nn"), F.col("p.b").alias(f"nn_{b_id}" if b_id == a_id else b_id),
-        F.col("p.d2").alias("d2"))
-
-
-def _block_topk(ae: DataFrame, packed: DataFrame, ccols: list[str], d: int, k: int, exclude_self: bool,
-                chunk: int) -> DataFrame:
-    """(_a, _nn): top k of each query row over the B blocks of the cells it searches.
-
-    Query rows are packed per searched cell into blocks of at most ``chunk`` rows too; a
-    block pair (at most chunk x chunk distances) is one numpy computation in an Arrow
-    batch, which keeps only k candidates per query row.
-    """
-    per = ae.groupBy(*ccols).agg(F.count(F.lit(1)).alias("_acnt"))
-    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("_acnt") / F.lit(chunk)))
-    ae = ae.join(per, ccols).withColumn("_achunk", F.pmod(F.xxhash64("_a"), n_chunks.cast("long")))
-    pt = F.struct(F.col("_a").cast("bigint").alias("i"), *[F.col(f"_x{j}").alias(f"v{j}") for j in range(d)])
-    apacks = ae.groupBy(*ccols, "_achunk").agg(F.collect_list(pt).alias("_ap"))
-    pairs = apacks.join(packed, ccols).select("_ap", "_bp")
+    return out
+
+
+def _boxes(b_cells: DataFrame, d: int, hop: int) -> tuple[list[DataFrame], list]:
+    """(tables of (key = parent, box = child, n, flag = is a cell, x = lowest, y = highest), one for each
+    hop below the first; the children of the root, collected)."""
+    at = [F.get("x", j) for j in range(d)]
+    leaves = materialize(b_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min(v) for v in at]).alias("lo"), F.array(*[F.max(v) for v in at]).alias("hi")), "knn-boxes")
+    deepest = leaves.agg(F.max(F.length("cell"))).first()[0] or 0
+    tables = []
+    for h in range(max(1, -(-deepest // hop))):
+        below = leaves.where((F.length("cell") > h * hop) | F.lit(h == 0)).select(
+            F.substring("cell", 1, h * hop).alias("key"), F.substring("cell", 1, (h + 1) * hop).alias("box"), (F.length("cell") <= (h + 1) * hop).alias("flag"), "n", "lo", "hi")
+        lo, hi = [F.min(F.get("lo", j)) for j in range(d)], [F.max(F.get("hi", j)) for j in range(d)]
+        tables.append(below.groupBy("key", "box").agg(F.sum("n").alias("n"), F.max("flag").alias("flag"), F.array(*lo).alias("x"), F.array(*hi).alias("y")))
+    return tables[1:], tables[0].orderBy("box").collect()  # FAN ** HOP rows at most
+
+
+# ------------------------------------------------------------------ streams of a few rows and many
+
+def _matrix(column, d: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def _streams(batches, small, large):
+    """Rows sorted by (key, salt, kind): the rows of kind 0 of a key are held as ``small(rows)``, the others
+    pass in batches as ``large(held, rows)``."""
+    import pyarrow as pa
+
+    now, parts, held = None, [], None
+    for b in batches:
+        key, salt, kind = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt", "kind"))
+        edge = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1])) + 1
+        ends = [0, *edge.tolist(), b.num_rows]
+        for x, y in zip(ends, ends[1:], strict=False):
+            if x == y:
+                continue
+            if (key[x], salt[x]) != now:
+                now, parts, held = (key[x], salt[x]), [], None
+            part = b.slice(x, y - x)
+            if kind[x] == 0:
+                parts.append(part)
+            elif parts:
+                if held is None:
+                    held = small(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+                yield from large(held, part)
+
+
+def _met(small: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows of ``small`` (key, id, box, n, flag, x, y) and ``large`` (key, id, flag, x, r), the small ones of a key before
+    its large ones; keys with many large rows are salted, their small rows repeated."""
+    # the salts of keys with more than MEET rows: others have one
+    busy = large.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MEET).select("key", F.ceil(F.col("m") / MEET).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    a = large.join(busy, "key", "left").select("key", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", F.lit(None).cast("string").alias("box"),
+                                               F.lit(None).cast("long").alias("n"), "flag", "x", F.lit(None).cast("array<double>").alias("y"), "r")
+    b = small.join(busy, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select(
+        "key", "salt", F.lit(0).alias("kind"), "id", "box", "n", "flag", "x", "y", F.lit(None).cast("double").alias("r"))
+    return a.union(b).repartition("key", "salt").sortWithinPartitions("key", "salt", "kind")
+
+
+def _reach(boxes, k: int, ids, x, flag, r, ball: bool):
+    """(row, box) pairs of rows ``x`` going down to ``boxes`` = (sizes, lo, hi): to the nearest that hold k
+    rows or, with ``ball``, to those within the squared distance ``r``. The flag of a pair says that
+    the row has searched that box's nearest cells before."""
+    n, lo, hi = boxes
+    for at in range(0, len(ids), SLICE):
+        some = slice(at, at + SLICE)
+        gap = None
+        for j in range(x.shape[1]):
+            v = x[some, j][:, None]
+            g = np.maximum(np.maximum(lo[None, :, j] - v, v - hi[None, :, j]), 0.0)
+            gap = g * g if gap is None else gap + g * g
+        order = np.argsort(gap, axis=1, kind="stable")
+        before = np.cumsum(n[order], axis=1) - n[order]
+        near = np.zeros(gap.shape, bool)
+        np.put_along_axis(near, order, before < k, axis=1)
+        near &= flag[some][:, None]
+        row, box = np.nonzero(gap <= r[some][:, None] if ball else near)
+        yield at + row, box, near[row, box]
+
+
+def _down(d: int, k: int, ball: bool, top=None):
+    """Task function: rows of A to the boxes they reach -> (key = box, id, flag, cell, x, r)."""
+    def pairs(held, part):
+        import pyarrow as pa
 
+        ids, x = np.asarray(part.column("id")), _matrix(part.column("x"), d)
+        flag, r = np.asarray(part.column("flag")), np.asarray(part.column("r"))
+        names, is_cell, boxes = held
+        for row, box, near in _reach(boxes, k, ids, x, flag, r, ball):
+            if ball:  # cells whose rows were searched the first time
+                fresh = ~(near & is_cell[box])
+                row, box, near = row[fresh], box[fresh], near[fresh]
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(names[box], pa.string()), pa.array(ids[row]), pa.array(near), pa.array(is_cell[box]),
+                                                  part.column("x").take(pa.array(row)), pa.array(r[row])], names=["key", "id", "flag", "cell", "x", "r"])
+
+    def small(part):
+        names = part.column("box").to_numpy(zero_copy_only=False)
+        order = np.argsort(names)  # the same order each time: equally near boxes go by it
+        return names[order], np.asarray(part.column("flag"))[order], (np.asarray(part.column("n"))[order], _matrix(part.column("x"), d)[order], _matrix(part.column("y"), d)[order])
+
+    def run(batches):
+        if top is None:
+            yield from _streams(batches, small, pairs)
+        else:
+            for b in batches:
+                if b.num_rows:
+                    yield from pairs(top, b)
+
+    return run
+
+
+def _descend(a: DataFrame, top: list, tables: list[DataFrame], d: int, k: int, ball: bool) -> DataFrame:
+    """(key = cell, id, flag, x, r) for each cell that a row of ``a`` (id, x, r) must search."""
+    held = (np.array([t.box for t in top], object), np.array([t.flag for t in top], bool),
+            (np.array([t.n for t in top], np.int64), np.array([t.x for t in top]).reshape(-1, d), np.array([t.y for t in top]).reshape(-1, d)))
+    kind = "key string, id long, flag boolean, cell boolean, x array<double>, r double"
+    pairs = a.select("id", F.lit(True).alias("flag"), "x", "r").mapInArrow(_down(d, k, ball, held), kind)
+    found = []
+    for boxes in tables:
+        pairs = materialize(pairs, "knn-pairs")
+        found.append(pairs.where("cell"))
+        pairs = _met(boxes.withColumn("id", F.lit(None).cast("long")), pairs.where("NOT cell")).mapInArrow(_down(d, k, ball), kind)
+    return _union([*found, pairs]).drop("cell")
+
+
+def _nearest(d: int, k: int, exclude_self: bool):
+    """Task function: the k nearest rows of its cell for each row of A -> (id, d2, b)."""
+    def small(part):
+        return np.asarray(part.column("id")), _matrix(part.column("x"), d)
+
+    def large(held, part):
+        import pyarrow as pa
+
+        b_ids, y = held
+        ids, x = np.asarray(part.column("id")), _matrix(part.column("x"), d)
+        for at in range(0, len(ids), SLICE):
+            some = slice(at, at + SLICE)
+            # summed coordinate by coordinate, as the SQL does
+            d2 = None
+            for j in range(d):
+                diff = x[some, j][:, None] - y[None, :, j]
+                d2 = diff * diff if d2 is None else d2 + diff * diff
+            if exclude_self:
+                d2 = np.where(ids[some][:, None] == b_ids[None], np.inf, d2)
+            if len(b_ids) > k:
+                # the k smallest, and all that tie with the last of them, in order of id
+                edge = np.partition(d2, k - 1, axis=1)[:, k - 1:k]
+                row, col = np.nonzero(d2 <= edge)
+            else:
+                row, col = np.nonzero(d2 < np.inf)
+            value = d2[row, col]
+            order = np.lexsort((b_ids[col], value, row))
+            row, col, value = row[order], col[order], value[order]
+            first = np.searchsorted(row, row)
+            keep = (np.arange(len(row)) - first < k) & (value < np.inf)
+            row, col, value = row[keep], col[keep], value[keep]
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some][row]), pa.array(value), pa.array(b_ids[col])], names=["id", "d2", "b"])
+
+    def run(batches):
+        yield from _streams(batches, small, large)
+
+    return run
+
+
+def _search(pairs: DataFrame, b_cells: DataFrame, d: int, k: int, exclude_self: bool) -> DataFrame:
+    small = b_cells.select(F.col("cell").alias("key"), "id", F.lit(None).cast("string").alias("box"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("boolean").alias("flag"), "x",
+                           F.lit(None).cast("array<double>").alias("y"))
+    return _met(small, pairs).mapInArrow(_nearest(d, k, exclude_self), "id long, d2 double, b long")
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("id").orderBy("d2", "b")
+    return found.withColumn("nn", F.row_number().over(best).cast("int")).where(F.col("nn") <= k)
+
+
+def _named(found: DataFrame, a_id: str, b_id: str) -> DataFrame:
+    return found.select(F.col("id").alias(a_id), "nn", F.col("b").alias(f"nn_{b_id}" if b_id == a_id else b_id), "d2")
+
+
+def knn(A: DataFrame, B: DataFrame, k: int, cols: list[str], a_id: str, b_id: str | None = None, exclude_self: bool = False,
+        leaf: int = 512, hop: int = HOP) -> DataFrame:
+    """(a_id, nn, b_id, d2): for every row of A its k nearest rows of B, nn = 1..k, ordered by
+    (squared distance, B id); fewer where B has fewer. ``exclude_self`` skips B rows with A's id.
+    A null or NaN coordinate raises."""
+    b_id, d = b_id or a_id, len(cols)
+    keep = k + 1 if exclude_self else k
+    b_cells = materialize(cells(_nearest_of_each_place(_points(B, b_id, cols), keep), d, max(leaf, keep)), "knn-b")
+    tables, top = _boxes(b_cells, d, hop)
+    a = _points(A, a_id, cols)
+    anywhere = a.withColumn("r", F.lit(float("inf")))
+    first = materialize(_first(_search(_descend(anywhere, top, tables, d, keep, False), b_cells, d, k, exclude_self), k), "knn-first")
+    reach = first.groupBy("id").agg(F.max("d2").alias("r"), F.count(F.lit(1)).alias("m")).select("id", F.when(F.col("m") == k, F.col("r")).otherwise(float("inf")).alias("r"))
+    near = a.join(reach, "id", "left").withColumn("r", F.coalesce("r", F.lit(float("inf"))))
+    more = _search(_descend(near, top, tables, d, keep, True), b_cells, d, k, exclude_self)
+    return _named(_first(first.select("id", "d2", "b").union(more), k), a_id, b_id)
+
+
+# ------------------------------------------------------------------ approximate search
+
+def _buckets(d: int, tables: int, projections: int, width: float, seed: int):
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            outs_a, outs_d, outs_b = [], [], []
-            ap, bp = batch.column(0), batch.column(1)
-            a_off, b_off = ap.offsets.to_numpy(), bp.offsets.to_numpy()
-            a_val, b_val = ap.values, bp.values
-            a_ids = a_val.field("i").to_numpy(zero_copy_only=False)
-            b_ids = b_val.field("i").to_numpy(zero_copy_only=False)
-            a_x = [a_val.field(f"v{j}").to_numpy(zero_copy_only=False) for j in range(d)]
-            b_y = [b_val.field(f"v{j}").to_numpy(zero_copy_only=False) for j in range(d)]
-            for r in range(len(batch)):
-                a0, a1, b0, b1 = a_off[r], a_off[r + 1], b_off[r], b_off[r + 1]
-                ai, bi = a_ids[a0:a1], b_ids[b0:b1]
-                # Squared distance summed coordinate by coordinate, in column order.
-                acc = None
-                for j in range(d):
-                    diff = a_x[j][a0:a1, None] - b_y[j][None, b0:b1]
-                    acc = diff * diff if acc is None else acc + diff * diff
-                if exclude_self:
-                    acc = np.where(ai[:, None] == bi[None, :], np.inf, acc)
-                kk = min(k, b1 - b0)
-                order = np.lexsort((np.broadcast_to(bi, acc.shape), acc), axis=1)[:, :kk]
-                dsel = np.take_along_axis(acc, order, axis=1)
-                bsel = bi[order]
-                keep = np.isfinite(dsel)
-                outs_a.append(np.repeat(ai, kk)[keep.ravel()])
-                outs_d.append(dsel.ravel()[keep.ravel()])
-                outs_b.append(bsel.ravel()[keep.ravel()])
-            if outs_a:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(outs_a), pa.int64()), pa.array(np.concatenate(outs_d), pa.float64()),
-                     pa.array(np.concatenate(outs_b), pa.int64())], names=["_a", "d2", "b"])
-
-    cand = pairs.mapInArrow(run, "_a bigint, d2 double, b bigint")
-    return cand.groupBy("_a").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("d2", "b"))), 1, k).alias("_nn"))
+        rng = np.random.default_rng(seed)
+        w, shift = rng.normal(size=(tables, projections, d)), rng.uniform(0, width, size=(tables, projections))
+        mix = rng.integers(1, 1 << 62, size=projections) * 2 + 1
+        for b in batches:
+            x = _matrix(b.column("x"), d)
+            for t in range(tables):
+                at = np.floor((x @ w[t].T + shift[t]) / width).astype(np.int64)
+                # equal hashes of different buckets only add candidates
+                key = ((at * mix).sum(1) * tables + t).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(key)], names=["id", "x", "bucket"])
+
+    return run
+
+
+def knn_approximate(A: DataFrame, B: DataFrame, k: int, cols: list[str], a_id: str, b_id: str | None = None, exclude_self: bool = False, width: float = 1.0,
+                    tables: int = 16, projections: int = 8, seed: int = 42, chunk: int = 512, audit: int = 256) -> tuple[DataFrame, float]:
+    """(rows as :func:`knn` returns them, measured recall): rows of B that share a bucket with a row of A in
+    one of the ``tables`` tables of ``projections`` hashes of cell ``width`` are its candidates. Recall is the
+    share of the true neighbours found for ``audit`` rows of A, first in md5(seed-id) order, which :func:`knn`
+    searches too. A row without candidates has no rows; more tables or a larger width find more."""
+    b_id, d = b_id or a_id, len(cols)
+    hashed = lambda df: df.mapInArrow(_buckets(d, tables, projections, width, seed), "id long, x array<double>, bucket long")
+    b = hashed(_points(B, b_id, cols))
+    # buckets go in chunks of some ``chunk`` rows, each a cell of its own
+    sizes = b.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    cell = lambda part: F.concat_ws("-", F.col("bucket").cast("string"), part.cast("string"))
+    b_cells = materialize(b.join(sizes, "bucket").select("id", "x", cell(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).alias("cell")), "knn-b")
+    a = hashed(_points(A, a_id, cols)).join(sizes, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pairs = a.select(cell(F.col("part")).alias("key"), "id", F.lit(True).alias("flag"), "x", F.lit(None).cast("double").alias("r"))
+    found = _search(pairs, b_cells, d, k, exclude_self).groupBy("id", "b").agg(F.min("d2").alias("d2"))
+    rows = materialize(_named(_first(found, k), a_id, b_id), "knn-approximate")
+    some = A.orderBy(hash_int(seed, a_id), a_id).limit(audit)
+    name = f"nn_{b_id}" if b_id == a_id else b_id
+    true = materialize(knn(some, B, k, cols, a_id, b_id, exclude_self).select(a_id, name), "knn-true")
+    total, hit = true.count(), true.join(rows.select(a_id, name), [a_id, name], "left_semi").count()
+    return rows, hit / total if total else 1.0

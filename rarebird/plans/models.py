@@ -15,7 +15,7 @@ Parameter mapping from the reference's library (documented, not faked):
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.ml.classification import (
@@ -47,16 +47,22 @@ SUPPORTED = {
 @dataclass
 class ModelConfig:
     """A model family with the reference's parameter names; ``weights`` is
-    'balanced', 'positive' (fixed weight ``positive_weight`` for label 1) or None."""
+    'balanced', 'positive' (fixed weight ``positive_weight`` for label 1) or None.
+
+    Kind ``estimator`` is any ``pyspark.ml`` Estimator of the user's, in ``estimator``: it is
+    given a vector column ``features``, the label and, where it has the parameter and weights are
+    asked for, a weight column; ``params`` are its own. Its model must add ``prediction``;
+    the score is its probability or raw prediction of class 1 where it has one."""
 
     kind: str
     params: dict = field(default_factory=dict)
     weights: str | None = "balanced"
     positive_weight: float = 2.0
     seed: int = 42
+    estimator: object = None
 
     def with_params(self, **kw) -> "ModelConfig":
-        return ModelConfig(self.kind, {**self.params, **kw}, self.weights, self.positive_weight, self.seed)
+        return replace(self, params={**self.params, **kw})
 
     @property
     def name(self) -> str:
@@ -150,18 +156,31 @@ def _estimator(cfg: ModelConfig, label: str, weight_col: str | None, total_weigh
             maxDepth=depth, featureSubsetStrategy={"auto": "sqrt"}.get(mf, mf),
             bootstrap=bool(p.get("bootstrap", True)), minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
             seed=cfg.seed)
+    if cfg.kind == "estimator":
+        given = {**cfg.params, **{k: v for k, v in common.items() if cfg.estimator.hasParam(k)}}
+        return cfg.estimator.copy({cfg.estimator.getParam(k): v for k, v in given.items()})
     raise ValueError(cfg.kind)
 
 
 BASELINES = ("most_frequent", "stratified", "uniform")
 
 
-def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str] | None = None) -> Fitted:
-    """Fit one model on ``train`` (features default to the spec's, in scaled-table order)."""
-    feats = list(features or spec.features)
+def check(cfg: ModelConfig) -> None:
+    """Raise where a family does not take a parameter, or not that value."""
     unknown = set(cfg.params) - SUPPORTED.get(cfg.kind, set(cfg.params))
     if unknown:
         raise ValueError(f"{cfg.kind} does not take {sorted(unknown)}; it takes {sorted(SUPPORTED[cfg.kind])}")
+    penalty, loss = cfg.params.get("penalty", "l2"), cfg.params.get("loss", "squared_hinge")
+    if cfg.kind == "linear_svm" and (penalty not in ("l1", "l2") or loss not in ("hinge", "squared_hinge") or (penalty, loss) == ("l1", "hinge")):
+        raise ValueError(f"linear_svm: no penalty {penalty} with loss {loss}")
+    if cfg.kind == "logistic" and penalty not in ("l1", "l2"):
+        raise ValueError(f"logistic: no penalty {penalty}")
+
+
+def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str] | None = None) -> Fitted:
+    """Fit one model on ``train`` (features default to the spec's, in scaled-table order)."""
+    feats = list(features or spec.features)
+    check(cfg)
     scratch_dir(train.sparkSession)  # tree checkpoints and iterative jobs use the shared folder
     if cfg.kind in BASELINES:
         from rarebird.plans import baselines
@@ -176,8 +195,6 @@ def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str]
     vec = assemble(data, spec, feats, keep=keep)
     total = float(vec.agg(F.sum(weight_col) if weight_col else F.count(F.lit(1))).first()[0] or 1.0)
     penalty, loss = cfg.params.get("penalty", "l2"), cfg.params.get("loss", "squared_hinge")
-    if cfg.kind == "linear_svm" and (penalty not in ("l1", "l2") or loss not in ("hinge", "squared_hinge") or (penalty, loss) == ("l1", "hinge")):
-        raise ValueError(f"linear_svm: no penalty {penalty} with loss {loss}")
     if cfg.kind == "linear_svm" and loss == "squared_hinge":
         from rarebird.plans.sparse_svm import fit_sparse_svm
 
@@ -212,8 +229,10 @@ def score_table(fitted: Fitted, test: DataFrame) -> DataFrame:
     out = fitted.transform(test)
     if "probability" in out.columns:
         score = vector_to_array("probability")[1]
-    else:
+    elif "rawPrediction" in out.columns:
         score = vector_to_array("rawPrediction")[1]
+    else:
+        score = F.col("prediction").cast("double")
     return out.select(spec.id, F.col(spec.label).cast("int").alias(spec.label),
                       F.col("prediction").cast("int").alias("prediction"), score.alias("score"))
 

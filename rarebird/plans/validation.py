@@ -73,8 +73,8 @@ def cross_validate(folded: DataFrame, spec: TableSpec, cfg: mo.ModelConfig, k: i
                    metrics=("f1",), sample: str | None = None, scale: str | None = "standard",
                    features: list[str] | None = None, seed: int = 42, model: str | None = None,
                    parallelism: int = 4) -> DataFrame:
-    """V1 (and V2 with ``sample``): (model, fold, metric, value)."""
-    bad = set(metrics) - set(METRICS)
+    """V1 (and V2 with ``sample``): (model, fold, metric, value). Metrics as :func:`metrics_long` takes them."""
+    bad = {m for m in metrics if not callable(m)} - set(METRICS)
     if bad:
         raise ValueError(f"unknown metrics {sorted(bad)}")
     scored = fold_scores(folded, spec, cfg, k, sample, scale, features, seed, parallelism=parallelism)

@@ -9,9 +9,8 @@ counts into E3's metrics.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from rarebird.functions import safe_div
+from rarebird.operators.metrics import cell_counts, wide_of_counts
 
 
 def score_stream(fitted, stream: DataFrame) -> DataFrame:
@@ -22,22 +21,8 @@ def score_stream(fitted, stream: DataFrame) -> DataFrame:
 
 def confusion_stream(scored: DataFrame, group=(), label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Running (group..., tp, fp, tn, fn); use output mode 'update' or 'complete'."""
-    y, p = F.col(label), F.col(prediction)
-    return scored.groupBy(*group).agg(
-        F.sum(((y == 1) & (p == 1)).cast("long")).alias("tp"),
-        F.sum(((y == 0) & (p == 1)).cast("long")).alias("fp"),
-        F.sum(((y == 0) & (p == 0)).cast("long")).alias("tn"),
-        F.sum(((y == 1) & (p == 0)).cast("long")).alias("fn"),
-    )
+    return cell_counts(scored, group, label, prediction)
 
 
 def metrics_from_counts(counts: DataFrame, group=()) -> DataFrame:
-    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    return counts.select(
-        *group,
-        safe_div(tp + tn, tp + fp + tn + fn).alias("accuracy"),
-        safe_div(tp, tp + fp).alias("precision"),
-        safe_div(tp, tp + fn).alias("recall"),
-        safe_div(2 * tp, 2 * tp + fp + fn).alias("f1"),
-        ((safe_div(tp, tp + fn, None) + safe_div(tn, tn + fp, None)) / 2).alias("roc_auc"),
-    )
+    return wide_of_counts(counts, group)

@@ -1,9 +1,10 @@
 """P3 against brute force: low and high dimension, self exclusion, ties by id."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from rarebird.operators.neighbors import knn
+from rarebird.operators.neighbors import cells, knn, knn_approximate, _points
 from rarebird.sources.fixtures import emb_binary
 
 
@@ -28,7 +29,7 @@ def test_knn_low_dim_self(spark, ev_small):
     m = ev_small.where("label = 1").select("event_id", *cols)
     pdf = m.toPandas()
     arr = (pdf.event_id.values, pdf[cols].values.astype(float))
-    got = knn(m, m, 5, cols, "event_id", exclude_self=True, per_cell=4)
+    got = knn(m, m, 5, cols, "event_id", exclude_self=True, leaf=40, hop=1)
     _check(got, _brute(arr, arr, 5, True), "event_id", "nn_event_id")
 
 
@@ -40,14 +41,14 @@ def test_knn_high_dim_two_tables(spark):
     B = wide.where("label = 1").select(F.col("vec_id").alias("b_id"), *cols)
     pa, pb = A.toPandas(), B.toPandas()
     brute = _brute((pa.a_id.values, pa[cols].values), (pb.b_id.values, pb[cols].values), 3, False)
-    got = knn(A, B, 3, cols, "a_id", "b_id", per_cell=8)
+    got = knn(A, B, 3, cols, "a_id", "b_id", leaf=16, hop=2)
     _check(got, brute, "a_id", "b_id")
 
 
 def test_knn_duplicates_tie_by_id(spark):
     rows = [(i, 1.0, 1.0) for i in range(10)] + [(100 + i, float(i), 0.0) for i in range(5)]
     df = spark.createDataFrame(rows, "id long, x double, y double")
-    got = knn(df, df, 3, ["x", "y"], "id", exclude_self=True, per_cell=2)
+    got = knn(df, df, 3, ["x", "y"], "id", exclude_self=True, leaf=2)
     first = [r["nn_id"] for r in got.where("id = 0").orderBy("nn").collect()]
     assert first == [1, 2, 3]
     assert np.all(np.array(got.groupBy("id").count().select("count").collect()) == 3)
@@ -60,5 +61,57 @@ def test_knn_hot_duplicate_location(spark):
     df = spark.createDataFrame(hot + rest, "id long, x double, y double")
     pdf = df.toPandas()
     arr = (pdf.id.values, pdf[["x", "y"]].values)
-    got = knn(df, df, 4, ["x", "y"], "id", exclude_self=True, per_cell=8)
+    got = knn(df, df, 4, ["x", "y"], "id", exclude_self=True, leaf=16, hop=2)
     _check(got, _brute(arr, arr, 4, True), "id", "nn_id")
+
+
+def test_one_informative_column_and_crowded_cells(spark):
+    """Eight coordinates of which one tells rows apart, most rows at few values of it; ties by id."""
+    rng = np.random.default_rng(2)
+    rows = [(i, float(rng.choice([0.0, 0.0, 0.0, 1.0, 7.5, rng.integers(0, 40)])), *[3.0] * 6, float(i % 2)) for i in range(700)]
+    cols = ["x", *[f"c{j}" for j in range(6)], "flag"]
+    df = spark.createDataFrame(rows, ["id", *cols]).repartition(5)
+    arr = (np.array([r[0] for r in rows]), np.array([r[1:] for r in rows]))
+    for leaf, hop in ((8, 1), (8, 3), (10_000, 4)):
+        _check(knn(df, df, 6, cols, "id", exclude_self=True, leaf=leaf, hop=hop), _brute(arr, arr, 6, True), "id", "nn_id")
+    sizes = [r.n for r in cells(_points(df, "id", cols), len(cols), 50).groupBy("cell", "x").count().withColumnRenamed("count", "n").collect()]
+    by_cell = [r["count"] for r in cells(_points(df, "id", cols), len(cols), 50).groupBy("cell").count().collect()]
+    assert sum(sizes) == sum(by_cell) == 700 and len(by_cell) > 5
+
+
+def test_knn_many_rows_of_a_in_one_cell_are_salted(spark, monkeypatch):
+    from rarebird.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "MEET", 50)
+    a = spark.createDataFrame([(i, 5.0 + i * 1e-6, 5.0) for i in range(400)] + [(1000 + i, float(i), 0.0) for i in range(30)], "id long, x double, y double")
+    b = spark.createDataFrame([(i, float(i % 20), float(i // 20)) for i in range(300)], "b long, x double, y double")
+    pa, pb = a.toPandas(), b.toPandas()
+    brute = _brute((pa.id.values, pa[["x", "y"]].values), (pb.b.values, pb[["x", "y"]].values), 3, False)
+    _check(knn(a, b, 3, ["x", "y"], "id", "b", leaf=16, hop=1), brute, "id", "b")
+
+
+def test_knn_small_empty_and_null(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, 1.0)], "id long, x double")
+    assert [(r.id, r.nn_id) for r in knn(df, df, 5, ["x"], "id", exclude_self=True).orderBy("id").collect()] == [(1, 2), (2, 1)]
+    assert knn(df, df.where("false"), 2, ["x"], "id").count() == 0
+    assert knn(df.where("false"), df, 2, ["x"], "id").count() == 0
+    for odd in (None, float("nan")):
+        with pytest.raises(Exception, match="null in x"):
+            knn(df, df.union(spark.createDataFrame([(3, odd)], "id long, x double")), 1, ["x"], "id").count()
+
+
+def test_approximate_search_measures_its_recall(spark):
+    """64 dimensions, neighbours in clusters: at least 0.9 of the true neighbours; a poor choice says so."""
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(60, 64)) * 4
+    x = np.repeat(centre, 12, axis=0) + rng.normal(size=(720, 64)) * 0.3
+    cols = [f"e{j}" for j in range(64)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["id", *cols]).repartition(4).cache()
+    rows, recall = knn_approximate(df, df, 5, cols, "id", exclude_self=True, width=12.0, tables=12, projections=6, audit=100)
+    true = knn(df, df, 5, cols, "id", exclude_self=True)
+    share = rows.join(true.select("id", "nn_id"), ["id", "nn_id"], "left_semi").count() / true.count()
+    assert recall >= 0.9 and share >= 0.9 and abs(recall - share) < 0.1
+    exact = {(r.id, r.nn_id): r.d2 for r in true.collect()}
+    assert all(abs(exact[r.id, r.nn_id] - r.d2) < 1e-9 for r in rows.collect() if (r.id, r.nn_id) in exact)
+    _, poor = knn_approximate(df, df, 5, cols, "id", exclude_self=True, width=0.5, tables=1, projections=8, audit=50)
+    assert poor < 0.5
