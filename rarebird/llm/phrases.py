@@ -1,21 +1,23 @@
 """Phrase collocations by SETM: sorted occurrence relations, merge joins, group counts, semi-joins.
 
 The occurrence relation of length k holds (piece, position, phrase) for each place where a
-phrase of k words stands. It is persisted in blocks: a block has the occurrences of some
-documents of one language (``BLOCK_BYTES`` of text), sorted by piece and position, as
-arrays. Positions count on through a block and pass one place at the end of a piece, so
-"same piece, next position" is "position + 1". From length k to k + 1:
+frequent phrase of k words stands. It is persisted in blocks: a block has the occurrences of
+some documents of one language (``BLOCK_BYTES`` of text), sorted by piece and position, as
+arrays (a bit for each position, the phrase's number in the block, the phrases' ids).
+Positions count on through a block and pass one place at the end of a piece, so "same
+piece, next position" is "position + 1". From length k to k + 1:
 
-1. group-count: the distinct phrases of each block with their counts, summed over all blocks
-   of the language by one window; what is under ``min_count`` goes;
-2. semi-join: the frequent phrases go back to their blocks, which drop all other occurrences;
-3. merge-join: an occurrence at position p and one at p + 1 make one of length k + 1. It
+1. merge-join: an occurrence at position p and one at p + 1 make one of length k + 1. It
    overlaps them in k - 1 words, so the two frequent parts name the new phrase exactly: a
-   phrase is a pair of ids of shorter ones, never a hash.
+   phrase is a pair of ids of shorter ones, never a hash;
+2. group-count: the distinct phrases of each block with their counts, summed over all blocks
+   of the language by one window; what is under ``min_count`` goes;
+3. semi-join: the frequent phrases go back to their blocks, which persist the occurrences of
+   these alone.
 
 Only distinct phrases of blocks are shuffled for counting, so a word that makes up a third
 of a corpus is one row a block. A block bounds what a task holds; phrase tables are joined,
-never broadcast or collected.
+never broadcast or collected. Relations that the next one replaces are deleted.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rarebird.llm.tables import materialize
+from rarebird.llm.tables import discard, materialize
 
 #: Text of one block; a longer text is one block of its own.
 BLOCK_BYTES = 8 << 20
@@ -64,15 +66,13 @@ class Block:
 
 
 def _words(block_bytes: int):
-    """(lang, text) -> a row for each distinct word of a block and one with the block's occurrences."""
+    """(lang, text) -> a row for each block: its distinct words, most frequent first, their counts, and its occurrences."""
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         from rarebird.llm.arrowbatch import text_chunks
 
-        schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("local", pa.int32()), ("word", pa.string()), ("n", pa.int64()),
-                            ("pos", pa.binary()), ("pid", pa.binary())])
         folding, blocks = _folding(), {}
         number = TaskContext.get().partitionId() << 33
 
@@ -80,17 +80,16 @@ def _words(block_bytes: int):
             nonlocal number
             block = blocks.pop(lang)
             occ = np.concatenate(block.parts)
-            counts = np.bincount(occ, minlength=len(block.index))[1:]
-            if len(counts):
-                words = pa.array(list(block.index)[1:], pa.binary()).cast(pa.string())
-                n = len(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, number)), pa.array([lang] * n), pa.array(np.arange(n, dtype=np.int32)), words, pa.array(counts),
-                     pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
-                pos = np.flatnonzero(occ).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip([[number], [lang], [None], [None], [None], [pos.tobytes()], [(occ[pos] - 1).tobytes()]], schema.types, strict=True)],
-                    schema=schema)
+            counts = np.bincount(occ, minlength=len(block.index))
+            counts[0] = len(occ) + 1  # the mark stays first
+            order = np.argsort(-counts, kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            if len(order) > 1:
+                words = pa.array(list(block.index), pa.binary()).take(pa.array(order[1:])).cast(pa.string())
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), x) for x in (words, pa.array(counts[order[1:]]))]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lang]), *lists, pa.array([_planes(place[occ])], pa.binary())],
+                                                 names=["block", "lang", "words", "n", "occ"])
                 number += 1
 
         for chunk in text_chunks(batches):
@@ -111,78 +110,128 @@ def _words(block_bytes: int):
     return run
 
 
-def _extend(batches):
-    """Rows of a block, its occurrences first and then its frequent phrases (local, id) -> the same
-    block one word longer: a row for each distinct phrase and one with the occurrences."""
+def _word_counts(batches):
+    """Blocks of words -> (block, lang, local, word, n)."""
     import pyarrow as pa
 
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("local", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()),
-                        ("pos", pa.binary()), ("pid", pa.binary())])
-
-    def longer(block, lang, pos, pid, local, ids):
-        if not local:
-            return
-        local, ids = np.concatenate(local), np.concatenate(ids)
-        known = np.full(int(pid.max()) + 1, -1, np.int32)
-        known[local] = np.arange(len(local), dtype=np.int32)
-        at = known[pid]
-        keep = at >= 0
-        pos, at = pos[keep], at[keep]
-        next_to = np.flatnonzero(pos[1:] == pos[:-1] + 1)
-        if not len(next_to):
-            return
-        pair = at[next_to].astype(np.int64) * len(ids) + at[next_to + 1]
-        made, of, n = np.unique(pair, return_inverse=True, return_counts=True)
-        a, b = np.divmod(made, len(ids))
-        k = len(made)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(k, block)), pa.array([lang] * k), pa.array(np.arange(k, dtype=np.int32)), pa.array(ids[a]), pa.array(ids[b]),
-             pa.array(n.astype(np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=schema)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v, t) for v, t in zip([[block], [lang], [None], [None], [None], [None], [pos[next_to].tobytes()], [of.astype(np.int32).tobytes()]],
-                                            schema.types, strict=True)], schema=schema)
-
-    now = None
     for b in batches:
-        blocks = np.asarray(b.column("block"))
-        heads = np.flatnonzero(np.asarray(b.column("pid").is_valid()))
-        cuts = sorted({0, *heads.tolist(), b.num_rows})
-        for x, y in zip(cuts, cuts[1:], strict=False):
-            part = b.slice(x, y - x)
-            if part.column("pid")[0].is_valid:
-                if now is not None:
-                    yield from longer(*now)
-                pos, pid = (np.frombuffer(part.column(c)[0].as_buffer(), np.int32) for c in ("pos", "pid"))
-                now = (int(blocks[x]), part.column("lang")[0].as_py(), pos, pid, [], [])
-                part = part.slice(1)
-            if part.num_rows:
-                now[4].append(np.asarray(part.column("local")))
-                now[5].append(np.asarray(part.column("id")))
-    if now is not None:
-        yield from longer(*now)
-
-
-def _frequent(relation: DataFrame, names: list[str], min_count: int, length: int) -> DataFrame:
-    """Distinct phrases of blocks whose counts over all blocks of the language reach ``min_count``: with
-    ``f`` (the sum) and ``id`` (the smallest of the phrase's rows, whose ``uid`` equals it)."""
-    rows = relation.where(F.col("local").isNotNull()).select("block", "lang", "local", *names, "n").withColumn("uid", F.monotonically_increasing_id())
-    same = Window.partitionBy("lang", *names)
-    counted = rows.withColumn("f", F.sum("n").over(same)).withColumn("id", F.min("uid").over(same))
-    return materialize(counted.where(F.col("f") >= min_count).drop("n"), f"frequent{length}")
+        size = np.diff(np.asarray(b.column("words").offsets))
+        at = pa.array(np.repeat(np.arange(b.num_rows), size))
+        local = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        yield pa.RecordBatch.from_arrays([b.column("block").take(at), b.column("lang").take(at), pa.array(local.astype(np.int32)), b.column("words").flatten(), b.column("n").flatten()],
+                                         names=["block", "lang", "local", "word", "n"])
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers by byte, all lowest bytes first: the high bytes of small numbers compress to nothing."""
+    return np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(row, name: str) -> np.ndarray:
+    return np.frombuffer(row.column(name)[0].as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
+def _array(row, name: str, kind) -> np.ndarray:
+    return np.frombuffer(row.column(name)[0].as_buffer(), kind)
+
+
+def _joined(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merge-join of a block's occurrences with those one position on: (position of each longer
+    occurrence, its two parts as one number, the ids that the parts are places of)."""
+    pos = np.flatnonzero(np.unpackbits(_array(row, "bits", np.uint8)))
+    pid, ids = _numbers(row, "pid"), _array(row, "ids", np.int64)
+    next_to = np.flatnonzero(pos[1:] == pos[:-1] + 1)
+    return pos[next_to].astype(np.int32), pid[next_to].astype(np.int64) * len(ids) + pid[next_to + 1], ids
 
 
-def _next(relation: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
-    """The occurrence relation one word longer: semi-join with the frequent phrases, then merge-join."""
-    heads = relation.where(F.col("pid").isNotNull()).select("block", "lang", F.lit(None).cast("int").alias("local"), F.lit(None).cast("long").alias("id"), "pos", "pid")
-    known = frequent.select("block", "lang", "local", "id", F.lit(None).cast("binary").alias("pos"), F.lit(None).cast("binary").alias("pid"))
+def _pair_counts(batches):
+    """Blocks of occurrences -> (block, local, a, b, n): the distinct phrases one word longer, not shortened yet."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            _, pair, ids = _joined(row)
+            made, n = np.unique(pair, return_counts=True)
+            del pair
+            for at in range(0, len(made), 1 << 16):
+                a, b = np.divmod(made[at:at + (1 << 16)], len(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(a), row.column("block")[0].as_py())), pa.array(np.arange(at, at + len(a), dtype=np.int32)),
+                     pa.array(ids[a]), pa.array(ids[b]), pa.array(n[at:at + len(a)].astype(np.int64))], names=["block", "local", "a", "b", "n"])
+
+
+def _semi_join(words: bool):
+    """Rows sorted by block, its occurrences first and then its frequent phrases (local, id) -> blocks
+    with the occurrences of these phrases."""
+    def run(batches):
+        import pyarrow as pa
+
+        def kept(row, local, ids):
+            if not local:
+                return
+            local, ids = np.concatenate(local), np.concatenate(ids)
+            if words:
+                occ = _numbers(row, "pid")
+                pos = np.flatnonzero(occ)
+                of = occ[pos] - 1
+            else:
+                pos, of, _ = _joined(row)
+                of = np.unique(of, return_inverse=True)[1]
+            known = np.full(int(of.max()) + 1, -1, np.int32)
+            known[local] = np.arange(len(local), dtype=np.int32)
+            pid = known[of]
+            pos, pid = pos[pid >= 0], pid[pid >= 0]
+            order = np.argsort(-np.bincount(pid, minlength=len(ids)), kind="stable")  # small numbers for frequent ones
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            bits = np.zeros(int(pos[-1]) + 1, bool)
+            bits[pos] = True
+            yield pa.RecordBatch.from_arrays([row.column("block"), row.column("lang"), *[pa.array([x], pa.binary()) for x in (np.packbits(bits).tobytes(), _planes(place[pid]), ids[order].tobytes())]],
+                                             names=["block", "lang", "bits", "pid", "ids"])
+
+        now = None
+        for b in batches:
+            heads = np.flatnonzero(np.asarray(b.column("pid").is_valid()))
+            cuts = sorted({0, *heads.tolist(), b.num_rows})
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                part = b.slice(x, y - x)
+                if part.column("pid")[0].is_valid:
+                    if now is not None:
+                        yield from kept(*now)
+                    now = (part.slice(0, 1), [], [])
+                    part = part.slice(1)
+                if part.num_rows:
+                    now[1].append(np.asarray(part.column("local")))
+                    now[2].append(np.asarray(part.column("id")))
+        if now is not None:
+            yield from kept(*now)
+
+    return run
+
+
+def _frequent(rows: DataFrame, names: list[str], min_count: int, length: int) -> DataFrame:
+    """Distinct phrases of blocks whose counts over all blocks of the language reach ``min_count``: with
+    ``f`` (the sum) and ``id`` (the smallest of the phrase's rows, whose ``uid`` equals it). One shuffle."""
+    same = Window.partitionBy(*names)
+    counted = rows.withColumn("f", F.sum("n").over(same)).where(F.col("f") >= min_count).drop("n")
+    return materialize(counted.withColumn("uid", F.monotonically_increasing_id()).withColumn("id", F.min("uid").over(same)), f"frequent{length}")
+
+
+def _kept(relation: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
+    """The relation of this length: occurrences of frequent phrases."""
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    bits, ids = (none("binary", "bits"), none("binary", "ids")) if length == 1 else ("bits", "ids")
+    heads = relation.select("block", "lang", none("int", "local"), none("long", "id"), bits, F.col("occ" if length == 1 else "pid").alias("pid"), ids)
+    known = frequent.select("block", none("string", "lang"), "local", "id", none("binary", "bits"), none("binary", "pid"), none("binary", "ids"))
     rows = heads.union(known).repartition("block").sortWithinPartitions("block", F.col("local").asc_nulls_first())
-    return materialize(rows.mapInArrow(_extend, "block long, lang string, local int, a long, b long, n long, pos binary, pid binary"), f"occurrences{length}")
+    return materialize(rows.mapInArrow(_semi_join(length == 1), "block long, lang string, bits binary, pid binary, ids binary"), f"occurrences{length}")
 
 
 def _occurrences(docs: DataFrame, lang_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """The relation of length 1."""
+    """All words in blocks."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
-    return materialize(rows.mapInArrow(_words(block_bytes), "block long, lang string, local int, word string, n long, pos binary, pid binary"), "occurrences1")
+    return materialize(rows.mapInArrow(_words(block_bytes), "block long, lang string, words array<string>, n array<long>, occ binary"), "words")
 
 
 def _exact(c) -> F.Column:
@@ -206,25 +255,35 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min
     return _mined(_occurrences(docs, lang_col, text_col, block_bytes), min_count, max_words, cover)
 
 
-def _mined(relation: DataFrame, min_count: int, max_words: int, cover: int) -> DataFrame:
-    frequent = _frequent(relation, ["word"], min_count, 1)
+def _mined(blocks: DataFrame, min_count: int, max_words: int, cover: int) -> DataFrame:
     first = F.col("uid") == F.col("id")
-    # heads: occurrences of the first 1, 2, ... words; tails: of the words from the first, second, ... on
-    table = frequent.where(first).select("lang", "id", F.col("word").alias("phrase"), F.col("word").alias("last"), "f",
-                                         F.array("f").alias("heads"), F.array("f").alias("tails"))
-    out = None
-    for length in range(2, max_words + 1):
-        relation = _next(relation, frequent, length)
-        frequent = _frequent(relation, ["a", "b"], min_count, length)
-        left = table.select(F.col("id").alias("a"), F.col("phrase").alias("front"), F.col("heads").alias("front_heads"))
-        right = table.select(F.col("id").alias("b"), "last", F.col("tails").alias("back_tails"))
-        longer = (frequent.where(first).select("lang", "id", "a", "b", "f").join(left, "a").join(right, "b")
-                  .select("lang", "id", "a", "b", F.concat_ws(" ", "front", "last").alias("phrase"), "last", "f",
-                          F.concat("front_heads", F.array("f")).alias("heads"), F.concat(F.array("f"), "back_tails").alias("tails")))
+    relation, table, out = blocks, None, None
+    for length in range(1, max_words + 1):
+        if length == 1:
+            rows = blocks.select("block", "lang", "words", "n").mapInArrow(_word_counts, "block long, lang string, local int, word string, n long")
+            frequent = _frequent(rows, ["lang", "word"], min_count, length)
+            # heads: occurrences of the first 1, 2, ... words; tails: of the words from the first, second, ... on
+            longer = frequent.where(first).select("lang", "id", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.col("word").alias("phrase"),
+                                                  F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
+        else:
+            rows = relation.select("block", "bits", "pid", "ids").mapInArrow(_pair_counts, "block long, local int, a long, b long, n long")
+            frequent = _frequent(rows, ["a", "b"], min_count, length)
+            left = table.select("lang", F.col("id").alias("a"), F.col("phrase").alias("front"), F.col("heads").alias("front_heads"))
+            right = table.select(F.col("id").alias("b"), "last", F.col("tails").alias("back_tails"))
+            longer = (frequent.where(first).select("id", "a", "b", "f").join(left, "a").join(right, "b")
+                      .select("lang", "id", "a", "b", F.concat_ws(" ", "front", "last").alias("phrase"), "last", "f",
+                              F.concat("front_heads", F.array("f")).alias("heads"), F.concat(F.array("f"), "back_tails").alias("tails")))
         longer = materialize(longer, f"phrases{length}")
+        if length < max_words:
+            before, relation = relation, _kept(relation, frequent, length)
+            if length > 1:
+                discard(before)
+        discard(frequent)
         if length > 2:
             out = _uncovered(table, longer, cover, out, length - 1)
         table = longer
+    if max_words > 1:
+        discard(relation)
     return _uncovered(table, None, cover, out, max_words)
 
 
@@ -250,8 +309,9 @@ def top_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of each language by score
     descending, occurrences descending, phrase ascending; ``n`` is the number of its words.
     See :func:`phrases`."""
-    relation = _occurrences(docs, lang_col, text_col, block_bytes)
-    totals = relation.where(F.col("n").isNotNull()).groupBy("lang").agg(F.sum("n").alias("n"))
+    blocks = _occurrences(docs, lang_col, text_col, block_bytes)
+    size = F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y)
+    totals = materialize(blocks.groupBy("lang").agg(F.sum(size).alias("n")), "totals")
     best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = _mined(relation, min_count, max_words, cover).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    ranked = _mined(blocks, min_count, max_words, cover).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

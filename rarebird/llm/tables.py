@@ -10,6 +10,14 @@ from rarebird import session
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialize` wrote, once all that reads it is written."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """``rarebird.session.materialize``, without the shuffle files of the write.
 
