@@ -7,6 +7,7 @@ digits on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,6 +115,13 @@ def q_shape(spark, sf):
     return prof.shape(ev_features(spark, sf))
 
 
+@query("D1_column_list", with_ev(_union([
+    f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS \"column\", '{'bigint' if c == 'event_id' else 'string' if c == 'category' else 'int' if c in ('label', 'learn', 'score', 'prediction') else DTYPES[c]}' AS dtype, "
+    f"count({c}) AS non_null, count(*) AS rows FROM ev_features" for i, c in enumerate(EV_COLS)])))
+def q_column_list(spark, sf):
+    return prof.column_list(ev_features(spark, sf).select(*EV_COLS))
+
+
 @query("D2_head", with_ev("SELECT * FROM ev_features ORDER BY event_id LIMIT 5"))
 def q_head(spark, sf):
     return prof.head(ev_features(spark, sf), "event_id", 5)
@@ -566,7 +574,8 @@ def q_uniform(spark, sf):
 
 from rarebird.operators.profile import assemble, class_weights  # noqa: E402
 from rarebird.plans import models as mo  # noqa: E402
-from rarebird.spec import LEARN_BOOST, LEARN_SPEC  # noqa: E402
+from rarebird.plans.centroid import NearestCentroid  # noqa: E402
+from rarebird.spec import LEARN_BOOST, LEARN_SPEC, TableSpec  # noqa: E402
 
 
 def holdout(spark, sf, spec=LEARN_SPEC, kind: str = "standard"):
@@ -677,6 +686,85 @@ def q_importance(spark, sf):
     return mo.feature_importance(mo.fit(train, LEARN_SPEC, mo.FOREST))
 
 
+STUMP_FEATS = ["night", "even_user", "big"]
+STUMP_SPEC = TableSpec("event_id", "learn", (), tuple(STUMP_FEATS))
+STUMP = mo.ModelConfig("decision_tree", {"max_depth": 1})
+ONE_TREE = mo.ModelConfig("random_forest", {"n_estimators": 1, "max_depth": 1, "bootstrap": False, "max_features": "all"})
+_GINI = lambda a, b: f"({a} + {b}) * (1 - ({a} / ({a} + {b})) * ({a} / ({a} + {b})) - ({b} / ({a} + {b})) * ({b} / ({a} + {b})))"
+_STUMP_CTES = [
+    "wt AS (SELECT *, (SELECT count(*) FROM ev_features) / (2.0e0 * count(*) OVER (PARTITION BY learn)) AS w FROM ev_features)",
+    "sides AS (" + _union([f"SELECT '{c}' AS feature, {c} AS side, sum(CASE WHEN learn = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN learn = 0 THEN w ELSE 0 END) AS q FROM wt GROUP BY {c}"
+                           for c in STUMP_FEATS]) + ")",
+    f"chosen AS (SELECT feature FROM sides GROUP BY feature ORDER BY sum({_GINI('p', 'q')}) LIMIT 1)"]
+
+
+@query("M1_logistic_flag", with_ev("SELECT big, round(avg(CAST(learn AS DOUBLE)), 4) AS score FROM ev_features GROUP BY big"))
+def q_logistic_flag(spark, sf):
+    """Without penalty and weights one 0/1 feature gives its groups' shares."""
+    ev, spec = ev_features(spark, sf), TableSpec("event_id", "learn", (), ("big",))
+    cfg = mo.ModelConfig("logistic", {"C": 1e9, "max_iter": 500, "tol": 1e-12}, weights=None)
+    return mo.score_table(mo.fit(ev, spec, cfg), ev).join(ev.select("event_id", "big"), "event_id").groupBy("big").agg(F.round(F.avg("score"), 4).alias("score"))
+
+
+_STUMP_SQL = with_ev("""SELECT w.event_id, w.learn, CAST(s.p > s.q AS INTEGER) AS prediction, round(s.p / (s.p + s.q), 6) AS score
+FROM wt w JOIN sides s ON s.feature = (SELECT feature FROM chosen) AND s.side = CASE s.feature WHEN 'night' THEN w.night WHEN 'even_user' THEN w.even_user ELSE w.big END""", *_STUMP_CTES)
+
+
+@query("M4_decision_tree_stump", _STUMP_SQL)
+def q_stump(spark, sf):
+    """A tree of one split: the flag with the best weighted Gini gain, and its sides' class shares."""
+    ev = ev_features(spark, sf)
+    return mo.score_table(mo.fit(ev, STUMP_SPEC, STUMP), ev)
+
+
+@query("M5_random_forest_one_tree", _STUMP_SQL)
+def q_one_tree(spark, sf):
+    ev = ev_features(spark, sf)
+    return mo.score_table(mo.fit(ev, STUMP_SPEC, ONE_TREE), ev)
+
+
+@query("M10_score_table_stump", with_ev("""SELECT w.event_id, w.learn, CAST(s.p > s.q AS INTEGER) AS prediction, round(s.p / (s.p + s.q), 6) AS score
+FROM wt w JOIN sides s ON s.feature = (SELECT feature FROM chosen) AND s.side = CASE s.feature WHEN 'night' THEN w.night WHEN 'even_user' THEN w.even_user ELSE w.big END
+WHERE w.event_id % 3 = 0""", *_STUMP_CTES))
+def q_score_stump(spark, sf):
+    """Scored on other rows than it was fitted on."""
+    ev = ev_features(spark, sf)
+    return mo.score_table(mo.fit(ev, STUMP_SPEC, STUMP), ev.where("event_id % 3 = 0"))
+
+
+_IMPORTANCE = "SELECT DISTINCT feature AS \"column\", CAST(feature = (SELECT feature FROM chosen) AS DOUBLE) AS importance FROM sides"
+
+
+@query("M11_feature_importance_stump", with_ev(_IMPORTANCE, *_STUMP_CTES))
+def q_importance_stump(spark, sf):
+    return mo.feature_importance(mo.fit(ev_features(spark, sf), STUMP_SPEC, STUMP))
+
+
+def _save_kinds():
+    small = {"logistic": mo.BEST_LOGISTIC, "linear_svm": mo.BEST_LINEAR_SVM, "linear_svm_hinge": mo.LINEAR_SVM.with_params(loss="hinge", max_iter=30),
+             "rbf_svm": mo.ModelConfig("rbf_svm", {"n_components": 20, "max_iter": 20}), "decision_tree": mo.BEST_TREE,
+             "random_forest": mo.ModelConfig("random_forest", {"n_estimators": 5, "max_depth": 5}),
+             "boosted_trees": mo.BEST_BOOSTED.with_params(n_estimators=3), "estimator": mo.ModelConfig("estimator", weights=None, estimator=NearestCentroid())}
+    return {**small, **{k: mo.ModelConfig(k, weights=None) for k in mo.BASELINES}}
+
+
+@query("S3_save_model_kinds", _union([f"SELECT '{k}' AS kind, CAST((count(*) + 4) // 5 AS BIGINT) AS n, CAST(0 AS BIGINT) AS mismatches FROM events" for k in sorted(_save_kinds())]))
+def q_save_kinds(spark, sf):
+    """Every model family, saved and loaded: rows of the holdout whose prediction or score is no longer the same."""
+    from rarebird.sources.models import load_fitted, save_fitted
+
+    train, test = holdout(spark, sf)
+    out = None
+    for kind, cfg in _save_kinds().items():
+        fitted = mo.fit(train, LEARN_SPEC, cfg)
+        again = load_fitted(spark, save_fitted(fitted, scratch_path(spark, "fitted")))
+        a, b = mo.score_table(fitted, test), mo.score_table(again, test).withColumnsRenamed({"prediction": "p2", "score": "s2"}).drop("learn")
+        same = F.col("prediction").eqNullSafe(F.col("p2")) & F.col("score").eqNullSafe(F.col("s2"))
+        one = a.join(b, "event_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~same, 1)).alias("mismatches")).select(F.lit(kind).alias("kind"), "n", "mismatches")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("S3_save_model")
 def q_save_model(spark, sf):
     train, test = holdout(spark, sf)
@@ -700,7 +788,8 @@ def flagship(spark, sf):
 
 from rarebird.operators.neighbors import knn as _knn  # noqa: E402
 
-NN_FEATS = ["value", "hr", "k"]
+NN_FEATS = FEATS
+_NN_DOUBLES = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NN_FEATS)
 _D2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in NN_FEATS)
 MINO_CTE = f"mino AS (SELECT event_id, {', '.join(NN_FEATS)} FROM ev_features WHERE label = 1)"
 MAJO_CTE = f"majo AS (SELECT event_id, {', '.join(NN_FEATS)} FROM ev_features WHERE label = 0)"
@@ -718,12 +807,10 @@ def q_knn(spark, sf):
     return _knn(m, m, 5, NN_FEATS, "event_id", exclude_self=True)
 
 
-_SMOTE_SQL = f"""SELECT event_id, value, hr, k, label FROM (
-  SELECT event_id, value, hr, k, label FROM ev_features
+_SMOTE_SQL = f"""SELECT event_id, {", ".join(f"round({c}, 6) AS {c}" for c in NN_FEATS)}, label FROM (
+  SELECT event_id, {_NN_DOUBLES}, label FROM ev_features
   UNION ALL
-  SELECT -(p.g + 1) AS event_id,
-         a.value + p.u * (b.value - a.value) AS value, a.hr + p.u * (b.hr - a.hr) AS hr,
-         a.k + p.u * (b.k - a.k) AS k, 1 AS label
+  SELECT -(p.g + 1) AS event_id, {", ".join(f"a.{c} + p.u * (b.{c} - a.{c}) AS {c}" for c in NN_FEATS)}, 1 AS label
   FROM (SELECT g, {md5_int(SEED, 'g', 'p')} % ((SELECT count(*) FROM mino) * 5) AS idx,
                {md5_int(SEED, 'g', 'g')} / 4294967296.0e0 AS u
         FROM (SELECT unnest(range((SELECT count(*) FROM majo) - (SELECT count(*) FROM mino))) AS g)) p
@@ -740,9 +827,9 @@ def q_smote(spark, sf):
     return sa.smote(ev_features(spark, sf), spec, 5, SEED)
 
 
-_NEARMISS_SQL = f"""SELECT event_id, value, hr, k, label FROM ev_features WHERE label = 1
+_NEARMISS_SQL = f"""SELECT event_id, {", ".join(NN_FEATS)}, label FROM ev_features WHERE label = 1
 UNION ALL
-SELECT f.event_id, f.value, f.hr, f.k, f.label FROM ev_features f JOIN (
+SELECT f.event_id, {", ".join(f"f.{c}" for c in NN_FEATS)}, f.label FROM ev_features f JOIN (
   SELECT a, row_number() OVER (ORDER BY md, a) AS r FROM (
     SELECT a, round(avg(sqrt(d2)), 6) AS md FROM (
       SELECT a.event_id AS a, {_D2} AS d2,
@@ -756,16 +843,28 @@ WHERE s.r <= (SELECT count(*) FROM mino)"""
 def q_near_miss(spark, sf):
     spec = EV_SPEC.only(NN_FEATS)
     out = sa.near_miss(ev_features(spark, sf), spec, 3)
-    return out.select("event_id", "value", "hr", "k", "label")
+    return out.select("event_id", *NN_FEATS, "label")
+
+
+@query("P3_knn_approximate")
+def q_knn_approximate(spark, sf):
+    """Neighbours by hashing on the scaled features, each row with the measured recall."""
+    from rarebird.operators.neighbors import knn_approximate
+
+    scaled, _ = scaling.fit_apply_scaler(ev_features(spark, sf).where("label = 1"), EV_SPEC)
+    rows, recall = knn_approximate(scaled, scaled, 5, FEATS, "event_id", exclude_self=True, width=2.0, tables=24, projections=6)
+    return rows.withColumn("recall", F.lit(recall))
 
 
 # ---------------------------------------------------------------- V: cross-validation and search
 
 from rarebird.plans import search as se  # noqa: E402
+from rarebird.plans.centroid import NearestCentroid  # noqa: E402
 from rarebird.plans import validation as va  # noqa: E402
 
 STRAT = mo.ModelConfig("stratified", weights=None)
 UNIF = mo.ModelConfig("uniform", weights=None)
+CENTROID = mo.ModelConfig("estimator", weights=None, estimator=NearestCentroid())
 MOSTF = mo.ModelConfig("most_frequent", weights=None)
 BASES = {"most_frequent": MOSTF, "stratified": STRAT, "uniform": UNIF}
 RANGE5 = "(SELECT CAST(range AS INTEGER) AS f FROM range(5)) g"
@@ -821,15 +920,73 @@ def q_cv_model(spark, sf):
     return va.cross_validate(f, LEARN_SPEC, mo.LOGISTIC, K, va.METRICS, model="logistic")
 
 
-@query("V2_cross_validate_resampled", with_ev(
-    _mlong_sql(f"(SELECT 'stratified' AS model, fold, label, CAST({U42} < 0.5e0 AS INTEGER) AS prediction FROM folds)",
-               ["model", "fold"]), FOLDS_CTE))
+def _centroid_stats(rows: str, feats: list[str], by: str = "fold") -> str:
+    """Class means and spreads of the training rows of each fold (closed form of the nearest-centroid model)."""
+    parts = ", ".join(f"avg(CAST({c} AS DOUBLE)) FILTER (WHERE label = 1) AS p_{c}, avg(CAST({c} AS DOUBLE)) FILTER (WHERE label = 0) AS q_{c}, "
+                      f"stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in feats)
+    return f"SELECT {by}, {parts} FROM {rows} GROUP BY {by}"
+
+
+def _centroid_margin(feats: list[str], scaled: bool) -> str:
+    """Margin of row f under the statistics t."""
+    one = lambda c: f"(t.p_{c} - t.q_{c}) * (f.{c} - (t.p_{c} + t.q_{c}) / 2)"
+    return " + ".join(f"coalesce({one(c)} / nullif(t.s_{c} * t.s_{c}, 0), 0)" if scaled and c in NUMS else one(c) for c in feats)
+
+
+_TRAIN_CTE = f"tr AS (SELECT g.f AS fold, folds.* EXCLUDE (fold) FROM folds CROSS JOIN {RANGE5} WHERE folds.fold <> g.f)"
+_V2_CTES = [FOLDS_CTE, _TRAIN_CTE, f"""mi AS (
+  SELECT fold, event_id, {', '.join(NN_FEATS)}, row_number() OVER (PARTITION BY fold ORDER BY event_id) AS r, count(*) OVER (PARTITION BY fold) AS n FROM tr WHERE label = 1
+), mj AS (SELECT fold, count(*) AS n FROM tr WHERE label = 0 GROUP BY fold), near AS (
+  SELECT fold, a, b, nn FROM (SELECT a.fold, a.event_id AS a, b.event_id AS b, row_number() OVER (PARTITION BY a.fold, a.event_id ORDER BY {_D2}, b.event_id) AS nn
+    FROM mi a JOIN mi b ON a.fold = b.fold AND a.event_id <> b.event_id) WHERE nn <= 5
+), draws AS (
+  SELECT fold, {md5_int(SEED, 'g', 'p')} % (n * 5) AS idx, {md5_int(SEED, 'g', 'g')} / 4294967296.0e0 AS u
+  FROM (SELECT mj.fold, c.n, unnest(range(mj.n - c.n)) AS g FROM mj JOIN (SELECT fold, count(*) AS n FROM mi GROUP BY fold) c USING (fold))
+), resampled AS (
+  SELECT fold, label, {_NN_DOUBLES} FROM tr
+  UNION ALL
+  SELECT d.fold, 1, {", ".join(f"a.{c} + d.u * (b.{c} - a.{c})" for c in NN_FEATS)}
+  FROM draws d JOIN mi a ON a.fold = d.fold AND a.r = d.idx // 5 + 1
+  JOIN near ON near.fold = d.fold AND near.a = a.event_id AND near.nn = d.idx % 5 + 1
+  JOIN mi b ON b.fold = d.fold AND b.event_id = near.b
+), stats AS ({_centroid_stats('resampled', NN_FEATS)}), cp AS (
+  SELECT 'centroid' AS model, f.fold, f.label, CAST({_centroid_margin(NN_FEATS, False)} > 0 AS INTEGER) AS prediction FROM folds f JOIN stats t USING (fold))"""]
+
+
+@query("V2_cross_validate_resampled", with_ev(_mlong_sql("cp", ["model", "fold"]), *_V2_CTES))
 def q_cv_smote(spark, sf):
-    """Stratified baseline after SMOTE on the training folds: the training prevalence is
-    exactly 1/2 when SMOTE balances the classes."""
-    spec = EV_SPEC.only(NN_FEATS)
-    return va.cross_validate_resampled(_folded_ev(spark, sf), spec, STRAT, "smote", K, scale="standard",
-                                       model="stratified")
+    """The nearest-centroid model after SMOTE on the training folds: its class means follow from every synthetic row."""
+    return va.cross_validate_resampled(_folded_ev(spark, sf), EV_SPEC.only(NN_FEATS), CENTROID, "smote", K, scale=None, model="centroid")
+
+
+_CENTROID_CTES = [FOLDS_CTE, _TRAIN_CTE, f"stats AS ({_centroid_stats('tr', FEATS)})"]
+SHIFTS = [-0.2, -0.05, 0.0, 0.05, 0.2]
+
+
+def _shifted(names: dict, column: str) -> str:
+    return "cp AS (" + _union([f"SELECT {n} AS {column}, f.fold, f.label, CAST({_centroid_margin(FEATS, True)} > {t}e0 AS INTEGER) AS prediction FROM folds f JOIN stats t USING (fold)"
+                               for n, t in names.items()]) + ")"
+
+
+@query("V1_cross_validate_centroid", with_ev(_mlong_sql("cp", ["model", "fold"]), *_CENTROID_CTES, _shifted({"'centroid'": 0.0}, "model")))
+def q_cv_centroid(spark, sf):
+    """A real fit with scaling inside the folds."""
+    return va.cross_validate(_folded_ev(spark, sf), EV_SPEC, CENTROID, K, va.METRICS, model="centroid")
+
+
+@query("V3_cross_validate_many_centroids", with_ev(_mlong_sql("cp", ["model", "fold"], ("f1", "roc_auc")), *_CENTROID_CTES, _shifted({"'low'": -0.05, "'high'": 0.2}, "model")))
+def q_cv_centroids(spark, sf):
+    cfgs = {"low": CENTROID.with_params(threshold=-0.05), "high": CENTROID.with_params(threshold=0.2)}
+    return va.cross_validate_many(_folded_ev(spark, sf), EV_SPEC, cfgs, K, ("f1", "roc_auc"))
+
+
+@query("V5_grid_search_centroid", with_ev(
+    "SELECT candidate, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, CAST(rank() OVER (ORDER BY avg(value) DESC) AS INTEGER) AS rank "
+    f"FROM ({_mlong_sql('cp', ['candidate', 'fold'], ('f1',), False)}) GROUP BY candidate",
+    *_CENTROID_CTES, _shifted({f"CAST({i} AS INTEGER)": t for i, t in enumerate(SHIFTS)}, "candidate")))
+def q_grid_centroid(spark, sf):
+    r = se.grid_search(_folded_ev(spark, sf), EV_SPEC, CENTROID, {"threshold": SHIFTS}, K)
+    return r.results.select("candidate", "mean", "std", "rank")
 
 
 @query("V2_cross_validate_near_miss_model")
@@ -903,7 +1060,7 @@ def q_report_top(spark, sf):
 @query("V5_grid_search_model")
 def q_grid_model(spark, sf):
     f = va.with_folds(ev_features(spark, sf), LEARN_SPEC, K)
-    r = se.grid_search(f, LEARN_SPEC, mo.LOGISTIC, {"penalty": ["l1", "l2"], "C": [0.1, 1.0, 100.0]}, K)
+    r = se.grid_search(f, LEARN_SPEC, mo.LOGISTIC, mo.GRIDS["logistic"], K)
     return r.results.select("candidate", F.to_json("params").alias("params"), "mean", "std", "rank")
 
 
@@ -957,6 +1114,26 @@ def q_l3(spark, sf):
     return sel.select_by_model(train, LEARN_SPEC, mo.ModelConfig("random_forest", {"n_estimators": 50}))
 
 
+@query("L2_select_forest_one_tree", with_ev("SELECT *, round(1 / 3.0e0, 6) AS threshold, importance >= 1 / 3.0e0 AS kept FROM (" + _IMPORTANCE + ")",
+                                            _STUMP_CTES[0].replace("(SELECT count(*) FROM ev_features) / (2.0e0 * count(*) OVER (PARTITION BY learn))", "1.0e0"), *_STUMP_CTES[1:]))
+def q_l2_one_tree(spark, sf):
+    return sel.select_forest(ev_features(spark, sf), STUMP_SPEC, 1, max_depth=1, bootstrap=False, max_features="all")
+
+
+@query("L3_select_by_model_stump", with_ev("SELECT *, 0.0e0 AS threshold, true AS kept FROM (" + _IMPORTANCE + ")", *_STUMP_CTES))
+def q_l3_stump(spark, sf):
+    return sel.select_by_model(ev_features(spark, sf), STUMP_SPEC, STUMP)
+
+
+@query("L1_select_l1_edge", with_ev(_union([f"SELECT '{c}' AS \"column\", 0.0e0 AS coef, 0.0e0 AS importance, 1.0e-5 AS threshold, false AS kept" for c in STUMP_FEATS])))
+def q_l1_edge(spark, sf):
+    """Below C = 1 / (largest gradient at the model of the intercept alone) the L1 penalty leaves no coefficient."""
+    ev = ev_features(spark, sf)
+    share = ev.agg(F.avg("learn")).first()[0]
+    edge = ev.agg(*[F.abs(F.sum((F.lit(share) - F.col("learn")) * F.col(c))) for c in STUMP_FEATS]).first()
+    return sel.select_l1(ev, STUMP_SPEC, C=0.95 / max(edge), threshold=1e-5).withColumn("threshold", F.lit(1e-5))
+
+
 def _abs_corr(spark, sf) -> DataFrame:
     ev = ev_features(spark, sf)
     return su.correlation_matrix(ev, ["label", *CORR_COLS]).where("a = 'label' AND b <> 'label'") \
@@ -986,6 +1163,18 @@ def q_l5(spark, sf):
     return sel.drop_one_cv(f, LEARN_SPEC, {"logistic": mo.LOGISTIC}, k=3)
 
 
+_DROP = ["value", "hr", "k"]
+
+
+@query("L5_drop_one_cv_centroid", with_ev(_union([
+    f"SELECT 'centroid' AS model, '{gone}' AS removed, fold, metric, value FROM ({_mlong_sql('c_' + gone, ['fold'], ('f1',))})" for gone in ["none", *_DROP]]),
+    FOLDS_CTE, _TRAIN_CTE, f"stats AS ({_centroid_stats('tr', _DROP)})", *[
+        f"c_{gone} AS (SELECT f.fold, f.label, CAST({_centroid_margin([c for c in _DROP if c != gone], True)} > 0 AS INTEGER) AS prediction FROM folds f JOIN stats t USING (fold))"
+        for gone in ["none", *_DROP]]))
+def q_l5_centroid(spark, sf):
+    return sel.drop_one_cv(_folded_ev(spark, sf), EV_SPEC.only(_DROP), {"centroid": CENTROID}, k=K)
+
+
 @query("L6_variant_comparison")
 def q_l6(spark, sf):
     train, test = holdout(spark, sf, LEARN_SPEC)
@@ -1013,6 +1202,24 @@ def q_g2(spark, sf):
     return su.grouped_mean(ev_features(spark, sf), "hr", "label")
 
 
+def _bootstrap_sql(replicates: int) -> str:
+    cdf, p, steps = 0.0, math.exp(-1.0), []
+    for k in range(13):
+        cdf += p
+        p /= k + 1
+        steps.append(int(cdf * 2**32))
+    times = " + ".join(f"CAST(u >= {s} AS INTEGER)" for s in steps)
+    return with_ev("""SELECT hr, max(n) AS n, round(max(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high
+FROM (SELECT hr, r, sum(w * y) / nullif(sum(w), 0) AS m, avg(y) AS mean, count(*) AS n FROM w GROUP BY hr, r) GROUP BY hr""",
+                   f"""d AS (SELECT e.hr, CAST(e.label AS DOUBLE) AS y, r.range AS r, CAST(('0x' || substr(md5('{SEED}-' || (r.range // 4) || '-' || e.event_id), CAST(1 + 8 * (r.range % 4) AS INTEGER), 8)) AS BIGINT) AS u
+  FROM ev_features e CROSS JOIN range({replicates}) r)""", f"w AS (SELECT hr, r, y, {times} AS w FROM d)")
+
+
+@query("G2_bootstrap_mean", _bootstrap_sql(100))
+def q_g2_bootstrap(spark, sf):
+    return su.bootstrap_mean(ev_features(spark, sf), "hr", "label", "event_id", 100, seed=SEED)
+
+
 @query("G3_histogram", with_ev("""SELECT CAST(b.bin AS INTEGER) AS bin, round(st.mn + b.bin * st.w, 6) AS lo,
   round(st.mn + (b.bin + 1) * st.w, 6) AS hi, coalesce(c.cnt, 0) AS count,
   round(coalesce(c.cnt, 0) / (st.n * st.w), 6) AS density
@@ -1034,7 +1241,6 @@ def q_g3(spark, sf):
 # ---------------------------------------------------------------- other populations (any column list)
 
 from rarebird.sources.fixtures import emb_binary  # noqa: E402
-from rarebird.spec import TableSpec  # noqa: E402
 
 EMB_DIMS = 64
 _EMB_D2 = " + ".join(

@@ -61,6 +61,13 @@ def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True,
         "column", "dtype", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
+def column_list(df: DataFrame) -> DataFrame:
+    """D1, the list of all columns, numeric or not: (position, column, dtype, non_null, rows). One aggregate."""
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    each = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.col(f"n{i}").alias("non_null")) for i, (c, t) in enumerate(df.dtypes)]
+    return one.select("rows", F.explode(F.array(*each)).alias("c")).select("c.*", "rows")
+
+
 def head(df: DataFrame, id_col: str, n: int = 5) -> DataFrame:
     """First n rows by id (a top-n sort, no full sort)."""
     return df.orderBy(id_col).limit(n)
@@ -119,19 +126,39 @@ def impute_median(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFra
     return out, med
 
 
-def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
+def one_hot(df: DataFrame, columns: list[str], max_levels: int = 1000) -> DataFrame:
     """0/1 dummy columns ``<column>_<value>`` in sorted value order, originals dropped.
 
-    One column per level, however many: the level names become the plan's columns."""
+    The level names become the plan's columns, so a column with more than ``max_levels``
+    raises: :func:`one_hot_vector` takes any number."""
     out = df
     for c in columns:
         levels = df.select(F.col(c).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
-        vals = sorted(r["v"] for r in levels.collect())
+        vals = sorted(r["v"] for r in levels.limit(max_levels + 1).collect())
+        if len(vals) > max_levels:
+            raise ValueError(f"{c} has more than {max_levels} levels; use one_hot_vector")
         out = out.select(*[x for x in out.columns if x != c],
                          *[(F.col(c).cast("string") == v).cast("int").alias(f"{c}_{v}") for v in vals])
     return out
 
 
+def one_hot_vector(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """D6 for any number of levels: each column becomes a sparse vector with a 1 at its value's code;
+    a null value is the empty vector. Returns (table, mapping(column, value, code)). Codes
+    are ranked and joined as tables, so no level passes through the driver."""
+    from pyspark.ml.feature import OneHotEncoder
+
+    coded, mapping = label_encode(df, columns)
+    sizes = {r["column"]: r["n"] for r in mapping.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each column
+    # nulls take the code after the last, which the encoder drops
+    coded = coded.select(*[F.coalesce(F.col(c), F.lit(sizes.get(c, 0))).cast("int").alias(c) if c in columns else F.col(c) for c in coded.columns])
+    for c in columns:
+        top = coded.sparkSession.createDataFrame([(sizes.get(c, 0),)], f"`{c}` int")
+        model = OneHotEncoder(inputCols=[c], outputCols=[f"_{c}"], dropLast=True).fit(top)
+        coded = model.transform(coded).drop(c).withColumnRenamed(f"_{c}", c)
+    return coded.select(*df.columns), mapping
+
+
 def select_features(df: DataFrame, spec: TableSpec, columns: list[str]) -> DataFrame:
     """Keep the id, the named columns and the label."""
     return df.select(spec.id, *columns, spec.label)

@@ -11,14 +11,16 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebird.functions import hash_int
+from rarebird.functions import hash_int, required
 from rarebird.operators.ranking import ranked
+from rarebird.operators.selecting import among_smallest
+from rarebird.session import materialize
 from rarebird.spec import TableSpec
 
 
 def class_sizes(df: DataFrame, spec: TableSpec) -> dict[int, int]:
-    """{label: rows}; a two-row aggregate."""
-    return {r[0]: r[1] for r in df.groupBy(spec.label).count().collect()}
+    """{label: rows}; a two-row aggregate. A null label raises."""
+    return {r[0]: r[1] for r in df.groupBy(required(spec.label, spec.label).alias("label")).count().collect()}
 
 
 def minority_majority(df: DataFrame, spec: TableSpec) -> tuple[int, int, int, int]:
@@ -33,13 +35,14 @@ def minority_majority(df: DataFrame, spec: TableSpec) -> tuple[int, int, int, in
 def undersample(df: DataFrame, spec: TableSpec, seed: int = 42) -> DataFrame:
     """All minority rows plus as many majority rows, chosen without replacement.
 
-    The kept majority rows are those with the smallest (md5(seed-id), id): an exact
-    distributed rank, so no class is gathered into one task.
+    The kept majority rows are those with the smallest (md5(seed-id), id), found by radix
+    selection: a few counts over (id, hash), then one filter. Nothing is sorted, and only
+    ids are written. Ids must be whole numbers.
     """
     lo, n_lo, hi, _ = minority_majority(df, spec)
-    major = df.where(F.col(spec.label) == hi).withColumn("_u", hash_int(seed, spec.id))
-    keep = ranked(major, ["_u", spec.id], rank_col="_r").where(F.col("_r") <= n_lo).drop("_u", "_r")
-    return df.where(F.col(spec.label) == lo).unionByName(keep)
+    keys = materialize(df.where(F.col(spec.label) == hi).select(F.col(spec.id).cast("bigint").alias("id"), hash_int(seed, spec.id).alias("key")), "undersample")
+    first = among_smallest(keys, n_lo, 32)
+    return df.where((F.col(spec.label) == lo) | ((F.col(spec.label) == hi) & first(hash_int(seed, spec.id), F.col(spec.id).cast("bigint"))))
 
 
 def _md5_int(text: str) -> int:
@@ -74,7 +77,7 @@ def smote(df: DataFrame, spec: TableSpec, k: int = 5, seed: int = 42, features:
     m from one md5 draw (uniform over the n_minor * k (row, neighbour) pairs) and a gap
     u = md5 uniform in [0, 1): x = a + u (b - a) for every feature, flags included
     unless ``round_flags`` (trap T15). Synthetic ids are -(g + 1).
-    Output: (id, features..., label).
+    Output: (id, features..., label). A null feature of a minority row or a null label raises.
     """
     from rarebird.operators.neighbors import knn
 
@@ -116,7 +119,7 @@ def smote(df: DataFrame, spec: TableSpec, k: int = 5, seed: int = 42, features:
 def near_miss(df: DataFrame, spec: TableSpec, k: int = 3, features: list[str] | None = None) -> DataFrame:
     """P5 (NearMiss version 1): keep all minority rows and the n_minor majority rows with
     the smallest mean distance to their k nearest minority rows (mean rounded to 6
-    digits, ties by id). This undersamples (trap T12)."""
+    digits, ties by id). This undersamples (trap T12). A null feature or label raises."""
     from rarebird.operators.neighbors import knn
 
     feats = list(features or spec.features)
@@ -126,5 +129,7 @@ def near_miss(df: DataFrame, spec: TableSpec, k: int = 3, features: list[str] |
     majority = base.where(F.col(spec.label) == hi)
     nn = knn(majority, minority, k, feats, spec.id, spec.id)
     mean = nn.groupBy(spec.id).agg(F.round(F.avg(F.sqrt("d2")), 6).alias("_md"))
-    keep = ranked(mean, ["_md", spec.id], rank_col="_r").where(F.col("_r") <= n_lo).select(spec.id)
+    # the rounded means as whole millionths, in the same order
+    mean = materialize(mean.select(F.col(spec.id).cast("bigint").alias("id"), F.round(F.col("_md") * 1e6).cast("bigint").alias("key")), "near-miss")
+    keep = mean.where(among_smallest(mean, n_lo)(F.col("key"), F.col("id"))).select(F.col("id").alias(spec.id))
     return minority.unionByName(majority.join(keep, spec.id, "left_semi"))

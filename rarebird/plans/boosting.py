@@ -24,10 +24,15 @@ gets one row for each node. Rows keep their margin; it is written anew every ``K
 from __future__ import annotations
 
 import hashlib
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,17 +91,25 @@ class Tree:
         self.left, self.right = [new[self.left[n]] for n in used], [new[self.right[n]] for n in used]
 
 
-class BoostedTreesModel:
+class BoostedTreesModel(HasFeaturesCol, Model, DefaultParamsReadable, DefaultParamsWritable):
     """Trees over a feature vector; ``transform`` adds rawPrediction, probability and prediction."""
 
-    def __init__(self, n_features: int, trees: list[Tree]) -> None:
-        self.n_features, self.trees = n_features, trees
+    n_features = Param(Params._dummy(), "n_features", "length of the feature vector", TypeConverters.toInt)
+    ensemble = Param(Params._dummy(), "ensemble", "the trees as JSON", TypeConverters.toString)
+
+    @classmethod
+    def of(cls, n_features: int, trees: list[Tree]) -> BoostedTreesModel:
+        return cls()._set(n_features=n_features, ensemble=json.dumps([vars(t) for t in trees]))
+
+    @property
+    def trees(self) -> list[Tree]:
+        return [Tree(**t) for t in json.loads(self.getOrDefault("ensemble"))]
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        return sum((np.array(t.value)[t.places(x, "threshold")] for t in self.trees), np.zeros(len(x)))
+        return _margin(self.trees, x)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        margin = F.pandas_udf(_margins(self), "double", F.PandasUDFType.SCALAR)(vector_to_array("features"))
+    def _transform(self, df: DataFrame) -> DataFrame:
+        margin = F.pandas_udf(_margins(self.trees), "double", F.PandasUDFType.SCALAR)(vector_to_array(self.getFeaturesCol()))
         p = 1 / (1 + F.exp(-F.col("_m")))
         return (df.withColumn("_m", margin).withColumn("rawPrediction", array_to_vector(F.array(-F.col("_m"), F.col("_m"))))
                 .withColumn("probability", array_to_vector(F.array(1 - p, p))).withColumn("prediction", (F.col("_m") > 0).cast("double")).drop("_m"))
@@ -106,7 +119,7 @@ class BoostedTreesModel:
         """Mean gain of a feature's splits, as a share of all features' means."""
         from pyspark.ml.linalg import Vectors
 
-        total, n = np.zeros(self.n_features), np.zeros(self.n_features)
+        total, n = np.zeros(self.getOrDefault("n_features")), np.zeros(self.getOrDefault("n_features"))
         for t in self.trees:
             for f, gain in zip(t.feature, t.gain, strict=True):
                 if f >= 0:
@@ -120,19 +133,16 @@ class BoostedTreesModel:
         return [(i, n, features[t.feature[n]] if s else None, t.threshold[n] if s else None, t.gain[n] if s else None, t.hessian[n], None if s else t.value[n])
                 for i, t in enumerate(self.trees) for n in range(len(t.feature)) for s in [t.feature[n] >= 0]]
 
-    def to_dict(self) -> dict:
-        return {"n_features": self.n_features, "trees": [vars(t) for t in self.trees]}
 
-    @classmethod
-    def from_dict(cls, d: dict) -> BoostedTreesModel:
-        return cls(d["n_features"], [Tree(**t) for t in d["trees"]])
+def _margin(trees: list[Tree], x: np.ndarray) -> np.ndarray:
+    return sum((np.array(t.value)[t.places(x, "threshold")] for t in trees), np.zeros(len(x)))
 
 
-def _margins(model: BoostedTreesModel):
+def _margins(trees: list[Tree]):
     import pandas as pd
 
     def run(x):
-        return pd.Series(model.margins(np.stack(x.to_numpy())) if len(x) else [], dtype="float64")
+        return pd.Series(_margin(trees, np.stack(x.to_numpy())) if len(x) else [], dtype="float64")
 
     return run
 
@@ -285,4 +295,4 @@ def fit_boosted_trees(vec: DataFrame, label: str, weight_col: str | None, d: int
             trees.append(tree)
     finally:
         data.unpersist()
-    return BoostedTreesModel(d, trees)
+    return BoostedTreesModel.of(d, trees)

@@ -9,7 +9,8 @@ Parameter mapping from the reference's library (documented, not faked):
   counterpart; min_samples_leaf -> minInstancesPerNode; max_depth None -> 30 (Spark's cap).
 * boosted trees: second-order histogram boosting of ``boosting``, with the parameters as that
   library defines them; scale_pos_weight -> weight column.
-* RBF SVM: random Fourier features (Rahimi & Recht 2007) + LinearSVC + Platt scaling.
+* RBF SVM: random Fourier features (Rahimi & Recht 2007) + LinearSVC + Platt scaling on
+  out-of-fold margins.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rarebird.functions import hash_int
 from rarebird.operators.profile import assemble, class_weights
 from rarebird.session import scratch_dir
 from rarebird.spec import TableSpec
@@ -37,7 +39,7 @@ MAX_DEPTH_NONE = 30
 SUPPORTED = {
     "logistic": {"C", "penalty", "max_iter", "tol"},
     "linear_svm": {"C", "penalty", "loss", "max_iter", "tol"},
-    "rbf_svm": {"C", "gamma", "n_components", "max_iter", "tol"},
+    "rbf_svm": {"C", "gamma", "n_components", "max_iter", "tol", "calibration_folds"},
     "decision_tree": {"criterion", "max_depth", "min_samples_leaf"},
     "random_forest": {"n_estimators", "criterion", "max_depth", "bootstrap", "max_features", "min_samples_leaf"},
     "boosted_trees": {"n_estimators", "learning_rate", "max_depth", "min_child_weight", "colsample_bytree", "gamma", "reg_lambda", "max_bins"},
@@ -206,7 +208,7 @@ def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str]
 
         return Fitted(cfg, spec, feats, fit_boosted_trees(vec, spec.label, weight_col, len(feats), seed=cfg.seed, **cfg.params))
     if cfg.kind == "rbf_svm":
-        vec = vec.persist()  # read three times (variance, fit, Platt margins)
+        vec = vec.persist()  # read twice (variance, features)
         try:
             return _rbf_fit(cfg, spec, feats, vec, weight_col, total)
         finally:
@@ -243,7 +245,7 @@ def feature_importance(fitted: Fitted) -> DataFrame:
     if hasattr(m, "featureImportances"):
         vals = m.featureImportances.toArray().tolist()
     elif hasattr(m, "coefficients"):
-        vals = [abs(x) for x in m.coefficients.toArray().tolist()]
+        vals = [abs(x) for x in np.array(m.coefficients).tolist()]
     else:
         raise ValueError(f"{fitted.config.kind} has no importances")
     spark = _spark()
@@ -253,7 +255,7 @@ def feature_importance(fitted: Fitted) -> DataFrame:
 
 def coefficients(fitted: Fitted) -> DataFrame:
     """(column, coef) of a linear model."""
-    vals = fitted.model.coefficients.toArray().tolist()
+    vals = np.array(fitted.model.coefficients).tolist()
     return _spark().createDataFrame([(c, float(v)) for c, v in zip(fitted.features, vals)],
                                     "column string, coef double")
 
@@ -295,17 +297,29 @@ def _rbf_fit(cfg, spec, feats, vec, weight_col, total) -> Fitted:
     rng = np.random.default_rng(cfg.seed)
     W = rng.normal(0.0, math.sqrt(2.0 * float(gamma)), size=(n_comp, d))
     b = rng.uniform(0.0, 2 * math.pi, size=n_comp)
-    z = _rbf_features(vec, W, b, d)
-    svm = _estimator(cfg, spec.label, weight_col, total).fit(z)
-    # Platt scaling: a logistic regression on the SVM margin gives probabilities.
-    margin = svm.transform(z).select(
-        vector_to_array("rawPrediction")[1].alias("m"), spec.label, *([weight_col] if weight_col else []))
+    z = _rbf_features(vec, W, b, d).persist()
+    try:
+        est = _estimator(cfg, spec.label, weight_col, total)
+        svm = est.fit(z)
+        platt = LogisticRegression(featuresCol="features", labelCol=spec.label, regParam=0.0, **({"weightCol": weight_col} if weight_col else {}))
+        model = platt.fit(out_of_fold_margins(z, spec, est, int(cfg.params.get("calibration_folds", 3)), cfg.seed, [weight_col] if weight_col else []))
+    finally:
+        z.unpersist()
+    return Fitted(cfg, spec, feats, svm, {"W": W, "b": b, "platt": model, "gamma": float(gamma)})
+
+
+def out_of_fold_margins(data: DataFrame, spec: TableSpec, est, folds: int, seed: int, keep: list[str]) -> DataFrame:
+    """(id, features = [margin], label, *keep): each row's margin from a model that was fitted without it; folds by
+    md5(seed-id). Platt scaling on margins of the training rows themselves would be too sure."""
     from pyspark.ml.feature import VectorAssembler
 
-    mv = VectorAssembler(inputCols=["m"], outputCol="features").transform(margin)
-    kw = {"weightCol": weight_col} if weight_col else {}
-    platt = LogisticRegression(featuresCol="features", labelCol=spec.label, regParam=0.0, **kw).fit(mv)
-    return Fitted(cfg, spec, feats, svm, {"W": W, "b": b, "platt": platt, "gamma": gamma})
+    placed = data.withColumn("_fold", (hash_int(seed, spec.id, "platt") % folds).cast("int"))
+    out = None
+    for i in range(folds):
+        model = est.fit(placed.where(F.col("_fold") != i))
+        part = model.transform(placed.where(F.col("_fold") == i)).select(spec.id, vector_to_array("rawPrediction")[1].alias("_m"), spec.label, *keep)
+        out = part if out is None else out.unionByName(part)
+    return VectorAssembler(inputCols=["_m"], outputCol="features").transform(out)
 
 
 def _rbf_transform(fitted: Fitted, data: DataFrame) -> DataFrame:

@@ -41,9 +41,9 @@ def select_l1(train: DataFrame, spec: TableSpec, C: float = 1.0, threshold: floa
     return coefs.join(sel.drop("importance"), "column")
 
 
-def select_forest(train: DataFrame, spec: TableSpec, n_estimators: int = 500, seed: int = 42) -> DataFrame:
-    """L2: unweighted random forest; keep importance >= mean importance."""
-    cfg = mo.ModelConfig("random_forest", {"n_estimators": n_estimators}, weights=None, seed=seed)
+def select_forest(train: DataFrame, spec: TableSpec, n_estimators: int = 500, seed: int = 42, **params) -> DataFrame:
+    """L2: unweighted random forest, with the family's other ``params``; keep importance >= mean importance."""
+    cfg = mo.ModelConfig("random_forest", {"n_estimators": n_estimators, **params}, weights=None, seed=seed)
     return threshold_select(mo.feature_importance(mo.fit(train, spec, cfg)), "mean")
 
 

@@ -110,6 +110,6 @@ def test_model_family(spark, ev_small):
     assert scored.where("score < 0 or score > 1 or (score > 0.5) != (prediction = 1)").count() == 0
     imp = {r["column"]: r["importance"] for r in mo.feature_importance(fitted).collect()}
     assert abs(sum(imp.values()) - 1) < 1e-9 and min(imp.values()) > 0
-    again = bo.BoostedTreesModel.from_dict(fitted.model.to_dict())
+    again = fitted.model.copy()
     x = np.random.default_rng(0).normal(size=(50, 3)) * 50
     assert np.array_equal(again.margins(x), fitted.model.margins(x))
