@@ -17,8 +17,8 @@ A leaf with sums G, H has the value -learning_rate G / (H + reg_lambda); a split
 Spark does the work on rows: thresholds are values at which a feature's distribution passes
 a ``1 / max_bins`` quantile (exact, from counts of distinct values, so a feature with few
 values keeps all that matter); every level is one pass in which tasks sum (g, h) by (node,
-feature, bin) in numpy, one shuffle of those sums and one window over the bins. The driver
-gets one row for each node. Rows keep their margin; it is written anew every ``KEEP`` trees.
+feature, bin) in numpy, and one shuffle by (node, feature) to the tasks that add them up and
+find the best split. The driver gets a row for each node and feature. Rows keep their margin; it is written anew every ``KEEP`` trees.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rarebird.operators.ranking import ranked
@@ -223,25 +223,50 @@ def _histograms(trees: list[Tree], tree: Tree, active: list[int], features: list
     return run
 
 
+def _best(sizes: list[int], reg_lambda: float, min_child_weight: float):
+    """Task function: all (node, feature, bin, g, h) of some (node, feature) pairs -> the best split of each
+    pair (its gain null where none is allowed) with the node's sums."""
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            node, feature, at, g, h = (np.asarray(b.column(c)) for c in ("node", "feature", "bin", "g", "h"))
+            order = np.lexsort((feature, node))
+            edge = np.flatnonzero((np.diff(node[order]) != 0) | (np.diff(feature[order]) != 0)) + 1
+            for some in np.split(order, edge):
+                if len(some):
+                    sums = held.setdefault((int(node[some[0]]), int(feature[some[0]])), np.zeros((2, sizes[feature[some[0]]] + 1)))
+                    for i, v in enumerate((g, h)):
+                        sums[i] += np.bincount(at[some], v[some], sums.shape[1])
+        out = []
+        score = lambda g, h: np.divide(g * g, h + reg_lambda, out=np.zeros_like(g), where=h + reg_lambda > 0)
+        for (node, feature), sums in held.items():
+            g, h = sums.sum(1)
+            gl, hl = np.cumsum(sums, axis=1)[:, :-1]  # the last bin has nothing on its right
+            gain = np.round(score(gl, hl) + score(g - gl, h - hl) - score(np.array([g]), np.array([h])), 9)
+            least = max(min_child_weight, 1e-16)
+            gain = np.where((hl >= least) & (h - hl >= least), gain, -np.inf)
+            at = int(gain.argmax()) if len(gain) else -1
+            ok = at >= 0 and np.isfinite(gain[at])
+            out.append((node, feature, g, h, *((float(gain[at]), at, gl[at], hl[at]) if ok else (None, None, None, None))))
+        if out:
+            kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
+                                             names=["node", "feature", "g", "h", "gain", "bin", "gl", "hl"])
+
+    return run
+
+
 def best_splits(hist: DataFrame, sizes: list[int], reg_lambda: float, min_child_weight: float) -> list:
-    """The best split of each node of (node, feature, bin, g, h): one row a node, with its sums; feature is
-    null where no split is allowed."""
-    total = hist.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    each = Window.partitionBy("node", "feature")
-    so_far = each.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # at most max_bins + 1 rows
-    s = (total.withColumn("gl", F.sum("g").over(so_far)).withColumn("hl", F.sum("h").over(so_far))
-         .withColumn("gt", F.sum("g").over(each)).withColumn("ht", F.sum("h").over(each)))
-    gr, hr = F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")
-    score = lambda g, h: F.try_divide(g * g, h + reg_lambda)
-    gain = score(F.col("gl"), F.col("hl")) + score(gr, hr) - score(F.col("gt"), F.col("ht"))
-    least = max(min_child_weight, 1e-16)
-    # hr is a difference: beyond the last value it may be off 0 by rounding, so those bins are named
-    limits = F.array(*[F.lit(n) for n in sizes])
-    allowed = (F.col("hl") >= least) & (hr >= least) & (F.col("bin") < F.get(limits, F.col("feature")))
-    split = F.when(allowed, F.struct(F.round(gain, 9).alias("gain"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"), "gl", "hl"))
-    best = s.groupBy("node").agg(F.max(split).alias("s"), F.max_by("gt", -F.col("feature")).alias("g"), F.max_by("ht", -F.col("feature")).alias("h"))
-    return best.select("node", "g", "h", F.col("s.gain").alias("gain"), (-F.col("s.f")).alias("feature"), (-F.col("s.b")).alias("bin"),
-                       F.col("s.gl").alias("gl"), F.col("s.hl").alias("hl")).orderBy("node").collect()
+    """The best split of each node of (node, feature, bin, g, h), in order of nodes; ``sizes`` are the features'
+    thresholds. One shuffle by (node, feature); a row for each pair comes to the driver."""
+    pairs = hist.repartition("node", "feature").mapInArrow(
+        _best(sizes, reg_lambda, min_child_weight), "node int, feature int, g double, h double, gain double, bin int, gl double, hl double").collect()
+    best = {}
+    for r in sorted(pairs, key=lambda r: (r.node, float("inf") if r.gain is None else -r.gain, r.feature)):
+        best.setdefault(r.node, r)
+    return [best[n] for n in sorted(best)]
 
 
 def sampled(d: int, share: float, tree: int, seed: int) -> list[int]:
@@ -282,7 +307,7 @@ def fit_boosted_trees(vec: DataFrame, label: str, weight_col: str | None, d: int
                     if r.node == 0:
                         tree.hessian[0] = r.h
                         tree.value[0] = -learning_rate * r.g / (r.h + reg_lambda) if r.h + reg_lambda > 0 else 0.0
-                    if r.feature is None or r.gain is None or r.gain <= LEAST_GAIN:
+                    if r.gain is None or r.gain <= LEAST_GAIN:
                         continue
                     tree.feature[r.node], tree.bin[r.node] = r.feature, r.bin
                     tree.threshold[r.node], tree.gain[r.node] = float(cuts[r.feature][r.bin]), r.gain
