@@ -23,6 +23,7 @@ never broadcast or collected. Relations that the next one replaces are deleted.
 from __future__ import annotations
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,12 +124,12 @@ def _word_counts(batches):
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """32-bit numbers by byte, all lowest bytes first: the high bytes of small numbers compress to nothing."""
-    return np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """32-bit numbers by byte, all lowest bytes first, compressed: the high bytes of small numbers come to nothing."""
+    return zstandard.compress(np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _numbers(row, name: str) -> np.ndarray:
-    return np.frombuffer(row.column(name)[0].as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+    return np.frombuffer(zstandard.decompress(row.column(name)[0].as_buffer()), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
 
 
 def _array(row, name: str, kind) -> np.ndarray:
@@ -276,8 +277,7 @@ def _mined(blocks: DataFrame, min_count: int, max_words: int, cover: int) -> Dat
         longer = materialize(longer, f"phrases{length}")
         if length < max_words:
             before, relation = relation, _kept(relation, frequent, length)
-            if length > 1:
-                discard(before)
+            discard(before)
         discard(frequent)
         if length > 2:
             out = _uncovered(table, longer, cover, out, length - 1)
