@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: four stages, each on what the one before kept.
 
 1. language ID: documents without a recognisable language go;
-2. n-gram Jaccard join: of each group of near-duplicates the smallest id stays;
+2. n-gram Jaccard join: of each group of near-duplicates the smallest id stays (null ids last);
 3. benchmark decontamination: documents that hold a benchmark passage go;
 4. BPE encoding and decoding: one row of digests for each document that is left.
 
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rarebird.llm import decontamination, language_id, ngram_join, word_bpe
+from rarebird.llm.tables import materialize
 from rarebird.llm.vocab import public_path
 from rarebird.session import scratch_path
 
@@ -27,23 +28,27 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each component. A null id is in no component and stays; of
-    rows that share an id the first by text stays."""
-    parts = ngram_join.jaccard_components(docs)
-    gone = parts.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = parts.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "text").alias("row"))
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(again.select("row.*"))
+    """Keep one row of each group of near-duplicates: the smallest doc_id (null ids last), then the
+    first in the table. Rows get numbers of their own, written with them, so rows that share an
+    id, or have none, are documents like any other."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    parts = ngram_join.jaccard_components(rows.select("_row", "text"), "_row")
+    # only groups: a document that is alone has its own row as its group
+    groups = parts.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    members = (parts.select("_row", "component_id").join(groups, "component_id")
+               .join(rows.select("_row", "doc_id"), "_row").withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")))
+    kept = members.groupBy("component_id").agg(F.min("place").alias("kept"))
+    gone = members.join(kept, "component_id").where(F.col("_row") != F.col("kept._row")).select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window as similar to a benchmark item as the operator's threshold."""
+    """Drop documents that hold a window as similar to a benchmark item as the operator's threshold. What
+    a document holds is its text's matter alone, so rows are matched by a digest of the text, whatever their ids."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.contamination(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    digest = F.sha2("text", 256)
+    found = decontamination.contamination(docs.select(digest.alias("_digest"), "text"), benchmark, "_digest").select("_digest").distinct()
+    return docs.withColumn("_digest", digest).join(found, "_digest", "left_anti").select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +62,7 @@ STAGES = [
     ("bpe_round_trip", bpe_stage),
 ]
 
-#: SQL can't run the trained classifier and the tokenizer; tests hold run() against a brute-force version.
+#: SQL can't run the trained classifier and the tokenizer; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
