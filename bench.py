@@ -26,9 +26,13 @@ HEADLINE = [
     "E11_curve_comparison",
     "G1_correlation_matrix",
     "M1_logistic",
+    "M2_linear_svm",
     "M5_random_forest",
+    "M6_boosted_trees",
     "V3_cross_validate_many",
     "V5_grid_search",
+    "V5_grid_search_model",
+    "L5_drop_one_cv",
 ]
 
 

@@ -1085,7 +1085,7 @@ def q_learning_curve(spark, sf):
 @query("V8_learning_curve_model")
 def q_learning_curve_model(spark, sf):
     f = va.with_folds(ev_features(spark, sf), LEARN_SPEC, K)
-    return se.learning_curve(f, LEARN_SPEC, mo.LOGISTIC, [0.1, 0.55, 1.0], K, "f1")
+    return se.learning_curve(f, LEARN_SPEC, mo.LOGISTIC, LEARN_FRACTIONS, K, "f1", undersample=True, scale="standard")
 
 
 # ---------------------------------------------------------------- L: feature selection, G: summaries

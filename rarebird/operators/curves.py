@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rarebird.functions import required, safe_div
 from rarebird.operators.ranking import ranked
+from rarebird.session import materialize
 
 
 def threshold_counts(scored: DataFrame, group=(), score: str = "score", label: str = "label") -> DataFrame:
@@ -139,7 +140,7 @@ def curve_comparison(scored: DataFrame, group=("model",), score: str = "score",
     The threshold counts are computed once and shared by both curves and both areas.
     """
     group = list(group)
-    counts = threshold_counts(scored, group, score, label)
+    counts = materialize(threshold_counts(scored, group, score, label), "thresholds")  # six uses
     pr = pr_curve(scored, group, score, label, truncate_full_recall, counts)
     roc = roc_curve(scored, group, score, label, drop_collinear, counts)
     ap = average_precision(scored, group, score, label, counts)

@@ -63,11 +63,22 @@ def learning_sizes(df: DataFrame, fold_col: str, fractions) -> list[int]:
     return sorted({int(f * n_train) if isinstance(f, float) else int(f) for f in fractions} - {0})
 
 
+def learning_ranks(df: DataFrame, spec: TableSpec, k: int, fold_col: str = "fold") -> DataFrame:
+    """``df`` with ``rank_0`` .. ``rank_{k-1}``: a row's place (from 1, in id order) among the training rows of
+    each fold, null where it is a test row. One ranking for all folds: a place among the rows outside fold i is
+    the place among all rows less the rows of fold i so far. Every training prefix of every size is then a filter."""
+    flags = [f"_in{i}" for i in range(k)]
+    marked = df.select("*", *[(F.col(fold_col) == i).cast("int").alias(c) for i, c in enumerate(flags)])
+    r = ranked(marked, [spec.id], rank_col="_j", sums=flags)
+    place = [F.when(F.col(fold_col) != i, F.col("_j") - F.col(f"cum_{c}")).alias(f"rank_{i}") for i, c in enumerate(flags)]
+    return r.select(*df.columns, *place)
+
+
 def learning_subset(df: DataFrame, spec: TableSpec, sizes: list[int], k: int, fold_col: str = "fold") -> DataFrame:
     """(fold, size, rows...): for each fold, the first ``size`` training rows in id order."""
-    train = fold_roles(df, k, fold_col).where(F.col("role") == "train").drop("role")
-    r = ranked(train, [spec.id], group=[fold_col], rank_col="_j")
+    r = learning_ranks(df, spec, k, fold_col)
     # Each training row belongs to every subset whose size is at least its rank.
     sz = F.array(*[F.lit(int(s)).cast("bigint") for s in sizes])
-    out = r.withColumn("size", F.explode(F.filter(sz, lambda s: s >= F.col("_j"))))
-    return out.drop("_j")
+    each = F.flatten(F.array(*[F.transform(F.filter(sz, lambda s: s >= F.col(f"rank_{i}")), lambda s: F.struct(F.lit(i).alias("f"), s.alias("s"))) for i in range(k)]))
+    out = r.withColumn("_e", F.explode(each)).withColumn(fold_col, F.col("_e.f")).withColumn("size", F.col("_e.s"))
+    return out.drop("_e", *[f"rank_{i}" for i in range(k)])

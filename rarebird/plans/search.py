@@ -23,7 +23,7 @@ from rarebird.functions import required
 from rarebird.operators.metrics import METRICS, metrics_long, metrics_of_counts
 from rarebird.plans import linear
 from rarebird.plans import models as mo
-from rarebird.plans.validation import fold_scores
+from rarebird.plans.validation import fold_scores, resample
 from rarebird.session import materialize
 from rarebird.spec import TableSpec
 
@@ -182,7 +182,7 @@ def random_search(folded: DataFrame, spec: TableSpec, base: mo.ModelConfig, dist
 
 def _search(folded, spec, base, cands, k, metric, scale, features, parallelism) -> SearchResult:
     vals = evaluate_candidates(folded, spec, base, cands, k, metric, scale, features, parallelism)
-    results = summarize(vals).persist()
+    results = materialize(summarize(vals), "search")  # a row for each candidate, used twice
     top = results.orderBy(F.desc("mean"), "candidate").first()
     params = cands[top["candidate"]]
     best = _refit(folded, spec, base, params, scale, features)
@@ -190,19 +190,27 @@ def _search(folded, spec, base, cands, k, metric, scale, features, parallelism)
 
 
 def learning_curve(folded: DataFrame, spec: TableSpec, cfg: mo.ModelConfig, fractions, k: int = 5,
-                   metric: str = "f1", features: list[str] | None = None, parallelism: int = 4) -> DataFrame:
+                   metric="f1", features: list[str] | None = None, parallelism: int = 4,
+                   undersample: bool = False, scale: str | None = None, seed: int = 42) -> DataFrame:
     """V8: (size, fold, split, value): for each fold and training size, fit on the first
-    ``size`` training rows (id order) and score those rows ('train') and the test fold ('test')."""
+    ``size`` training rows (id order) and score those rows ('train') and the test fold ('test').
+
+    The rows' places in each fold are written once, whatever the number of sizes; a training set is a
+    filter on them. ``scale`` fits a scaler on the training rows and applies it to both sides;
+    ``undersample`` balances the classes of the rows that the model is fitted on."""
     feats = list(features or spec.features)
     sub = spec.only(feats)
     sizes = fo.learning_sizes(folded, "fold", fractions)
-    subsets = fo.learning_subset(folded, spec, sizes, k).persist()
+    places = materialize(fo.learning_ranks(folded, spec, k), "learning")
 
     def one(job):
         size, i = job
-        train = subsets.where((F.col("fold") == i) & (F.col("size") == size)).drop("fold", "size")
-        test = folded.where(F.col("fold") == i)
-        fitted = mo.fit(train, sub, cfg, feats)
+        train = places.where(F.col(f"rank_{i}") <= size)
+        test = places.where(F.col("fold") == i)
+        if scale:
+            stats = scaling.fit_scaler(train, sub, scale)
+            train, test = scaling.apply_scaler(train, sub, stats), scaling.apply_scaler(test, sub, stats)
+        fitted = mo.fit(resample(train, sub, "undersample", seed, feats) if undersample else train, sub, cfg, feats)
         a = mo.score_table(fitted, train).withColumn("split", F.lit("train"))
         b = mo.score_table(fitted, test).withColumn("split", F.lit("test"))
         return a.unionByName(b).withColumn("size", F.lit(size).cast("bigint")).withColumn("fold", F.lit(i))

@@ -20,6 +20,7 @@ from rarebird.operators import sampling as sa
 from rarebird.operators import scaling
 from rarebird.operators.metrics import METRICS, metrics_long
 from rarebird.plans import models as mo
+from rarebird.session import materialize
 from rarebird.spec import TableSpec
 
 SAMPLERS = (None, "smote", "near_miss", "undersample")
@@ -44,23 +45,39 @@ def resample(train: DataFrame, spec: TableSpec, sample: str | None, seed: int =
     return sa.undersample(train.select(spec.id, *feats, spec.label), spec, seed)
 
 
-def fold_scores(folded: DataFrame, spec: TableSpec, cfg: mo.ModelConfig, k: int, sample: str | None = None,
-                scale: str | None = "standard", features: list[str] | None = None, seed: int = 42,
-                folds: list[int] | None = None, parallelism: int = 4) -> DataFrame:
-    """Score tables of every fold, unioned: (fold, id, label, prediction, score)."""
+def prepared_folds(folded: DataFrame, spec: TableSpec, k: int, sample: str | None = None, scale: str | None = "standard",
+                   features: list[str] | None = None, seed: int = 42, folds: list[int] | None = None, parallelism: int = 4,
+                   write: bool = False) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """{fold: (training rows, test rows)}, scaled and resampled; ``write`` stores both, for several models."""
     feats = list(features or spec.features)
     sub = spec.only(feats)
+    kept = (lambda df: materialize(df, "fold")) if write and (scale or sample) else (lambda df: df)
 
-    def one(i: int) -> DataFrame:
+    def one(i: int):
         train, test = fo.fold_split(folded, i)
         if scale:
             stats = scaling.fit_scaler(train, sub, scale)
             train, test = scaling.apply_scaler(train, sub, stats), scaling.apply_scaler(test, sub, stats)
-        train = resample(train, sub, sample, seed, feats)
-        fitted = mo.fit(train, sub, cfg, feats)
-        return mo.score_table(fitted, test).withColumn("fold", F.lit(i))
+        return kept(resample(train, sub, sample, seed, feats)), kept(test)
+
+    ids = folds if folds is not None else list(range(k))
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ids)))) as pool:
+        return dict(zip(ids, pool.map(one, ids), strict=True))
+
 
+def fold_scores(folded: DataFrame, spec: TableSpec, cfg: mo.ModelConfig, k: int, sample: str | None = None,
+                scale: str | None = "standard", features: list[str] | None = None, seed: int = 42,
+                folds: list[int] | None = None, parallelism: int = 4, prepared: dict | None = None) -> DataFrame:
+    """Score tables of every fold, unioned: (fold, id, label, prediction, score)."""
+    feats = list(features or spec.features)
+    sub = spec.only(feats)
     ids = folds if folds is not None else list(range(k))
+    tables = prepared or prepared_folds(folded, spec, k, sample, scale, feats, seed, ids, parallelism)
+
+    def one(i: int) -> DataFrame:
+        train, test = tables[i]
+        return mo.score_table(mo.fit(train, sub, cfg, feats), test).withColumn("fold", F.lit(i))
+
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ids)))) as pool:
         parts = list(pool.map(one, ids))
     out = parts[0]
@@ -72,12 +89,12 @@ def fold_scores(folded: DataFrame, spec: TableSpec, cfg: mo.ModelConfig, k: int,
 def cross_validate(folded: DataFrame, spec: TableSpec, cfg: mo.ModelConfig, k: int = 5,
                    metrics=("f1",), sample: str | None = None, scale: str | None = "standard",
                    features: list[str] | None = None, seed: int = 42, model: str | None = None,
-                   parallelism: int = 4) -> DataFrame:
+                   parallelism: int = 4, prepared: dict | None = None) -> DataFrame:
     """V1 (and V2 with ``sample``): (model, fold, metric, value). Metrics as :func:`metrics_long` takes them."""
     bad = {m for m in metrics if not callable(m)} - set(METRICS)
     if bad:
         raise ValueError(f"unknown metrics {sorted(bad)}")
-    scored = fold_scores(folded, spec, cfg, k, sample, scale, features, seed, parallelism=parallelism)
+    scored = fold_scores(folded, spec, cfg, k, sample, scale, features, seed, parallelism=parallelism, prepared=prepared)
     out = metrics_long(scored, ["fold"], spec.label, "prediction", metrics)
     return out.select(F.lit(model or cfg.name).alias("model"), "fold", "metric", "value")
 
@@ -89,11 +106,13 @@ def cross_validate_resampled(folded: DataFrame, spec: TableSpec, cfg: mo.ModelCo
 
 
 def cross_validate_many(folded: DataFrame, spec: TableSpec, cfgs: dict[str, mo.ModelConfig], k: int = 5,
-                        metrics=("f1",), sample: str | None = None, **kw) -> DataFrame:
-    """V3: every model, same folds; with resampling the five metrics (all arguments honoured)."""
+                        metrics=("f1",), sample: str | None = None, scale: str | None = "standard",
+                        features: list[str] | None = None, seed: int = 42, parallelism: int = 4) -> DataFrame:
+    """V3: every model, same folds, scaled and resampled once for all of them (all arguments honoured)."""
     if sample not in SAMPLERS:
         raise ValueError(f"unknown sample {sample!r}")
-    parts = [cross_validate(folded, spec, c, k, metrics, sample, model=name, **kw) for name, c in cfgs.items()]
+    tables = prepared_folds(folded, spec, k, sample, scale, features, seed, None, parallelism, write=True)
+    parts = [cross_validate(folded, spec, c, k, metrics, sample, scale, features, seed, name, parallelism, tables) for name, c in cfgs.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
