@@ -131,3 +131,26 @@ def test_correlation_vector_path_equals_sql(spark, ev_small):
     assert a.keys() == b.keys()
     for key in a:
         assert a[key] == pytest.approx(b[key], abs=1e-9)
+
+
+def test_one_hot_vector_and_limit(spark):
+    from rarebird.operators import profile as prof
+
+    df = spark.createDataFrame([(1, "b", 1.0), (2, "a", 2.0), (3, None, 3.0), (4, "c", 4.0), (5, "a", 5.0)], "id int, c string, x double")
+    out, mapping = prof.one_hot_vector(df, ["c"])
+    code = {r.value: r.code for r in mapping.collect()}
+    assert code == {"a": 0, "b": 1, "c": 2}
+    for r, c in zip(out.orderBy("id").collect(), ["b", "a", None, "c", "a"], strict=True):
+        assert r.c.toArray().tolist() == [float(code.get(c) == i) for i in range(3)]
+    import pytest
+
+    with pytest.raises(ValueError, match="one_hot_vector"):
+        prof.one_hot(df, ["c"], max_levels=2)
+    assert prof.one_hot(df, ["c"]).columns == ["id", "x", "c_a", "c_b", "c_c"]
+
+
+def test_column_list_counts_any_type(spark):
+    from rarebird.operators import profile as prof
+
+    df = spark.createDataFrame([(1, None, [1]), (None, "x", None), (3, "y", [])], "a int, `b.c` string, d array<int>")
+    assert [tuple(r) for r in prof.column_list(df).collect()] == [(0, "a", "int", 2, 3), (1, "b.c", "string", 2, 3), (2, "d", "array<int>", 2, 3)]
