@@ -213,10 +213,13 @@ def _semi_join(words: bool):
 
 def _frequent(rows: DataFrame, names: list[str], min_count: int, length: int) -> DataFrame:
     """Distinct phrases of blocks whose counts over all blocks of the language reach ``min_count``: with
-    ``f`` (the sum) and ``id`` (the smallest of the phrase's rows, whose ``uid`` equals it). One shuffle."""
+    an ``id`` each. The first row of a phrase has its parts and ``f``, the sum, the others only what their
+    block needs. One shuffle."""
     same = Window.partitionBy(*names)
     counted = rows.withColumn("f", F.sum("n").over(same)).where(F.col("f") >= min_count).drop("n")
-    return materialize(counted.withColumn("uid", F.monotonically_increasing_id()).withColumn("id", F.min("uid").over(same)), f"frequent{length}")
+    counted = counted.withColumn("uid", F.monotonically_increasing_id()).withColumn("id", F.min("uid").over(same))
+    first = F.col("uid") == F.col("id")
+    return materialize(counted.select("block", "local", "id", *[F.when(first, F.col(c)).alias(c) for c in (*names, "f")]), f"frequent{length}")
 
 
 def _kept(relation: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
@@ -257,7 +260,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min
 
 
 def _mined(blocks: DataFrame, min_count: int, max_words: int, cover: int) -> DataFrame:
-    first = F.col("uid") == F.col("id")
+    first = F.col("f").isNotNull()
     relation, table, out = blocks, None, None
     for length in range(1, max_words + 1):
         if length == 1:
