@@ -17,6 +17,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from typing import NamedTuple
 
@@ -110,12 +111,14 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     has = (lambda c: F.lit(True)) if every else marked
     rows = docs.where(has(F.col(text_col))).select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
                                                    F.split(F.col(text_col), "\n").alias("lines"))
-    rows = rows.withColumn("has", F.transform("lines", has))
+    # each line is cut into words once: the generated row keeps the expression out of the windows below
+    rows = rows.select("id", "row", F.explode(F.array(F.struct(F.transform("lines", has).alias("has"), F.transform("lines", words_of).alias("lines")))).alias("d"))
+    rows = rows.select("id", "row", "d.has", "d.lines")
     # a start: a line such that it or one of the LONGEST after it has a mark
     starts = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.exists(F.slice("has", i, LONGEST + 1), lambda x: x))
     windows = rows.select("id", "row", F.explode(F.transform(starts, lambda i: F.struct(
         (i - 1).alias("paragraph"), F.slice("lines", i, LONGEST + 1).alias("lines"), F.slice("has", i, LONGEST + 1).alias("has")))).alias("w"))
-    words = windows.select("id", "row", "w.paragraph", "w.has", F.transform("w.lines", words_of).alias("lines"))
+    words = windows.select("id", "row", "w.paragraph", "w.has", "w.lines")
     inner = lambda k: F.aggregate(F.slice("lines", F.lit(2), F.greatest(k - 2, F.lit(0))), F.lit(0), lambda a, x: a + F.size(x))
     whole = lambda k: F.forall(F.slice("lines", F.lit(1), k), lambda x: F.size(x) > 0)
     found = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda k: F.exists(F.slice("has", F.lit(1), k), lambda x: x)
@@ -155,8 +158,12 @@ def training_table(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE
         F.col("words"),
         *[_without("words", 7, k) for k in range(7)],
         F.slice("words", 2, 1000), F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(1))))).alias("words"))
-    ordinary = (docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), F.substring_index(F.col(text_col), "\n", 1).alias("line"))
-                .where(~marked(F.col("line"))).select("h", F.slice(words_of(F.col("line")), 1, 60).alias("words"))
+    texts = docs.where(F.col(text_col).isNotNull())
+    n = texts.count()
+    # a hash this small is expected for twice the sample, so that tasks don't send as many rows each
+    small = lambda h, rows: (h / F.lit(2.0**64) + 0.5) * rows < 2 * sample + 100
+    ordinary = (texts.select(F.xxhash64(text_col).alias("h"), F.substring_index(F.col(text_col), "\n", 1).alias("line"))
+                .where(small(F.col("h"), n) & ~marked(F.col("line"))).select("h", F.slice(words_of(F.col("line")), 1, 60).alias("words"))
                 .orderBy("h", "words").limit(sample))
     lines = (docs.where(marked(F.col(text_col))).select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).where(marked(F.col("line")))
              .select(F.slice(words_of(F.col("line")), 1, 60).alias("words")).distinct().withColumn("pairs", pairs_of(F.col("words"))))
@@ -219,7 +226,12 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
     """
     templates = _notices(docs.sparkSession)
     every = any(unmarked(_split(n)) >= min_shared for ns in NOTICES.values() for n in ns)
-    scored = scanner.pipeline.transform(paragraphs(docs, id_col, text_col, every))
+    runs = paragraphs(docs, id_col, text_col, every).select("id", "row", "paragraph", "until", "words", F.explode(F.array(pairs_of(F.col("words")))).alias("pairs"))
+    # what can't share enough pairs with any notice of any family is not scored: first by pairs that some notice has
+    known = F.array(*[F.lit(x) for x in sorted({x for _, p in templates for x in p})])
+    fewest = min(math.ceil(min_shared * len(p) - 1e-9) for _, p in templates)
+    runs = runs.where(F.size(F.array_intersect("pairs", known)) >= fewest).where(_share("pairs", [p for _, p in templates]) >= min_shared)
+    scored = scanner.pipeline.transform(runs.drop("pairs"))
     p = _probabilities(vector_to_array("rawPrediction"), scanner.temperature)
     place = ["id", "row", "paragraph", "until"]
     guessed = scored.select(*place, "words", p.alias("p")).select(
