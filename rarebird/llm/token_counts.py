@@ -110,6 +110,18 @@ def _frequencies(path: str, pattern: str, hot):
     return run
 
 
+def _hot(table: DataFrame, most: int) -> list:
+    """The most frequent words, at most ``most``: a histogram of counts (a row for each sixteenth of a doubling)
+    says from which count on there are that many, so only these come to the driver."""
+    level = F.floor(F.log2("n") * 16)
+    from_level, left = None, most
+    for r in sorted(table.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.level):
+        if r.n > left:
+            break
+        from_level, left = r.level, left - r.n
+    return [] if from_level is None else table.where(level >= from_level).select("word", "pieces").collect()
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024,
                  pattern: str = "byte", hot_words: int = HOT_WORDS) -> DataFrame:
     """Per row of ``docs``: its id, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (n_tokens > limit).
@@ -120,8 +132,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     table = materialize(piece_table(docs, path, text_col, pattern), "pieces")
-    top = (table.where(F.octet_length("word") <= HOT_BYTES)
-           .orderBy(F.col("n").desc(), "word").limit(hot_words).select("word", "pieces").collect())
+    top = _hot(table.where(F.octet_length("word") <= HOT_BYTES), hot_words)
     hot = spark.sparkContext.broadcast({r.word: r.pieces for r in top})
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
