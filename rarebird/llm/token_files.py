@@ -139,8 +139,8 @@ class WordIds:
     #: Words that the library gets as one text.
     JOINED = 32
 
-    def __init__(self, path: str, words: int = 500_000, size: int = 32 << 20) -> None:
-        self.tokenizer = vocab.library(path)
+    def __init__(self, path: str, end_id: int, words: int = 500_000, size: int = 32 << 20) -> None:
+        self.tokenizer, self.end_id = vocab.library(path), end_id
         self.specials = frozenset(x.encode() for x in vocab.specials(path))
         self.words, self.most = words, size
         self.newline = self._lists(["\n"])[0]
@@ -148,7 +148,8 @@ class WordIds:
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.flat, self.size, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
+        # number 0 is the end of a document
+        self.flat, self.first, self.size, self.bytes = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64), 0
 
     def _lists(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -188,7 +189,8 @@ class WordIds:
             rest = list(missing.difference(plain))
             for new, encode in ((plain, self._encode), (rest, self._alone)):
                 flat, size = encode(new)
-                self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+                self.index.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+                self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
                 self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
             self.bytes += sum(map(len, missing))
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
@@ -203,17 +205,13 @@ def encoded(path: str, end_id: int):
         from rarebird.llm import pretokens
         from rarebird.llm.arrowbatch import binary_slices, ragged, text_chunks, texts_of
 
-        kept, specials = WordIds(path), vocab.specials(path)
+        kept, specials = WordIds(path, end_id), vocab.specials(path)
         for chunk in text_chunks(batches):
             words, numbers, counts = pretokens.dictionary(texts_of(chunk), specials)
-            places = kept.numbers(words)
-            first = np.cumsum(kept.size) - kept.size
-            flat = np.append(kept.flat, np.uint32(end_id))
-            # the chunk's own words, and the end id as one more after each document
-            first, size = np.append(first[places], len(flat) - 1), np.append(kept.size[places], 1)
-            numbers = np.insert(numbers, np.cumsum(counts), len(places))
-            each = size[numbers]
-            ids = flat[ragged(first[numbers], each)]
+            places = np.append(kept.numbers(words), 0)  # the end comes after each document
+            numbers = places[np.insert(numbers, np.cumsum(counts), len(places) - 1)]
+            each = kept.size[numbers]
+            ids = kept.flat[ragged(kept.first[numbers], each)]
             to = np.cumsum(each)[np.cumsum(counts + 1) - 1]
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("id"), pa.array(np.diff(to, prepend=0)), binary_slices(ids, np.append(0, to))],
@@ -235,11 +233,10 @@ def _id_counts(batches):
 
     total = np.zeros(0, np.int64)
     for b in batches:
-        for ids in b.column("ids").to_pylist():
-            more = np.bincount(np.frombuffer(ids, np.uint32))
-            if len(more) > len(total):
-                total, more = more, total
-            total[:len(more)] += more
+        more = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), np.uint32))
+        if len(more) > len(total):
+            total, more = more, total
+        total[:len(more)] += more
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["token", "count"])
 
