@@ -11,7 +11,8 @@ held against; a shorter document is one window. The similarity is over weighted
 * The remaining windows get a 64-bit SimHash. Items are indexed by each of RADIUS + 1 bit
   blocks of their fingerprints; fingerprints at most RADIUS bits apart agree in one block
   at least, so lookups find all of them. At similarity 0.75 two fingerprints differ in 11
-  bits on average (standard deviation 3); RADIUS is four deviations above.
+  bits on average (standard deviation 3); RADIUS is four deviations above; some few
+  pairs in 100,000 that lie right at the bound are further apart and are lost.
   The k-th occurrence of an n-gram in a window is a feature of its own, so the similarity is
   that of two sets and one n-gram that repeats can't outweigh the others.
 * Candidates are verified on the weighted n-grams themselves.

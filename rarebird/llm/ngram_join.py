@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rarebird.llm.components import components
-from rarebird.llm.tables import materialize
+from rarebird.llm.tables import discard, materialize
 
 WORDS = 5
 #: Similarity of at least NUM / DEN.
@@ -458,7 +458,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     again = materialize(shared.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"), "again")
     both = F.explode(F.array(F.struct("id", "n", "pos"), F.struct(F.col("hub").alias("id"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos"))))
     members = materialize(shared.join(again, "key", "left_semi").select("key", both.alias("m")).select("key", "m.*").distinct(), "unlabelled")
-    members = materialize(labelled(members, "id", "c").select("key", "id", "n", "pos", "c"), "members")
+    unlabelled, members = members, materialize(labelled(members, "id", "c").select("key", "id", "n", "pos", "c"), "members")
+    for done in (shared, tried, links, copies, again, unlabelled):  # nothing reads them any more
+        discard(done)
     mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     mixed = members.join(mixed, "key", "left_semi")
     hosts = (mixed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_hosts, "block long, c long").distinct())
@@ -467,5 +469,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         joined = components(_between(rows, sets, members, hosts), "a", "b").select(F.col("id").alias("component"), F.col("component").alias("to"))
         found = (found.join(joined, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
                  .union(joined.join(found.select("id"), joined["component"] == found["id"], "left_anti").select("component", "to")))
+    found = materialize(found, "components")
+    discard(members)
+    discard(hosts)
     out = sets.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
