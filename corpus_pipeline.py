@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rarebird.llm import decontamination, language_id, ngram_join, word_bpe
-from rarebird.llm.tables import materialize
+from rarebird.llm.tables import discard, materialize
 from rarebird.llm.vocab import public_path
 from rarebird.session import scratch_path
 
@@ -38,8 +38,10 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     members = (parts.select("_row", "component_id").join(groups, "component_id")
                .join(rows.select("_row", "doc_id"), "_row").withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")))
     kept = members.groupBy("component_id").agg(F.min("place").alias("kept"))
-    gone = members.join(kept, "component_id").where(F.col("_row") != F.col("kept._row")).select("_row")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    gone = materialize(members.join(kept, "component_id").where(F.col("_row") != F.col("kept._row")).select("_row"), "gone")
+    left = materialize(rows.join(gone, "_row", "left_anti").select(*docs.columns), "left")
+    discard(rows)
+    return left
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
