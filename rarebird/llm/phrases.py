@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from rarebird.llm.tables import discard, materialize
 
 #: Text of one block; a longer text is one block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: The contract's separators of pieces; blanks separate words.
 SEPARATORS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 MARK = b"\xff"  # no byte of UTF-8
