@@ -63,17 +63,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
 def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        for i, base in enumerate((BASE, BASE_INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.multiply.accumulate(p)
-    return _POWERS
+    """1, base, base^2, ... of the base and of its inverse. Made anew for each chunk: a worker that
+    kept them would hold them through all later stages."""
+    out = []
+    for base in (BASE, BASE_INVERSE):
+        p = np.full(n, base, np.uint64)
+        p[:1] = 1
+        out.append(np.multiply.accumulate(p))
+    return out
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -142,7 +142,7 @@ def _chunks(batches, path: str):
     from rarebird.llm import pretokens
     from rarebird.llm.arrowbatch import text_chunks, texts_of
 
-    table, kept = merge_table(path), vocab.Cache(150_000)  # three strings a word
+    table, kept = merge_table(path), vocab.Cache(80_000)  # three strings a word
 
     def fresh(words):
         return [(b, " ".join(map(str, memoryview(b).cast("I"))), table.decode(b)) for b in table.encode(words)]
