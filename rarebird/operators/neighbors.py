@@ -7,16 +7,19 @@ Exact:
    grouped sketch and one join on the cell a round. Of rows at one place only the k
    smallest ids can be chosen (k + 1 with ``exclude_self``), so only these are kept, by a
    window whose group limit works before its shuffle; then every cell gets small enough.
-2. The cells' boxes form a tree table. A row of A goes down it ``HOP`` levels at a time: the boxes
-   below the root (FAN ** HOP at most, a fixed bound) are broadcast, those below any other
+2. The cells' boxes form a tree table. A row of A goes down it ``HOP`` levels at a time, from a box to
+   those of its children that it reaches, so it never meets the other boxes of a level: the boxes
+   below the root (some FAN ** HOP, a fixed bound) are broadcast, those below any other
    node meet the rows that reached it in one stream.
 3. First each row searches the nearest cells that hold k rows; its k-th distance then says
    which other boxes can hold a nearer row, and only those are searched. The distance to
    a box is summed in the order of the distance to a row, so rounding can't drop one.
 4. A cell and its rows of A meet in one stream: its rows of B, a bounded number, are held, the
    rows of A pass in batches. Cells that many rows of A reach are salted, their rows of B
-   repeated for each salt. The k best of all candidates are a window with a group limit,
-   so no list of candidates is ever gathered.
+   repeated for each salt. The second search gives only rows within the distance known from
+   the first. The k best of all candidates are a window with a group limit,
+   so no list of candidates is ever gathered. The work of a task lies in its rows, not in
+   their bytes, so these shuffles have a number of partitions that AQE does not lower.
 
 Approximate (:func:`knn_approximate`, the caller's choice and never made by size): p-stable hashing
 (Datar et al., 2004) puts rows into the buckets of several tables; the candidates of a row are the
@@ -30,12 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rarebird.functions import hash_int, required
-from rarebird.session import materialize
+from rarebird.session import materialize, target_partitions
 
 #: Children of a cell, and levels of cells a row goes down at once.
 FAN, HOP = 8, 4
-#: Rows of A that meet one cell in one task, and rows of A whose distances are held at once.
-MEET, SLICE = 1 << 16, 256
+#: Rows of A that meet one cell in one task, and rows of A that go down the boxes together.
+MEET, SLICE = 1 << 16, 1024
+#: Distances held at once.
+HELD = 1 << 16
 
 
 # ------------------------------------------------------------------ cells of B
@@ -85,18 +90,38 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _boxes(b_cells: DataFrame, d: int, hop: int) -> tuple[list[DataFrame], list]:
-    """(tables of (key = parent, box = child, n, flag = is a cell, x = lowest, y = highest), one for each
-    hop below the first; the children of the root, collected)."""
+    """(tables of (key = a box ``hop`` levels up or less, box, n, flag = is a cell, x = lowest, y = highest), one
+    for each hop below the first; the boxes of the first hop, collected)."""
     at = [F.get("x", j) for j in range(d)]
     leaves = materialize(b_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min(v) for v in at]).alias("lo"), F.array(*[F.max(v) for v in at]).alias("hi")), "knn-boxes")
     deepest = leaves.agg(F.max(F.length("cell"))).first()[0] or 0
     tables = []
     for h in range(max(1, -(-deepest // hop))):
-        below = leaves.where((F.length("cell") > h * hop) | F.lit(h == 0)).select(
-            F.substring("cell", 1, h * hop).alias("key"), F.substring("cell", 1, (h + 1) * hop).alias("box"), (F.length("cell") <= (h + 1) * hop).alias("flag"), "n", "lo", "hi")
+        # a cell is one of its own boxes, and below all boxes between the key and itself
+        first = F.lit(h * hop + 1) if h else F.least(F.lit(1), F.length("cell"))
+        depth = F.explode(F.sequence(first, F.least(F.length("cell"), F.lit((h + 1) * hop))))
+        below = leaves.where((F.length("cell") > h * hop) | F.lit(h == 0)).select("cell", "n", "lo", "hi", depth.alias("depth")).select(
+            F.substring("cell", 1, h * hop).alias("key"), F.expr("substring(cell, 1, depth)").alias("box"), (F.length("cell") == F.col("depth")).alias("flag"), "n", "lo", "hi")
         lo, hi = [F.min(F.get("lo", j)) for j in range(d)], [F.max(F.get("hi", j)) for j in range(d)]
         tables.append(below.groupBy("key", "box").agg(F.sum("n").alias("n"), F.max("flag").alias("flag"), F.array(*lo).alias("x"), F.array(*hi).alias("y")))
-    return tables[1:], tables[0].orderBy("box").collect()  # FAN ** HOP rows at most
+    return tables[1:], tables[0].orderBy("box").collect()  # some FAN ** HOP rows at most
+
+
+class _Tree:
+    """The boxes below one key: ``children`` of box i are at row i + 1 (-1: none), those of the key at row 0."""
+
+    def __init__(self, names, flag, n, lo, hi):
+        order = np.argsort(names)  # the same order each time: equally near boxes go by it
+        self.names, self.cell, self.n, self.lo, self.hi = names[order], flag[order], n[order], lo[order], hi[order]
+        at = {name: i for i, name in enumerate(self.names)}
+        below: list[list[int]] = [[] for _ in range(len(at) + 1)]
+        for name, i in at.items():
+            below[at.get(name[:-1], -1) + 1 if name else 0].append(i)
+        self.children = np.full((len(below), max(map(len, below), default=0)), -1)
+        for row, some in enumerate(below):
+            self.children[row, :len(some)] = some
+        # boxes that rows are named for: cells, and those that have no boxes here
+        self.last = np.array([not some for some in below[1:]], bool)
 
 
 # ------------------------------------------------------------------ streams of a few rows and many
@@ -139,50 +164,63 @@ def _met(small: DataFrame, large: DataFrame) -> DataFrame:
                                                F.lit(None).cast("long").alias("n"), "flag", "x", F.lit(None).cast("array<double>").alias("y"), "r")
     b = small.join(busy, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select(
         "key", "salt", F.lit(0).alias("kind"), "id", "box", "n", "flag", "x", "y", F.lit(None).cast("double").alias("r"))
-    return a.union(b).repartition("key", "salt").sortWithinPartitions("key", "salt", "kind")
-
-
-def _reach(boxes, k: int, ids, x, flag, r, ball: bool):
-    """(row, box) pairs of rows ``x`` going down to ``boxes`` = (sizes, lo, hi): to the nearest that hold k
-    rows or, with ``ball``, to those within the squared distance ``r``. The flag of a pair says that
-    the row has searched that box's nearest cells before."""
-    n, lo, hi = boxes
-    for at in range(0, len(ids), SLICE):
-        some = slice(at, at + SLICE)
-        gap = None
-        for j in range(x.shape[1]):
-            v = x[some, j][:, None]
-            g = np.maximum(np.maximum(lo[None, :, j] - v, v - hi[None, :, j]), 0.0)
-            gap = g * g if gap is None else gap + g * g
-        order = np.argsort(gap, axis=1, kind="stable")
-        before = np.cumsum(n[order], axis=1) - n[order]
-        near = np.zeros(gap.shape, bool)
-        np.put_along_axis(near, order, before < k, axis=1)
-        near &= flag[some][:, None]
-        row, box = np.nonzero(gap <= r[some][:, None] if ball else near)
-        yield at + row, box, near[row, box]
+    both = a.union(b)
+    return both.repartition(target_partitions(both), "key", "salt").sortWithinPartitions("key", "salt", "kind")
+
+
+def _reach(tree: _Tree, k: int, x, flag, r, ball: bool):
+    """(row, box, near) of rows ``x`` going down ``tree``: to the nearest children that hold k rows or, with
+    ``ball``, to those within the squared distance ``r``. ``near`` says that the row has searched
+    that box's nearest cells before."""
+    for at in range(0, len(x), SLICE):
+        row = np.arange(at, min(at + SLICE, len(x)))
+        node, near = np.full(len(row), -1), flag[row]
+        while len(row):
+            some = HELD // tree.children.shape[1] if tree.children.shape[1] else len(row)
+            parts = [_children(tree, k, x, row[i:i + some], node[i:i + some], near[i:i + some], r, ball) for i in range(0, len(row), some)]
+            row, node, near = (np.concatenate(p) for p in zip(*parts, strict=True))
+            last = tree.last[node]
+            if last.any():
+                yield row[last], node[last], near[last]
+            row, node, near = row[~last], node[~last], near[~last]
+
+
+def _children(tree: _Tree, k: int, x, row, node, flag, r, ball: bool):
+    child = tree.children[node + 1]
+    gap = None
+    for j in range(x.shape[1]):
+        v = x[row, j][:, None]
+        g = np.maximum(np.maximum(tree.lo[child, j] - v, v - tree.hi[child, j]), 0.0)
+        gap = g * g if gap is None else gap + g * g
+    there = child >= 0
+    gap = np.where(there, gap, np.inf)
+    n = np.where(there, tree.n[child], 0)
+    order = np.argsort(gap, axis=1, kind="stable")
+    held = np.take_along_axis(n, order, axis=1)
+    near = np.zeros(gap.shape, bool)
+    np.put_along_axis(near, order, np.cumsum(held, axis=1) - held < k, axis=1)
+    near &= flag[:, None] & there
+    at, i = np.nonzero((gap <= r[row][:, None]) & there if ball else near)
+    return row[at], child[at, i], near[at, i]
 
 
 def _down(d: int, k: int, ball: bool, top=None):
     """Task function: rows of A to the boxes they reach -> (key = box, id, flag, cell, x, r)."""
-    def pairs(held, part):
+    def pairs(tree, part):
         import pyarrow as pa
 
         ids, x = np.asarray(part.column("id")), _matrix(part.column("x"), d)
         flag, r = np.asarray(part.column("flag")), np.asarray(part.column("r"))
-        names, is_cell, boxes = held
-        for row, box, near in _reach(boxes, k, ids, x, flag, r, ball):
+        for row, box, near in _reach(tree, k, x, flag, r, ball):
             if ball:  # cells whose rows were searched the first time
-                fresh = ~(near & is_cell[box])
+                fresh = ~(near & tree.cell[box])
                 row, box, near = row[fresh], box[fresh], near[fresh]
             if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(names[box], pa.string()), pa.array(ids[row]), pa.array(near), pa.array(is_cell[box]),
+                yield pa.RecordBatch.from_arrays([pa.array(tree.names[box], pa.string()), pa.array(ids[row]), pa.array(near), pa.array(tree.cell[box]),
                                                   part.column("x").take(pa.array(row)), pa.array(r[row])], names=["key", "id", "flag", "cell", "x", "r"])
 
     def small(part):
-        names = part.column("box").to_numpy(zero_copy_only=False)
-        order = np.argsort(names)  # the same order each time: equally near boxes go by it
-        return names[order], np.asarray(part.column("flag"))[order], (np.asarray(part.column("n"))[order], _matrix(part.column("x"), d)[order], _matrix(part.column("y"), d)[order])
+        return _Tree(part.column("box").to_numpy(zero_copy_only=False), np.asarray(part.column("flag")), np.asarray(part.column("n")), _matrix(part.column("x"), d), _matrix(part.column("y"), d))
 
     def run(batches):
         if top is None:
@@ -197,10 +235,11 @@ def _down(d: int, k: int, ball: bool, top=None):
 
 def _descend(a: DataFrame, top: list, tables: list[DataFrame], d: int, k: int, ball: bool) -> DataFrame:
     """(key = cell, id, flag, x, r) for each cell that a row of ``a`` (id, x, r) must search."""
-    held = (np.array([t.box for t in top], object), np.array([t.flag for t in top], bool),
-            (np.array([t.n for t in top], np.int64), np.array([t.x for t in top]).reshape(-1, d), np.array([t.y for t in top]).reshape(-1, d)))
+    held = _Tree(np.array([t.box for t in top], object), np.array([t.flag for t in top], bool), np.array([t.n for t in top], np.int64),
+                 np.array([t.x for t in top]).reshape(-1, d), np.array([t.y for t in top]).reshape(-1, d))
     kind = "key string, id long, flag boolean, cell boolean, x array<double>, r double"
-    pairs = a.select("id", F.lit(True).alias("flag"), "x", "r").mapInArrow(_down(d, k, ball, held), kind)
+    rows = a.select("id", F.lit(True).alias("flag"), "x", "r")
+    pairs = rows.repartition(target_partitions(rows), "id").mapInArrow(_down(d, k, ball, held), kind)
     found = []
     for boxes in tables:
         pairs = materialize(pairs, "knn-pairs")
@@ -212,33 +251,34 @@ def _descend(a: DataFrame, top: list, tables: list[DataFrame], d: int, k: int, b
 def _nearest(d: int, k: int, exclude_self: bool):
     """Task function: the k nearest rows of its cell for each row of A -> (id, d2, b)."""
     def small(part):
-        return np.asarray(part.column("id")), _matrix(part.column("x"), d)
+        y = np.ascontiguousarray(_matrix(part.column("x"), d).T)
+        return np.asarray(part.column("id")), y, (y == y[:, :1]).all(axis=1)  # many coordinates are level in a cell
 
     def large(held, part):
         import pyarrow as pa
 
-        b_ids, y = held
-        ids, x = np.asarray(part.column("id")), _matrix(part.column("x"), d)
-        for at in range(0, len(ids), SLICE):
-            some = slice(at, at + SLICE)
+        b_ids, y, level = held
+        ids, x, r = np.asarray(part.column("id")), _matrix(part.column("x"), d), part.column("r").fill_null(np.inf).to_numpy(zero_copy_only=False)
+        step = max(1, HELD // len(b_ids))
+        for at in range(0, len(ids), step):
+            some = slice(at, at + step)
             # summed coordinate by coordinate, as the SQL does
-            d2 = None
+            d2 = np.zeros((len(ids[some]), len(b_ids)))
             for j in range(d):
-                diff = x[some, j][:, None] - y[None, :, j]
-                d2 = diff * diff if d2 is None else d2 + diff * diff
+                diff = x[some, j][:, None] - (y[j, :1] if level[j] else y[j])
+                d2 += np.multiply(diff, diff, out=diff)
             if exclude_self:
                 d2 = np.where(ids[some][:, None] == b_ids[None], np.inf, d2)
-            if len(b_ids) > k:
+            edge = r[some][:, None]
+            if len(b_ids) > k and not np.isfinite(edge).all():
                 # the k smallest, and all that tie with the last of them, in order of id
-                edge = np.partition(d2, k - 1, axis=1)[:, k - 1:k]
-                row, col = np.nonzero(d2 <= edge)
-            else:
-                row, col = np.nonzero(d2 < np.inf)
+                edge = np.minimum(edge, np.partition(d2, k - 1, axis=1)[:, k - 1:k])
+            row, col = np.nonzero((d2 <= edge) & (d2 < np.inf))
             value = d2[row, col]
             order = np.lexsort((b_ids[col], value, row))
             row, col, value = row[order], col[order], value[order]
             first = np.searchsorted(row, row)
-            keep = (np.arange(len(row)) - first < k) & (value < np.inf)
+            keep = np.arange(len(row)) - first < k
             row, col, value = row[keep], col[keep], value[keep]
             if len(row):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some][row]), pa.array(value), pa.array(b_ids[col])], names=["id", "d2", "b"])
@@ -265,15 +305,17 @@ def _named(found: DataFrame, a_id: str, b_id: str) -> DataFrame:
 
 
 def knn(A: DataFrame, B: DataFrame, k: int, cols: list[str], a_id: str, b_id: str | None = None, exclude_self: bool = False,
-        leaf: int = 512, hop: int = HOP) -> DataFrame:
+        leaf: int | None = None, hop: int = HOP) -> DataFrame:
     """(a_id, nn, b_id, d2): for every row of A its k nearest rows of B, nn = 1..k, ordered by
     (squared distance, B id); fewer where B has fewer. ``exclude_self`` skips B rows with A's id.
-    A null or NaN coordinate raises."""
+    A null or NaN coordinate raises. In many dimensions a row reaches most cells and goes to each of
+    them, so there cells are larger: ``leaf`` rows, 512 up to 22 dimensions and 8192 in 64."""
     b_id, d = b_id or a_id, len(cols)
+    leaf = leaf or 512 * max(1, d * d // 256)
     keep = k + 1 if exclude_self else k
     b_cells = materialize(cells(_nearest_of_each_place(_points(B, b_id, cols), keep), d, max(leaf, keep)), "knn-b")
     tables, top = _boxes(b_cells, d, hop)
-    a = _points(A, a_id, cols)
+    a = materialize(_points(A, a_id, cols), "knn-a")
     anywhere = a.withColumn("r", F.lit(float("inf")))
     first = materialize(_first(_search(_descend(anywhere, top, tables, d, keep, False), b_cells, d, k, exclude_self), k), "knn-first")
     reach = first.groupBy("id").agg(F.max("d2").alias("r"), F.count(F.lit(1)).alias("m")).select("id", F.when(F.col("m") == k, F.col("r")).otherwise(float("inf")).alias("r"))
