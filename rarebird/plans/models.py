@@ -35,6 +35,8 @@ from rarebird.session import scratch_dir
 from rarebird.spec import TableSpec
 
 MAX_DEPTH_NONE = 30
+#: Rows in one task's share of a training table.
+ROWS = 1 << 18
 # Parameters that each family takes; any other raises.
 SUPPORTED = {
     "logistic": {"C", "penalty", "max_iter", "tol"},
@@ -179,6 +181,13 @@ def check(cfg: ModelConfig) -> None:
         raise ValueError(f"logistic: no penalty {penalty}")
 
 
+def spread(vec: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """``vec`` in partitions of some ``ROWS`` rows: each pass of a fit reads a partition in one task, and AQE
+    sizes the partitions of a join before it by their compressed bytes. Smaller tables stay as they are."""
+    parts = -(-rows // ROWS)
+    return vec.repartition(parts, id_col) if parts > 1 else vec
+
+
 def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str] | None = None) -> Fitted:
     """Fit one model on ``train`` (features default to the spec's, in scaled-table order)."""
     feats = list(features or spec.features)
@@ -195,7 +204,9 @@ def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str]
         weight_col = "weight"
     keep = [weight_col] if weight_col else []
     vec = assemble(data, spec, feats, keep=keep)
-    total = float(vec.agg(F.sum(weight_col) if weight_col else F.count(F.lit(1))).first()[0] or 1.0)
+    sums = vec.agg(F.sum(weight_col) if weight_col else F.count(F.lit(1)), F.count(F.lit(1))).first()
+    total = float(sums[0] or 1.0)
+    vec = spread(vec, spec.id, sums[1])
     penalty, loss = cfg.params.get("penalty", "l2"), cfg.params.get("loss", "squared_hinge")
     if cfg.kind == "linear_svm" and loss == "squared_hinge":
         from rarebird.plans.sparse_svm import fit_sparse_svm

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rarebird.operators.neighbors import cells, knn, knn_approximate, _points
+from rarebird.operators.neighbors import _Tree, _met, _points, _reach, cells, knn, knn_approximate
 from rarebird.sources.fixtures import emb_binary
 
 
@@ -115,3 +115,39 @@ def test_approximate_search_measures_its_recall(spark):
     assert all(abs(exact[r.id, r.nn_id] - r.d2) < 1e-9 for r in rows.collect() if (r.id, r.nn_id) in exact)
     _, poor = knn_approximate(df, df, 5, cols, "id", exclude_self=True, width=0.5, tables=1, projections=8, audit=50)
     assert poor < 0.5
+
+
+def test_rows_meet_only_the_children_of_boxes_they_reach():
+    """512 boxes in three levels: the reached ones are right, and a row is compared with few of all boxes."""
+    names = [f"{a}{b}{c}" for a in range(8) for b in range(8) for c in range(8)]
+    names += [n[:2] for n in names[::8]] + [str(a) for a in range(8)]
+    lo = np.array([int(n.ljust(3, "0"), 8) for n in names], float)
+    size = np.array([8.0 ** (3 - len(n)) for n in names])
+    tree = _Tree(np.array(names, object), np.array([len(n) == 3 for n in names]), size.astype(np.int64), lo[:, None], (lo + size - 0.5)[:, None])
+    assert tree.children.shape == (len(names) + 1, 8)
+    x, r = np.array([[3.2], [100.0], [511.9], [600.0]]), np.array([0.0, 4.0, 9.0, np.inf])
+    got = {i: set() for i in range(len(x))}
+    for row, box, _ in _reach(tree, 1, x, np.ones(len(x), bool), r, True):
+        for i, n in zip(row, tree.names[box], strict=True):
+            got[i].add(n)
+    for i in range(len(x)):
+        gap = np.maximum(np.maximum(lo - x[i], x[i] - (lo + size - 0.5)), 0) ** 2
+        assert got[i] == {n for n, g in zip(names, gap, strict=True) if g <= r[i] and len(n) == 3}
+    near = [(i, n) for row, box, _ in _reach(tree, 2, x, np.ones(len(x), bool), r, False) for i, n in zip(row.tolist(), tree.names[box], strict=True)]
+    assert {i for i, _ in near} == {0, 1, 2, 3} and all(len([1 for j, _ in near if j == i]) <= 8 for i in range(4))
+
+
+def test_search_is_dealt_to_all_partitions(spark):
+    """A stream of few bytes is much work: its partitions are not joined into one."""
+    large = spark.range(64).selectExpr("cast(id % 16 AS string) AS key", "id", "true AS flag", "array(1.0D) AS x", "cast(null AS double) AS r")
+    small = spark.range(16).selectExpr("cast(id AS string) AS key", "id", "cast(null AS string) AS box", "cast(null AS long) AS n", "cast(null AS boolean) AS flag", "array(1.0D) AS x", "cast(null AS array<double>) AS y")
+    assert _met(small, large).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_training_rows_are_spread(spark, monkeypatch):
+    from rarebird.plans import models as mo
+
+    vec = spark.range(100).coalesce(1)
+    assert mo.spread(vec, "id", 100).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(mo, "ROWS", 30)
+    assert mo.spread(vec, "id", 100).rdd.getNumPartitions() == 4
