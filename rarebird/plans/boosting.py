@@ -16,7 +16,9 @@ A leaf with sums G, H has the value -learning_rate G / (H + reg_lambda); a split
 
 Spark does the work on rows: thresholds are values at which a feature's distribution passes
 a ``1 / max_bins`` quantile (exact, from counts of distinct values, so a feature with few
-values keeps all that matter); every level is one pass in which tasks sum (g, h) by (node,
+values keeps all that matter); the binned rows are packed into
+blocks of ``BLOCK`` rows, a record each, and dealt evenly to all cores, so a pass reads whole arrays and
+no task has a larger share; every level is one pass in which tasks sum (g, h) by (node,
 feature, bin) in numpy, and one shuffle by (node, feature) to the tasks that add them up and
 find the best split. The driver gets a row for each node and feature. Rows keep their margin; it is written anew every ``KEEP`` trees.
 """
@@ -41,6 +43,8 @@ from rarebird.session import materialize
 
 #: Trees after which the rows' margins are written, and the least gain of a split.
 KEEP, LEAST_GAIN = 10, 1e-6
+#: Rows in a block, and blocks in a task's share.
+BLOCK, SHARE = 1 << 14, 64
 
 
 @dataclass
@@ -63,17 +67,25 @@ class Tree:
             getattr(self, name).append(x)
         return len(self.feature) - 1
 
+    def depth(self) -> int:
+        """Splits on the longest way to a leaf."""
+        level = [0] * len(self.feature)
+        for n, f in enumerate(self.feature):  # children come after their parents
+            if f >= 0:
+                level[self.left[n]] = level[self.right[n]] = level[n] + 1
+        return max(level)
+
     def places(self, x: np.ndarray, by: str) -> np.ndarray:
-        """The leaf of each row of ``x``: ``by`` is ``bin`` for binned rows, ``threshold`` for values."""
-        feature, cut = np.array(self.feature), np.array(getattr(self, by))
-        left, right = np.array(self.left), np.array(self.right)
-        node = np.zeros(len(x), np.int64)
-        while True:
-            at = np.flatnonzero(feature[node] >= 0)
-            if not len(at):
-                return node
-            n = node[at]
-            node[at] = np.where(x[at, feature[n]] <= cut[n], left[n], right[n])
+        """The leaf of each column of ``x``, a row of which is a feature: ``by`` is ``bin`` for binned rows, ``threshold`` for values."""
+        n, flat = x.shape[1], x.ravel()
+        split, own = np.array(self.feature) >= 0, np.arange(len(self.feature))
+        # a leaf leads to itself, so all rows take as many steps
+        first = np.where(split, self.feature, 0) * n
+        left, right, cut = np.where(split, self.left, own), np.where(split, self.right, own), np.array(getattr(self, by))
+        node, row = np.zeros(n, np.int64), np.arange(n)
+        for _ in range(self.depth()):
+            node = np.where(flat[first[node] + row] <= cut[node], left[node], right[node])
+        return node
 
     def prune(self, gamma: float) -> None:
         """Drop splits above leaves whose gain is below ``gamma``, from the leaves up; unused nodes go."""
@@ -135,7 +147,8 @@ class BoostedTreesModel(HasFeaturesCol, Model, DefaultParamsReadable, DefaultPar
 
 
 def _margin(trees: list[Tree], x: np.ndarray) -> np.ndarray:
-    return sum((np.array(t.value)[t.places(x, "threshold")] for t in trees), np.zeros(len(x)))
+    columns = np.ascontiguousarray(x.T)
+    return sum((np.array(t.value)[t.places(columns, "threshold")] for t in trees), np.zeros(len(x)))
 
 
 def _margins(trees: list[Tree]):
@@ -157,37 +170,53 @@ def quantile_cuts(vec: DataFrame, d: int, max_bins: int) -> list[np.ndarray]:
     return [np.array(sorted(r.v for r in cuts if r.j == j)) for j in range(d)]
 
 
-def _binned(cuts: list[np.ndarray], label: str, weight: str | None):
-    def run(batches):
-        import pyarrow as pa
+def _binned(cuts: list[np.ndarray]):
+    """Task function: rows (x, y, w) -> blocks of up to ``BLOCK`` binned rows; a block's bins lie feature by feature."""
+    def block(parts):
+        x, y, w = (np.concatenate(p) for p in zip(*parts, strict=True))
+        bins = np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)]) if cuts else np.zeros((0, len(x)))
+        return _record([bins.astype(np.uint16), y, w, np.zeros(len(y))])
 
+    def run(batches):
+        parts, held = [], 0
         for b in batches:
-            n = b.num_rows
-            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, len(cuts))
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(cuts))
             if np.isnan(x).any():
                 raise ValueError("NaN in a feature: impute or filter it first")
-            bins = np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)], 1).astype(np.uint16) if cuts else np.zeros((n, 0), np.uint16)
-            flat = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 2 * len(cuts)).astype(np.int32)), pa.py_buffer(bins.tobytes())])
-            yield pa.RecordBatch.from_arrays([flat, b.column("y"), b.column("w"), pa.array(np.zeros(n))], names=["bins", "y", "w", "m"])
+            y, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w"))
+            at = 0
+            while at < len(x):
+                some = slice(at, at + BLOCK - held)
+                parts.append((x[some], y[some], w[some]))
+                held, at = held + len(y[some]), some.stop
+                if held == BLOCK:
+                    yield block(parts)
+                    parts, held = [], 0
+        if parts:
+            yield block(parts)
 
     return run
 
 
-def _columns(batch, d: int):
-    n = batch.num_rows
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint16).reshape(n, d)
-    return bins, *(np.asarray(batch.column(c)) for c in ("y", "w", "m"))
+def _record(arrays):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=["bins", "y", "w", "m"])
+
+
+def _blocks(batches, d: int):
+    """(bins, y, w, m) of each block, the bins of a feature in a row."""
+    for b in batches:
+        for i in range(b.num_rows):
+            bins, y, w, m = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in (("bins", np.uint16), ("y", float), ("w", float), ("m", float)))
+            yield bins.reshape(d, len(m)), y, w, m
 
 
 def _advanced(trees: list[Tree], d: int):
-    """The rows with the trees' values added to their margins."""
+    """The blocks with the trees' values added to their rows' margins."""
     def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            bins, y, w, m = _columns(b, d)
-            m = sum((np.array(t.value)[t.places(bins, "bin")] for t in trees), m)
-            yield pa.RecordBatch.from_arrays([b.column("bins"), b.column("y"), b.column("w"), pa.array(m)], names=["bins", "y", "w", "m"])
+        for bins, y, w, m in _blocks(batches, d):
+            yield _record([bins, y, w, sum((np.array(t.value)[t.places(bins, "bin")] for t in trees), m)])
 
     return run
 
@@ -202,17 +231,19 @@ def _histograms(trees: list[Tree], tree: Tree, active: list[int], features: list
         place = np.full(len(tree.feature), -1)
         place[active] = np.arange(len(active))
         g_sum, h_sum = (np.zeros((len(active), len(features), width)) for _ in range(2))
-        for b in batches:
-            bins, y, w, m = _columns(b, d)
+        for bins, y, w, m in _blocks(batches, d):
             m = sum((np.array(t.value)[t.places(bins, "bin")] for t in trees), m)
             p = 1 / (1 + np.exp(-m))
-            g, h = w * (p - y), w * p * (1 - p)
+            g = w * (p - y)
+            h = w * p * (1 - p)
             node = place[tree.places(bins, "bin")]
-            rows = np.flatnonzero(node >= 0)
+            if (node < 0).any():
+                rows = np.flatnonzero(node >= 0)
+                node, g, h, bins = node[rows], g[rows], h[rows], bins[:, rows]
             for i, f in enumerate(features):
-                key = node[rows] * width + bins[rows, f]
+                key = node * width + bins[f]
                 for out, x in ((g_sum, g), (h_sum, h)):
-                    out[:, i] += np.bincount(key, x[rows], len(active) * width).reshape(-1, width)
+                    out[:, i] += np.bincount(key, x, len(active) * width).reshape(-1, width)
         node, i, at = np.nonzero((h_sum != 0) | (g_sum != 0))
         if len(node):
             yield pa.RecordBatch.from_arrays(
@@ -275,6 +306,15 @@ def sampled(d: int, share: float, tree: int, seed: int) -> list[int]:
     return sorted(order[:max(1, int(share * d + 1e-9))])
 
 
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """The blocks, written in equal shares for all cores; a share holds ``SHARE`` of them at most."""
+    spark = blocks.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    written = materialize(blocks, "boosting")
+    rounds = -(-written.count() // (cores * SHARE))
+    return written.repartition(cores * max(rounds, 1))
+
+
 def fit_boosted_trees(vec: DataFrame, label: str, weight_col: str | None, d: int, n_estimators: int = 100, learning_rate: float = 0.1,
                       max_depth: int = 3, min_child_weight: float = 1.0, gamma: float = 0.0, reg_lambda: float = 1.0,
                       colsample_bytree: float = 1.0, max_bins: int = 256, seed: int = 42) -> BoostedTreesModel:
@@ -287,14 +327,14 @@ def fit_boosted_trees(vec: DataFrame, label: str, weight_col: str | None, d: int
     sizes = [max(len(c) - 1, 0) for c in cuts]
     w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     rows = vec.select(vector_to_array("features").alias("x"), F.col(label).cast("double").alias("y"), w.alias("w"))
-    kind = "bins binary, y double, w double, m double"
-    data = materialize(rows.mapInArrow(_binned(cuts, label, weight_col), kind), "boosting").persist()
+    kind = "bins binary, y binary, w binary, m binary"
+    data = _dealt(rows.mapInArrow(_binned(cuts), kind)).persist()
     trees: list[Tree] = []
     written = 0  # trees whose values are in the margins
     try:
         for number in range(n_estimators):
             if number - written == KEEP:
-                new = materialize(data.mapInArrow(_advanced(trees[written:], d), kind), "boosting").persist()
+                new = _dealt(data.mapInArrow(_advanced(trees[written:], d), kind)).persist()
                 data.unpersist()
                 data, written = new, number
             features, tree = sampled(d, colsample_bytree, number, seed), Tree()

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from rarebird.plans import boosting as bo
@@ -100,6 +100,22 @@ def test_thresholds_and_edges(spark, data):
         bo.fit_boosted_trees(nan, "y", None, 1, 1)
 
 
+def test_rows_are_packed_and_dealt(spark, data, monkeypatch):
+    """Rows of one partition reach all cores in blocks of a bounded size, each row once and in its order within the block."""
+    monkeypatch.setattr(bo, "BLOCK", 64)
+    x, y, w, df = data
+    cuts = bo.quantile_cuts(df, 4, 2000)
+    rows = df.coalesce(1).selectExpr("y", "w", "features").withColumn("x", vector_to_array("features")).select("x", "y", "w")
+    blocks = bo._dealt(rows.mapInArrow(bo._binned(cuts), "bins binary, y binary, w binary, m binary"))
+    assert blocks.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sum(n > 0 for n in blocks.rdd.glom().map(len).collect()) == spark.sparkContext.defaultParallelism
+    got, batches = [], blocks.toArrow().to_batches()
+    for bins, by, bw, bm in bo._blocks(batches, 4):
+        assert 0 < len(by) <= 64 and (bm == 0).all()
+        got += zip(*(cuts[j][bins[j]].tolist() for j in range(4)), by.tolist(), bw.tolist(), strict=True)
+    assert sorted(got) == sorted(zip(*x.T.tolist(), y.tolist(), w.tolist(), strict=True))
+
+
 def test_model_family(spark, ev_small):
     train, test = ev_small.where("event_id % 5 > 0"), ev_small.where("event_id % 5 = 0")
     cfg = mo.ModelConfig("boosted_trees", {"n_estimators": 20, "gamma": 0.5, "reg_lambda": 1.0, "colsample_bytree": 1.0}, weights="positive")
