@@ -82,7 +82,9 @@ def _sums(fits: list[Linear], raw: np.ndarray, d: int):
     hold = np.array([NONE if f.hold is None else f.hold for f in fits])
     weight = np.array([f.class_weights for f in fits])
     up, down = np.triu_indices(d + 1)
-    step = max(64, (1 << 21) // max(len(up), len(fits)))
+    # (row, fit) arrays of half a megabyte stay in a core's cache
+    step = max(64, (1 << 16) // max(len(up), len(fits)))
+    some_logistic, some_hinge = logistic.any(), not logistic.all()
 
     def run(batches):
         import pyarrow as pa
@@ -96,11 +98,17 @@ def _sums(fits: list[Linear], raw: np.ndarray, d: int):
                 s = np.where(y[some] == 1, 1.0, -1.0)[:, None]
                 z = s * (xa @ raw.T)
                 row = w[some][:, None] * np.where(s > 0, weight[:, 1], weight[:, 0]) * (fold[some][:, None] != hold)
-                p = 1 / (1 + np.exp(np.minimum(z, 700)))
-                slack = np.maximum(1 - z, 0)
-                loss += (row * np.where(logistic, np.logaddexp(0, -z), slack * slack)).sum(0)
-                grad += (row * -s * np.where(logistic, p, 2 * slack)).T @ xa
-                hess += (row * np.where(logistic, p * (1 - p), 2.0 * (slack > 0))).T @ (xa[:, up] * xa[:, down])
+                value = slope = curve = 0.0
+                if some_logistic:
+                    e = np.exp(-np.abs(z))  # one exponential for the loss and its derivatives, without overflow
+                    slope = np.where(z > 0, e, 1.0) / (1 + e)
+                    value, curve = np.maximum(-z, 0) + np.log1p(e), slope * (1 - slope)
+                if some_hinge:
+                    slack = np.maximum(1 - z, 0)
+                    value, slope, curve = (np.where(logistic, a, b) for a, b in ((value, slack * slack), (slope, 2 * slack), (curve, 2.0 * (slack > 0))))
+                loss += np.einsum("ij,ij->j", row, value)
+                grad += (row * -s * slope).T @ xa
+                hess += (row * curve).T @ (xa[:, up] * xa[:, down])
         flat = np.concatenate([loss[:, None], grad, hess], axis=1).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["pos", "v"])
 

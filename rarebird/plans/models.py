@@ -188,6 +188,12 @@ def spread(vec: DataFrame, id_col: str, rows: int) -> DataFrame:
     return vec.repartition(parts, id_col) if parts > 1 else vec
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in equal shares of ``ROWS`` rows at most for all cores: a pass costs much time for each of its few bytes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * max(1, -(-rows // (ROWS * cores))))
+
+
 def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str] | None = None) -> Fitted:
     """Fit one model on ``train`` (features default to the spec's, in scaled-table order)."""
     feats = list(features or spec.features)

@@ -74,9 +74,10 @@ def fit_linear_candidates(folded: DataFrame, spec: TableSpec, cfgs: list[mo.Mode
     by fold within a configuration: all of them in the same scans."""
     feats = spec.features
     rows = folded.select(F.array(*[required(F.col(c).cast("double"), c) for c in feats]).alias("x"), F.col(spec.label).cast("int").alias("y"),
-                         F.lit(1.0).alias("w"), F.col("fold").cast("int").alias("fold")).persist()
+                         F.lit(1.0).alias("w"), F.col("fold").cast("int").alias("fold"))
+    n = {(r.fold, r.y): r.n for r in rows.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}  # classes x folds
+    rows = mo.dealt(rows, sum(n.values())).persist()
     try:
-        n = {(r.fold, r.y): r.n for r in rows.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}  # classes x folds
         scalers = fold_scalers(folded, spec, k, scale)
         fits = []
         for cfg in cfgs:

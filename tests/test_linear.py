@@ -110,3 +110,25 @@ def test_user_estimators_and_metrics(spark, ev_small):
     assert {r.removed for r in dropped.collect()} == {"none", "hr", "k", "night"}
     with pytest.raises(ValueError, match="unknown metrics"):
         va.cross_validate(folded, spec, own, 3, ("nonsense",))
+
+
+def test_rows_are_dealt_to_all_cores_and_sums_hold_far_out(spark, monkeypatch):
+    """Both losses, their gradients and Hessians at margins up to 800; rows of one partition reach all cores."""
+    monkeypatch.setattr(mo, "ROWS", 10)
+    cores = spark.sparkContext.defaultParallelism
+    x = np.array([0.0, 1.0, -1.0, 30.0, -30.0, 800.0, -800.0] * 20)
+    y = np.arange(len(x)) % 2
+    df = spark.createDataFrame([([float(a)], int(b), 1.5, i % 3) for i, (a, b) in enumerate(zip(x, y, strict=True))], "x array<double>, y int, w double, fold int").coalesce(1)
+    rows = mo.dealt(df, len(x))
+    assert rows.rdd.getNumPartitions() == cores * -(-len(x) // (10 * cores))
+    assert rows.groupBy(F.spark_partition_id()).count().count() >= cores
+    fits = [li.Linear("logistic", hold=1), li.Linear("squared_hinge", hold=2)]
+    loss, grad, hess = li.evaluate(rows, fits, np.array([[1.0, 0.25]] * 2), li.Coordinates(1, None))
+    s, xa = np.where(y == 1, 1.0, -1.0), np.stack([x, np.ones(len(x))], 1)
+    z, fold = s * (x + 0.25), np.arange(len(x)) % 3
+    p, slack = 1 / (1 + np.exp(np.minimum(z, 700))), np.maximum(1 - z, 0)
+    for i, (out, value, slope, curve) in enumerate(((1, np.logaddexp(0, -z), p, p * (1 - p)), (2, slack ** 2, 2 * slack, 2.0 * (slack > 0)))):
+        w = 1.5 * (fold != out)
+        assert np.isclose(loss[i], (w * value).sum(), rtol=1e-12)
+        assert np.allclose(grad[i], (w * -s * slope) @ xa, rtol=1e-12)
+        assert np.allclose(hess[i], xa.T @ (xa * (w * curve)[:, None]), rtol=1e-12)
