@@ -23,7 +23,11 @@ Exact:
 
 Approximate (:func:`knn_approximate`, the caller's choice and never made by size): p-stable hashing
 (Datar et al., 2004) puts rows into the buckets of several tables; the candidates of a row are the
-rows of its buckets, in chunks. The recall is measured on some rows and returned.
+rows of its buckets. Buckets of a given width grow with the table, so in few dimensions the cells of the
+exact search find the nearest candidates: a row of a cell counts if it shares a bucket, and the k-th
+distance to such rows says which other cells to search. Rows that meet fewer than k candidates in the
+nearest cells, and all rows in many dimensions, are held against their whole buckets, in chunks. The
+rows are the same either way. The recall is measured on some rows and returned.
 """
 
 from __future__ import annotations
@@ -248,16 +252,24 @@ def _descend(a: DataFrame, top: list, tables: list[DataFrame], d: int, k: int, b
     return _union([*found, pairs]).drop("cell")
 
 
-def _nearest(d: int, k: int, exclude_self: bool):
-    """Task function: the k nearest rows of its cell for each row of A -> (id, d2, b)."""
+def _nearest(d: int, k: int, exclude_self: bool, hashes=None):
+    """Task function: the k nearest rows of its cell for each row of A -> (id, d2, b); with ``hashes``, the
+    k nearest that share one with it."""
     def small(part):
         y = np.ascontiguousarray(_matrix(part.column("x"), d).T)
-        return np.asarray(part.column("id")), y, (y == y[:, :1]).all(axis=1)  # many coordinates are level in a cell
+        # many coordinates are level in a cell
+        return np.asarray(part.column("id")), y, (y == y[:, :1]).all(axis=1), None if hashes is None else hashes(y.T)
+
+    def best(d2, edge):
+        if d2.shape[1] > k and not np.isfinite(edge).all():
+            # the k smallest, and all that tie with the last of them, in order of id
+            edge = np.minimum(edge, np.partition(d2, k - 1, axis=1)[:, k - 1:k])
+        return np.nonzero((d2 <= edge) & (d2 < np.inf))
 
     def large(held, part):
         import pyarrow as pa
 
-        b_ids, y, level = held
+        b_ids, y, level, b_hashes = held
         ids, x, r = np.asarray(part.column("id")), _matrix(part.column("x"), d), part.column("r").fill_null(np.inf).to_numpy(zero_copy_only=False)
         step = max(1, HELD // len(b_ids))
         for at in range(0, len(ids), step):
@@ -269,11 +281,17 @@ def _nearest(d: int, k: int, exclude_self: bool):
                 d2 += np.multiply(diff, diff, out=diff)
             if exclude_self:
                 d2 = np.where(ids[some][:, None] == b_ids[None], np.inf, d2)
-            edge = r[some][:, None]
-            if len(b_ids) > k and not np.isfinite(edge).all():
-                # the k smallest, and all that tie with the last of them, in order of id
-                edge = np.minimum(edge, np.partition(d2, k - 1, axis=1)[:, k - 1:k])
-            row, col = np.nonzero((d2 <= edge) & (d2 < np.inf))
+            row, col = best(d2, r[some][:, None])
+            if hashes is not None:
+                a_hashes = hashes(x[some])
+                apart = ~(a_hashes[row] == b_hashes[col]).any(axis=1)
+                if apart.any():  # most rows share a bucket with all their nearest
+                    odd = np.unique(row[apart])
+                    shares = np.zeros((len(odd), len(b_ids)), bool)
+                    for t in range(b_hashes.shape[1]):
+                        shares |= a_hashes[odd, t][:, None] == b_hashes[:, t]
+                    d2[odd] = np.where(shares, d2[odd], np.inf)
+                    row, col = best(d2, r[some][:, None])
             value = d2[row, col]
             order = np.lexsort((b_ids[col], value, row))
             row, col, value = row[order], col[order], value[order]
@@ -289,10 +307,10 @@ def _nearest(d: int, k: int, exclude_self: bool):
     return run
 
 
-def _search(pairs: DataFrame, b_cells: DataFrame, d: int, k: int, exclude_self: bool) -> DataFrame:
+def _search(pairs: DataFrame, b_cells: DataFrame, d: int, k: int, exclude_self: bool, hashes=None) -> DataFrame:
     small = b_cells.select(F.col("cell").alias("key"), "id", F.lit(None).cast("string").alias("box"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("boolean").alias("flag"), "x",
                            F.lit(None).cast("array<double>").alias("y"))
-    return _met(small, pairs).mapInArrow(_nearest(d, k, exclude_self), "id long, d2 double, b long")
+    return _met(small, pairs).mapInArrow(_nearest(d, k, exclude_self, hashes), "id long, d2 double, b long")
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
@@ -311,58 +329,123 @@ def knn(A: DataFrame, B: DataFrame, k: int, cols: list[str], a_id: str, b_id: st
     A null or NaN coordinate raises. In many dimensions a row reaches most cells and goes to each of
     them, so there cells are larger: ``leaf`` rows, 512 up to 22 dimensions and 8192 in 64."""
     b_id, d = b_id or a_id, len(cols)
-    leaf = leaf or 512 * max(1, d * d // 256)
-    keep = k + 1 if exclude_self else k
-    b_cells = materialize(cells(_nearest_of_each_place(_points(B, b_id, cols), keep), d, max(leaf, keep)), "knn-b")
-    tables, top = _boxes(b_cells, d, hop)
-    a = materialize(_points(A, a_id, cols), "knn-a")
-    anywhere = a.withColumn("r", F.lit(float("inf")))
-    first = materialize(_first(_search(_descend(anywhere, top, tables, d, keep, False), b_cells, d, k, exclude_self), k), "knn-first")
-    reach = first.groupBy("id").agg(F.max("d2").alias("r"), F.count(F.lit(1)).alias("m")).select("id", F.when(F.col("m") == k, F.col("r")).otherwise(float("inf")).alias("r"))
-    near = a.join(reach, "id", "left").withColumn("r", F.coalesce("r", F.lit(float("inf"))))
-    more = _search(_descend(near, top, tables, d, keep, True), b_cells, d, k, exclude_self)
-    return _named(_first(first.select("id", "d2", "b").union(more), k), a_id, b_id)
+    held = _Held(_points(B, b_id, cols), d, k, exclude_self, leaf, hop)
+    return _named(held.exact(materialize(_points(A, a_id, cols), "knn-a")), a_id, b_id)
+
+
+class _Held:
+    """The cells and boxes of B (id, x), for searches of the k nearest."""
+
+    def __init__(self, b: DataFrame, d: int, k: int, exclude_self: bool, leaf: int | None = None, hop: int = HOP) -> None:
+        leaf = leaf or 512 * max(1, d * d // 256)
+        self.d, self.k, self.exclude_self, self.keep = d, k, exclude_self, k + 1 if exclude_self else k
+        self.cells = materialize(cells(_nearest_of_each_place(b, self.keep), d, max(leaf, self.keep)), "knn-b")
+        self.tables, self.top = _boxes(self.cells, d, hop)
+
+    def search(self, a: DataFrame, ball: bool, hashes=None) -> DataFrame:
+        pairs = _descend(a, self.top, self.tables, self.d, self.keep, ball)
+        return _search(pairs, self.cells, self.d, self.k, self.exclude_self, hashes)
+
+    def nearest_cells(self, a: DataFrame, hashes=None) -> DataFrame:
+        """(id, d2, b) of the nearest cells' rows, the k best of an id."""
+        found = self.search(a.withColumn("r", F.lit(float("inf"))), False, hashes)
+        return materialize(_first(found if hashes is None else _once(found), self.k), "knn-first")
+
+    def exact(self, a: DataFrame) -> DataFrame:
+        """(id, nn, b, d2) for ``a`` (id, x)."""
+        first = self.nearest_cells(a)
+        near = a.join(_reached(first, self.k), "id", "left").withColumn("r", F.coalesce("r", F.lit(float("inf"))))
+        return _first(first.select("id", "d2", "b").union(self.search(near, True)), self.k)
+
+
+def _once(found: DataFrame) -> DataFrame:
+    return found.groupBy("id", "b").agg(F.min("d2").alias("d2"))
+
+
+def _reached(first: DataFrame, k: int) -> DataFrame:
+    return first.groupBy("id").agg(F.max("d2").alias("r"), F.count(F.lit(1)).alias("m")).select("id", F.when(F.col("m") == k, F.col("r")).otherwise(float("inf")).alias("r"))
 
 
 # ------------------------------------------------------------------ approximate search
 
-def _buckets(d: int, tables: int, projections: int, width: float, seed: int):
+#: Dimensions up to which boxes prune well enough to find the nearest rows of large buckets.
+FEW = 22
+
+
+def _hashes(d: int, tables: int, projections: int, width: float, seed: int):
+    """Rows -> the names of their buckets, one of each table."""
+    rng = np.random.default_rng(seed)
+    w, shift = rng.normal(size=(tables, projections, d)), rng.uniform(0, width, size=(tables, projections))
+    mix = rng.integers(1, 1 << 62, size=projections) * 2 + 1
+
+    def of(x: np.ndarray) -> np.ndarray:
+        # coordinate by coordinate: a row has the same buckets in any batch
+        at = np.broadcast_to(shift, (len(x), tables, projections)).copy()
+        for j in range(d):
+            at += x[:, j, None, None] * w[:, :, j]
+        # equal hashes of different buckets only add candidates
+        return (np.floor(at / width).astype(np.int64) * mix).sum(2) * tables + np.arange(tables)
+
+    return of
+
+
+def _buckets(d: int, hashes):
     def run(batches):
         import pyarrow as pa
 
-        rng = np.random.default_rng(seed)
-        w, shift = rng.normal(size=(tables, projections, d)), rng.uniform(0, width, size=(tables, projections))
-        mix = rng.integers(1, 1 << 62, size=projections) * 2 + 1
         for b in batches:
-            x = _matrix(b.column("x"), d)
-            for t in range(tables):
-                at = np.floor((x @ w[t].T + shift[t]) / width).astype(np.int64)
-                # equal hashes of different buckets only add candidates
-                key = ((at * mix).sum(1) * tables + t).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(key)], names=["id", "x", "bucket"])
+            key = hashes(_matrix(b.column("x"), d))
+            for t in range(key.shape[1]):
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(np.ascontiguousarray(key[:, t]))], names=["id", "x", "bucket"])
 
     return run
 
 
-def knn_approximate(A: DataFrame, B: DataFrame, k: int, cols: list[str], a_id: str, b_id: str | None = None, exclude_self: bool = False, width: float = 1.0,
-                    tables: int = 16, projections: int = 8, seed: int = 42, chunk: int = 512, audit: int = 256) -> tuple[DataFrame, float]:
-    """(rows as :func:`knn` returns them, measured recall): rows of B that share a bucket with a row of A in
-    one of the ``tables`` tables of ``projections`` hashes of cell ``width`` are its candidates. Recall is the
-    share of the true neighbours found for ``audit`` rows of A, first in md5(seed-id) order, which :func:`knn`
-    searches too. A row without candidates has no rows; more tables or a larger width find more."""
-    b_id, d = b_id or a_id, len(cols)
-    hashed = lambda df: df.mapInArrow(_buckets(d, tables, projections, width, seed), "id long, x array<double>, bucket long")
-    b = hashed(_points(B, b_id, cols))
+def _whole_buckets(a: DataFrame, b: DataFrame, d: int, k: int, exclude_self: bool, hashes, chunk: int) -> DataFrame:
+    """(id, nn, b, d2): every row of ``a`` against all rows of ``b`` in its buckets."""
+    hashed = lambda df: df.mapInArrow(_buckets(d, hashes), "id long, x array<double>, bucket long")
+    a, b = hashed(a), hashed(b)
+    b = b.join(a.select("bucket").distinct(), "bucket", "left_semi")
     # buckets go in chunks of some ``chunk`` rows, each a cell of its own
     sizes = b.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
     cell = lambda part: F.concat_ws("-", F.col("bucket").cast("string"), part.cast("string"))
     b_cells = materialize(b.join(sizes, "bucket").select("id", "x", cell(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).alias("cell")), "knn-b")
-    a = hashed(_points(A, a_id, cols)).join(sizes, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    a = a.join(sizes, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pairs = a.select(cell(F.col("part")).alias("key"), "id", F.lit(True).alias("flag"), "x", F.lit(None).cast("double").alias("r"))
-    found = _search(pairs, b_cells, d, k, exclude_self).groupBy("id", "b").agg(F.min("d2").alias("d2"))
-    rows = materialize(_named(_first(found, k), a_id, b_id), "knn-approximate")
+    return _first(_once(_search(pairs, b_cells, d, k, exclude_self)), k)
+
+
+def _boxed_buckets(a: DataFrame, b: DataFrame, held: _Held, hashes, chunk: int) -> DataFrame:
+    """As :func:`_whole_buckets`, by the cells of ``b``; its ids must differ."""
+    k = held.k
+    first = held.nearest_cells(a, hashes)
+    reach = materialize(a.join(_reached(first, k), "id", "left").withColumn("r", F.coalesce("r", F.lit(float("inf")))), "knn-reach")
+    near = reach.where(F.col("r") < float("inf"))
+    found = _first(_once(first.select("id", "d2", "b").join(near.select("id").distinct(), "id", "left_semi").union(held.search(near, True, hashes))), k)
+    # fewer than k candidates in the nearest cells: no distance bounds the search
+    rest = reach.where(F.col("r") == float("inf")).select("id", "x")
+    return found if rest.isEmpty() else found.unionByName(_whole_buckets(rest, b, held.d, k, held.exclude_self, hashes, chunk))
+
+
+def knn_approximate(A: DataFrame, B: DataFrame, k: int, cols: list[str], a_id: str, b_id: str | None = None, exclude_self: bool = False, width: float = 1.0,
+                    tables: int = 16, projections: int = 8, seed: int = 42, chunk: int = 512, audit: int = 256) -> tuple[DataFrame, float]:
+    """(rows as :func:`knn` returns them, measured recall): rows of B that share a bucket with a row of A in
+    one of the ``tables`` tables of ``projections`` hashes of cell ``width`` are its candidates. Recall is the
+    share of the true neighbours found for ``audit`` rows of A, first in md5(seed-id) order, which the search of
+    :func:`knn` finds too. A row without candidates has no rows; more tables or a larger width find more."""
+    b_id, d = b_id or a_id, len(cols)
+    hashes = _hashes(d, tables, projections, width, seed)
+    a, b = materialize(_points(A, a_id, cols), "knn-a"), materialize(_points(B, b_id, cols), "knn-b-points")
+    held = _Held(b, d, k, exclude_self)
+    # a null id, or one at several places, would take the places of others among a cell's k best
+    odd = b.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL")
+    if d <= FEW and odd.isEmpty():
+        found = _boxed_buckets(a, b, held, hashes, chunk)
+    else:
+        found = _whole_buckets(a, b, d, k, exclude_self, hashes, chunk)
+    rows = materialize(_named(found, a_id, b_id), "knn-approximate")
     some = A.orderBy(hash_int(seed, a_id), a_id).limit(audit)
     name = f"nn_{b_id}" if b_id == a_id else b_id
-    true = materialize(knn(some, B, k, cols, a_id, b_id, exclude_self).select(a_id, name), "knn-true")
+    true = materialize(_named(held.exact(materialize(_points(some, a_id, cols), "knn-some")), a_id, b_id).select(a_id, name), "knn-true")
     total, hit = true.count(), true.join(rows.select(a_id, name), [a_id, name], "left_semi").count()
     return rows, hit / total if total else 1.0

@@ -151,3 +151,44 @@ def test_training_rows_are_spread(spark, monkeypatch):
     assert mo.spread(vec, "id", 100).rdd.getNumPartitions() == 1
     monkeypatch.setattr(mo, "ROWS", 30)
     assert mo.spread(vec, "id", 100).rdd.getNumPartitions() == 4
+
+
+def test_approximate_search_in_few_dimensions_by_cells(spark, monkeypatch):
+    """Buckets larger than cells: the k nearest rows that share a bucket, as by brute force; no bucket is compared whole
+    unless a row has fewer than k candidates nearby, or an id has two places."""
+    from rarebird.operators import neighbors
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(1500, 3)), rng.normal(size=(40, 3)) * 0.01 + 4.0, [[90.0, 90.0, 90.0]]])
+    x[200:230] = x[200]
+    cols, ids = ["x", "y", "z"], np.arange(len(x))
+    df = spark.createDataFrame([(int(i), *map(float, r)) for i, r in zip(ids, x)], "id long, x double, y double, z double").repartition(4).cache()
+
+    def brute(x, ids, width, k):
+        key = neighbors._hashes(3, 4, 3, width, 42)(x)
+        out = {}
+        for i in range(len(ids)):
+            d2 = ((x - x[i]) ** 2).sum(1)
+            near = {}
+            for j in np.flatnonzero((key == key[i]).any(1)):
+                if ids[j] != ids[i]:
+                    near[int(ids[j])] = min(near.get(int(ids[j]), np.inf), float(d2[j]))
+            for b, v in near.items():
+                held = out.setdefault(int(ids[i]), {})
+                held[b] = min(held.get(b, np.inf), v)
+        return {i: sorted(near, key=lambda b: (near[b], b))[:k] for i, near in out.items()}
+
+    def find(df, width):
+        return knn_approximate(df, df, 4, cols, "id", exclude_self=True, width=width, tables=4, projections=3, audit=20)
+
+    whole, calls = neighbors._whole_buckets, []
+    monkeypatch.setattr(neighbors, "_whole_buckets", lambda a, *rest: calls.append(a.count()) or whole(a, *rest))
+    _check(find(df.where("id < 1540"), 6.0)[0], brute(x[:1540], ids[:1540], 6.0, 4), "id", "nn_id")
+    assert sum(calls) < 100
+    del calls[:]
+    _check(find(df, 0.4)[0], brute(x, ids, 0.4, 4), "id", "nn_id")
+    assert 0 < sum(calls) < 1541
+    del calls[:]
+    twice = df.where("id < 300").union(df.where("id < 30").withColumn("x", F.col("x") + 0.1))
+    find(twice, 2.0)
+    assert sum(calls) == 330
