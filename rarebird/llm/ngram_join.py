@@ -46,6 +46,8 @@ RANGES = 64
 FILTER_BITS = 1 << 25
 #: N-grams in one part of a block of step 4.
 BLOCK_GRAMS = 500_000
+#: Bytes of text whose words are hashed at once: each takes some 36 bytes of buffers.
+HASH_BYTES = 1 << 18
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -76,6 +78,14 @@ def _powers(n: int) -> list[np.ndarray]:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, number of words of each text) of UTF-8 texts, A-Z lower-cased."""
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    cuts = np.flatnonzero(np.diff((np.cumsum(lens) - lens) // HASH_BYTES)) + 1
+    ends = [0, *cuts.tolist(), len(texts)]
+    words, counts = zip(*[_word_hashes(texts[a:b]) for a, b in zip(ends, ends[1:], strict=False)], strict=True)
+    return np.concatenate(words), np.concatenate(counts)
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = b"\n".join(texts).translate(LOWER)
     raw = np.frombuffer(joined, np.uint8)
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -277,9 +287,10 @@ def _kept_sets(bits):
 
         from rarebird.llm.arrowbatch import binary_slices, text_chunks
 
-        flags = np.unpackbits(bits.value, bitorder="little").view(bool)
+        flags = bits.value
         for b in batches:
-            b = b.filter(pa.array(flags[np.asarray(b.column("slot"))]))
+            slot = np.asarray(b.column("slot"))
+            b = b.filter(pa.array((flags[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
             for chunk in text_chunks(iter([b])):
                 hashes, n = shingle_sets(_bytes_of(chunk))
                 yield pa.RecordBatch.from_arrays([chunk.column("id"), binary_slices(hashes, np.append(0, np.cumsum(n)))],

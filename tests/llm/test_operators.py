@@ -407,3 +407,22 @@ def test_pipeline_stages(spark, odd):
     clean = corpus_pipeline.decontamination_stage(spark, docs, SF_SMALL)
     assert clean.columns == docs.columns
     assert [name for name, _ in corpus_pipeline.STAGES][-1] == "bpe_round_trip"
+
+
+def test_word_hashes_in_bounded_memory(monkeypatch):
+    """The words of a chunk of texts are hashed some at a time: the same hashes, with small buffers."""
+    import tracemalloc
+
+    from rarebird.llm import ngram_join as nj
+
+    texts = [b"", *(b"Word%d other  words\t%d " % (i, i % 7) * (i % 300) for i in range(1200)), b"  "]
+    assert sum(map(len, texts)) > 3 << 20
+    tracemalloc.start()
+    words, counts = nj.word_hashes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    monkeypatch.setattr(nj, "HASH_BYTES", 1 << 40)
+    for got, whole in zip((words, counts), nj.word_hashes(texts), strict=True):
+        assert got.dtype == whole.dtype and np.array_equal(got, whole)
+    assert [len(x) for x in nj.word_hashes([])] == [0, 0]
