@@ -13,7 +13,8 @@ A document is its set of distinct word 5-grams (64-bit hashes). Two link when
    then sorted in their partitions and linked to the first document of the key, in one
    streaming pass: the rows grow with the prefixes, not with the pairs of a key.
 3. (hub, document) pairs that pass the length, positional and suffix filters are verified
-   once on the whole sets; links are joined to components.
+   once on the whole sets; links are joined to components. Texts travel, compressed, and sets are made
+   where pairs meet: a set has 8 bytes for each word. Hubs stay where the first shuffle by id put them.
 4. What step 3 skipped: documents that share a prefix n-gram but lie in different components.
    Pairs inside one component can't change the components, so the work is between
    components. On each key, the components whose documents pass the filters join the block
@@ -27,6 +28,7 @@ Equal sets are linked by their digests, so copies meet no join.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -281,24 +283,50 @@ def _suffix_filter(batches):
         yield b.select(["a", "b"]).filter(pa.array(fits))
 
 
-def _kept_sets(bits):
+def _kept_texts(bits):
     def run(batches):
         import pyarrow as pa
 
-        from rarebird.llm.arrowbatch import binary_slices, text_chunks
-
         flags = bits.value
         for b in batches:
             slot = np.asarray(b.column("slot"))
             b = b.filter(pa.array((flags[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
-            for chunk in text_chunks(iter([b])):
-                hashes, n = shingle_sets(_bytes_of(chunk))
-                yield pa.RecordBatch.from_arrays([chunk.column("id"), binary_slices(hashes, np.append(0, np.cumsum(n)))],
-                                                 names=["id", "hashes"])
+            packed = [zlib.compress(t.as_buffer() if t.is_valid else b"") for t in b.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(packed, pa.binary())], names=["id", "packed"])
 
     return run
 
 
+def _sets(packed):
+    """The set of each compressed text of a column, ``CHUNK_BYTES`` of text at a time."""
+    from rarebird.llm.arrowbatch import CHUNK_BYTES
+
+    held, size = [], 0
+    for at, raw in enumerate(packed, 1):
+        held.append(zlib.decompress(raw.as_buffer()))
+        size += len(held[-1])
+        if size >= CHUNK_BYTES or at == len(packed):
+            hashes, n = shingle_sets(held)
+            yield from np.split(hashes, np.cumsum(n)[:-1])
+            held, size = [], 0
+
+
+def _verify(batches):
+    """Rows (a, b, of_a, of_b) -> the similar pairs; rows of one a stand together, so its set is made once a batch."""
+    import pyarrow as pa
+
+    for rows in batches:
+        a = np.asarray(rows.column("a"))
+        fresh = np.append(True, a[1:] != a[:-1])[:len(a)]
+        hubs = _sets(rows.column("of_a").filter(pa.array(fresh)))
+        near = np.zeros(len(a), bool)
+        for i, grams in enumerate(_sets(rows.column("of_b"))):
+            hub = next(hubs) if fresh[i] else hub
+            both = len(np.intersect1d(hub, grams, assume_unique=True))
+            near[i] = both > 0 and DEN * both >= NUM * (len(hub) + len(grams) - both)
+        yield rows.select(["a", "b"]).filter(pa.array(near))
+
+
 class _Block:
     """The sets of one block part, as one sorted array of (n-gram, document)."""
 
@@ -330,11 +358,12 @@ def _compare(batches):
     at, held, block = None, [], None
     for b in batches:
         found = set()
-        rows = zip(*[b.column(x).to_pylist() for x in ("block", "part", "probe", "c")], b.column("hashes"), strict=True)
-        for block_id, part, probe, c, raw in rows:
+        rows = zip(*[b.column(x).to_pylist() for x in ("block", "part", "probe", "c")], _sets(b.column("packed")), strict=True)
+        for block_id, part, probe, c, grams in rows:
             if (block_id, part) != at:
                 at, held, block = (block_id, part), [], None
-            grams = np.frombuffer(raw.as_buffer(), np.uint64)
+            if not len(grams):
+                continue
             if not probe:
                 held.append((c, grams.copy()))
                 continue
@@ -349,23 +378,48 @@ def _slot(c):
     return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
 
 
-def _similar(rows: DataFrame, meetings: DataFrame) -> DataFrame:
-    """Links (a, b) between components found by holding the probes of each (block, part) against its sets.
-
-    ``meetings``: (block, part, probe boolean, id, c the id's component). Whole sets are made again from the texts
-    of the documents that meet, kept out of the shuffle by a filter of fixed size."""
+def _kept(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, packed): the compressed texts of the documents in ``ids``, and of a few more: others are kept out of the
+    shuffle by a filter of fixed size."""
     # bitmap positions count from 1
-    ends = meetings.select((_slot("id") + 1).alias("s"))
+    ends = ids.select((_slot("id") + 1).alias("s"))
     maps = ends.groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)  # a full filter keeps more rows, not fewer
     for r in maps:
         part = np.frombuffer(bytes(r.m), np.uint8)
         bits[(r.k - 1) * 4096:(r.k - 1) * 4096 + len(part)] |= part
     sent = rows.sparkSession.sparkContext.broadcast(bits)
-    kept = (rows.select("id", "text", _slot("id").cast("int").alias("slot")).where(F.col("id").isNotNull())
-            .mapInArrow(_kept_sets(sent), "id long, hashes binary"))
-    return (meetings.join(kept, "id").repartition("block", "part").sortWithinPartitions("block", "part", "probe", "id")
-            .select("block", "part", "probe", "c", "hashes").mapInArrow(_compare, "a long, b long").distinct())
+    return (rows.select("id", "text", _slot("id").cast("int").alias("slot")).where(F.col("id").isNotNull())
+            .mapInArrow(_kept_texts(sent), "id long, packed binary"))
+
+
+def _similar_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids with one row each whose sets are similar. Only the texts of b move to their a."""
+    kept = _kept(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    sent = pairs.join(kept.select(F.col("id").alias("b"), F.col("packed").alias("of_b")), "b")
+    return (sent.join(kept.select(F.col("id").alias("a"), F.col("packed").alias("of_a")), "a")
+            .select("a", "b", "of_a", "of_b").mapInArrow(_verify, "a long, b long"))
+
+
+def _similar(rows: DataFrame, meetings: DataFrame) -> DataFrame:
+    """Links (a, b) between components found by holding the probes of each (block, part) against its sets.
+
+    ``meetings``: (block, part, probe boolean, id, c the id's component)."""
+    return (meetings.join(_kept(rows, meetings), "id").repartition("block", "part").sortWithinPartitions("block", "part", "probe", "id")
+            .select("block", "part", "probe", "c", "packed").mapInArrow(_compare, "a long, b long").distinct())
+
+
+def _tried_links(rows: DataFrame, sets: DataFrame, tried: DataFrame) -> DataFrame:
+    """The similar ones of the pairs (a, b) of ``tried``. Ids with several rows meet in blocks, so
+    that their texts are not paired one by one."""
+    several = materialize(sets.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"), "several")
+    if several.isEmpty():
+        return _similar_pairs(rows, tried)
+    apart = tried.join(several.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b").union(
+        tried.join(several.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")).distinct()
+    hubs = apart.select(F.col("a").alias("block"), F.lit(0).alias("part"), F.lit(False).alias("probe"), F.col("a").alias("id"), F.col("a").alias("c")).distinct()
+    return (_similar_pairs(rows, tried.join(apart, ["a", "b"], "left_anti"))
+            .union(_similar(rows, hubs.union(apart.select("a", F.lit(0), F.lit(True), "b", "b")))))
 
 
 def _hosts(batches):
@@ -451,8 +505,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         .join(size.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("ranges_b")), "b")
                         .join(size.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("ranges_a")), "a")
                         .mapInArrow(_suffix_filter, "a long, b long").distinct(), "tried")
-    hubs = tried.select(F.col("a").alias("block"), F.lit(0).alias("part"), F.lit(False).alias("probe"), F.col("a").alias("id"), F.col("a").alias("c")).distinct()
-    links = materialize(_similar(rows, hubs.union(tried.select("a", F.lit(0), F.lit(True), "b", "b"))), "links")
+    links = materialize(_tried_links(rows, sets, tried), "links")
     copies = (sets.where("n > 0 and id is not null")
               .join(sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1"), "digest")
               .select("a", F.col("id").alias("b")).where("a != b"))

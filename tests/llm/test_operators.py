@@ -426,3 +426,36 @@ def test_word_hashes_in_bounded_memory(monkeypatch):
     for got, whole in zip((words, counts), nj.word_hashes(texts), strict=True):
         assert got.dtype == whole.dtype and np.array_equal(got, whole)
     assert [len(x) for x in nj.word_hashes([])] == [0, 0]
+
+
+def test_ngram_join_ships_compressed_texts(spark):
+    """What travels for the verification is less than half of the sets (8 bytes an n-gram), and pairs are
+    verified on whole sets, also where ids have several rows."""
+    from rarebird.llm import ngram_join as nj
+
+    rng = random.Random(11)
+    base = [rng.choice([f"word{i}" for i in range(500)]) for _ in range(400)]
+    texts = [" ".join(w if rng.random() > share else f"other{rng.randrange(500)}" for w in base) for share in (0, 0.005, 0.01, 0.03, 0.06, 0.3)]
+    texts += ["", None, "a b", "A  b"]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
+    far = [(1000 + i, t) for i, t in enumerate(["x"] * 50)]
+
+    def similar(x, y):
+        return bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+
+    def links(rows):
+        df = spark.createDataFrame(rows, "id long, text string")
+        sets = df.select("id")
+        got = nj._tried_links(df, sets, spark.createDataFrame(pairs, "a long, b long")).collect()
+        by = {i: [shingles(t) for k, t in rows if k == i] for i in range(len(texts))}
+        want = {(a, b) for a, b in pairs if any(similar(x, y) for x in by[a] for y in by[b])}
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+        return len(want)
+
+    rows = [*enumerate(texts), (None, texts[0]), *far]
+    assert 0 < links(rows) < links([*rows, (5, texts[0]), (5, ""), (0, None), (8, texts[1])])
+
+    df = spark.createDataFrame([*enumerate(texts), *far], "id long, text string")
+    kept = nj._kept(df, spark.createDataFrame([(i,) for i in range(6)], "id long")).collect()
+    assert {r.id for r in kept} == set(range(6))
+    assert 2 * sum(len(r.packed) for r in kept) < 8 * sum(len(shingles(t)) for t in texts[:6])
