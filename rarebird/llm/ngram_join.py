@@ -419,7 +419,7 @@ def _tried_links(rows: DataFrame, sets: DataFrame, tried: DataFrame) -> DataFram
         tried.join(several.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")).distinct()
     hubs = apart.select(F.col("a").alias("block"), F.lit(0).alias("part"), F.lit(False).alias("probe"), F.col("a").alias("id"), F.col("a").alias("c")).distinct()
     return (_similar_pairs(rows, tried.join(apart, ["a", "b"], "left_anti"))
-            .union(_similar(rows, hubs.union(apart.select("a", F.lit(0), F.lit(True), "b", "b")))))
+            .union(_similar(rows, hubs.union(apart.select("a", F.lit(0), F.lit(True), "b", "b"))).select(*_ordered("a", "b"))))
 
 
 def _hosts(batches):
