@@ -14,12 +14,16 @@ Exact:
 3. First each row searches the nearest cells that hold k rows; its k-th distance then says
    which other boxes can hold a nearer row, and only those are searched. The distance to
    a box is summed in the order of the distance to a row, so rounding can't drop one.
-4. A cell and its rows of A meet in one stream: its rows of B, a bounded number, are held, the
-   rows of A pass in batches. Cells that many rows of A reach are salted, their rows of B
-   repeated for each salt. The second search gives only rows within the distance known from
-   the first. The k best of all candidates are a window with a group limit,
+4. A cell and its rows of A meet in one stream: its rows of B, a bounded number, are held in boxes of
+   ``PART`` rows, the rows of A pass in batches and are compared with the rows of those boxes that they
+   reach. So cells can be large, and a row is sent to few of them. Cells that many rows of A reach are
+   salted, their rows of B repeated for each salt. The second search gives only rows within the
+   distance known from the first. The k best of all candidates are a window with a group limit,
    so no list of candidates is ever gathered. The work of a task lies in its rows, not in
    their bytes, so these shuffles have a number of partitions that AQE does not lower.
+5. Where only the ``least`` smallest mean distances are asked for, the means of the first search bound
+   the last of them. A row whose nearest box lies beyond that bound isn't searched a second time, and
+   no row further than its own neighbours can be.
 
 Approximate (:func:`knn_approximate`, the caller's choice and never made by size): p-stable hashing
 (Datar et al., 2004) puts rows into the buckets of several tables; the candidates of a row are the
@@ -37,14 +41,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rarebird.functions import hash_int, required
+from rarebird.operators.selecting import nth_smallest
 from rarebird.session import materialize, target_partitions
 
 #: Children of a cell, and levels of cells a row goes down at once.
 FAN, HOP = 8, 4
 #: Rows of A that meet one cell in one task, and rows of A that go down the boxes together.
-MEET, SLICE = 1 << 16, 1024
+MEET, SLICE = 1 << 14, 1024
 #: Distances held at once.
 HELD = 1 << 16
+#: Rows of B in a cell, and in a box inside a cell, in few dimensions.
+LEAF, PART = 4096, 64
 
 
 # ------------------------------------------------------------------ cells of B
@@ -62,7 +69,8 @@ def _nearest_of_each_place(b: DataFrame, keep: int) -> DataFrame:
 
 def cells(b: DataFrame, d: int, leaf: int) -> DataFrame:
     """(id, x, cell): a cell of more than ``leaf`` rows holds rows of one place only. A cell's name has
-    a digit for each level, so its ancestors are its prefixes; the root's is empty."""
+    a digit for each level, so its ancestors are its prefixes; the root's is empty. A cell is cut into FAN, or
+    into 4 or 2 where these are enough."""
     pending = materialize(b.select("id", "x", F.lit("").alias("cell")), "knn-cells")
     done = []
     at = [F.get("x", j) for j in range(d)]
@@ -74,16 +82,18 @@ def cells(b: DataFrame, d: int, leaf: int) -> DataFrame:
         sizes = materialize(sizes.withColumn("big", (F.col("n") > leaf) & F.col("wide")), "knn-sizes")
         if sizes.where("big").isEmpty():
             return _union([*done, pending])
-        rows = pending.join(sizes.select("cell", "big", "j", "top", "mean"), "cell")
+        rows = pending.join(sizes.select("cell", "big", "j", "top", "mean", "n"), "cell")
         done.append(rows.where(~F.col("big")).select("id", "x", "cell"))
         big = rows.where("big").withColumn("v", F.get("x", F.col("j")))
         quantiles = F.percentile_approx("v", [i / FAN for i in range(1, FAN)], 100 * FAN)
         # thresholds below the largest value; where there are none, the mean lies below it
-        cuts = big.groupBy("cell").agg(quantiles.alias("q"), F.first("top").alias("top"), F.first("mean").alias("mean"))
+        cuts = big.groupBy("cell").agg(quantiles.alias("q"), F.first("top").alias("top"), F.first("mean").alias("mean"), F.first("n").alias("n"))
+        each = F.when(F.col("n") <= 2 * leaf, FAN // 2).when(F.col("n") <= 4 * leaf, FAN // 4).otherwise(1)
+        cuts = cuts.withColumn("q", F.filter("q", lambda c, i: (i + 1) % each == 0))
         below = F.array_distinct(F.filter("q", lambda c: c < F.col("top")))
         cuts = cuts.select("cell", F.when(F.size(below) > 0, below).otherwise(F.array("mean")).alias("cuts"))
         child = F.size(F.filter("cuts", lambda c: c < F.col("v")))
-        pending = materialize(big.drop("top", "mean").join(cuts, "cell").select("id", "x", F.concat("cell", child.cast("string")).alias("cell")), "knn-cells")
+        pending = materialize(big.drop("top", "mean", "n").join(cuts, "cell").select("id", "x", F.concat("cell", child.cast("string")).alias("cell")), "knn-cells")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -164,6 +174,7 @@ def _met(small: DataFrame, large: DataFrame) -> DataFrame:
     # the salts of keys with more than MEET rows: others have one
     busy = large.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MEET).select("key", F.ceil(F.col("m") / MEET).cast("int").alias("salts"))
     salts = F.coalesce("salts", F.lit(1))
+    busy = F.broadcast(busy)  # one row for each MEET rows at most
     a = large.join(busy, "key", "left").select("key", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", F.lit(None).cast("string").alias("box"),
                                                F.lit(None).cast("long").alias("n"), "flag", "x", F.lit(None).cast("array<double>").alias("y"), "r")
     b = small.join(busy, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select(
@@ -175,27 +186,26 @@ def _met(small: DataFrame, large: DataFrame) -> DataFrame:
 def _reach(tree: _Tree, k: int, x, flag, r, ball: bool):
     """(row, box, near) of rows ``x`` going down ``tree``: to the nearest children that hold k rows or, with
     ``ball``, to those within the squared distance ``r``. ``near`` says that the row has searched
-    that box's nearest cells before."""
+    that box's nearest cells before. All boxes of a row come together."""
     for at in range(0, len(x), SLICE):
         row = np.arange(at, min(at + SLICE, len(x)))
         node, near = np.full(len(row), -1), flag[row]
+        found = []
         while len(row):
             some = HELD // tree.children.shape[1] if tree.children.shape[1] else len(row)
             parts = [_children(tree, k, x, row[i:i + some], node[i:i + some], near[i:i + some], r, ball) for i in range(0, len(row), some)]
             row, node, near = (np.concatenate(p) for p in zip(*parts, strict=True))
             last = tree.last[node]
             if last.any():
-                yield row[last], node[last], near[last]
+                found.append((row[last], node[last], near[last]))
             row, node, near = row[~last], node[~last], near[~last]
+        if found:
+            yield tuple(np.concatenate(p) for p in zip(*found, strict=True))
 
 
 def _children(tree: _Tree, k: int, x, row, node, flag, r, ball: bool):
     child = tree.children[node + 1]
-    gap = None
-    for j in range(x.shape[1]):
-        v = x[row, j][:, None]
-        g = np.maximum(np.maximum(tree.lo[child, j] - v, v - tree.hi[child, j]), 0.0)
-        gap = g * g if gap is None else gap + g * g
+    gap = _gaps(tree, x, row, child)
     there = child >= 0
     gap = np.where(there, gap, np.inf)
     n = np.where(there, tree.n[child], 0)
@@ -208,14 +218,33 @@ def _children(tree: _Tree, k: int, x, row, node, flag, r, ball: bool):
     return row[at], child[at, i], near[at, i]
 
 
-def _down(d: int, k: int, ball: bool, top=None):
-    """Task function: rows of A to the boxes they reach -> (key = box, id, flag, cell, x, r)."""
+def _gaps(tree: _Tree, x, row, child):
+    """Squared distances of each row to its ``child`` boxes, a row of them."""
+    gap = None
+    for j in range(x.shape[1]):
+        v = x[row, j][:, None]
+        g = np.maximum(np.maximum(tree.lo[child, j] - v, v - tree.hi[child, j]), 0.0)
+        gap = g * g if gap is None else gap + g * g
+    return np.zeros(child.shape) if gap is None else gap
+
+
+def _down(d: int, k: int, ball: bool, top=None, most: float | None = None, mean_of: int = 1):
+    """Task function: rows of A to the boxes they reach -> (key = box, id, flag, cell, x, r). With ``most``, only as far
+    as a row's ``mean_of`` nearest can lie if their mean distance is ``most`` at most."""
     def pairs(tree, part):
         import pyarrow as pa
 
         ids, x = np.asarray(part.column("id")), _matrix(part.column("x"), d)
         flag, r = np.asarray(part.column("flag")), np.asarray(part.column("r"))
         for row, box, near in _reach(tree, k, x, flag, r, ball):
+            if most is not None:  # the others are as far as the nearest box at least, and leave so much for the last
+                gap = _gaps(tree, x, row, box[:, None])[:, 0]
+                least = np.full(len(x), np.inf)
+                np.minimum.at(least, row, gap)
+                left = (mean_of * most - (mean_of - 1) * np.sqrt(least)) * (1 + 1e-9)
+                r = np.where(np.isfinite(least), np.minimum(r, np.where(least <= most * most, left * left, -1.0)), r)
+                ok = gap <= r[row]
+                row, box, near = row[ok], box[ok], near[ok]
             if ball:  # cells whose rows were searched the first time
                 fresh = ~(near & tree.cell[box])
                 row, box, near = row[fresh], box[fresh], near[fresh]
@@ -237,13 +266,13 @@ def _down(d: int, k: int, ball: bool, top=None):
     return run
 
 
-def _descend(a: DataFrame, top: list, tables: list[DataFrame], d: int, k: int, ball: bool) -> DataFrame:
+def _descend(a: DataFrame, top: list, tables: list[DataFrame], d: int, k: int, ball: bool, most: float | None = None, mean_of: int = 1) -> DataFrame:
     """(key = cell, id, flag, x, r) for each cell that a row of ``a`` (id, x, r) must search."""
     held = _Tree(np.array([t.box for t in top], object), np.array([t.flag for t in top], bool), np.array([t.n for t in top], np.int64),
                  np.array([t.x for t in top]).reshape(-1, d), np.array([t.y for t in top]).reshape(-1, d))
     kind = "key string, id long, flag boolean, cell boolean, x array<double>, r double"
     rows = a.select("id", F.lit(True).alias("flag"), "x", "r")
-    pairs = rows.repartition(target_partitions(rows), "id").mapInArrow(_down(d, k, ball, held), kind)
+    pairs = rows.repartition(target_partitions(rows), "id").mapInArrow(_down(d, k, ball, held, most, mean_of), kind)
     found = []
     for boxes in tables:
         pairs = materialize(pairs, "knn-pairs")
@@ -252,13 +281,130 @@ def _descend(a: DataFrame, top: list, tables: list[DataFrame], d: int, k: int, b
     return _union([*found, pairs]).drop("cell")
 
 
+def _parts(y: np.ndarray) -> list[np.ndarray]:
+    """Rows ``y`` in boxes of ``PART`` rows at most, by halves of the widest coordinate: the rows of each."""
+    todo, done = [np.arange(len(y))], []
+    while todo:
+        some = todo.pop()
+        if len(some) <= PART:
+            done.append(some)
+            continue
+        at = y[some]
+        half = len(some) // 2
+        order = np.argpartition(at[:, int(np.argmax(at.max(axis=0) - at.min(axis=0)))], half)
+        todo += [some[order[:half]], some[order[half:]]]
+    return done
+
+
+class _Cell:
+    """The rows of B in one cell: the boxes of a cell and their rows, side by side."""
+
+    def __init__(self, ids, y) -> None:
+        parts = _parts(y)
+        width = max(map(len, parts))
+        self.ids, self.n = ids, np.array([len(p) for p in parts])
+        self.rows = np.zeros((len(parts), width), np.int64)
+        for i, p in enumerate(parts):
+            self.rows[i, :len(p)] = p
+        there = np.arange(width) < self.n[:, None]
+        # no distance to what is missing is below another
+        self.y = [np.where(there, y[self.rows, j], np.nan) for j in range(y.shape[1])]
+        self.lo, self.hi = ([f(v, axis=1) for v in self.y] for f in (np.nanmin, np.nanmax))
+        # a coordinate that is level in all boxes
+        self.level = [bool((lo == hi).all()) for lo, hi in zip(self.lo, self.hi, strict=True)]
+
+    def gaps(self, x: np.ndarray) -> np.ndarray:
+        gap = np.zeros((len(x), len(self.n)))
+        for j, (lo, hi) in enumerate(zip(self.lo, self.hi, strict=True)):
+            v = x[:, j][:, None]
+            g = np.maximum(np.maximum(lo - v, v - hi), 0.0)
+            gap += np.multiply(g, g, out=g)
+        return gap
+
+    def distances(self, x: np.ndarray, box: np.ndarray) -> np.ndarray:
+        """Squared distances of each row to the rows of its box, summed coordinate by coordinate, as the SQL does."""
+        d2 = np.zeros((len(x), self.rows.shape[1]))
+        for j, y in enumerate(self.y):
+            diff = x[:, j][:, None] - (self.lo[j][box][:, None] if self.level[j] else y[box])
+            d2 += np.multiply(diff, diff, out=diff)
+        if self.y and all(self.level):  # missing rows are as near as the others then
+            d2[np.arange(d2.shape[1]) >= self.n[box][:, None]] = np.nan
+        return d2
+
+
 def _nearest(d: int, k: int, exclude_self: bool, hashes=None):
     """Task function: the k nearest rows of its cell for each row of A -> (id, d2, b); with ``hashes``, the
     k nearest that share one with it."""
+    need = k + 1 if exclude_self else k
+
     def small(part):
-        y = np.ascontiguousarray(_matrix(part.column("x"), d).T)
+        ids, y = np.asarray(part.column("id")), _matrix(part.column("x"), d)
+        if hashes is None:
+            return _Cell(ids, y)
         # many coordinates are level in a cell
-        return np.asarray(part.column("id")), y, (y == y[:, :1]).all(axis=1), None if hashes is None else hashes(y.T)
+        return ids, np.ascontiguousarray(y.T), (y == y[:1]).all(axis=0), hashes(y)
+
+    def within(cell, ids, x, row, box, edge):
+        """(row, row of B, d2) of the pairs of ``row`` and ``box``, up to the squared distance ``edge``."""
+        step = max(1, HELD // cell.rows.shape[1])
+        for at in range(0, len(row), step):
+            some, place = row[at:at + step], box[at:at + step]
+            d2 = cell.distances(x[some], place)
+            i, col = np.nonzero(d2 <= edge[some][:, None])
+            b, value = cell.rows[place[i], col], d2[i, col]
+            if exclude_self:
+                other = ids[some[i]] != cell.ids[b]
+                i, b, value = i[other], b[other], value[other]
+            yield some[i], b, value
+
+    def bounds(cell, ids, x, gap, edge):
+        """``edge`` made finite by the boxes nearest to a row that hold k others."""
+        loose = np.flatnonzero(~np.isfinite(edge))
+        box = np.argmin(gap[loose], axis=1)
+        few = cell.n[box] < need
+        row, first = loose[~few], box[~few]
+        if few.any():
+            order = np.argsort(gap[loose[few]], axis=1, kind="stable")
+            held = cell.n[order]
+            i, at = np.nonzero(np.cumsum(held, axis=1) - held < need)
+            row, first = np.concatenate([row, loose[few][i]]), np.concatenate([first, order[i, at]])
+        got = [*within(cell, ids, x, row, first, edge)]
+        if not got:
+            return edge
+        row, _, value = (np.concatenate(p) for p in zip(*got, strict=True))
+        order = np.lexsort((value, row))
+        row, value = row[order], value[order]
+        last = np.arange(len(row)) - np.searchsorted(row, row) == k - 1
+        edge = edge.copy()
+        edge[row[last]] = value[last]
+        return edge
+
+    def by_boxes(cell, part):
+        ids, x, r = _rows(part)
+        step = max(1, 8 * HELD // len(cell.n))
+        for at in range(0, len(ids), step):
+            some = slice(at, at + step)
+            own, rows, edge = ids[some], x[some], r[some]
+            gap = cell.gaps(rows)
+            if not np.isfinite(edge).all():
+                edge = bounds(cell, own, rows, gap, edge)
+            got = [*within(cell, own, rows, *np.nonzero(gap <= edge[:, None]), edge)]
+            if got:
+                row, b, value = (np.concatenate(p) for p in zip(*got, strict=True))
+                yield from _best(own, row, value, cell.ids[b])
+
+    def _rows(part):
+        return np.asarray(part.column("id")), _matrix(part.column("x"), d), part.column("r").fill_null(np.inf).to_numpy(zero_copy_only=False)
+
+    def _best(ids, row, value, b):
+        import pyarrow as pa
+
+        order = np.lexsort((b, value, row))
+        row, b, value = row[order], b[order], value[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, b, value = row[keep], b[keep], value[keep]
+        if len(row):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(value), pa.array(b)], names=["id", "d2", "b"])
 
     def best(d2, edge):
         if d2.shape[1] > k and not np.isfinite(edge).all():
@@ -266,11 +412,9 @@ def _nearest(d: int, k: int, exclude_self: bool, hashes=None):
             edge = np.minimum(edge, np.partition(d2, k - 1, axis=1)[:, k - 1:k])
         return np.nonzero((d2 <= edge) & (d2 < np.inf))
 
-    def large(held, part):
-        import pyarrow as pa
-
+    def by_hashes(held, part):
         b_ids, y, level, b_hashes = held
-        ids, x, r = np.asarray(part.column("id")), _matrix(part.column("x"), d), part.column("r").fill_null(np.inf).to_numpy(zero_copy_only=False)
+        ids, x, r = _rows(part)
         step = max(1, HELD // len(b_ids))
         for at in range(0, len(ids), step):
             some = slice(at, at + step)
@@ -282,27 +426,19 @@ def _nearest(d: int, k: int, exclude_self: bool, hashes=None):
             if exclude_self:
                 d2 = np.where(ids[some][:, None] == b_ids[None], np.inf, d2)
             row, col = best(d2, r[some][:, None])
-            if hashes is not None:
-                a_hashes = hashes(x[some])
-                apart = ~(a_hashes[row] == b_hashes[col]).any(axis=1)
-                if apart.any():  # most rows share a bucket with all their nearest
-                    odd = np.unique(row[apart])
-                    shares = np.zeros((len(odd), len(b_ids)), bool)
-                    for t in range(b_hashes.shape[1]):
-                        shares |= a_hashes[odd, t][:, None] == b_hashes[:, t]
-                    d2[odd] = np.where(shares, d2[odd], np.inf)
-                    row, col = best(d2, r[some][:, None])
-            value = d2[row, col]
-            order = np.lexsort((b_ids[col], value, row))
-            row, col, value = row[order], col[order], value[order]
-            first = np.searchsorted(row, row)
-            keep = np.arange(len(row)) - first < k
-            row, col, value = row[keep], col[keep], value[keep]
-            if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some][row]), pa.array(value), pa.array(b_ids[col])], names=["id", "d2", "b"])
+            a_hashes = hashes(x[some])
+            apart = ~(a_hashes[row] == b_hashes[col]).any(axis=1)
+            if apart.any():  # most rows share a bucket with all their nearest
+                odd = np.unique(row[apart])
+                shares = np.zeros((len(odd), len(b_ids)), bool)
+                for t in range(b_hashes.shape[1]):
+                    shares |= a_hashes[odd, t][:, None] == b_hashes[:, t]
+                d2[odd] = np.where(shares, d2[odd], np.inf)
+                row, col = best(d2, r[some][:, None])
+            yield from _best(ids[some], row, d2[row, col], b_ids[col])
 
     def run(batches):
-        yield from _streams(batches, small, large)
+        yield from _streams(batches, small, by_boxes if hashes is None else by_hashes)
 
     return run
 
@@ -323,27 +459,32 @@ def _named(found: DataFrame, a_id: str, b_id: str) -> DataFrame:
 
 
 def knn(A: DataFrame, B: DataFrame, k: int, cols: list[str], a_id: str, b_id: str | None = None, exclude_self: bool = False,
-        leaf: int | None = None, hop: int = HOP) -> DataFrame:
+        leaf: int | None = None, hop: int = HOP, least: int | None = None) -> DataFrame:
     """(a_id, nn, b_id, d2): for every row of A its k nearest rows of B, nn = 1..k, ordered by
     (squared distance, B id); fewer where B has fewer. ``exclude_self`` skips B rows with A's id.
     A null or NaN coordinate raises. In many dimensions a row reaches most cells and goes to each of
-    them, so there cells are larger: ``leaf`` rows, 512 up to 22 dimensions and 8192 in 64."""
+    them, so there cells are larger: ``leaf`` rows, 4096 up to 45 dimensions and 8192 in 64.
+    With ``least``, neighbours are exact for the ``least`` rows with the smallest mean distances rounded to 6
+    digits and all that tie with them; rows with larger means may have farther rows of B in their place."""
     b_id, d = b_id or a_id, len(cols)
-    held = _Held(_points(B, b_id, cols), d, k, exclude_self, leaf, hop)
-    return _named(held.exact(materialize(_points(A, a_id, cols), "knn-a")), a_id, b_id)
+    held = _Held(_points(B, b_id, cols), d, k, exclude_self, leaf or max(LEAF, _leaf(d)), hop)
+    return _named(held.exact(materialize(_points(A, a_id, cols), "knn-a"), least), a_id, b_id)
+
+
+def _leaf(d: int) -> int:
+    return 512 * max(1, d * d // 256)
 
 
 class _Held:
     """The cells and boxes of B (id, x), for searches of the k nearest."""
 
-    def __init__(self, b: DataFrame, d: int, k: int, exclude_self: bool, leaf: int | None = None, hop: int = HOP) -> None:
-        leaf = leaf or 512 * max(1, d * d // 256)
+    def __init__(self, b: DataFrame, d: int, k: int, exclude_self: bool, leaf: int, hop: int = HOP) -> None:
         self.d, self.k, self.exclude_self, self.keep = d, k, exclude_self, k + 1 if exclude_self else k
         self.cells = materialize(cells(_nearest_of_each_place(b, self.keep), d, max(leaf, self.keep)), "knn-b")
         self.tables, self.top = _boxes(self.cells, d, hop)
 
-    def search(self, a: DataFrame, ball: bool, hashes=None) -> DataFrame:
-        pairs = _descend(a, self.top, self.tables, self.d, self.keep, ball)
+    def search(self, a: DataFrame, ball: bool, hashes=None, most: float | None = None) -> DataFrame:
+        pairs = _descend(a, self.top, self.tables, self.d, self.keep, ball, most, self.k)
         return _search(pairs, self.cells, self.d, self.k, self.exclude_self, hashes)
 
     def nearest_cells(self, a: DataFrame, hashes=None) -> DataFrame:
@@ -351,11 +492,23 @@ class _Held:
         found = self.search(a.withColumn("r", F.lit(float("inf"))), False, hashes)
         return materialize(_first(found if hashes is None else _once(found), self.k), "knn-first")
 
-    def exact(self, a: DataFrame) -> DataFrame:
+    def exact(self, a: DataFrame, least: int | None = None) -> DataFrame:
         """(id, nn, b, d2) for ``a`` (id, x)."""
         first = self.nearest_cells(a)
-        near = a.join(_reached(first, self.k), "id", "left").withColumn("r", F.coalesce("r", F.lit(float("inf"))))
-        return _first(first.select("id", "d2", "b").union(self.search(near, True)), self.k)
+        most = None if least is None else self._most(a, first, least)
+        near = materialize(a.join(_reached(first, self.k), "id", "left").withColumn("r", F.coalesce("r", F.lit(float("inf")))), "knn-reach")
+        return _first(first.select("id", "d2", "b").union(self.search(near, True, most=most)), self.k)
+
+    def _most(self, a: DataFrame, first: DataFrame, least: int) -> float | None:
+        """A bound of the ``least`` smallest mean distances, from those of the first search; none where it has fewer, or
+        where the neighbours of an id are those of several rows. Means equal when rounded to 6 digits lie within it."""
+        if not a.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").isEmpty():
+            return None
+        means = first.groupBy("id").agg(F.avg(F.sqrt("d2")).alias("u"), F.count(F.lit(1)).alias("m")).where(F.col("m") == self.k)
+        keys = materialize(means.select(F.ceil(F.col("u") * 1e6).cast("bigint").alias("key")), "knn-means")
+        if least < 1 or keys.count() < least:
+            return None
+        return (nth_smallest(keys, least, 64)[0] + 2) / 1e6 * (1 + 1e-9)
 
 
 def _once(found: DataFrame) -> DataFrame:
@@ -436,7 +589,7 @@ def knn_approximate(A: DataFrame, B: DataFrame, k: int, cols: list[str], a_id: s
     b_id, d = b_id or a_id, len(cols)
     hashes = _hashes(d, tables, projections, width, seed)
     a, b = materialize(_points(A, a_id, cols), "knn-a"), materialize(_points(B, b_id, cols), "knn-b-points")
-    held = _Held(b, d, k, exclude_self)
+    held = _Held(b, d, k, exclude_self, _leaf(d))
     # a null id, or one at several places, would take the places of others among a cell's k best
     odd = b.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL")
     if d <= FEW and odd.isEmpty():

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rarebird.functions import hash_int, required
 from rarebird.operators.ranking import ranked
 from rarebird.operators.selecting import among_smallest
-from rarebird.session import materialize
+from rarebird.session import materialize, passing
 from rarebird.spec import TableSpec
 
 
@@ -90,15 +90,19 @@ def smote(df: DataFrame, spec: TableSpec, k: int = 5, seed: int = 42, features:
     kk = min(k, n_lo - 1)
     if n_new == 0 or kk < 1:
         return base
-    nn = knn(minority, minority, kk, feats, spec.id, exclude_self=True)  # (id, nn, nn_<id>, d2)
     nb_col = f"nn_{spec.id}"
-    pos = ranked(minority.select(spec.id), [spec.id], rank_col="_r")
     g = F.col("id")
     draw = hash_int(seed, g, "p") % F.lit(n_lo * kk)
     gen = spark.range(n_new).select(
         g.alias("_g"), (F.floor(draw / kk) + 1).alias("_r"), (draw % kk + 1).alias("nn"),
         (hash_int(seed, g, "g") / F.lit(4294967296.0)).alias("_u"))
-    picked = gen.join(pos, "_r").join(nn.select(spec.id, "nn", nb_col), [spec.id, "nn"])
+    # whatever reads the rows made here, the neighbours are searched once, and nothing of the search stays
+    with passing(spark):
+        nn = knn(minority, minority, kk, feats, spec.id, exclude_self=True)  # (id, nn, nn_<id>, d2)
+        pos = ranked(minority.select(spec.id), [spec.id], rank_col="_r")
+        picked = gen.join(pos, "_r").join(nn.select(spec.id, "nn", nb_col), [spec.id, "nn"])
+        picked = materialize(picked.select(spec.id, nb_col, "_g", "_u"), "smote", keep=True)
+        del nn, pos
     a = minority.select(spec.id, *[F.col(c).alias(f"_a_{c}") for c in feats])
     b = minority.select(F.col(spec.id).alias(nb_col), *[F.col(c).alias(f"_b_{c}") for c in feats])
     both = picked.join(a, spec.id).join(b, nb_col)
@@ -127,9 +131,11 @@ def near_miss(df: DataFrame, spec: TableSpec, k: int = 3, features: list[str] |
     base = df.select(spec.id, *feats, spec.label)
     minority = base.where(F.col(spec.label) == lo)
     majority = base.where(F.col(spec.label) == hi)
-    nn = knn(majority, minority, k, feats, spec.id, spec.id)
-    mean = nn.groupBy(spec.id).agg(F.round(F.avg(F.sqrt("d2")), 6).alias("_md"))
-    # the rounded means as whole millionths, in the same order
-    mean = materialize(mean.select(F.col(spec.id).cast("bigint").alias("id"), F.round(F.col("_md") * 1e6).cast("bigint").alias("key")), "near-miss")
+    with passing(df.sparkSession):
+        nn = knn(majority, minority, k, feats, spec.id, spec.id, least=n_lo)
+        mean = nn.groupBy(spec.id).agg(F.round(F.avg(F.sqrt("d2")), 6).alias("_md"))
+        # the rounded means as whole millionths, in the same order
+        mean = materialize(mean.select(F.col(spec.id).cast("bigint").alias("id"), F.round(F.col("_md") * 1e6).cast("bigint").alias("key")), "near-miss", keep=True)
+        del nn
     keep = mean.where(among_smallest(mean, n_lo)(F.col("key"), F.col("id"))).select(F.col("id").alias(spec.id))
     return minority.unionByName(majority.join(keep, spec.id, "left_semi"))

@@ -14,7 +14,7 @@ DIGIT = 16
 SIGN = -(1 << 63)
 
 
-def _nth(keys: DataFrame, n: int, bits: int) -> tuple[int, int]:
+def nth_smallest(keys: DataFrame, n: int, bits: int) -> tuple[int, int]:
     """(the n-th smallest value of ``key``, how many rows of that value are among the n smallest).
     ``bits``: 64 for any bigint, fewer where keys are known to lie in [0, 2^bits)."""
     ordered = F.col("key").bitwiseXOR(F.lit(SIGN)) if bits == 64 else F.col("key")
@@ -41,9 +41,9 @@ def among_smallest(keys: DataFrame, n: int, bits: int = 64):
     rows that come first by (key, id). It is read up to eight times: materialise it where it is dear."""
     if n <= 0:
         return lambda key, id_: F.lit(False)
-    value, left = _nth(keys, n, bits)
+    value, left = nth_smallest(keys, n, bits)
     tied = keys.where(F.col("key") == value).select(F.col("id").alias("key"))
-    last, _ = _nth(tied, left, 64)
+    last, _ = nth_smallest(tied, left, 64)
 
     def condition(key: Column, id_: Column) -> Column:
         return (key < value) | ((key == value) & (id_ <= last))

@@ -5,7 +5,8 @@ Per fold: optional scaling fitted on the training part (default; ``leaky_scaling
 instead expects an already scaled table, like the reference), optional resampling of
 the training part only (trap T13), fit, score the test part. All score tables are
 unioned and the metrics are one grouped aggregate over (model, fold).
-Fits run concurrently from a bounded driver thread pool: each is its own Spark job.
+Fits run concurrently from a bounded driver thread pool: each is its own Spark job. Folds resampled by
+neighbours come one after the other, as each search fills the cluster and needs disk for its shuffles.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from rarebird.operators import sampling as sa
 from rarebird.operators import scaling
 from rarebird.operators.metrics import METRICS, metrics_long
 from rarebird.plans import models as mo
-from rarebird.session import materialize
+from rarebird.session import materialize, passing
 from rarebird.spec import TableSpec
 
 SAMPLERS = (None, "smote", "near_miss", "undersample")
+BY_NEIGHBOURS = ("smote", "near_miss")
 
 
 def with_folds(df: DataFrame, spec: TableSpec, k: int = 5) -> DataFrame:
@@ -45,26 +47,37 @@ def resample(train: DataFrame, spec: TableSpec, sample: str | None, seed: int =
     return sa.undersample(train.select(spec.id, *feats, spec.label), spec, seed)
 
 
+def prepared_fold(folded: DataFrame, spec: TableSpec, i: int, sample: str | None = None, scale: str | None = "standard",
+                  features: list[str] | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(training rows, test rows) of fold ``i``, scaled and resampled."""
+    feats = list(features or spec.features)
+    sub = spec.only(feats)
+    train, test = fo.fold_split(folded, i)
+    if scale:
+        stats = scaling.fit_scaler(train, sub, scale)
+        train, test = scaling.apply_scaler(train, sub, stats), scaling.apply_scaler(test, sub, stats)
+    return resample(train, sub, sample, seed, feats), test
+
+
 def prepared_folds(folded: DataFrame, spec: TableSpec, k: int, sample: str | None = None, scale: str | None = "standard",
                    features: list[str] | None = None, seed: int = 42, folds: list[int] | None = None, parallelism: int = 4,
                    write: bool = False) -> dict[int, tuple[DataFrame, DataFrame]]:
     """{fold: (training rows, test rows)}, scaled and resampled; ``write`` stores both, for several models."""
-    feats = list(features or spec.features)
-    sub = spec.only(feats)
     kept = (lambda df: materialize(df, "fold")) if write and (scale or sample) else (lambda df: df)
 
     def one(i: int):
-        train, test = fo.fold_split(folded, i)
-        if scale:
-            stats = scaling.fit_scaler(train, sub, scale)
-            train, test = scaling.apply_scaler(train, sub, stats), scaling.apply_scaler(test, sub, stats)
-        return kept(resample(train, sub, sample, seed, feats)), kept(test)
+        train, test = prepared_fold(folded, spec, i, sample, scale, features, seed)
+        return kept(train), kept(test)
 
     ids = folds if folds is not None else list(range(k))
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ids)))) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, min(_at_once(sample, parallelism), len(ids)))) as pool:
         return dict(zip(ids, pool.map(one, ids), strict=True))
 
 
+def _at_once(sample: str | None, parallelism: int) -> int:
+    return 1 if sample in BY_NEIGHBOURS else parallelism
+
+
 def fold_scores(folded: DataFrame, spec: TableSpec, cfg: mo.ModelConfig, k: int, sample: str | None = None,
                 scale: str | None = "standard", features: list[str] | None = None, seed: int = 42,
                 folds: list[int] | None = None, parallelism: int = 4, prepared: dict | None = None) -> DataFrame:
@@ -72,13 +85,19 @@ def fold_scores(folded: DataFrame, spec: TableSpec, cfg: mo.ModelConfig, k: int,
     feats = list(features or spec.features)
     sub = spec.only(feats)
     ids = folds if folds is not None else list(range(k))
-    tables = prepared or prepared_folds(folded, spec, k, sample, scale, feats, seed, ids, parallelism)
+    by_one = not prepared and sample in BY_NEIGHBOURS
+    tables = prepared if by_one or prepared else prepared_folds(folded, spec, k, sample, scale, feats, seed, ids, parallelism)
 
-    def one(i: int) -> DataFrame:
-        train, test = tables[i]
+    def score(train: DataFrame, test: DataFrame, i: int) -> DataFrame:
         return mo.score_table(mo.fit(train, sub, cfg, feats), test).withColumn("fold", F.lit(i))
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ids)))) as pool:
+    def one(i: int) -> DataFrame:
+        if not by_one:
+            return score(*tables[i], i)
+        with passing(folded.sparkSession):  # the training rows of a fold go when its model is fitted
+            return score(*prepared_fold(folded, spec, i, sample, scale, feats, seed), i)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(_at_once(sample, parallelism), len(ids)))) as pool:
         parts = list(pool.map(one, ids))
     out = parts[0]
     for p in parts[1:]:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Scratch tables written by this process (see cleanup_scratch).
 _WRITTEN: list[str] = []
+# Those of the steps that a thread is in, innermost last (see passing).
+_STEPS = threading.local()
 
 
 def get_spark(master: str | None = None, app: str = "rarebird", shuffle_partitions: int | None = None,
@@ -80,27 +85,53 @@ def scratch_path(spark: SparkSession, name: str = "t") -> str:
     return f"{scratch_dir(spark).rstrip('/')}/rarebird-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
     Cuts lineage and fixes values computed from physical layout (partition ids,
     positions) so that two later uses see the same rows, even after executor loss.
+    With ``keep`` the table outlives the innermost :func:`passing` step, as its result.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    steps = getattr(_STEPS, "open", [])
+    step = steps[:-1] if keep else steps
+    if step:
+        step[-1].append(path)
     _WRITTEN.append(path)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession):
+    """A step whose scratch tables, written by this thread, are deleted at its end, with the shuffle files that
+    nothing refers to any more: its results are kept with ``materialize(..., keep=True)`` or lie outside Spark."""
+    if not hasattr(_STEPS, "open"):
+        _STEPS.open = []
+    made: list[str] = []
+    _STEPS.open.append(made)
+    try:
+        yield
+    finally:
+        _STEPS.open.pop()
+        for path in made:
+            _delete(spark, path)
+            _WRITTEN.remove(path)
+        if made:  # shuffle files go once the driver has collected what named them
+            gc.collect()
+            spark._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cleanup_scratch(spark: SparkSession) -> int:
     """Delete the scratch tables this process wrote (through the Hadoop file system, so
     HDFS / object stores work too). Call it when no DataFrame built on them is used
     any more. Returns how many were deleted."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
     n = 0
     while _WRITTEN:
-        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        if p.getFileSystem(conf).delete(p, True):
-            n += 1
+        n += _delete(spark, _WRITTEN.pop())
     return n

@@ -192,3 +192,80 @@ def test_approximate_search_in_few_dimensions_by_cells(spark, monkeypatch):
     twice = df.where("id < 300").union(df.where("id < 30").withColumn("x", F.col("x") + 0.1))
     find(twice, 2.0)
     assert sum(calls) == 330
+
+
+def _two_classes(spark, n=900):
+    """Minority on one side of a plane, so that most majority rows are far from it; ties and rows at one place."""
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(n, 3)) * 3, 2)
+    x[40:60] = x[40]
+    y = (x[:, 0] + rng.normal(size=n) * 0.5 > 2.5).astype(int)
+    rows = [(i, *map(float, r), int(c)) for i, (r, c) in enumerate(zip(x, y, strict=True))]
+    return x, y, spark.createDataFrame(rows, "id long, a double, b double, c double, y int").repartition(4)
+
+
+def _tables(spark):
+    """Scratch tables in the shared folder."""
+    import os
+
+    from rarebird.session import scratch_dir
+
+    return {f for f in os.listdir(scratch_dir(spark).removeprefix("file:")) if f.startswith("rarebird-")}
+
+
+def test_near_miss_keeps_only_its_result(spark, monkeypatch):
+    """The chosen rows are those of brute force, far rows go down no box in the second search, and what the search wrote is gone."""
+    from rarebird.operators import neighbors
+    from rarebird.operators import sampling as sa
+    from rarebird.spec import TableSpec
+
+    monkeypatch.setattr(neighbors, "LEAF", 16)
+    x, y, df = _two_classes(spark)
+    small, large = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    d = np.sqrt(np.sort(((x[large][:, None] - x[small][None]) ** 2).sum(2), axis=1)[:, :3])
+    mean = np.round(d.mean(1), 6)
+    chosen = {int(large[i]) for i in np.lexsort((large, mean))[:len(small)]}
+    seen, search = [], neighbors._search
+    monkeypatch.setattr(neighbors, "_search", lambda pairs, *rest: seen.append(pairs.select("id").distinct().count()) or search(pairs, *rest))
+    before = _tables(spark)
+    got = sa.near_miss(df, TableSpec("id", "y", ("a", "b", "c")), 3)
+    assert {r.id for r in got.collect()} == chosen | set(small.tolist())
+    assert len(_tables(spark) - before) == 1
+    assert seen[0] == len(large) and seen[1] < 0.6 * len(large)
+
+
+def test_rows_of_repeated_ids_are_all_searched(spark):
+    """An id at two places, near and far: its neighbours are the best of both rows, as without a bound."""
+    b = spark.createDataFrame([(i, float(i), 0.0) for i in range(200)], "id long, x double, y double")
+    a = spark.createDataFrame([(1000 + i // 2, float(i * 7 % 200), float(i % 2 * (i % 9))) for i in range(160)], "id long, x double, y double")
+    every = {(r.id, r.nn): (r.nn_id, r.d2) for r in knn(a, b, 3, ["x", "y"], "id", leaf=16).collect()}
+    some = {(r.id, r.nn): (r.nn_id, r.d2) for r in knn(a, b, 3, ["x", "y"], "id", leaf=16, least=10).collect()}
+    assert some == every
+
+
+def test_cell_gives_the_nearest_rows_of_all_its_boxes():
+    """Rows of A against one cell of many boxes: bounds from the nearest box, level coordinates, fewer rows than k."""
+    import pyarrow as pa
+
+    from rarebird.operators.neighbors import _nearest
+
+    rng = np.random.default_rng(5)
+    for n, k in ((1, 3), (3, 3), (70, 3), (1000, 5), (1000, 80)):
+        y = np.stack([np.round(rng.normal(size=n), 1), np.full(n, 2.0), rng.integers(0, 2, n).astype(float)], axis=1)
+        x = np.concatenate([y[: min(n, 50)], rng.normal(size=(60, 3)) * 2])
+        ids = np.arange(len(x))
+        r = np.where(ids % 3 == 0, 0.5, np.nan)
+
+        def batch(kind, ids, x, r):
+            m = len(ids)
+            return pa.RecordBatch.from_pydict({"key": pa.array(["c"] * m), "salt": pa.array([0] * m, pa.int32()), "kind": pa.array([kind] * m, pa.int32()), "id": pa.array(ids),
+                                               "x": pa.array(x.tolist(), pa.list_(pa.float64())), "r": pa.array(r, pa.float64(), from_pandas=True)})
+
+        got: dict[int, list] = {}
+        for out in _nearest(3, k, True)([batch(0, np.arange(n), y, np.full(n, np.nan)), batch(1, ids, x, r)]):
+            for i, d2, b in zip(*(out.column(c).to_pylist() for c in ("id", "d2", "b")), strict=True):
+                got.setdefault(i, []).append((d2, b))
+        for i in ids:
+            d2 = sum((x[i, j] - y[:, j]) ** 2 for j in range(3))
+            want = sorted((float(v), b) for b, v in enumerate(d2) if b != i and (np.isnan(r[i]) or v <= r[i]))[:k]
+            assert got.get(int(i), []) == want

@@ -57,3 +57,18 @@ def test_logistic_learns_the_learnable_target(spark):
     s = mo.score_table(mo.fit(train, LEARN_SPEC, mo.LOGISTIC), test).withColumnRenamed("learn", "label")
     assert curves.average_precision(s).first()[0] > 0.9
     assert curves.auc_score(s).first()[0] > 0.95
+
+
+def test_folds_by_neighbours_leave_no_tables(spark, ev_small):
+    """Each fold's training rows, and what its search wrote, go when its model is fitted."""
+    from tests.test_neighbors import _tables
+
+    spec = EV_SPEC.only(["value", "hr", "k"])
+    folded = va.with_folds(ev_small, spec, 3)
+    folded.count()
+    before = _tables(spark)
+    for sample in ("smote", "near_miss"):
+        out = va.cross_validate_resampled(folded, spec, mo.LOGISTIC, sample, 3)
+        assert not _tables(spark) - before
+        assert out.count() == 3 * len(va.METRICS)
+    assert not _tables(spark) - before
