@@ -210,6 +210,8 @@ def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str]
         weight_col = "weight"
     keep = [weight_col] if weight_col else []
     vec = assemble(data, spec, feats, keep=keep)
+    if cfg.kind == "estimator":  # reads the rows as they lie: counting and dealing them out would make and move them once more each
+        return Fitted(cfg, spec, feats, _estimator(cfg, spec.label, weight_col, 0.0).fit(vec))
     sums = vec.agg(F.sum(weight_col) if weight_col else F.count(F.lit(1)), F.count(F.lit(1))).first()
     total = float(sums[0] or 1.0)
     vec = spread(vec, spec.id, sums[1])

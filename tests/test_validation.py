@@ -72,3 +72,18 @@ def test_folds_by_neighbours_leave_no_tables(spark, ev_small):
         assert not _tables(spark) - before
         assert out.count() == 3 * len(va.METRICS)
     assert not _tables(spark) - before
+
+
+def test_a_users_estimator_gets_the_training_rows_without_another_pass(spark, ev_small, monkeypatch):
+    """One aggregate is one pass: the rows of a fold are neither counted nor dealt out before it."""
+    from rarebird.plans.centroid import NearestCentroid
+
+    spec = EV_SPEC.only(["value", "hr", "k"])
+    seen = []
+    monkeypatch.setattr(mo, "ROWS", 10)
+    monkeypatch.setattr(mo, "spread", lambda vec, *rest: seen.append(vec) or vec)
+    cfg = mo.ModelConfig("estimator", weights=None, estimator=NearestCentroid())
+    fitted = mo.fit(ev_small, spec, cfg)
+    assert not seen
+    mean = ev_small.where("label = 1").agg(F.avg("value"), F.avg("hr"), F.avg("k")).first()
+    assert fitted.model.getOrDefault("mean1") == pytest.approx(list(mean))
