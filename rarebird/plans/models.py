@@ -214,6 +214,12 @@ def fit(train: DataFrame, spec: TableSpec, cfg: ModelConfig, features: list[str]
         return Fitted(cfg, spec, feats, _estimator(cfg, spec.label, weight_col, 0.0).fit(vec))
     sums = vec.agg(F.sum(weight_col) if weight_col else F.count(F.lit(1)), F.count(F.lit(1))).first()
     total = float(sums[0] or 1.0)
+    if cfg.kind == "random_forest":
+        from rarebird.plans.forest import fit_grouped
+
+        model = fit_grouped(vec, spec.label, weight_col, len(feats), sums[1], _estimator(cfg, spec.label, weight_col, total))
+        if model is not None:
+            return Fitted(cfg, spec, feats, model)
     vec = spread(vec, spec.id, sums[1])
     penalty, loss = cfg.params.get("penalty", "l2"), cfg.params.get("loss", "squared_hinge")
     if cfg.kind == "linear_svm" and loss == "squared_hinge":

@@ -115,14 +115,14 @@ def passing(spark: SparkSession):
     finally:
         _STEPS.open.pop()
         for path in made:
-            _delete(spark, path)
+            delete(spark, path)
             _WRITTEN.remove(path)
         if made:  # shuffle files go once the driver has collected what named them
             gc.collect()
             spark._jvm.System.gc()
 
 
-def _delete(spark: SparkSession, path: str) -> bool:
+def delete(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -133,5 +133,5 @@ def cleanup_scratch(spark: SparkSession) -> int:
     any more. Returns how many were deleted."""
     n = 0
     while _WRITTEN:
-        n += _delete(spark, _WRITTEN.pop())
+        n += delete(spark, _WRITTEN.pop())
     return n
