@@ -359,29 +359,34 @@ def _nearest(d: int, k: int, exclude_self: bool, hashes=None):
 
     def bounds(cell, ids, x, gap, edge):
         """``edge`` made finite by the boxes nearest to a row that hold k others."""
-        loose = np.flatnonzero(~np.isfinite(edge))
+        loose, edge = np.flatnonzero(~np.isfinite(edge)), edge.copy()
         box = np.argmin(gap[loose], axis=1)
         few = cell.n[box] < need
         row, first = loose[~few], box[~few]
+        step = max(1, HELD // cell.rows.shape[1])
+        for at in range(0, len(row), step):
+            some, place = row[at:at + step], first[at:at + step]
+            d2 = cell.distances(x[some], place)
+            if exclude_self:
+                d2[cell.ids[cell.rows[place]] == ids[some][:, None]] = np.nan
+            last = np.partition(d2, k - 1, axis=1)[:, k - 1]  # what is missing comes last
+            edge[some] = np.where(np.isnan(last), np.inf, last)
         if few.any():
-            order = np.argsort(gap[loose[few]], axis=1, kind="stable")
+            row = loose[few]
+            order = np.argsort(gap[row], axis=1, kind="stable")
             held = cell.n[order]
             i, at = np.nonzero(np.cumsum(held, axis=1) - held < need)
-            row, first = np.concatenate([row, loose[few][i]]), np.concatenate([first, order[i, at]])
-        got = [*within(cell, ids, x, row, first, edge)]
-        if not got:
-            return edge
-        row, _, value = (np.concatenate(p) for p in zip(*got, strict=True))
-        order = np.lexsort((value, row))
-        row, value = row[order], value[order]
-        last = np.arange(len(row)) - np.searchsorted(row, row) == k - 1
-        edge = edge.copy()
-        edge[row[last]] = value[last]
+            got = [*within(cell, ids, x, row[i], order[i, at], edge)]
+            row, _, value = (np.concatenate(p) for p in zip(*got, strict=True))
+            order = np.lexsort((value, row))
+            row, value = row[order], value[order]
+            last = np.arange(len(row)) - np.searchsorted(row, row) == k - 1
+            edge[row[last]] = value[last]
         return edge
 
     def by_boxes(cell, part):
         ids, x, r = _rows(part)
-        step = max(1, 8 * HELD // len(cell.n))
+        step = max(1, 2 * HELD // len(cell.n))
         for at in range(0, len(ids), step):
             some = slice(at, at + step)
             own, rows, edge = ids[some], x[some], r[some]
