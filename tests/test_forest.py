@@ -75,3 +75,22 @@ def test_thresholds_lie_between_values_and_few_values_keep_all(spark):
     a, b, c = forest.split_points(mo.assemble(df, SPEC), 3, 32)
     assert b.tolist() == [0.5, 1.5, 4.5] and len(c) == 0
     assert len(a) == 31 and (a % 1 == 0.5).all() and np.ptp(np.diff(np.r_[0, a, 999])) <= 2
+
+
+def test_forest_selection_and_importances_read_the_rows_a_few_times(spark, rows, monkeypatch):
+    """L2 and M11 on a table of many rows to a group: their forests grow from counts, pyspark.ml fits none."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from rarebird.plans import selection as sel
+
+    def never(*a, **b):
+        raise AssertionError("pyspark.ml fits")
+
+    theirs = {r["column"]: r.importance for r in sel.select_forest(rows.limit(1500), SPEC, 30).collect()}  # rows that hardly share bins
+    monkeypatch.setattr(RandomForestClassifier, "fit", never)
+    chosen = sel.select_forest(rows, SPEC, 30).collect()
+    assert sum(r.importance for r in chosen) == pytest.approx(1.0)
+    assert all(r.kept == (r.importance >= r.threshold) for r in chosen)
+    assert max(chosen, key=lambda r: r.importance)["column"] == max(theirs, key=theirs.get)
+    found = {r["column"]: r.importance for r in mo.feature_importance(mo.fit(rows, SPEC, mo.FOREST)).collect()}
+    assert all(abs(found[r["column"]] - r.importance) < 0.1 for r in chosen)
