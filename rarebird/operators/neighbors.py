@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from rarebird.functions import hash_int, required
 from rarebird.operators.selecting import nth_smallest
-from rarebird.session import materialize, target_partitions
+from rarebird.session import materialize, passing, target_partitions
 
 #: Children of a cell, and levels of cells a row goes down at once.
 FAN, HOP = 8, 4
@@ -485,7 +485,8 @@ class _Held:
 
     def __init__(self, b: DataFrame, d: int, k: int, exclude_self: bool, leaf: int, hop: int = HOP) -> None:
         self.d, self.k, self.exclude_self, self.keep = d, k, exclude_self, k + 1 if exclude_self else k
-        self.cells = materialize(cells(_nearest_of_each_place(b, self.keep), d, max(leaf, self.keep)), "knn-b")
+        with passing(b.sparkSession):
+            self.cells = materialize(cells(_nearest_of_each_place(b, self.keep), d, max(leaf, self.keep)), "knn-b", keep=True)
         self.tables, self.top = _boxes(self.cells, d, hop)
 
     def search(self, a: DataFrame, ball: bool, hashes=None, most: float | None = None) -> DataFrame:
@@ -494,8 +495,9 @@ class _Held:
 
     def nearest_cells(self, a: DataFrame, hashes=None) -> DataFrame:
         """(id, d2, b) of the nearest cells' rows, the k best of an id."""
-        found = self.search(a.withColumn("r", F.lit(float("inf"))), False, hashes)
-        return materialize(_first(found if hashes is None else _once(found), self.k), "knn-first")
+        with passing(a.sparkSession):
+            found = self.search(a.withColumn("r", F.lit(float("inf"))), False, hashes)
+            return materialize(_first(found if hashes is None else _once(found), self.k), "knn-first", keep=True)
 
     def exact(self, a: DataFrame, least: int | None = None) -> DataFrame:
         """(id, nn, b, d2) for ``a`` (id, x)."""
